@@ -1,0 +1,4 @@
+"""No operator of this library is a streaming one: every job works on a finished table.
+
+The package exists so that a streaming operator has a place if one is ever needed.
+"""
