@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -17,12 +16,7 @@ def side_cdf(df: DataFrame, cols: Sequence[str] | Mapping[str, Column], side: Co
     ``side`` true is population A, false is B, NULL rows are left out.  One long-form aggregate and one prefix
     scan serve all features together.
     """
-    group = list(group)
-    ids = [*group, "_a"]
-    long = melt(df.withColumn("_a", side).where(F.col("_a").isNotNull()), ids, cols)
-    key = [*group, "feature"]
-    counts = value_counts(long, key, "value", a=F.count_if(F.col("_a")), b=F.count_if(~F.col("_a")))
-    return cdf_of_counts(counts, key)
+    return cdf_of_counts(side_counts(df, cols, side, group), [*group, "feature"])
 
 
 def cdf_of_counts(counts: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -58,10 +52,113 @@ def ks_p_value(d: Column, n_a: Column, n_b: Column, terms: int = 40) -> Column:
     return F.when(x < 0.2, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2.0 * series)))
 
 
-def wasserstein_of_cdf(cdf: DataFrame, df_order: DataFrame | None = None) -> DataFrame:
-    """Area between the two distribution functions, per feature.
+def wasserstein(counts: DataFrame, key: Sequence[str] = ("feature",)) -> DataFrame:
+    """Area between the two distribution functions of a (key..., value, a, b) count table.
 
-    The step after a value is as wide as the gap to the next value.  Summing |F-G| * gap equals summing, over
-    adjacent pairs, so the next value is fetched with a self-join on the position within the feature.
+    Between a value and the one before it both functions stand where the earlier value left them.
     """
-    raise NotImplementedError
+    key = list(key)
+    run = prefix_scan(counts, key, ["value"], sums=["a", "b"], before=["value"])
+    totals = run.groupBy(*key).agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    fa, fb = (F.col("cum_a") - F.col("a")) / F.col("na"), (F.col("cum_b") - F.col("b")) / F.col("nb")
+    step = F.col("value") - F.col("before_value")
+    return run.join(totals, key).groupBy(*key).agg(
+        F.coalesce(F.sum(F.abs(fa - fb) * step), F.lit(0.0)).alias("distance")
+    )
+
+
+def side_counts(df: DataFrame, cols, side: Column, group: Sequence[str] = ()) -> DataFrame:
+    """The count table behind ``side_cdf``: (group..., feature, value, a, b)."""
+    long = melt(df.withColumn("_a", side).where(F.col("_a").isNotNull()), [*group, "_a"], cols)
+    return value_counts(
+        long, [*group, "feature"], "value", a=F.count_if(F.col("_a")), b=F.count_if(~F.col("_a"))
+    )
+
+
+def joint_bins(counts: DataFrame, bins: int) -> DataFrame:
+    """(feature, bin, a, b): both sides on ``bins`` equal-width bins over their joint range (last bin closed)."""
+    ranges = counts.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    at = F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1e-9) * bins)
+    return (
+        counts.join(F.broadcast(ranges), "feature")  # one row per feature of the schema
+        .withColumn("bin", F.least(at, F.lit(bins - 1)))
+        .groupBy("feature", "bin")
+        .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    )
+
+
+def psi(counts: DataFrame, bins: int = 10) -> DataFrame:
+    """Population stability index per feature; an empty bin weighs 1e-9."""
+    cells = joint_bins(counts, bins)
+    totals = counts.groupBy("feature").agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    grid = totals.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))))
+    filled = grid.join(cells, ["feature", "bin"], "left").fillna(0, ["a", "b"])
+    e, o = F.col("a") / F.col("na") + 1e-9, F.col("b") / F.col("nb") + 1e-9
+    return filled.groupBy("feature").agg(F.sum((e - o) * F.ln(e / o)).alias("psi"))
+
+
+def histogram_kl(counts: DataFrame, bins: int = 50) -> DataFrame:
+    """sum p ln(p/q) over density histograms, each side binned on its own range, 1e-10 added to every bin."""
+    sides = counts.select(
+        "feature", "value", F.explode(F.array(F.struct(F.lit("a").alias("s"), F.col("a").alias("n")), F.struct(F.lit("b").alias("s"), F.col("b").alias("n")))).alias("x")
+    ).select("feature", "value", "x.s", "x.n").where("n > 0")
+    ranges = sides.groupBy("feature", "s").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n").alias("total"))
+    width = (F.col("hi") - F.col("lo")) / bins
+    cells = (
+        sides.join(F.broadcast(ranges), ["feature", "s"])  # two rows per feature
+        .withColumn("bin", F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(bins - 1)))
+        .groupBy("feature", "s", "bin")
+        .agg(F.sum("n").alias("n"))
+    )
+    grid = ranges.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))))
+    density = grid.join(cells, ["feature", "s", "bin"], "left").select(
+        "feature", "bin", "s", (F.coalesce(F.col("n"), F.lit(0)) / (F.col("total") * width) + 1e-10).alias("d")
+    )
+    pq = density.groupBy("feature", "bin").agg(
+        F.max(F.when(F.col("s") == "a", F.col("d"))).alias("p"), F.max(F.when(F.col("s") == "b", F.col("d"))).alias("q")
+    )
+    return pq.groupBy("feature").agg(F.sum(F.col("p") * F.ln(F.col("p") / F.col("q"))).alias("kl"))
+
+
+def knee_threshold(drift: DataFrame, low: float = 0.03) -> DataFrame:
+    """Cut-off on ``ks_stat`` where cumulative importance departs most from cumulative feature count.
+
+    ``drift`` is feature metadata (feature, ks_stat, importance), one row per column, so a plain window serves.
+    """
+    everything = W.partitionBy(F.lit(0))
+    run = everything.orderBy("ks_stat", "feature").rowsBetween(W.unboundedPreceding, 0)
+    curve = drift.select(
+        "feature",
+        "ks_stat",
+        F.sum("importance").over(run).alias("cum"),
+        F.sum("importance").over(everything).alias("total"),
+        F.row_number().over(everything.orderBy("ks_stat", "feature")).alias("i"),
+        F.count(F.lit(1)).over(everything).alias("n"),
+    )
+    gap = F.abs(F.col("i") / F.col("n") - F.try_divide(F.col("cum"), F.col("total")))
+    knee = F.max_by(F.col("ks_stat"), F.struct(F.round(gap, 12), -F.col("i")))
+    p90, p75 = F.percentile("ks_stat", F.lit(0.9)), F.percentile("ks_stat", F.lit(0.75))
+    return curve.agg(
+        F.when(F.max("total") < 1e-9, p75)
+        .otherwise(F.greatest(F.least(knee, p90), F.lit(low)))
+        .alias("threshold"),
+        knee.alias("knee"),
+        p90.alias("p90"),
+    )
+
+
+def variance_ratio(df: DataFrame, cols: Sequence[str], side: Column) -> DataFrame:
+    """(feature, var_a, var_b, ratio = b / (a + 1e-9)) in long form, one aggregate pass."""
+    wide = df.agg(
+        *[F.var_samp(F.when(side, F.col(c))).alias(f"a_{c}") for c in cols],
+        *[F.var_samp(F.when(~side, F.col(c))).alias(f"b_{c}") for c in cols],
+    )
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"a_{c}").alias("var_a"), F.col(f"b_{c}").alias("var_b")) for c in cols])
+    return wide.select(F.inline(cells)).withColumn("ratio", F.col("var_b") / (F.col("var_a") + 1e-9))
+
+
+def stats_long(df: DataFrame, cols: Sequence[str], **stats) -> DataFrame:
+    """(feature, stat...): ``stats`` maps a name to a function Column -> aggregate; one pass over ``df``."""
+    wide = df.agg(*[f(F.col(c)).alias(f"{n}__{c}") for c in cols for n, f in stats.items()])
+    cells = [F.struct(F.lit(c).alias("feature"), *[F.col(f"{n}__{c}").alias(n) for n in stats]) for c in cols]
+    return wide.select(F.inline(F.array(*cells)))

@@ -23,8 +23,10 @@ def prefix_scan(
     order: Sequence[str],
     sums: Sequence[str] = (),
     maxes: Sequence[str] = (),
+    before: Sequence[str] = (),
 ) -> DataFrame:
-    """Add inclusive ``cum_<c>`` for each of ``sums`` and ``runmax_<c>`` for each of ``maxes``.
+    """Add inclusive ``cum_<c>`` for ``sums`` and ``runmax_<c>`` for ``maxes``; ``before_<c>`` is the largest
+    ``c`` of the strictly earlier rows (of the order column itself: the previous row's value).
 
     ``group`` + ``order`` should identify a row, else the order among ties is arbitrary.
     """
@@ -32,20 +34,24 @@ def prefix_scan(
     keys = group + order
     ranged = cut_lineage(df.repartitionByRange(*keys).withColumn(_RANGE, F.spark_partition_id()))
     part = [_RANGE, *group]
-    running = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    ordered = W.partitionBy(*part).orderBy(*order)
+    running = ordered.rowsBetween(W.unboundedPreceding, W.currentRow)
+    passed = ordered.rowsBetween(W.unboundedPreceding, -1)
     local = ranged.select(
         "*",
         *[F.sum(c).over(running).alias(f"cum_{c}") for c in sums],
         *[F.max(c).over(running).alias(f"runmax_{c}") for c in maxes],
+        *[F.max(c).over(passed).alias(f"before_{c}") for c in before],
     )
     if ranged.rdd.getNumPartitions() == 1:
         return local.drop(_RANGE)
 
+    tops = sorted({*maxes, *before})
     # One row per (range, group): at most ranges + groups rows, so this scan is small.
     totals = ranged.groupBy(*part).agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.sum(c).alias(f"_s_{c}") for c in sums],
-        *[F.max(c).alias(f"_m_{c}") for c in maxes],
+        *[F.max(c).alias(f"_m_{c}") for c in tops],
     )
     earlier = (
         W.partitionBy(*(group or [F.lit(0)])).orderBy(_RANGE).rowsBetween(W.unboundedPreceding, -1)
@@ -53,7 +59,7 @@ def prefix_scan(
     offsets = totals.select(
         *part,
         *[F.coalesce(F.sum(f"_s_{c}").over(earlier), F.lit(0)).alias(f"_s_{c}") for c in sums],
-        *[F.max(f"_m_{c}").over(earlier).alias(f"_m_{c}") for c in maxes],
+        *[F.max(f"_m_{c}").over(earlier).alias(f"_m_{c}") for c in tops],
     )
     joined = local.join(offsets, part, "left")
     keep = [c for c in df.columns]
@@ -61,6 +67,7 @@ def prefix_scan(
         *keep,
         *[(F.coalesce(F.col(f"cum_{c}"), F.lit(0)) + F.col(f"_s_{c}")).alias(f"cum_{c}") for c in sums],
         *[F.greatest(F.col(f"runmax_{c}"), F.col(f"_m_{c}")).alias(f"runmax_{c}") for c in maxes],
+        *[F.greatest(F.col(f"before_{c}"), F.col(f"_m_{c}")).alias(f"before_{c}") for c in before],
     )
 
 
