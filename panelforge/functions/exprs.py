@@ -94,3 +94,8 @@ def binary_entropy(p: Column) -> Column:
 
 def layout_fallback(*levels: Column) -> Column:
     return F.coalesce(*levels, F.lit(0.0))
+
+
+def stable_round(c: Column, digits: int) -> Column:
+    """Round so that exact decimal ties do not hang on the last bit of a sum: they are shifted up first."""
+    return F.round(c.cast("double") + F.lit(float(f"3.7e-{digits + 4:02d}")), digits) + F.lit(0.0)

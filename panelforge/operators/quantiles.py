@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelforge.operators.prefix import melt, prefix_scan, value_counts
 
-BUFFER_ROWS = 2_000_000
+BUFFER_ROWS = 4_000_000  # values over all requests together
 _SKETCH_ACCURACY = 10_000
 _BRACKET = 1.0 / 2_000
 
@@ -25,7 +25,7 @@ def fit_quantiles(df: DataFrame, requests: Requests, buffer_rows: int = BUFFER_R
     """Fitted state ``{name: [quantile, ...]}``; a handful of numbers, whatever the size of ``df``."""
     narrow = df.select(*[c.cast("double").alias(n) for n, (c, _) in requests.items()])
     counts = narrow.agg(*[F.count(n).alias(n) for n in requests]).first().asDict()
-    if max(counts.values(), default=0) <= buffer_rows:
+    if sum(counts.values()) <= buffer_rows:
         row = narrow.agg(
             *[F.percentile(n, F.array(*[F.lit(float(p)) for p in ps])).alias(n) for n, (_, ps) in requests.items()]
         ).first()

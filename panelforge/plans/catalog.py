@@ -6,7 +6,7 @@ from importlib import import_module
 
 from panelforge.plans.registry import REGISTRY, Query
 
-MODULES = ("flagship", "windows")
+MODULES = ("flagship", "windows", "features", "aggregates")
 
 
 def load() -> dict[str, Query]:

@@ -30,7 +30,7 @@ def events_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         "value",
         F.get_json_object("props", "$.k").cast("double").alias("k"),
         "event_type",
-        (F.col("ts") < F.lit(EVENT_SPLIT).cast("timestamp")).alias("is_train"),
+        (F.col("ts") < F.lit(EVENT_SPLIT).cast("timestamp_ntz")).alias("is_train"),
     )
 
 
@@ -47,11 +47,11 @@ def order_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(
             F.count(F.lit(1)).cast("double").alias("n_lines"),
             F.sum("l_quantity").alias("qty_sum"),
-            F.round(F.avg("l_quantity"), 6).alias("qty_avg"),
+            X.stable_round(F.avg("l_quantity"), 6).alias("qty_avg"),
             F.max("l_quantity").alias("qty_max"),
-            F.round(F.avg("l_discount"), 6).alias("disc_avg"),
-            F.round(F.avg("l_tax"), 6).alias("tax_avg"),
-            F.round(F.sum("l_extendedprice"), 2).alias("price_sum"),
+            X.stable_round(F.avg("l_discount"), 6).alias("disc_avg"),
+            X.stable_round(F.avg("l_tax"), 6).alias("tax_avg"),
+            X.stable_round(F.sum("l_extendedprice"), 2).alias("price_sum"),
         )
     )
     orders = table(spark, sf_dir, "orders").select(
@@ -59,7 +59,7 @@ def order_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").alias("sid"),
         F.col("o_orderdate").alias("odate"),
         F.col("o_totalprice").alias("y"),
-        (F.col("o_orderdate") < F.lit(ORDER_SPLIT).cast("timestamp")).alias("is_train"),
+        (F.col("o_orderdate") < F.lit(ORDER_SPLIT).cast("timestamp_ntz")).alias("is_train"),
     )
     customers = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("sid"), F.col("c_nationkey").alias("layout")
@@ -88,17 +88,17 @@ def pred_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         (i % 5).cast("int").alias("fold"),
         "y",
         ((i * 37) % 101 / 100.0).alias("p"),
-        F.round(y * (0.6 + 0.05 * (i % 9)), 4).alias("nt"),
-        F.round(y * (1.1 + 0.4 * ((i * 7) % 11)), 4).alias("t"),
+        X.stable_round(y * (0.6 + 0.05 * (i % 9)), 4).alias("nt"),
+        X.stable_round(y * (1.1 + 0.4 * ((i * 7) % 11)), 4).alias("t"),
     )
     p, t, nt = F.col("p"), F.col("t"), F.col("nt")
     weighted = base.select(
         "*",
-        F.round(X.prediction_gap(t, nt), 9).alias("gap"),
-        F.round(X.blend_weight(p, t, nt) * X.damping(p, X.prediction_gap(t, nt)), 9).alias("w"),
+        X.stable_round(X.prediction_gap(t, nt), 9).alias("gap"),
+        X.stable_round(X.blend_weight(p, t, nt) * X.damping(p, X.prediction_gap(t, nt)), 9).alias("w"),
     )
     return weighted.select(
-        "*", F.when(i % 7 != 0, F.round(X.blend(F.col("w"), t, nt), 4)).alias("oof")
+        "*", F.when(i % 7 != 0, X.stable_round(X.blend(F.col("w"), t, nt), 4)).alias("oof")
     )
 
 
