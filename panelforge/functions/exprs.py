@@ -99,3 +99,11 @@ def layout_fallback(*levels: Column) -> Column:
 def stable_round(c: Column, digits: int) -> Column:
     """Round so that exact decimal ties do not hang on the last bit of a sum: they are shifted up first."""
     return F.round(c.cast("double") + F.lit(float(f"3.7e-{digits + 4:02d}")), digits) + F.lit(0.0)
+
+
+def corr(a: Column | str, b: Column | str) -> Column:
+    """Pearson correlation over the rows where both are known; NULL (not an error) when either is constant."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    both = a.isNotNull() & b.isNotNull()
+    a, b = F.when(both, a), F.when(both, b)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

@@ -9,6 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, functions as F
 
+from panelforge.functions import exprs as X
 from panelforge.operators.prefix import melt, value_counts
 
 
@@ -89,7 +90,7 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     cols = list(cols)
     if len(cols) <= PAIRWISE_COLUMNS:
         pairs = list(combinations(cols, 2))
-        wide = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+        wide = df.agg(*[X.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
         cells = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"r{i}").alias("corr")) for i, (a, b) in enumerate(pairs)]
         return wide.select(F.inline(F.array(*cells)))
     matrix = correlation_matrix(df, cols)

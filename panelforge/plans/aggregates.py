@@ -214,7 +214,7 @@ def t1(spark, sf_dir):
 @query("t2_largest_smallest_features", with_sql(ORDERS_SQL, f"SELECT * FROM (SELECT 'high' AS side, feature, {sr('c')} AS abs_corr FROM yc ORDER BY c DESC, feature LIMIT 3) UNION ALL SELECT * FROM (SELECT 'low' AS side, feature, {sr('c')} AS abs_corr FROM yc ORDER BY c, feature LIMIT 3)",
     "yc AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, abs(corr(y, {c})) AS c FROM op" for c in SEN) + ")"))
 def t2(spark, sf_dir):
-    c = drift.stats_long(orders(spark, sf_dir), SEN, c=lambda x: F.abs(F.corr(F.col("y"), x)))
+    c = drift.stats_long(orders(spark, sf_dir), SEN, c=lambda x: F.abs(X.corr(F.col("y"), x)))
     pick = lambda side, order: c.orderBy(order, "feature").limit(3).select(F.lit(side).alias("side"), "feature", r("c").alias("abs_corr"))
     return pick("high", F.desc("c")).unionByName(pick("low", F.asc("c")))
 
@@ -286,7 +286,7 @@ def fold_top(spark, sf_dir):
     from panelforge.operators.prefix import melt
 
     long = melt(orders(spark, sf_dir).withColumn("fold", (F.col("id") % 5).cast("int")), ["fold", "y"], SEN)
-    c = long.groupBy("fold", "feature").agg(F.abs(F.corr("y", "value")).alias("c"))
+    c = long.groupBy("fold", "feature").agg(F.abs(X.corr("y", "value")).alias("c"))
     w = W.partitionBy("fold").orderBy(F.desc("c"), "feature")
     return c.withColumn("rn", F.row_number().over(w)).where("rn <= 4").select("fold", "feature")
 
