@@ -9,7 +9,6 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelforge.functions import exprs as X
 from panelforge.operators.prefix import melt, value_counts
 
 
@@ -82,7 +81,7 @@ PAIRWISE_COLUMNS = 40
 
 
 def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(feature_a, feature_b, corr) for a < b; a constant column has NULL correlation.
+    """(feature_a, feature_b, corr) for a < b over complete rows; a constant column has NULL correlation.
 
     Few columns: one aggregate per pair in a single pass.  Many: the Gram matrix of ``ml.stat``, whose size is
     columns squared, whatever the number of rows.
@@ -90,7 +89,9 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     cols = list(cols)
     if len(cols) <= PAIRWISE_COLUMNS:
         pairs = list(combinations(cols, 2))
-        wide = df.agg(*[X.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+        wide = df.agg(
+            *[F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
+        )
         cells = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"r{i}").alias("corr")) for i, (a, b) in enumerate(pairs)]
         return wide.select(F.inline(F.array(*cells)))
     matrix = correlation_matrix(df, cols)

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from panelforge.plans.registry import REGISTRY, Query
 
-MODULES = ("flagship", "windows", "features", "aggregates", "drift_audit")
+MODULES = ("flagship", "windows", "features", "aggregates", "drift_audit", "reports")
 
 
 def load() -> dict[str, Query]:
