@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelforge.operators.prefix import prefix_scan, value_counts
+from panelforge.operators.prefix import melt, prefix_scan, value_counts
 
 
 def tie_ranks(df: DataFrame, group: Sequence[str], value: str, name: str = "avg_rank") -> DataFrame:
@@ -84,3 +84,16 @@ def rank_against_reference(df: DataFrame, reference: DataFrame, value: str, name
         .withColumn(name, F.col("_below") / (size + F.lit(1.0)))
         .drop("_below")
     )
+
+
+def ranks_against_reference(df: DataFrame, reference: DataFrame, cols: Sequence[str], key: str) -> DataFrame:
+    """(key, col...): the same for many columns at once, in long form: one scan and one join whatever their number."""
+    ref = value_counts(melt(reference, [], cols), ["feature"], "value", r=F.count(F.lit(1)))
+    long = melt(df, [key], cols)
+    seen = long.groupBy("feature", "value").agg(F.lit(0).cast("long").alias("r"))
+    both = ref.unionByName(seen).groupBy("feature", "value").agg(F.sum("r").alias("r"))
+    run = prefix_scan(both, ["feature"], ["value"], sums=["r"]).select("feature", "value", (F.col("cum_r") - F.col("r")).alias("below"))
+    sizes = ref.groupBy("feature").agg(F.sum("r").alias("size"))
+    # one row per column of the schema
+    table = run.join(F.broadcast(sizes), "feature").select("feature", "value", (F.col("below") / (F.col("size") + 1.0)).alias("rank"))
+    return long.join(table, ["feature", "value"]).groupBy(key).agg(*[F.max(F.when(F.col("feature") == c, F.col("rank"))).alias(c) for c in cols])
