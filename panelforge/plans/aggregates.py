@@ -9,6 +9,7 @@ from panelforge.functions import exprs as X
 from panelforge.operators import drift, features as FE, panel as P, ranks, splits, tables as TB
 from panelforge.operators.prefix import row_positions
 from panelforge.operators.quantiles import fit_quantiles
+from panelforge.operators.sets import labelled_union, set_overlap
 from panelforge.plans.registry import BLOCKS_SQL, EVENTS_SQL, ORDERS_SQL, PRED_SQL, query, r, sr, with_sql
 from panelforge.sources import panels as S
 
@@ -274,10 +275,6 @@ def u1(spark, sf_dir):
     return labelled_union(ev.where("is_train").drop("is_train"), ev.where("NOT is_train").drop("is_train"))
 
 
-def labelled_union(train, test, label="is_test"):
-    return train.withColumn(label, F.lit(0)).unionByName(test.withColumn(label, F.lit(1)))
-
-
 FOLD_TOP_SQL = "ft AS (SELECT * FROM (SELECT fold, feature, c, row_number() OVER (PARTITION BY fold ORDER BY c DESC, feature) AS rn FROM (SELECT id % 5 AS fold, feature, abs(corr(y, v)) AS c FROM (UNPIVOT (SELECT id, y, " + ", ".join(SEN) + " FROM op) ON " + ", ".join(SEN) + " INTO NAME feature VALUE v) GROUP BY 1, 2)) WHERE rn <= 4)"
 
 
@@ -307,17 +304,7 @@ def u3(spark, sf_dir):
 
 @query("u4_fold_overlap_jaccard", with_sql(ORDERS_SQL, f"SELECT CAST(a.fold AS INTEGER) AS fold_a, CAST(b.fold AS INTEGER) AS fold_b, CAST(count_if(a.feature = b.feature) AS BIGINT) AS common, {sr('count_if(a.feature = b.feature) * 1.0 / (8 - count_if(a.feature = b.feature))')} AS jaccard FROM ft a JOIN ft b ON a.fold < b.fold GROUP BY 1, 2", FOLD_TOP_SQL))
 def u4(spark, sf_dir):
-    return set_overlap(fold_top(spark, sf_dir), "fold", "feature")
-
-
-def set_overlap(members, owner: str, item: str):
-    """(fold_a, fold_b, common, jaccard) for every pair of owners, by joining on the shared item."""
-    sizes = members.groupBy(owner).agg(F.count(F.lit(1)).alias("n"))
-    a, b = members.select(F.col(owner).alias("fold_a"), item), members.select(F.col(owner).alias("fold_b"), item)
-    common = a.join(b, item).where("fold_a < fold_b").groupBy("fold_a", "fold_b").agg(F.count(F.lit(1)).alias("common"))
-    pairs = sizes.select(F.col(owner).alias("fold_a"), F.col("n").alias("na")).join(sizes.select(F.col(owner).alias("fold_b"), F.col("n").alias("nb")), F.col("fold_a") < F.col("fold_b"))
-    both = pairs.join(common, ["fold_a", "fold_b"], "left").fillna(0, ["common"])
-    return both.select("fold_a", "fold_b", "common", r(F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("jaccard"))
+    return set_overlap(fold_top(spark, sf_dir), "fold", "feature").withColumn("jaccard", r("jaccard"))
 
 
 @query("u5_side_overlap", with_sql(EVENTS_SQL, "SELECT (SELECT count(*) FROM (SELECT sid FROM ev WHERE is_train INTERSECT SELECT sid FROM ev WHERE NOT is_train)) AS common_scenarios, max(CASE WHEN is_train THEN id END) AS train_max, min(CASE WHEN NOT is_train THEN id END) AS test_min, max(CASE WHEN is_train THEN id END) < min(CASE WHEN NOT is_train THEN id END) AS in_order FROM ev"))

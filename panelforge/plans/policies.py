@@ -8,7 +8,8 @@ from pyspark.sql import Window as W
 from panelforge.functions import exprs as X
 from panelforge.operators import metrics as M, policies as PO, ranks
 from panelforge.operators.quantiles import fit_quantiles
-from panelforge.plans.aggregates import RANK_SQL, TAIL_SQL, q, set_overlap, tailed
+from panelforge.operators.sets import set_overlap
+from panelforge.plans.aggregates import RANK_SQL, TAIL_SQL, q, tailed
 from panelforge.plans.registry import PRED_SQL, query, r, sr, with_sql
 from panelforge.plans.reports import DC_SQL, E, GAIN, GAIN_SQL, NT, OOF, P, T, Y, preds, sql
 
@@ -189,7 +190,7 @@ def m27(spark, sf_dir):
 def m27b(spark, sf_dir):
     t = tailed(spark, sf_dir).select("id", "sid")
     zone = attack_zone(spark, sf_dir, 100).select("id", "fold")
-    return set_overlap(t.join(zone, "id").select("fold", "sid").distinct(), "fold", "sid")
+    return set_overlap(t.join(zone, "id").select("fold", "sid").distinct(), "fold", "sid").withColumn("jaccard", r("jaccard"))
 
 
 SWITCH = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)

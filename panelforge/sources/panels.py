@@ -106,3 +106,24 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), "label"
     )
+
+
+MODEL_FEATURES = ("n_lines", "qty_sum", "qty_avg", "qty_max", "disc_avg", "tax_avg")
+
+
+def model_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with lines, target = their summed price; sequences are calendar months, ordered by ``day``."""
+    return (
+        order_panel(spark, sf_dir)
+        .where("price_sum IS NOT NULL")
+        .select(
+            "id",
+            (F.year("odate") * 12 + F.month("odate")).alias("sid"),
+            F.datediff("odate", F.lit("1995-01-01")).cast("long").alias("day"),
+            "layout",
+            "ltype",
+            "is_train",
+            F.col("price_sum").alias("y"),
+            *MODEL_FEATURES,
+        )
+    )
