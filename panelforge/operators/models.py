@@ -216,12 +216,13 @@ def noise_columns(n: int, seed: int = 42) -> dict[str, Column]:
 
 
 def ridge_stack(df: DataFrame, cols: Sequence[str], y: str, alpha: float = 1.0):
-    """Ridge on unscaled inputs: Spark's penalty is per row, hence alpha / n."""
-    n = df.count()
-    return Pipeline(stages=[assembler(cols), LinearRegression(labelCol=y, regParam=alpha / n, elasticNetParam=0.0, standardization=False)]).fit(df)
+    """Ridge on unscaled inputs.  Spark's penalty is per row and divided by the label's std, hence alpha * std / n."""
+    s = df.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp(y).alias("sd")).first()
+    line = LinearRegression(labelCol=y, regParam=alpha * s.sd / s.n, elasticNetParam=0.0, standardization=False)
+    return Pipeline(stages=[assembler(cols), line]).fit(df)
 
 
-def isotonic(df: DataFrame, p: str, label: str) -> "object":
+def isotonic(df: DataFrame, p: str, label: str):
     """Monotone map from probability to observed rate; values outside the fitted range take its end values."""
     return IsotonicRegression(featuresCol=p, labelCol="_l", predictionCol="p_cal").fit(df.withColumn("_l", F.col(label).cast("double")))
 

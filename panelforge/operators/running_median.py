@@ -54,7 +54,7 @@ def running_median(df: DataFrame, sid: str, pos: str, col: str, name: str, past:
     feed = own.unionByName(halo).join(below, [sid, "_seg"], "left")
     schema = f"{sid} {df.schema[sid].dataType.simpleString()}, _p bigint, {name} double"
 
-    def walk(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         near = sorted(pdf.loc[pdf["_p"] < 0, "_v"].tolist())
         mine = pdf[pdf["_p"] >= 0].sort_values("_p")
         below_n, total = int(pdf["_below"].iloc[0]), int(pdf["_total"].iloc[0])

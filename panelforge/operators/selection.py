@@ -10,19 +10,21 @@ from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec, functions as F
 from pyspark.sql import Window as W
 
 from panelforge.functions import exprs as X, names as N
 from panelforge.operators.prefix import melt
 
-EVERYTHING = W.partitionBy(F.lit(0))
+def everything() -> WindowSpec:
+    """All rows of a metadata table as one window."""
+    return W.partitionBy(F.lit(0))
 
 
 def gap_threshold(ratios: DataFrame, fallback: float = 0.50) -> DataFrame:
     """Cut-off on a (feature, ratio) table: the largest jump between sorted ratios, if it exceeds mean + 2 std of the
     jumps and lies above the median; else ``fallback``."""
-    ordered = EVERYTHING.orderBy("ratio", "feature")
+    ordered = everything().orderBy("ratio", "feature")
     jumps = ratios.withColumn("jump", F.col("ratio") - F.lag("ratio").over(ordered))
     s = jumps.agg(
         F.max("jump").alias("largest"),
@@ -195,7 +197,7 @@ def gate(log: DataFrame, inter_mult: float = 1.0, inter_floor: float = 1.0) -> D
     f, delta = F.col("feature"), F.col("perm_delta")
     real, noise = ~F.col("is_noise"), F.col("is_noise")
     def over_all(c: Column) -> Column:
-        return c.over(EVERYTHING)
+        return c.over(everything())
 
     noise_gain, noise_perm = over_all(F.max(F.when(noise, F.col("gain")))), over_all(F.max(F.when(noise, delta)))
     gain_p20 = over_all(F.percentile(F.when(real, F.col("gain")), F.lit(0.2)))
@@ -237,8 +239,8 @@ def rank_score(survivors: DataFrame) -> DataFrame:
     """gain rank + permutation rank + 3 x stability rank, each a tie-averaged share of the survivors."""
 
     def pct(order: Column, tie: str) -> Column:
-        n = F.count(F.lit(1)).over(EVERYTHING)
-        return (F.rank().over(EVERYTHING.orderBy(order)) + (F.count(F.lit(1)).over(W.partitionBy(tie)) - 1) / 2.0) / n
+        n = F.count(F.lit(1)).over(everything())
+        return (F.rank().over(everything().orderBy(order)) + (F.count(F.lit(1)).over(W.partitionBy(tie)) - 1) / 2.0) / n
 
     score = pct(F.asc("gain"), "gain") + pct(F.asc("perm_delta"), "perm_delta") + 3.0 * pct(F.desc("ks_stat"), "ks_stat")
     return survivors.withColumn("score", score)

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from panelforge.plans.registry import REGISTRY, Query
 
-MODULES = ("flagship", "windows", "features", "aggregates", "drift_audit", "reports", "policies", "selection", "latent", "modelling")
+MODULES = ("flagship", "windows", "features", "aggregates", "drift_audit", "reports", "policies", "selection", "latent", "modelling", "storage")
 
 
 def load() -> dict[str, Query]:

@@ -11,7 +11,7 @@ from panelforge.operators.quantiles import fit_quantiles
 from panelforge.operators.sets import set_overlap
 from panelforge.plans.aggregates import RANK_SQL, TAIL_SQL, q, tailed
 from panelforge.plans.registry import PRED_SQL, query, r, sr, with_sql
-from panelforge.plans.reports import DC_SQL, E, GAIN, GAIN_SQL, NT, OOF, P, T, Y, preds, sql
+from panelforge.plans.reports import DC_SQL, c_err, c_gain, GAIN_SQL, c_nt, c_oof, c_p, c_t, c_y, preds, sql
 
 
 @query("m4_oof_assembly", with_sql(PRED_SQL, f"SELECT id, {sr('g0')} AS gap, {sr('wt')} AS weight, {sr('wt * t + (1 - wt) * nt', 3)} AS blended, nt AS base FROM (SELECT *, w0 * least(greatest(1.0 - least(greatest((g0 - 3.0) / 3.0, 0.0), 2.0) * least(greatest((0.7 - p) / 0.7, 0.0), 1.0) * 0.5, 0.5), 1.0) AS wt FROM pr1)"))
@@ -59,16 +59,16 @@ CONFIGS = [
 def search_results(spark, sf_dir):
     """(config parameters, mae, mean, p99, std, score) of every configuration, from one pass plus one quantile pass."""
     pp = preds(spark, sf_dir)
-    stats = fit_quantiles(pp, {"p": (P, [0.5]), "y": (Y, [0.99])})
+    stats = fit_quantiles(pp, {"p": (c_p(), [0.5]), "y": (c_y(), [0.99])})
     base_th, y99 = stats["p"][0], stats["y"][0]
     m = pp.agg(F.stddev_pop("p").alias("s"), F.avg("y").alias("m")).first()
     test, oof = F.col("oof").isNull(), F.col("oof").isNotNull()
     made = []
     for c in CONFIGS:
         theta, temp = base_th * c["th_scale"], (m.s + 1e-6) * c["temp_scale"]
-        made.append((PO.regime_blend(P, T, NT, theta, temp, c["cat_weight"]), PO.regime_blend(P, T, NT, theta, temp, c["cat_weight"], c["ext_penalty"])))
+        made.append((PO.regime_blend(c_p(), c_t(), c_nt(), theta, temp, c["cat_weight"]), PO.regime_blend(c_p(), c_t(), c_nt(), theta, temp, c["cat_weight"], c["ext_penalty"])))
     p99 = fit_quantiles(pp.where(test), {f"c{i}": (b, [0.99]) for i, (_, b) in enumerate(made)})
-    wide = pp.agg(*[x for i, (a, b) in enumerate(made) for x in (F.avg(F.when(oof, F.abs(a - Y))).alias(f"a{i}"), F.avg(F.when(test, b)).alias(f"m{i}"), F.stddev_pop(F.when(test, b)).alias(f"s{i}"))])
+    wide = pp.agg(*[x for i, (a, b) in enumerate(made) for x in (F.avg(F.when(oof, F.abs(a - c_y()))).alias(f"a{i}"), F.avg(F.when(test, b)).alias(f"m{i}"), F.stddev_pop(F.when(test, b)).alias(f"s{i}"))])
     cells = [
         F.struct(F.lit(i).alias("config"), *[F.lit(v).alias(k) for k, v in c.items()], F.col(f"a{i}").alias("mae"), F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std"), F.lit(p99[f"c{i}"][0]).alias("p99"))
         for i, c in enumerate(CONFIGS)
@@ -103,14 +103,14 @@ POWERS = (1, 1.5, 2, 3, 5, 7, 10)
 
 @query("m17_damping_power_sweep", with_sql(PRED_SQL, " UNION ALL ".join(f"SELECT {n}::DOUBLE AS power, {sr(f'avg(abs(y - (pow(p, {n}) * t + (1 - pow(p, {n})) * nt)))', 3)} AS mae, {sr(f'avg(abs(y - nt)) - avg(abs(y - (pow(p, {n}) * t + (1 - pow(p, {n})) * nt)))', 3)} AS improvement FROM pp" for n in POWERS)))
 def m17(spark, sf_dir):
-    m = M.policy_table(preds(spark, sf_dir), {str(float(n)): PO.damped(P, T, NT, n) for n in POWERS}, mae=lambda c: F.avg(F.abs(Y - c)), base=lambda c: F.avg(F.abs(Y - NT)))
+    m = M.policy_table(preds(spark, sf_dir), {str(float(n)): PO.damped(c_p(), c_t(), c_nt(), n) for n in POWERS}, mae=lambda c: F.avg(F.abs(c_y() - c)), base=lambda c: F.avg(F.abs(c_y() - c_nt())))
     return m.select(F.col("method").cast("double").alias("power"), r("mae", 3).alias("mae"), r(F.col("base") - F.col("mae"), 3).alias("improvement"))
 
 
 @query("a13_threshold_power_pivot", with_sql(PRED_SQL, " UNION ALL ".join(f"SELECT {t}::DOUBLE AS threshold, " + ", ".join(f"{sr(f'avg(abs(y - CASE WHEN p >= {t} THEN pow(p, {n}) * t + (1 - pow(p, {n})) * nt ELSE nt END))', 3)} AS power_{n}" for n in (1, 2, 5)) + " FROM pp" for t in (0.1, 0.2, 0.3, 0.5))))
 def a13(spark, sf_dir):
-    grid = {f"{t}|{n}": PO.damped(P, T, NT, n, t) for t in (0.1, 0.2, 0.3, 0.5) for n in (1, 2, 5)}
-    long = M.policy_table(preds(spark, sf_dir), grid, mae=lambda c: F.avg(F.abs(Y - c)))
+    grid = {f"{t}|{n}": PO.damped(c_p(), c_t(), c_nt(), n, t) for t in (0.1, 0.2, 0.3, 0.5) for n in (1, 2, 5)}
+    long = M.policy_table(preds(spark, sf_dir), grid, mae=lambda c: F.avg(F.abs(c_y() - c)))
     parts = F.split("method", r"\|")
     cells = long.select(parts[0].cast("double").alias("threshold"), parts[1].alias("power"), "mae")
     pivot = cells.groupBy("threshold").pivot("power", ["1", "2", "5"]).agg(F.first("mae"))
@@ -129,20 +129,20 @@ POLICY_SQL = {
     "dx AS (SELECT *, (rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0) / count(*) OVER () AS ra, avg(p) OVER () AS pm, stddev_pop(p) OVER () AS ps FROM dc)"))
 def m18(spark, sf_dir):
     t = ranks.percent_rank_ties(tailed(spark, sf_dir), [], "p", "ra")
-    md = q(t.where("NOT tail").select(F.abs(Y - NT).alias("e")), "e", 0.95)[0]
+    md = q(t.where("NOT tail").select(F.abs(c_y() - c_nt()).alias("e")), "e", 0.95)[0]
     m = t.agg(F.avg("p").alias("m"), F.stddev_pop("p").alias("s")).first()
-    pols = PO.blend_policies(P, F.col("ra"), T, NT, m.m, m.s, md)
+    pols = PO.blend_policies(c_p(), F.col("ra"), c_t(), c_nt(), m.m, m.s, md)
     tail = F.col("tail")
     out = M.policy_table(
-        t, pols, mae=lambda c: F.avg(F.abs(Y - c)), fp_rate=lambda c: F.avg((~tail & (c > NT)).cast("double")), fn_rate=lambda c: F.avg((tail & (c <= NT)).cast("double")),
-        fp_cost=lambda c: F.coalesce(F.sum(F.when(~tail & (c > NT), F.abs(c - Y))), F.lit(0.0)) / (F.count_if(~tail & (c > NT)) + 1e-9),
+        t, pols, mae=lambda c: F.avg(F.abs(c_y() - c)), fp_rate=lambda c: F.avg((~tail & (c > c_nt())).cast("double")), fn_rate=lambda c: F.avg((tail & (c <= c_nt())).cast("double")),
+        fp_cost=lambda c: F.coalesce(F.sum(F.when(~tail & (c > c_nt()), F.abs(c - c_y()))), F.lit(0.0)) / (F.count_if(~tail & (c > c_nt())) + 1e-9),
     )
     return out.select("method", r("mae", 3).alias("mae"), r("fp_rate").alias("fp_rate"), r("fn_rate").alias("fn_rate"), r("fp_cost", 2).alias("fp_cost"))
 
 
 @query("m19_gain_labels", sql("SELECT id, gain > 0 AS tail_is_better, " + sr("gain", 3) + " AS gain FROM gn", GAIN_SQL))
 def m19(spark, sf_dir):
-    return preds(spark, sf_dir).select("id", (GAIN > 0).alias("tail_is_better"), r(GAIN, 3).alias("gain"))
+    return preds(spark, sf_dir).select("id", (c_gain() > 0).alias("tail_is_better"), r(c_gain(), 3).alias("gain"))
 
 
 ORACLE = {"no_tail": "nt", "full_tail": "t", "oracle": "CASE WHEN abs(y - nt) > abs(y - t) THEN t ELSE nt END", "label_oracle": "CASE WHEN tail THEN t ELSE nt END", "p_over_half": "CASE WHEN p > 0.5 THEN t ELSE nt END"}
@@ -154,8 +154,8 @@ def m20(spark, sf_dir):
     from panelforge.plans.aggregates import ranked
 
     pols = {n: F.expr(e) for n, e in ORACLE.items()}
-    pols |= {f"partial_{k}": F.when(F.when(F.col("rp") <= k, F.col("tail")).otherwise(P >= 0.3), T).otherwise(NT) for k in PARTIAL}
-    return M.policy_table(ranked(spark, sf_dir), pols, mae=lambda c: F.avg(F.abs(Y - c))).select("method", r("mae", 3).alias("mae"))
+    pols |= {f"partial_{k}": F.when(F.when(F.col("rp") <= k, F.col("tail")).otherwise(c_p() >= 0.3), c_t()).otherwise(c_nt()) for k in PARTIAL}
+    return M.policy_table(ranked(spark, sf_dir), pols, mae=lambda c: F.avg(F.abs(c_y() - c))).select("method", r("mae", 3).alias("mae"))
 
 
 SHARES = (0.0, 0.05, 0.10, 0.20, 0.50)
@@ -163,8 +163,8 @@ SHARES = (0.0, 0.05, 0.10, 0.20, 0.50)
 
 @query("m22_fp_injection_sweep", sql(" UNION ALL ".join(f"SELECT {s}::DOUBLE AS fp_ratio, {sr(f'avg(abs(y - CASE WHEN tail OR (id * 37) % 101 < {s} * 101 THEN t ELSE nt END))', 3)} AS mae FROM tl" for s in SHARES)))
 def m22(spark, sf_dir):
-    pols = {str(s): F.when(F.col("tail") | ((F.col("id") * 37) % 101 < s * 101), T).otherwise(NT) for s in SHARES}
-    m = M.policy_table(tailed(spark, sf_dir), pols, mae=lambda c: F.avg(F.abs(Y - c)))
+    pols = {str(s): F.when(F.col("tail") | ((F.col("id") * 37) % 101 < s * 101), c_t()).otherwise(c_nt()) for s in SHARES}
+    m = M.policy_table(tailed(spark, sf_dir), pols, mae=lambda c: F.avg(F.abs(c_y() - c)))
     return m.select(F.col("method").cast("double").alias("fp_ratio"), r("mae", 3).alias("mae"))
 
 
@@ -173,7 +173,7 @@ EV_SQL = "ez AS (SELECT *, CASE WHEN tail THEN abs(y - nt) - abs(y - t) ELSE 0 E
 
 def attack_zone(spark, sf_dir, size: int):
     t = tailed(spark, sf_dir)
-    parts = PO.expected_value(F.col("tail"), Y, P, T, NT)
+    parts = PO.expected_value(F.col("tail"), c_y(), c_p(), c_t(), c_nt())
     t = t.select("id", "fold", "tail", "y", "p", *[c.alias(n) for n, c in parts.items()]).withColumn("ev", F.round("ev", 6))
     w = W.partitionBy("fold").orderBy(F.desc("ev"), "id")  # the rank limit runs map-side before the shuffle
     return t.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= size)
@@ -200,7 +200,7 @@ SWITCH = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)
 def m35(spark, sf_dir):
     tail = F.col("tail")
     m = M.policy_table(
-        tailed(spark, sf_dir), {str(s): P >= s for s in SWITCH}, mae=lambda c: F.avg(F.abs(Y - F.when(c, T).otherwise(NT))), precision=lambda c: F.coalesce(F.try_divide(F.count_if(tail & c), F.count_if(c)), F.lit(0.0)), recall=lambda c: F.try_divide(F.count_if(tail & c), F.count_if(tail))
+        tailed(spark, sf_dir), {str(s): c_p() >= s for s in SWITCH}, mae=lambda c: F.avg(F.abs(c_y() - F.when(c, c_t()).otherwise(c_nt()))), precision=lambda c: F.coalesce(F.try_divide(F.count_if(tail & c), F.count_if(c)), F.lit(0.0)), recall=lambda c: F.try_divide(F.count_if(tail & c), F.count_if(tail))
     )
     return m.select(F.col("method").cast("double").alias("threshold"), r("mae", 3).alias("mae"), r("precision").alias("precision"), r("recall").alias("recall"))
 
@@ -218,9 +218,9 @@ def grid_results(spark, sf_dir):
     """(power, cut, scale, std_ratio, p99_ratio, q99_mae) of every grid point, in one aggregate and one quantile pass."""
     pp = preds(spark, sf_dir)
     y99 = q(pp, "y", 0.99)[0]
-    made = {f"{a}|{b}|{c}": F.lit(float(c)) * PO.damped(P, T, NT, a, b) for a, b, c in GRID}
+    made = {f"{a}|{b}|{c}": F.lit(float(c)) * PO.damped(c_p(), c_t(), c_nt(), a, b) for a, b, c in GRID}
     p99 = fit_quantiles(pp, {f"c{i}": (e, [0.99]) for i, e in enumerate(made.values())})
-    m = M.policy_table(pp, made, s=F.stddev_pop, ys=lambda c: F.stddev_pop("y"), q=lambda c: F.avg(F.when(Y >= y99, F.abs(Y - c))))
+    m = M.policy_table(pp, made, s=F.stddev_pop, ys=lambda c: F.stddev_pop("y"), q=lambda c: F.avg(F.when(c_y() >= y99, F.abs(c_y() - c))))
     lookup = F.create_map(*[x for i, n in enumerate(made) for x in (F.lit(n), F.lit(p99[f"c{i}"][0]))])
     part = F.split("method", r"\|")
     return m.select(*[part[i].cast("double").alias(n) for i, n in enumerate(("power", "cut", "scale"))], (F.col("s") / (F.col("ys") + 1e-9)).alias("std_ratio"), (lookup[F.col("method")] / (y99 + 1e-9)).alias("p99_ratio"), F.col("q").alias("q99_mae"))

@@ -16,7 +16,41 @@ from panelforge.sources import panels as S
 
 V_SQL = "vp AS (SELECT *, abs(y - oof) AS e, abs(y - nt) AS b FROM tl WHERE oof IS NOT NULL)"
 PV = (TAIL_SQL, V_SQL)
-E, Y, OOF, NT, T, P, WT = (F.abs(F.col("y") - F.col("oof")), *[F.col(c) for c in ("y", "oof", "nt", "t", "p", "w")])
+
+
+def c_y():
+    return F.col("y")
+
+
+def c_oof():
+    return F.col("oof")
+
+
+def c_nt():
+    return F.col("nt")
+
+
+def c_t():
+    return F.col("t")
+
+
+def c_p():
+    return F.col("p")
+
+
+def c_w():
+    return F.col("w")
+
+
+def c_err():
+    return F.abs(c_y() - c_oof())
+
+
+def c_gain():
+    """What taking the tail model instead of the bulk one saves on a row."""
+    return F.abs(c_y() - c_nt()) - F.abs(c_y() - c_t())
+
+
 
 
 def preds(spark, sf_dir):
@@ -69,9 +103,9 @@ def r2(spark, sf_dir):
 @query("r3_distribution_auditor", sql(f"SELECT {sr('stddev_pop(oof) / (stddev_pop(y) + 1e-9)')} AS std_ratio, {sr('any_value(o99 / (y99 + 1e-9))')} AS p99_ratio, {sr('avg(e) FILTER (y > y99)', 3)} AS q99_mae FROM vp, qy", Q_SQL))
 def r3(spark, sf_dir):
     v = preds(spark, sf_dir).where("oof IS NOT NULL")
-    got = fit_quantiles(v, {"y": (Y, [0.99]), "o": (OOF, [0.99])})
+    got = fit_quantiles(v, {"y": (c_y(), [0.99]), "o": (c_oof(), [0.99])})
     y99, o99 = got["y"][0], got["o"][0]
-    return v.agg(r(F.stddev_pop("oof") / (F.stddev_pop("y") + 1e-9)).alias("std_ratio"), r(F.avg(F.when(Y > y99, E)), 3).alias("q99_mae")).withColumn("p99_ratio", r(F.lit(o99 / (y99 + 1e-9))))
+    return v.agg(r(F.stddev_pop("oof") / (F.stddev_pop("y") + 1e-9)).alias("std_ratio"), r(F.avg(F.when(c_y() > y99, c_err())), 3).alias("q99_mae")).withColumn("p99_ratio", r(F.lit(o99 / (y99 + 1e-9))))
 
 
 RISKS = ("divergence", "adversarial", "distribution", "tail", "total")
@@ -152,13 +186,13 @@ def r10(spark, sf_dir):
 
 
 def calibration(df):
-    return df.groupBy(X.right_closed_bin(P, TENTHS).alias("bin")).agg(F.avg(F.col("tail").cast("double")).alias("prob_true"), F.avg("p").alias("prob_pred"), F.count(F.lit(1)).alias("n"))
+    return df.groupBy(X.right_closed_bin(c_p(), TENTHS).alias("bin")).agg(F.avg(F.col("tail").cast("double")).alias("prob_true"), F.avg("p").alias("prob_pred"), F.count(F.lit(1)).alias("n"))
 
 
 @query("r10_brier_ece", sql(f"SELECT {sr('sum(abs(t - c) * n) / sum(n)')} AS ece, (SELECT {sr('avg((p - tail::INT) * (p - tail::INT))')} FROM tl) AS brier FROM (SELECT {CAL_BIN} AS bin, avg(tail::INT) AS t, avg(p) AS c, count(*) AS n FROM tl GROUP BY 1)"))
 def r10b(spark, sf_dir):
     t = tailed(spark, sf_dir)
-    d = P - F.col("tail").cast("double")
+    d = c_p() - F.col("tail").cast("double")
     brier = t.agg(F.avg(d * d).alias("b")).scalar()
     gap = F.abs(F.col("prob_true") - F.col("prob_pred")) * F.col("n")
     return calibration(t).agg(r(F.sum(gap) / F.sum("n")).alias("ece")).withColumn("brier", r(brier))
@@ -166,7 +200,7 @@ def r10b(spark, sf_dir):
 
 @query("r11_precision_recall_at_threshold", sql(" UNION ALL ".join(f"SELECT {t}::DOUBLE AS threshold, CAST(count_if(p > {t}) AS BIGINT) AS n, {sr(f'count_if(tail AND p > {t}) * 1.0 / count_if(p > {t})')} AS precision, {sr(f'count_if(tail AND p > {t}) * 1.0 / count_if(tail)')} AS recall FROM tl" for t in (0.5, 0.7, 0.8, 0.9))))
 def r11(spark, sf_dir):
-    pols = {str(t): P > t for t in (0.5, 0.7, 0.8, 0.9)}
+    pols = {str(t): c_p() > t for t in (0.5, 0.7, 0.8, 0.9)}
     tail = F.col("tail")
     m = M.policy_table(tailed(spark, sf_dir), pols, n=F.count_if, precision=lambda c: F.try_divide(F.count_if(tail & c), F.count_if(c)), recall=lambda c: F.try_divide(F.count_if(tail & c), F.count_if(tail)))
     return m.select(F.col("method").cast("double").alias("threshold"), "n", r("precision").alias("precision"), r("recall").alias("recall"))
@@ -177,22 +211,22 @@ GATES = {"top_5": "rp <= 0.05", "hybrid": "rp <= 0.10 AND t > nt * 1.5"}
 
 @query("r12_gate_damage_gain", with_sql(PRED_SQL, " UNION ALL ".join(f"SELECT '{n}' AS method, {sr(f'sum(greatest(0.0, abs(CASE WHEN {g} THEN t ELSE nt END - y) - abs(nt - y)))', 1)} AS fp_damage, {sr(f'sum(greatest(0.0, abs(nt - y) - abs(CASE WHEN {g} THEN t ELSE nt END - y)))', 1)} AS gain, {sr(f'avg(abs(CASE WHEN {g} THEN t ELSE nt END - y)) FILTER (tail)', 3)} AS tail_mae FROM rk" for n, g in GATES.items()), TAIL_SQL, RANK_SQL))
 def r12(spark, sf_dir):
-    b = F.abs(NT - Y)
-    pols = {n: F.abs(F.when(F.expr(g), T).otherwise(NT) - Y) for n, g in GATES.items()}
+    b = F.abs(c_nt() - c_y())
+    pols = {n: F.abs(F.when(F.expr(g), c_t()).otherwise(c_nt()) - c_y()) for n, g in GATES.items()}
     m = M.policy_table(ranked(spark, sf_dir), pols, fp_damage=lambda e: F.sum(F.greatest(F.lit(0.0), e - b)), gain=lambda e: F.sum(F.greatest(F.lit(0.0), b - e)), tail_mae=lambda e: F.avg(F.when(F.col("tail"), e)))
     return m.select("method", r("fp_damage", 1).alias("fp_damage"), r("gain", 1).alias("gain"), r("tail_mae", 3).alias("tail_mae"))
 
 
 @query("r13_fp_fn_cost", sql(f"SELECT {sr('fp', 3)} AS fp_cost, {sr('fn', 3)} AS fn_cost, {sr('fp / fn', 5)} AS cost_ratio FROM (SELECT avg(abs(y - t) - abs(y - nt)) FILTER (NOT tail) AS fp, avg(abs(y - nt) - abs(y - t)) FILTER (tail) AS fn FROM tl)"))
 def r13(spark, sf_dir):
-    g = F.abs(Y - T) - F.abs(Y - NT)
+    g = F.abs(c_y() - c_t()) - F.abs(c_y() - c_nt())
     m = tailed(spark, sf_dir).agg(F.avg(F.when(~F.col("tail"), g)).alias("fp"), F.avg(F.when(F.col("tail"), -g)).alias("fn"))
     return m.select(r("fp", 3).alias("fp_cost"), r("fn", 3).alias("fn_cost"), r(F.try_divide("fp", "fn"), 5).alias("cost_ratio"))
 
 
 @query("r14_delay_segments", sql(f"SELECT CASE WHEN y < 100000 THEN 'low' WHEN y <= 300000 THEN 'mid' ELSE 'high' END AS segment, {sr('avg(e)', 3)} AS mae, CAST(count(*) AS BIGINT) AS n FROM vp GROUP BY 1"))
 def r14(spark, sf_dir):
-    seg = F.when(Y < 100000, "low").when(Y <= 300000, "mid").otherwise("high")
+    seg = F.when(c_y() < 100000, "low").when(c_y() <= 300000, "mid").otherwise("high")
     return M.segment_report(preds(spark, sf_dir), seg).select("segment", r("mae", 3).alias("mae"), "n")
 
 
@@ -200,7 +234,7 @@ def r14(spark, sf_dir):
 def r15(spark, sf_dir):
     v = preds(spark, sf_dir).where("oof IS NOT NULL")
     a, b, c = q(v, "y", 0.5, 0.9, 0.99)
-    seg = F.when(Y <= a, "bottom_50").when(Y <= b, "50_90").when(Y <= c, "90_99").otherwise("top_1")
+    seg = F.when(c_y() <= a, "bottom_50").when(c_y() <= b, "50_90").when(c_y() <= c, "90_99").otherwise("top_1")
     return M.segment_report(v, seg).select("segment", r("mae", 3).alias("mae"), r("bias", 3).alias("bias"), "n")
 
 
@@ -211,9 +245,9 @@ ZB = "(SELECT quantile_cont(y, 0.85) AS y85, quantile_cont(y, 0.95) AS y95 FROM
 def r16(spark, sf_dir):
     t = tailed(spark, sf_dir)
     a, b = q(t, "y", 0.85, 0.95)
-    er = F.abs(Y - F.when(P >= 0.3, T).otherwise(NT))
-    zone = F.when(Y < a, "base").when(Y < b, "boundary").otherwise("tail")
-    per = t.groupBy(zone.alias("zone")).agg(F.count(F.lit(1)).alias("n"), F.avg(er).alias("mae"), F.sum(er).alias("s"), F.avg(((P >= 0.3) != F.col("tail")).cast("double")).alias("ce"))
+    er = F.abs(c_y() - F.when(c_p() >= 0.3, c_t()).otherwise(c_nt()))
+    zone = F.when(c_y() < a, "base").when(c_y() < b, "boundary").otherwise("tail")
+    per = t.groupBy(zone.alias("zone")).agg(F.count(F.lit(1)).alias("n"), F.avg(er).alias("mae"), F.sum(er).alias("s"), F.avg(((c_p() >= 0.3) != F.col("tail")).cast("double")).alias("ce"))
     share = F.col("s") / F.sum("s").over(W.partitionBy(F.lit(0))) * 100  # three rows
     return per.select("zone", "n", r("mae", 3).alias("mae"), r(share, 5).alias("contribution_pct"), r("ce").alias("class_error"))
 
@@ -235,21 +269,20 @@ def r18b(spark, sf_dir):
     return a.agg(r(F.max("auc")).alias("best"), r(F.min("auc")).alias("worst"), r(F.var_pop("auc")).alias("variance"))
 
 
-GAIN = F.abs(Y - NT) - F.abs(Y - T)
 GAIN_SQL = "gn AS (SELECT *, abs(y - nt) - abs(y - t) AS gain FROM tl)"
 
 
 @query("r19_gain_distribution", sql(f"SELECT {sr('avg((gain > 0)::INT)')} AS positive_share, {sr('avg(gain)', 3)} AS mean_gain, {sr('max(gain)', 3)} AS max_gain, {sr('min(gain)', 3)} AS min_gain, {sr('quantile_cont(gain, 0.95)', 3)} AS p95_gain, {sr('quantile_cont(gain, 0.99)', 3)} AS p99_gain, {sr('corr(p, gain)')} AS corr_p_gain, {sr('corr(p, abs(gain))')} AS corr_p_abs_gain FROM gn", GAIN_SQL))
 def r19(spark, sf_dir):
-    g = preds(spark, sf_dir).withColumn("gain", GAIN)
+    g = preds(spark, sf_dir).withColumn("gain", c_gain())
     p95, p99 = q(g, "gain", 0.95, 0.99)
-    m = g.agg(r(F.avg((F.col("gain") > 0).cast("double"))).alias("positive_share"), r(F.avg("gain"), 3).alias("mean_gain"), r(F.max("gain"), 3).alias("max_gain"), r(F.min("gain"), 3).alias("min_gain"), r(X.corr("p", "gain")).alias("corr_p_gain"), r(X.corr(P, F.abs("gain"))).alias("corr_p_abs_gain"))
+    m = g.agg(r(F.avg((F.col("gain") > 0).cast("double"))).alias("positive_share"), r(F.avg("gain"), 3).alias("mean_gain"), r(F.max("gain"), 3).alias("max_gain"), r(F.min("gain"), 3).alias("min_gain"), r(X.corr("p", "gain")).alias("corr_p_gain"), r(X.corr(c_p(), F.abs("gain"))).alias("corr_p_abs_gain"))
     return m.select("*", r(F.lit(p95), 3).alias("p95_gain"), r(F.lit(p99), 3).alias("p99_gain"))
 
 
 @query("r19_gain_by_p_bin", sql(f"SELECT CAST(least(floor(p * 5), 4) AS INTEGER) AS p_bin, {sr('avg(gain)', 3)} AS mean_gain, CAST(count(*) AS BIGINT) AS n FROM gn GROUP BY 1", GAIN_SQL))
 def r19b(spark, sf_dir):
-    return preds(spark, sf_dir).groupBy(F.least(F.floor(P * 5), F.lit(4)).cast("int").alias("p_bin")).agg(r(F.avg(GAIN), 3).alias("mean_gain"), F.count(F.lit(1)).alias("n"))
+    return preds(spark, sf_dir).groupBy(F.least(F.floor(c_p() * 5), F.lit(4)).cast("int").alias("p_bin")).agg(r(F.avg(c_gain()), 3).alias("mean_gain"), F.count(F.lit(1)).alias("n"))
 
 
 CASES = {"A": "p > 0.65", "B": "t > nt * 2.0 AND p > 0.4", "OR": "p > 0.65 OR (t > nt * 2.0 AND p > 0.4)"}
@@ -259,7 +292,7 @@ CASES = {"A": "p > 0.65", "B": "t > nt * 2.0 AND p > 0.4", "OR": "p > 0.65 OR (t
 def r20(spark, sf_dir):
     tail = F.col("tail")
     m = M.policy_table(
-        tailed(spark, sf_dir), {n: F.expr(c) for n, c in CASES.items()}, n_pass=F.count_if, n_tp=lambda c: F.count_if(tail & c), n_fp=lambda c: F.count_if(~tail & c), precision=lambda c: F.count_if(tail & c) / (F.count_if(c) + 1e-9), mean_weight=lambda c: F.avg(F.when(c, WT))
+        tailed(spark, sf_dir), {n: F.expr(c) for n, c in CASES.items()}, n_pass=F.count_if, n_tp=lambda c: F.count_if(tail & c), n_fp=lambda c: F.count_if(~tail & c), precision=lambda c: F.count_if(tail & c) / (F.count_if(c) + 1e-9), mean_weight=lambda c: F.avg(F.when(c, c_w()))
     )
     return m.select("method", "n_pass", "n_tp", "n_fp", r("precision").alias("precision"), r("mean_weight").alias("mean_weight"))
 
@@ -267,7 +300,7 @@ def r20(spark, sf_dir):
 @query("r21_controller_stats", sql(f"SELECT {sr('avg((d < 0.99)::INT) * 100', 4)} AS activation_pct, {sr('coalesce(avg(d) FILTER (d < 0.99), 1.0)')} AS mean_damping, {sr('avg((gap > 3.0)::INT) * 100', 4)} AS high_risk_pct, {sr('avg(gap)')} AS mean_gap FROM (SELECT gap, w / (1.0 / (1.0 + exp(-8.0 * (p - 0.55))) + 1e-9) AS d FROM tl)"))
 def r21(spark, sf_dir):
     d = F.col("d")
-    s = preds(spark, sf_dir).select("gap", (WT / (X.sigmoid_gate(P) + 1e-9)).alias("d"))
+    s = preds(spark, sf_dir).select("gap", (c_w() / (X.sigmoid_gate(c_p()) + 1e-9)).alias("d"))
     return s.agg(r(F.avg((d < 0.99).cast("double")) * 100, 4).alias("activation_pct"), r(F.coalesce(F.avg(F.when(d < 0.99, d)), F.lit(1.0))).alias("mean_damping"), r(F.avg((F.col("gap") > 3.0).cast("double")) * 100, 4).alias("high_risk_pct"), r(F.avg("gap")).alias("mean_gap"))
 
 
@@ -277,9 +310,9 @@ def r22(spark, sf_dir):
     t = tailed(spark, sf_dir)
     q90 = q(t, "y", 0.9)[0]
     rows = t.select("id", "y", "tail", "w").join(S.order_panel(spark, sf_dir).select("id", "qty_sum"), "id")
-    fp = ~F.col("tail") & (WT > 0.3)
-    deep = fp & (Y < 0.3 * q90)
-    return rows.agg(F.count_if(fp).alias("n_fp"), F.count_if(deep).alias("n_deep"), F.count_if(fp & (Y >= 0.7 * q90)).alias("n_boundary"), r(F.avg(F.when(deep, F.col("qty_sum")))).alias("deep_qty"), r(F.avg(F.when(F.col("tail") & (WT > 0.3), F.col("qty_sum")))).alias("tp_qty"))
+    fp = ~F.col("tail") & (c_w() > 0.3)
+    deep = fp & (c_y() < 0.3 * q90)
+    return rows.agg(F.count_if(fp).alias("n_fp"), F.count_if(deep).alias("n_deep"), F.count_if(fp & (c_y() >= 0.7 * q90)).alias("n_boundary"), r(F.avg(F.when(deep, F.col("qty_sum")))).alias("deep_qty"), r(F.avg(F.when(F.col("tail") & (c_w() > 0.3), F.col("qty_sum")))).alias("tp_qty"))
 
 
 RUN_SQL = "rn AS (SELECT CAST(id % 25 AS INTEGER) AS run, avg(e) FILTER (fold < 2) AS proxy, avg(e) FILTER (fold >= 2) AS lb, avg(abs(y - nt)) AS oo FROM vp GROUP BY 1)"
@@ -288,7 +321,7 @@ RUN_SQL = "rn AS (SELECT CAST(id % 25 AS INTEGER) AS run, avg(e) FILTER (fold <
 def runs(spark, sf_dir):
     """25 runs, each with a proxy, a leaderboard and an out-of-fold error."""
     v = preds(spark, sf_dir).where("oof IS NOT NULL")
-    return v.groupBy((F.col("id") % 25).cast("int").alias("run")).agg(F.avg(F.when(F.col("fold") < 2, E)).alias("proxy"), F.avg(F.when(F.col("fold") >= 2, E)).alias("lb"), F.avg(F.abs(Y - NT)).alias("oo"))
+    return v.groupBy((F.col("id") % 25).cast("int").alias("run")).agg(F.avg(F.when(F.col("fold") < 2, c_err())).alias("proxy"), F.avg(F.when(F.col("fold") >= 2, c_err())).alias("lb"), F.avg(F.abs(c_y() - c_nt())).alias("oo"))
 
 
 @query("r23_proxy_leaderboard_correlation", sql(f"""SELECT {sr('a')} AS pearson_proxy, {sr('c')} AS pearson_oof, {sr('b')} AS spearman_proxy, {sr('g', 2)} AS mean_gap, CASE WHEN a > c + 0.1 THEN 'PROXY_SUPERIOR' WHEN a > c THEN 'PROXY_MARGINAL' ELSE 'PROXY_NO_IMPROVEMENT' END AS verdict FROM
@@ -319,7 +352,7 @@ def r26(spark, sf_dir):
 
 @query("r27_go_no_go", sql(f"""SELECT {sr('avg(s)', 2)} AS mean_mae, {sr('stddev_samp(s)', 2)} AS std_mae, {sr('avg(s) - avg(o)', 2)} AS gap, CASE WHEN avg(s) <= 100000 AND avg(s) - avg(o) <= 5000 AND stddev_samp(s) <= 5000 THEN 'HIGH' WHEN avg(s) < 200000 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM (SELECT fold, avg(e) AS s, avg(b) AS o FROM vp GROUP BY 1)"""))
 def r27(spark, sf_dir):
-    per = preds(spark, sf_dir).where("oof IS NOT NULL").groupBy("fold").agg(F.avg(E).alias("s"), F.avg(F.abs(Y - NT)).alias("o"))
+    per = preds(spark, sf_dir).where("oof IS NOT NULL").groupBy("fold").agg(F.avg(c_err()).alias("s"), F.avg(F.abs(c_y() - c_nt())).alias("o"))
     m = per.agg(F.avg("s").alias("m"), F.stddev_samp("s").alias("sd"), (F.avg("s") - F.avg("o")).alias("g"))
     go = (F.col("m") <= 100000) & (F.col("g") <= 5000) & (F.col("sd") <= 5000)
     return m.select(r("m", 2).alias("mean_mae"), r("sd", 2).alias("std_mae"), r("g", 2).alias("gap"), F.when(go, "HIGH").when(F.col("m") < 200000, "MEDIUM").otherwise("LOW").alias("confidence"))
@@ -327,7 +360,7 @@ def r27(spark, sf_dir):
 
 @query("r28_oof_vs_test", sql(f"SELECT {sr('avg(e)', 3)} AS oof_mae, {sr('avg(oof)', 3)} AS oof_mean, {sr('stddev_pop(oof)', 3)} AS oof_std, {sr('(SELECT stddev_pop(nt) FROM tl WHERE oof IS NULL) / (stddev_pop(oof) + 1e-9)')} AS std_ratio, CASE WHEN (SELECT stddev_pop(nt) FROM tl WHERE oof IS NULL) / (stddev_pop(oof) + 1e-9) < 0.6 THEN 'COLLAPSED' WHEN (SELECT stddev_pop(nt) FROM tl WHERE oof IS NULL) / (stddev_pop(oof) + 1e-9) > 1.4 THEN 'EXPLODED' ELSE 'STABLE' END AS status FROM vp"))
 def r28(spark, sf_dir):
-    m = preds(spark, sf_dir).agg(F.avg(E).alias("mae"), F.avg("oof").alias("om"), F.stddev_pop("oof").alias("os"), F.stddev_pop(F.when(OOF.isNull(), NT)).alias("ts"))
+    m = preds(spark, sf_dir).agg(F.avg(c_err()).alias("mae"), F.avg("oof").alias("om"), F.stddev_pop("oof").alias("os"), F.stddev_pop(F.when(c_oof().isNull(), c_nt())).alias("ts"))
     ratio = F.col("ts") / (F.col("os") + 1e-9)
     return m.select(r("mae", 3).alias("oof_mae"), r("om", 3).alias("oof_mean"), r("os", 3).alias("oof_std"), r(ratio).alias("std_ratio"), F.when(ratio < 0.6, "COLLAPSED").when(ratio > 1.4, "EXPLODED").otherwise("STABLE").alias("status"))
 
@@ -342,7 +375,7 @@ def r29(spark, sf_dir):
 
 @query("r30_fold_consistency", sql(f"SELECT {sr('stddev_pop(g)')} AS gain_ratio_std, {sr('stddev_pop(m)', 3)} AS mae_std, {sr('avg(m)', 3)} AS mae_mean FROM (SELECT fold, avg((gain > 0)::INT) AS g, avg(abs(y - oof)) AS m FROM gn GROUP BY 1)", GAIN_SQL))
 def r30(spark, sf_dir):
-    per = preds(spark, sf_dir).groupBy("fold").agg(F.avg((GAIN > 0).cast("double")).alias("g"), F.avg(E).alias("m"))
+    per = preds(spark, sf_dir).groupBy("fold").agg(F.avg((c_gain() > 0).cast("double")).alias("g"), F.avg(c_err()).alias("m"))
     return per.agg(r(F.stddev_pop("g")).alias("gain_ratio_std"), r(F.stddev_pop("m"), 3).alias("mae_std"), r(F.avg("m"), 3).alias("mae_mean"))
 
 
@@ -355,31 +388,31 @@ def r31(spark, sf_dir):
 def r31b(spark, sf_dir):
     pp = preds(spark, sf_dir)
     cuts = dict(zip(("Q85", "Q90", "Q95"), q(pp, "y", 0.85, 0.9, 0.95)))
-    m = M.policy_table(pp.where("oof IS NOT NULL"), {n: Y >= c for n, c in cuts.items()}, recovery=lambda c: F.avg(F.when(c, OOF)) / F.avg(F.when(c, Y)))
+    m = M.policy_table(pp.where("oof IS NOT NULL"), {n: c_y() >= c for n, c in cuts.items()}, recovery=lambda c: F.avg(F.when(c, c_oof())) / F.avg(F.when(c, c_y())))
     return m.select("method", r("recovery").alias("recovery"))
 
 
 @query("r32_scenario_precision", sql(f"SELECT {sr('avg(pr)')} AS mean_precision, {sr('avg((pr = 0)::INT)')} AS zero_share, CAST(count(*) AS BIGINT) AS n FROM (SELECT sid, CASE WHEN count_if(p >= c) > 0 THEN count_if(tail AND p >= c) * 1.0 / count_if(p >= c) ELSE 0 END AS pr FROM tl, (SELECT quantile_cont(p, 0.9) AS c FROM pp) GROUP BY 1 HAVING count_if(tail) > 0)"))
 def r32(spark, sf_dir):
     t = tailed(spark, sf_dir)
-    c = P >= q(t, "p", 0.9)[0]
+    c = c_p() >= q(t, "p", 0.9)[0]
     per = t.groupBy("sid").agg(F.coalesce(F.try_divide(F.count_if(F.col("tail") & c), F.count_if(c)), F.lit(0.0)).alias("pr"), F.count_if("tail").alias("k")).where("k > 0")
     return per.agg(r(F.avg("pr")).alias("mean_precision"), r(F.avg((F.col("pr") == 0).cast("double"))).alias("zero_share"), F.count(F.lit(1)).alias("n"))
 
 
 @query("r33_class_expectations", sql(f"SELECT {sr('avg(p) FILTER (tail)')} AS p_tail, {sr('avg(p) FILTER (NOT tail)')} AS p_bulk, {sr('avg(abs(y - (p * t + (1 - p) * nt)))', 3)} AS mae, {sr('avg(abs(y - (p * t + (1 - p) * nt))) FILTER (tail)', 3)} AS mae_tail, {sr('avg(abs(y - (p * t + (1 - p) * nt))) FILTER (NOT tail)', 3)} AS mae_bulk FROM tl"))
 def r33(spark, sf_dir):
-    tail, e = F.col("tail"), F.abs(Y - X.blend(P, T, NT))
-    return tailed(spark, sf_dir).agg(r(F.avg(F.when(tail, P))).alias("p_tail"), r(F.avg(F.when(~tail, P))).alias("p_bulk"), r(F.avg(e), 3).alias("mae"), r(F.avg(F.when(tail, e)), 3).alias("mae_tail"), r(F.avg(F.when(~tail, e)), 3).alias("mae_bulk"))
+    tail, e = F.col("tail"), F.abs(c_y() - X.blend(c_p(), c_t(), c_nt()))
+    return tailed(spark, sf_dir).agg(r(F.avg(F.when(tail, c_p()))).alias("p_tail"), r(F.avg(F.when(~tail, c_p()))).alias("p_bulk"), r(F.avg(e), 3).alias("mae"), r(F.avg(F.when(tail, e)), 3).alias("mae_tail"), r(F.avg(F.when(~tail, e)), 3).alias("mae_bulk"))
 
 
 @query("r34_blend_fp_fn", sql(f"SELECT {sr('avg((NOT tail AND f > nt)::INT)')} AS fp_rate, {sr('avg((tail AND f <= nt)::INT)')} AS fn_rate, {sr('coalesce(sum(abs(f - y)) FILTER (NOT tail AND f > nt), 0) / count(*)', 3)} AS fp_damage, {sr('coalesce(sum(abs(f - y)) FILTER (p >= 0.2 AND p <= 0.4), 0) / count(*)', 3)} AS boundary_contribution FROM (SELECT *, nt + p * p * (t - nt) AS f FROM tl)"))
 def r34(spark, sf_dir):
-    f, tail = NT + P * P * (T - NT), F.col("tail")
-    fp = ~tail & (f > NT)
+    f, tail = c_nt() + c_p() * c_p() * (c_t() - c_nt()), F.col("tail")
+    fp = ~tail & (f > c_nt())
     n = F.count(F.lit(1))
-    share = lambda c: F.coalesce(F.sum(F.when(c, F.abs(f - Y))), F.lit(0.0)) / n
-    return tailed(spark, sf_dir).agg(r(F.avg(fp.cast("double"))).alias("fp_rate"), r(F.avg((tail & (f <= NT)).cast("double"))).alias("fn_rate"), r(share(fp), 3).alias("fp_damage"), r(share(P.between(0.2, 0.4)), 3).alias("boundary_contribution"))
+    share = lambda c: F.coalesce(F.sum(F.when(c, F.abs(f - c_y()))), F.lit(0.0)) / n
+    return tailed(spark, sf_dir).agg(r(F.avg(fp.cast("double"))).alias("fp_rate"), r(F.avg((tail & (f <= c_nt())).cast("double"))).alias("fn_rate"), r(share(fp), 3).alias("fp_damage"), r(share(c_p().between(0.2, 0.4)), 3).alias("boundary_contribution"))
 
 
 DC_SQL = "dc AS (SELECT *, t - nt AS d, least(greatest(t - nt, -md), md) AS c FROM tl, (SELECT quantile_cont(abs(y - nt), 0.95) AS md FROM tl WHERE NOT tail))"
@@ -388,11 +421,11 @@ DC_SQL = "dc AS (SELECT *, t - nt AS d, least(greatest(t - nt, -md), md) AS c FR
 @query("r35_clip_side_effect", sql(f"SELECT {sr('(avg(d) FILTER (tail) - avg(c) FILTER (tail)) / (avg(d) FILTER (tail) + 1e-9)')} AS tail_loss, {sr('(avg(d) FILTER (NOT tail AND p > 0.1) - avg(c) FILTER (NOT tail AND p > 0.1)) / (avg(d) FILTER (NOT tail AND p > 0.1) + 1e-9)')} AS fp_reduction FROM dc", DC_SQL))
 def r35(spark, sf_dir):
     t = tailed(spark, sf_dir)
-    md = q(t.where("NOT tail").select(F.abs(Y - NT).alias("e")), "e", 0.95)[0]
-    d = T - NT
+    md = q(t.where("NOT tail").select(F.abs(c_y() - c_nt()).alias("e")), "e", 0.95)[0]
+    d = c_t() - c_nt()
     c = X.clip(d, -md, md)
     rel = lambda m: (F.avg(F.when(m, d)) - F.avg(F.when(m, c))) / (F.avg(F.when(m, d)) + 1e-9)
-    return t.agg(r(rel(F.col("tail"))).alias("tail_loss"), r(rel(~F.col("tail") & (P > 0.1))).alias("fp_reduction"))
+    return t.agg(r(rel(F.col("tail"))).alias("tail_loss"), r(rel(~F.col("tail") & (c_p() > 0.1))).alias("fp_reduction"))
 
 
 @query("r38_log_transform_bias", sql(f"SELECT {sr('(exp(avg(ln(1 + y))) - 1) / avg(y)')} AS transform_bias, {sr('avg(oof) / avg(y)')} AS observed_bias FROM vp"))
@@ -402,7 +435,7 @@ def r38(spark, sf_dir):
 
 @query("r39_row_order_segments", sql(f"SELECT CAST(least(pos // (n // 10), 9) AS INTEGER) AS segment, CAST(count(*) AS BIGINT) AS n, {sr('avg(e)', 3)} AS mae FROM (SELECT e, row_number() OVER (ORDER BY id) - 1 AS pos, count(*) OVER () AS n FROM vp) GROUP BY 1"))
 def r39(spark, sf_dir):
-    v = preds(spark, sf_dir).where("oof IS NOT NULL").select("id", E.alias("e"))
+    v = preds(spark, sf_dir).where("oof IS NOT NULL").select("id", c_err().alias("e"))
     n = v.agg(F.count(F.lit(1)).alias("n")).scalar()
     seg = F.least(F.floor(F.col("pos") / F.floor(n / 10)), F.lit(9)).cast("int")
     return row_positions(v, [], ["id"]).groupBy(seg.alias("segment")).agg(F.count(F.lit(1)).alias("n"), r(F.avg("e"), 3).alias("mae"))

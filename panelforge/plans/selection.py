@@ -37,7 +37,7 @@ def g1(spark, sf_dir):
 
 @query("w21_largest_jump", with_sql(ORDERS_SQL, f"SELECT feature, {sr('ratio')} AS ratio, {sr('jump')} AS jump, jump > (SELECT avg(jump) + 2 * stddev_samp(jump) FROM gj) AS significant FROM gj WHERE jump IS NOT NULL", STATS_SQL, NULLS_SQL, GAP_SQL))
 def w21(spark, sf_dir):
-    ordered = SE.EVERYTHING.orderBy("ratio", "feature")  # one row per feature
+    ordered = SE.everything().orderBy("ratio", "feature")  # one row per feature
     j = null_ratios(spark, sf_dir).withColumn("jump", F.col("ratio") - F.lag("ratio").over(ordered)).where("jump IS NOT NULL")
     limit = j.agg((F.avg("jump") + 2 * F.stddev_samp("jump")).alias("l")).scalar()
     return j.select("feature", r("ratio").alias("ratio"), r("jump").alias("jump"), (F.col("jump") > limit).alias("significant"))
@@ -80,7 +80,7 @@ def g24(spark, sf_dir):
  FROM (SELECT feature, variance, CAST((row_number() OVER (ORDER BY variance DESC, feature) - 1) // 2 AS INTEGER) AS cluster FROM vr)""", VAR_SQL))
 def g3(spark, sf_dir):
     v = variances(spark, sf_dir)
-    pairs = ((F.row_number().over(SE.EVERYTHING.orderBy(F.desc("variance"), "feature")) - 1) / 2).cast("int")  # neighbours in variance
+    pairs = ((F.row_number().over(SE.everything().orderBy(F.desc("variance"), "feature")) - 1) / 2).cast("int")  # neighbours in variance
     clusters = v.select("feature", pairs.alias("cluster"))
     return SE.representatives(clusters, v.select("feature", F.col("variance").alias("importance")), PROTECTED)
 
@@ -197,7 +197,7 @@ def g16(spark, sf_dir):
     noise = {n: ((F.col("id") * (7919 + 2 * i) + 104729 * (i + 1)) % 1009 / 1009.0) for i, n in enumerate(NOISE)}
     rows = named_features(spark, sf_dir).withColumns(noise).withColumn("half", F.col("id") % 2)
     log = SE.feature_log(rows, GCOLS, drift.ks_table(rows, GCOLS, F.col("is_train")))
-    s = F.sum(F.when(~F.col("is_noise"), F.col("gain"))).over(SE.EVERYTHING)
+    s = F.sum(F.when(~F.col("is_noise"), F.col("gain"))).over(SE.everything())
     share = F.col("gain") / F.col("s")
     top = F.max(F.when(F.col("is_noise"), F.col("gain")))
     cut = log.agg(F.greatest(top * 1.2, F.percentile(F.when(~F.col("is_noise"), F.col("gain")), F.lit(0.2))).alias("c")).scalar()
@@ -238,15 +238,15 @@ def g25(spark, sf_dir):
 
 @query("g26_gain_elbow", with_sql(ORDERS_SQL, f"SELECT feature, {sr('gain', 5)} AS elbow_gain, {sr('gain - nx', 5)} AS fall FROM (SELECT feature, gain, lead(gain) OVER (ORDER BY gain DESC, feature) AS nx FROM gg) WHERE nx IS NOT NULL ORDER BY round(gain - nx, 9) DESC, feature LIMIT 1", *G_BASE))
 def g26(spark, sf_dir):
-    nx = F.lead("gain").over(SE.EVERYTHING.orderBy(F.desc("gain"), "feature"))
+    nx = F.lead("gain").over(SE.everything().orderBy(F.desc("gain"), "feature"))
     falls = gated(spark, sf_dir).select("feature", "gain", nx.alias("nx")).where("nx IS NOT NULL").withColumn("fall", F.col("gain") - F.col("nx"))
     return falls.orderBy(F.desc(F.round("fall", 9)), "feature").limit(1).select("feature", r("gain", 5).alias("elbow_gain"), r("fall", 5).alias("fall"))
 
 
 @query("w20_cumulative_importance", with_sql(ORDERS_SQL, f"SELECT cutoff, CAST(greatest(1, count_if(cum <= cutoff)) AS BIGINT) AS n_features FROM (SELECT sum(gain) OVER (ORDER BY gain DESC, feature) / sum(gain) OVER () AS cum FROM gg), (SELECT unnest([0.1, 0.5, 0.8, 0.9, 0.95, 0.99])::DOUBLE AS cutoff) GROUP BY 1", *G_BASE))
 def w20(spark, sf_dir):
-    run = SE.EVERYTHING.orderBy(F.desc("gain"), "feature").rowsBetween(W.unboundedPreceding, 0)
-    cum = gated(spark, sf_dir).select((F.sum("gain").over(run) / F.sum("gain").over(SE.EVERYTHING)).alias("cum"))
+    run = SE.everything().orderBy(F.desc("gain"), "feature").rowsBetween(W.unboundedPreceding, 0)
+    cum = gated(spark, sf_dir).select((F.sum("gain").over(run) / F.sum("gain").over(SE.everything())).alias("cum"))
     cuts = (0.1, 0.5, 0.8, 0.9, 0.95, 0.99)
     wide = cum.agg(*[F.greatest(F.lit(1).cast("long"), F.count_if(F.col("cum") <= c)).alias(f"c{i}") for i, c in enumerate(cuts)])
     return wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("cutoff"), F.col(f"c{i}").alias("n_features")) for i, c in enumerate(cuts)])))
