@@ -14,10 +14,13 @@ EPS = 1e-9
 
 
 def with_errors(df: DataFrame, y: str, pred: str, base: str | None = None) -> DataFrame:
-    cols = [F.col(y).alias("_y"), F.col(pred).alias("_p"), F.abs(F.col(y) - F.col(pred)).alias("_e")]
+    """(_y, _p, _e[, _b]), all NULL where there is no prediction; aggregates skip NULL, so no filter is needed
+    (one on a computed prediction would be pushed down and compute it twice)."""
+    known = F.col(pred).isNotNull()
+    cols = [F.when(known, F.col(y)).alias("_y"), F.col(pred).alias("_p"), F.abs(F.col(y) - F.col(pred)).alias("_e")]
     if base:
-        cols.append(F.abs(F.col(y) - F.col(base)).alias("_b"))
-    return df.where(F.col(pred).isNotNull()).select(*cols)
+        cols.append(F.when(known, F.abs(F.col(y) - F.col(base))).alias("_b"))
+    return df.select(*cols)
 
 
 def build_metrics(df: DataFrame, y: str, pred: str, base: str | None = None) -> DataFrame:
@@ -26,7 +29,7 @@ def build_metrics(df: DataFrame, y: str, pred: str, base: str | None = None) ->
     Two passes: quantiles first, then every conditional mean in a single aggregate.
     """
     rows = with_errors(df, y, pred, base)
-    n = rows.count()
+    n = rows.agg(F.count("_e")).first()[0]
     half = n // 2
     ys, ps = [0.0, 0.5, 0.9, 0.99, 1.0], [0.5, 0.9, 0.99]
     at_half = (half - 1) / (n - 1) if half and n > 1 else 0.0
@@ -58,7 +61,7 @@ def build_metrics(df: DataFrame, y: str, pred: str, base: str | None = None) ->
 
 
 def fold_maes(df: DataFrame, fold: str, y: str, pred: str) -> DataFrame:
-    return df.where(F.col(pred).isNotNull()).groupBy(fold).agg(F.avg(F.abs(F.col(y) - F.col(pred))).alias("mae"))
+    return df.groupBy(fold).agg(F.avg(F.abs(F.col(y) - F.col(pred))).alias("mae")).where("mae IS NOT NULL")
 
 
 def fold_spread(maes: DataFrame) -> DataFrame:
@@ -128,11 +131,11 @@ def pr_summary(df: DataFrame, score: str, label: Column, group: Sequence[str] =
 def segment_report(df: DataFrame, segment: Column, y: str = "y", pred: str = "oof") -> DataFrame:
     """(segment, n, mae, bias, share of total error) per non-NULL segment."""
     e = F.abs(F.col(y) - F.col(pred))
-    per = df.where(F.col(pred).isNotNull()).groupBy(segment.alias("segment")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(e).alias("mae"), F.avg(F.col(pred) - F.col(y)).alias("bias"), F.sum(e).alias("_s")
+    per = df.groupBy(segment.alias("segment")).agg(
+        F.count(e).alias("n"), F.avg(e).alias("mae"), F.avg(F.col(pred) - F.col(y)).alias("bias"), F.sum(e).alias("_s")
     )
     total = per.agg(F.sum("_s").alias("s")).scalar()
-    return per.where(F.col("segment").isNotNull()).withColumn("share", F.col("_s") / total).drop("_s")
+    return per.where(F.col("segment").isNotNull() & (F.col("n") > 0)).withColumn("share", F.col("_s") / total).drop("_s")
 
 
 def policy_table(df: DataFrame, policies: Mapping[str, Column], **measures) -> DataFrame:

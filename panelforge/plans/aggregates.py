@@ -11,6 +11,7 @@ from panelforge.operators.prefix import row_positions
 from panelforge.operators.quantiles import fit_quantiles
 from panelforge.operators.sets import labelled_union, set_overlap
 from panelforge.plans.registry import BLOCKS_SQL, EVENTS_SQL, ORDERS_SQL, PRED_SQL, query, r, sr, with_sql
+from panelforge.session import cut_lineage
 from panelforge.sources import panels as S
 
 SEN = S.SENSORS
@@ -88,7 +89,7 @@ def corr_pairs_sql(cols, src):
 
 
 def filled(spark, sf_dir):
-    op = orders(spark, sf_dir)
+    op = cut_lineage(orders(spark, sf_dir).select("id", "y", "is_train", *SEN))  # medians and the filled rows both read it
     return FE.fill_with(op, FE.fit_medians(op, SEN))
 
 
@@ -196,7 +197,7 @@ SCEN_SQL = "sc AS (SELECT sid, avg(abs(y - oof)) AS mae, count(*) AS n, avg(y) A
 
 def scenario_report(spark, sf_dir):
     err = F.abs(F.col("y") - F.col("oof"))
-    return preds(spark, sf_dir).where("oof IS NOT NULL").groupBy("sid").agg(
+    return preds(spark, sf_dir).where("has_oof").groupBy("sid").agg(
         F.avg(err).alias("mae"), F.count(F.lit(1)).alias("n"), F.avg("y").alias("tm"), F.stddev_samp("y").alias("ts"), F.avg("oof").alias("pm"), F.stddev_samp("oof").alias("ps")
     )
 
@@ -222,7 +223,7 @@ def t2(spark, sf_dir):
 
 @query("t3_top_error_rows", with_sql(ORDERS_SQL + "," + PRED_SQL, f"SELECT id, pp.sid, pp.y AS true_value, oof AS pred, {sr('abs(pp.y - oof)', 3)} AS error, n_lines, qty_sum, disc_avg FROM pp JOIN op USING (id) WHERE oof IS NOT NULL ORDER BY abs(pp.y - oof) DESC, id LIMIT 50"))
 def t3(spark, sf_dir):
-    top = preds(spark, sf_dir).where("oof IS NOT NULL").withColumn("e", F.abs(F.col("y") - F.col("oof"))).orderBy(F.desc("e"), "id").limit(50)
+    top = preds(spark, sf_dir).where("has_oof").withColumn("e", F.abs(F.col("y") - F.col("oof"))).orderBy(F.desc("e"), "id").limit(50)
     # fifty rows: small enough for any join strategy
     return orders(spark, sf_dir).select("id", "n_lines", "qty_sum", "disc_avg").join(F.broadcast(top), "id").select(
         "id", "sid", F.col("y").alias("true_value"), F.col("oof").alias("pred"), r("e", 3).alias("error"), "n_lines", "qty_sum", "disc_avg"
@@ -379,7 +380,7 @@ def x10(spark, sf_dir):
 
 @query("x11_bootstrap_segments")
 def x11(spark, sf_dir):
-    seg = preds(spark, sf_dir).where("oof IS NOT NULL").select(F.abs(F.col("y") - F.col("oof")).alias("e"))
+    seg = preds(spark, sf_dir).where("has_oof").select(F.abs(F.col("y") - F.col("oof")).alias("e"))
     parts = [seg.sample(withReplacement=True, fraction=0.2, seed=42 + i).agg(F.lit(i).alias("segment"), F.count(F.lit(1)).alias("n"), F.avg("e").alias("mae")) for i in range(5)]
     out = parts[0]
     for p in parts[1:]:

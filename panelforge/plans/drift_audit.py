@@ -12,6 +12,7 @@ from panelforge.operators.quantiles import fit_quantiles
 from panelforge.plans.aggregates import CHUNK_SQL, CLASS_SQL, TAIL_SQL, outcome, tailed
 from panelforge.plans.registry import BLOCKS_SQL, ORDERS_SQL, PRED_SQL, query, r, sr, with_sql
 from panelforge.plans.windows import DECILES, decile_of, decile_sql
+from panelforge.session import cut_lineage
 from panelforge.sources import panels as S
 
 SEN = S.SENSORS
@@ -61,16 +62,12 @@ def d2(spark, sf_dir):
 IMP_SQL = "im AS (SELECT feature, abs(corr(CASE WHEN is_train THEN 0.0 ELSE 1.0 END, v)) AS importance FROM lg WHERE feature <> 'price_sum' GROUP BY 1)"
 
 
-def side_importance(spark, sf_dir):
-    """How well each sensor alone tells the sides apart: |corr| with the side (one sensor left unscored)."""
-    side = F.when(F.col("is_train"), 0.0).otherwise(1.0)
-    cols = [c for c in SEN if c != "price_sum"]
-    return drift.stats_long(orders(spark, sf_dir), cols, importance=lambda c: F.abs(X.corr(side, c)))
-
-
 def drift_with_importance(spark, sf_dir):
-    imp = side_importance(spark, sf_dir)
-    return sensor_ks(spark, sf_dir).join(imp, "feature", "left").withColumn("importance", F.coalesce("importance", F.lit(0.0)))
+    """KS next to how well each sensor alone tells the sides apart: |corr| with the side (one sensor unscored)."""
+    rows = cut_lineage(orders(spark, sf_dir).select("is_train", *SEN))
+    side = F.when(F.col("is_train"), 0.0).otherwise(1.0)
+    imp = drift.stats_long(rows, [c for c in SEN if c != "price_sum"], importance=lambda c: F.abs(X.corr(side, c)))
+    return drift.ks_table(rows, SEN, F.col("is_train")).join(imp, "feature", "left").withColumn("importance", F.coalesce("importance", F.lit(0.0)))
 
 
 @query("j6_drift_join_importance", with_sql(ORDERS_SQL, f"SELECT feature, {sr('ks_stat')} AS ks_stat, {sr('coalesce(importance, 0)')} AS importance FROM ks LEFT JOIN im USING (feature)", *BASE, IMP_SQL))
@@ -202,6 +199,7 @@ D12_BASE = (TAIL_SQL, CLS_LONG, AUC_SQL, TPFP_SQL, ks_sql("tf", "kt"))
 def class_separation(spark, sf_dir):
     """Per sensor: AUC for the tail label and KS between true and false positives, both from long-form counts."""
     rows = tailed(spark, sf_dir).select("id", "tail", outcome().alias("cls")).join(orders(spark, sf_dir).select("id", *SEN), "id")
+    rows = cut_lineage(rows)  # both measures read it; redoing the joins would cost more than storing nine columns
     filled = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in SEN}
     long = melt(rows, ["tail", "cls"], filled)
     auc = ranks.roc_auc(long, ["feature"], "value", F.col("tail"))
@@ -264,7 +262,7 @@ def spearman(df, group, a: str, b: str):
 @query("d15_baseline_tolerance", with_sql(PRED_SQL, f"""SELECT stat, {sr('cur', 3)} AS current, {sr('base', 3)} AS baseline, abs(cur - base) / (base + 1e-9) > 0.15 AND abs(cur - base) > 1.0 AS fails FROM
  (SELECT unnest(['mean', 'std', 'p50', 'p99']) AS stat, unnest([avg(oof), stddev_pop(oof), quantile_cont(oof, 0.5), quantile_cont(oof, 0.99)]) AS cur, unnest([avg(nt), stddev_pop(nt), quantile_cont(nt, 0.5), quantile_cont(nt, 0.99)]) AS base FROM pp WHERE oof IS NOT NULL)"""))
 def d15(spark, sf_dir):
-    s = two_side_stats(S.pred_panel(spark, sf_dir).where("oof IS NOT NULL"), "oof", "nt").where("stat IN ('mean', 'std', 'p50', 'p99')")
+    s = two_side_stats(S.pred_panel(spark, sf_dir).where("has_oof"), "oof", "nt").where("stat IN ('mean', 'std', 'p50', 'p99')")
     gap = F.abs(F.col("a") - F.col("b"))
     return s.select("stat", r("a", 3).alias("current"), r("b", 3).alias("baseline"), ((gap / (F.col("b") + 1e-9) > 0.15) & (gap > 1.0)).alias("fails"))
 
@@ -355,7 +353,7 @@ def aligned(spark, sf_dir):
     m = pp.agg(F.avg("y").alias("tm"), F.stddev_samp("y").alias("ts"), F.avg("oof").alias("pm"), F.stddev_pop("oof").alias("ps")).first()
     p99 = fit_quantiles(pp, {"y": (F.col("y"), [0.99])})["y"][0]
     scale = m.ts / (m.ps + 1e-9)
-    return pp.where("oof IS NOT NULL").withColumn("aligned", X.clip(F.col("oof") * F.lit(scale) + F.lit(m.tm - scale * m.pm), 0.0, 1.2 * p99))
+    return pp.where("has_oof").withColumn("aligned", X.clip(F.col("oof") * F.lit(scale) + F.lit(m.tm - scale * m.pm), 0.0, 1.2 * p99))
 
 
 @query("d22_alignment_checks", with_sql(PRED_SQL, f"""SELECT {sr('avg(aligned)', 2)} AS mean, {sr('stddev_pop(aligned)', 2)} AS std, CAST(count_if(oof >= q95 AND aligned >= a95) AS BIGINT) AS top5_kept, CAST(count_if(oof >= q95) AS BIGINT) AS top5 FROM al, (SELECT quantile_cont(oof, 0.95) AS q95, quantile_cont(aligned, 0.95) AS a95 FROM al)""", ALIGN_SQL))
@@ -413,3 +411,24 @@ def j13(spark, sf_dir):
     ir = two_run_importance(spark, sf_dir)
     x, z = ir.where("a > 0.005").select("feature", "a"), ir.where("b > 0.005").select("feature", "b")
     return x.join(z, "feature", "full_outer").select("feature", r("a").alias("baseline"), r("b").alias("current"), r(F.col("b") - F.col("a")).alias("delta"))
+
+
+R24_SQL = """kv AS (SELECT avg(CASE WHEN grp = 'all' THEN ks_stat END) AS ka, avg(CASE WHEN grp = 'proxy' THEN ks_stat END) AS kp FROM k3),
+mr AS (SELECT avg(y) FILTER (sid IN (SELECT sid FROM px)) / (avg(y) + 1e-9) AS m FROM op WHERE is_train)"""
+
+
+@query("r24_proxy_verdict_rule", with_sql(ORDERS_SQL, f"SELECT {sr('ka')} AS ks_train, {sr('kp')} AS ks_proxy, kp < 0.9 * ka AS ks_valid, {sr('m')} AS mean_ratio, abs(1 - m) < 0.25 AS aligned, CASE WHEN kp < 0.9 * ka AND abs(1 - m) < 0.25 THEN 'VALID' ELSE 'INVALID' END AS verdict FROM kv, mr", LONG_SQL, SIDE_SQL, PROXY_SQL, THREE_SQL, ks_sql("tw", "k3", "grp"), R24_SQL))
+def r24_rule(spark, sf_dir):
+    """The model-free part of the proxy verdict: KS at most nine tenths of the full training side, means aligned."""
+    op = orders(spark, sf_dir)
+    last = op.where("is_train").groupBy("sid").agg(F.max("odate").alias("last")).withColumn("score", F.unix_timestamp("last"))
+    proxy = splits.top_share(last, "score", "sid", 0.2).select("sid", F.lit(True).alias("is_proxy"))
+    part = F.when(~F.col("is_train"), "test").when(F.col("is_proxy"), "proxy").otherwise("remaining")
+    rows = cut_lineage(op.join(proxy, "sid", "left").select("y", part.alias("part"), *SEN))
+    ks = drift.ks_of_cdf(drift.cdf_of_counts(three_way_counts(rows, SEN), ["grp", "feature"]), ["grp", "feature"])
+    mean = lambda g: F.avg(F.when(F.col("grp") == g, F.col("ks_stat")))
+    train = F.col("part") != "test"
+    ratio = rows.agg((F.avg(F.when(F.col("part") == "proxy", F.col("y"))) / (F.avg(F.when(train, F.col("y"))) + 1e-9)).alias("m")).scalar()
+    m = ks.agg(mean("all").alias("ka"), mean("proxy").alias("kp")).withColumn("m", ratio)
+    closer, near = F.col("kp") < 0.9 * F.col("ka"), F.abs(1 - F.col("m")) < 0.25
+    return m.select(r("ka").alias("ks_train"), r("kp").alias("ks_proxy"), closer.alias("ks_valid"), r("m").alias("mean_ratio"), near.alias("aligned"), F.when(closer & near, "VALID").otherwise("INVALID").alias("verdict"))

@@ -10,6 +10,7 @@ from panelforge.functions import exprs as X, names as N
 from panelforge.operators import drift, features as FE, layout as L, panel as P, ranks
 from panelforge.operators.quantiles import fit_quantiles
 from panelforge.plans.registry import EVENTS_SQL, ORDERS_SQL, PRED_SQL, query, r, sr, with_sql
+from panelforge.session import cut_lineage
 from panelforge.sources import panels as S
 
 ROLE = {
@@ -62,7 +63,7 @@ def bin_sql(c: str) -> str:
 
 @query("f3_quantile_buckets", with_sql(ORDERS_SQL, "SELECT id, " + ", ".join(f"CAST(coalesce({bin_sql(a)}, 0) * 5 + coalesce({bin_sql(b)}, 0) AS INTEGER) AS bucket_{a}_x_{b}" for a, b in PAIRS) + " FROM op, eg", EDGE_SQL))
 def f3(spark, sf_dir):
-    op = orders(spark, sf_dir)
+    op = cut_lineage(orders(spark, sf_dir).select("id", "is_train", *PAIR_COLS))
     edges = FE.fit_bin_edges(op.where("is_train"), PAIR_COLS)
     return op.select("id", *[P.pair_features(a, b, edges)[f"bucket_{a}_x_{b}"].alias(f"bucket_{a}_x_{b}") for a, b in PAIRS])
 
@@ -139,10 +140,10 @@ def f7b(spark, sf_dir):
 def f8(spark, sf_dir):
     pp = S.pred_panel(spark, sf_dir)
     p99 = fit_quantiles(pp, {"y": (F.col("y"), [0.99])})["y"][0]
-    return pp.where("oof IS NOT NULL").select("id", X.clip(F.col("oof"), 0.0, 1.5 * p99).alias("clipped"))
+    return pp.where("has_oof").select("id", X.clip(F.col("oof"), 0.0, 1.5 * p99).alias("clipped"))
 
 
-@query("f9_f11_gate_weights", with_sql(PRED_SQL, f"""SELECT id, {sr('1.0 / (1.0 + exp(-8.0 * (p - 0.55)))')} AS sigmoid_weight, {sr('w0')} AS blend_weight,
+@query("f9_f10_f11_gate_weights", with_sql(PRED_SQL, f"""SELECT id, {sr('1.0 / (1.0 + exp(-8.0 * (p - 0.55)))')} AS sigmoid_weight, {sr('w0')} AS blend_weight,
  {sr('least(greatest(1.0 - least(greatest((g0 - 3.0) / 3.0, 0.0), 2.0) * least(greatest((0.7 - p) / 0.7, 0.0), 1.0) * 0.5, 0.5), 1.0)')} AS damping FROM pr1"""))
 def f9(spark, sf_dir):
     pp = S.pred_panel(spark, sf_dir)
@@ -336,7 +337,7 @@ SCALED = ("qty_sum", "qty_avg", "disc_avg")
 @query("e1_winsorise", with_sql(ORDERS_SQL, "SELECT id, " + ", ".join(f"{sr(f'least(greatest(coalesce({c}, {c}_m), {c}_lo), {c}_hi)')} AS {c}" for c in SCALED) + " FROM op, ws",
     "ws AS (SELECT " + ", ".join(f"avg({c}) AS {c}_m, quantile_cont({c}, 0.01) AS {c}_lo, quantile_cont({c}, 0.99) AS {c}_hi" for c in SCALED) + " FROM op WHERE is_train)"))
 def e1(spark, sf_dir):
-    op = orders(spark, sf_dir).select("id", "is_train", *SCALED)
+    op = cut_lineage(orders(spark, sf_dir).select("id", "is_train", *SCALED))
     out = FE.apply_winsor(op, FE.fit_winsor(op.where("is_train"), SCALED))
     return out.select("id", *[r(c).alias(c) for c in SCALED])
 
@@ -352,19 +353,19 @@ def e1b(spark, sf_dir):
 
 @query("e2_standardise", with_sql(ORDERS_SQL, "SELECT id, " + ", ".join(f"{sr(f'({c} - {c}_m) / {c}_s')} AS {c}" for c in SCALED) + " FROM op, (SELECT " + ", ".join(f"avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s" for c in SCALED) + " FROM op WHERE is_train)"))
 def e2(spark, sf_dir):
-    op = orders(spark, sf_dir).select("id", "is_train", *SCALED)
+    op = cut_lineage(orders(spark, sf_dir).select("id", "is_train", *SCALED))
     return FE.apply_standard(op, FE.fit_standard(op.where("is_train"), SCALED)).select("id", *[r(c).alias(c) for c in SCALED])
 
 
 @query("e3_median_impute", with_sql(ORDERS_SQL, "SELECT id, " + ", ".join(f"{sr(f'coalesce({c}, {c}_m)')} AS {c}" for c in SCALED) + " FROM op, (SELECT " + ", ".join(f"quantile_cont({c}, 0.5) AS {c}_m" for c in SCALED) + " FROM op WHERE is_train)"))
 def e3(spark, sf_dir):
-    op = orders(spark, sf_dir).select("id", "is_train", *SCALED)
+    op = cut_lineage(orders(spark, sf_dir).select("id", "is_train", *SCALED))
     return FE.fill_with(op, FE.fit_medians(op.where("is_train"), SCALED)).select("id", *[r(c).alias(c) for c in SCALED])
 
 
 @query("e4_two_pass_impute", with_sql(ORDERS_SQL, "SELECT id, " + ", ".join(f"{sr(f'coalesce({c}, {c}_g) + coalesce({c}_l - {c}_g, 0)')} AS {c}" for c in SCALED) + " FROM op LEFT JOIN (SELECT layout, " + ", ".join(f"quantile_cont({c}, 0.5) AS {c}_l" for c in SCALED) + " FROM op WHERE is_train GROUP BY 1) USING (layout), (SELECT " + ", ".join(f"quantile_cont({c}, 0.5) AS {c}_g" for c in SCALED) + " FROM op WHERE is_train)"))
 def e4(spark, sf_dir):
-    op = orders(spark, sf_dir).select("id", "layout", "is_train", *SCALED)
+    op = cut_lineage(orders(spark, sf_dir).select("id", "layout", "is_train", *SCALED))
     return L.two_pass_impute(op.where("is_train"), op, SCALED).select("id", *[r(c).alias(c) for c in SCALED])
 
 

@@ -16,7 +16,7 @@ FEATURES = [
 def event_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = S.events_panel(spark, sf_dir)
     feats = P.time_series_features(ev, S.EVENTS, {"value": "sensor", "k": "count"}, {"value": 0.0})
-    return feats.select("id", "is_train", *[F.round(F.col(c), 9).alias(c) for c in FEATURES])
+    return feats.select("id", "is_train", *[r(c, 9).alias(c) for c in FEATURES])
 
 
 def _window_sql(c: str, fill: str) -> str:
@@ -37,7 +37,7 @@ f2 AS (SELECT *, {', '.join(f'''coalesce(({c}_rolling_mean_5 - lag({c}_rolling_m
   CASE WHEN abs({c}_rolling_mean_5) > 1.1920928955078125e-07 THEN ({c} - {c}_rolling_mean_5) / ({c}_rolling_mean_5 + 1.1920928955078125e-07) ELSE 0.0 END AS {c}_rel_to_mean_5'''
   for c in ('value', 'k'))}
   FROM f1 WINDOW w AS (PARTITION BY sid ORDER BY ts, id)),
-f3 AS (SELECT id, is_train, {', '.join(f'round({c}, 9) + 0.0 AS {c}' for c in FEATURES)} FROM f2),
+f3 AS (SELECT id, is_train, {', '.join(f'{sr(c, 9)} AS {c}' for c in FEATURES)} FROM f2),
 long AS (UNPIVOT f3 ON {', '.join(FEATURES)} INTO NAME feature VALUE v)"""
 
 KS_SQL = """

@@ -9,6 +9,7 @@ from panelforge.operators import embedding as EM, features as FE, metrics as M,
 from panelforge.operators.quantiles import fit_quantiles
 from panelforge.plans.aggregates import SCEN_SQL, TAIL_SQL, scenario_report, tailed
 from panelforge.plans.registry import ORDERS_SQL, PRED_SQL, query, r, sr, with_sql
+from panelforge.session import cut_lineage
 from panelforge.sources import panels as S
 
 VEC_SQL = """vv AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings),
@@ -97,7 +98,7 @@ LAY_SCALE = "ls AS (SELECT id, layout, is_train, (qty_sum - m1) / s1 AS a, (disc
 @query("e13_layout_neighbours", with_sql(ORDERS_SQL, f"""SELECT id, {sr('avg(distance)', 5)} AS knn_dist_mean, {sr('avg(nq)', 5)} AS pseudo_mean, {sr('stddev_pop(nq)', 4)} AS pseudo_std, min(nq) AS pseudo_min, max(nq) AS pseudo_max FROM
  (SELECT t.id, p.qty_sum AS nq, round(sqrt((t.a - p.a) ^ 2 + (t.b - p.b) ^ 2), 6) + 0.0 AS distance, row_number() OVER (PARTITION BY t.id ORDER BY round(sqrt((t.a - p.a) ^ 2 + (t.b - p.b) ^ 2), 6), p.id) AS pos FROM ls t JOIN ls p ON p.layout = t.layout AND p.is_train AND NOT t.is_train) WHERE pos <= 20 GROUP BY 1""", LAY_SCALE))
 def e13(spark, sf_dir):
-    op = S.order_panel(spark, sf_dir).where("qty_sum IS NOT NULL").select("id", "layout", "is_train", "qty_sum", "disc_avg")
+    op = cut_lineage(S.order_panel(spark, sf_dir).where("qty_sum IS NOT NULL").select("id", "layout", "is_train", "qty_sum", "disc_avg"))
     state = FE.fit_standard(op.where("is_train"), ["qty_sum", "disc_avg"])
     raw = op.select(F.col("id").alias("nid"), F.col("qty_sum").alias("nq"))
     v = EM.sensor_vectors(FE.apply_standard(op, state), ["qty_sum", "disc_avg"]).select("id", "layout", "is_train", "v")
@@ -136,7 +137,7 @@ def e17(spark, sf_dir):
 
 
 def scaled_orders(spark, sf_dir, cols=S.SENSORS):
-    op = S.order_panel(spark, sf_dir)
+    op = cut_lineage(S.order_panel(spark, sf_dir))  # fitting the scalers reads it several times
     train = op.where("is_train")
     winsor = FE.fit_winsor(train, cols)
     bounded = FE.apply_winsor(op, winsor)

@@ -62,7 +62,7 @@ def search_results(spark, sf_dir):
     stats = fit_quantiles(pp, {"p": (c_p(), [0.5]), "y": (c_y(), [0.99])})
     base_th, y99 = stats["p"][0], stats["y"][0]
     m = pp.agg(F.stddev_pop("p").alias("s"), F.avg("y").alias("m")).first()
-    test, oof = F.col("oof").isNull(), F.col("oof").isNotNull()
+    test, oof = ~F.col("has_oof"), F.col("has_oof")
     made = []
     for c in CONFIGS:
         theta, temp = base_th * c["th_scale"], (m.s + 1e-6) * c["temp_scale"]

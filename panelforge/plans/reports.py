@@ -58,7 +58,7 @@ def preds(spark, sf_dir):
 
 
 def valid(spark, sf_dir):
-    return tailed(spark, sf_dir).where("oof IS NOT NULL")
+    return tailed(spark, sf_dir).where("has_oof")
 
 
 def sql(body, *more):
@@ -102,7 +102,7 @@ def r2(spark, sf_dir):
 
 @query("r3_distribution_auditor", sql(f"SELECT {sr('stddev_pop(oof) / (stddev_pop(y) + 1e-9)')} AS std_ratio, {sr('any_value(o99 / (y99 + 1e-9))')} AS p99_ratio, {sr('avg(e) FILTER (y > y99)', 3)} AS q99_mae FROM vp, qy", Q_SQL))
 def r3(spark, sf_dir):
-    v = preds(spark, sf_dir).where("oof IS NOT NULL")
+    v = preds(spark, sf_dir).where("has_oof")
     got = fit_quantiles(v, {"y": (c_y(), [0.99]), "o": (c_oof(), [0.99])})
     y99, o99 = got["y"][0], got["o"][0]
     return v.agg(r(F.stddev_pop("oof") / (F.stddev_pop("y") + 1e-9)).alias("std_ratio"), r(F.avg(F.when(c_y() > y99, c_err())), 3).alias("q99_mae")).withColumn("p99_ratio", r(F.lit(o99 / (y99 + 1e-9))))
@@ -232,7 +232,7 @@ def r14(spark, sf_dir):
 
 @query("r15_quantile_segments", sql(f"SELECT CASE WHEN y <= y50 THEN 'bottom_50' WHEN y <= y90 THEN '50_90' WHEN y <= y99 THEN '90_99' ELSE 'top_1' END AS segment, {sr('avg(e)', 3)} AS mae, {sr('avg(oof - y)', 3)} AS bias, CAST(count(*) AS BIGINT) AS n FROM vp, qy GROUP BY 1", Q_SQL))
 def r15(spark, sf_dir):
-    v = preds(spark, sf_dir).where("oof IS NOT NULL")
+    v = preds(spark, sf_dir).where("has_oof")
     a, b, c = q(v, "y", 0.5, 0.9, 0.99)
     seg = F.when(c_y() <= a, "bottom_50").when(c_y() <= b, "50_90").when(c_y() <= c, "90_99").otherwise("top_1")
     return M.segment_report(v, seg).select("segment", r("mae", 3).alias("mae"), r("bias", 3).alias("bias"), "n")
@@ -254,7 +254,7 @@ def r16(spark, sf_dir):
 
 @query("r17_scenario_dynamics", sql(f"SELECT sid, {sr('stddev_samp(y)', 3)} AS target_std, {sr('stddev_samp(oof)', 3)} AS pred_std, {sr('stddev_samp(oof) / (stddev_samp(y) + 1e-6)', 5)} AS ratio FROM vp GROUP BY 1"))
 def r17(spark, sf_dir):
-    v = preds(spark, sf_dir).where("oof IS NOT NULL")
+    v = preds(spark, sf_dir).where("has_oof")
     return v.groupBy("sid").agg(r(F.stddev_samp("y"), 3).alias("target_std"), r(F.stddev_samp("oof"), 3).alias("pred_std"), r(F.stddev_samp("oof") / (F.stddev_samp("y") + 1e-6), 5).alias("ratio"))
 
 
@@ -320,7 +320,7 @@ RUN_SQL = "rn AS (SELECT CAST(id % 25 AS INTEGER) AS run, avg(e) FILTER (fold <
 
 def runs(spark, sf_dir):
     """25 runs, each with a proxy, a leaderboard and an out-of-fold error."""
-    v = preds(spark, sf_dir).where("oof IS NOT NULL")
+    v = preds(spark, sf_dir).where("has_oof")
     return v.groupBy((F.col("id") % 25).cast("int").alias("run")).agg(F.avg(F.when(F.col("fold") < 2, c_err())).alias("proxy"), F.avg(F.when(F.col("fold") >= 2, c_err())).alias("lb"), F.avg(F.abs(c_y() - c_nt())).alias("oo"))
 
 
@@ -352,7 +352,7 @@ def r26(spark, sf_dir):
 
 @query("r27_go_no_go", sql(f"""SELECT {sr('avg(s)', 2)} AS mean_mae, {sr('stddev_samp(s)', 2)} AS std_mae, {sr('avg(s) - avg(o)', 2)} AS gap, CASE WHEN avg(s) <= 100000 AND avg(s) - avg(o) <= 5000 AND stddev_samp(s) <= 5000 THEN 'HIGH' WHEN avg(s) < 200000 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM (SELECT fold, avg(e) AS s, avg(b) AS o FROM vp GROUP BY 1)"""))
 def r27(spark, sf_dir):
-    per = preds(spark, sf_dir).where("oof IS NOT NULL").groupBy("fold").agg(F.avg(c_err()).alias("s"), F.avg(F.abs(c_y() - c_nt())).alias("o"))
+    per = preds(spark, sf_dir).where("has_oof").groupBy("fold").agg(F.avg(c_err()).alias("s"), F.avg(F.abs(c_y() - c_nt())).alias("o"))
     m = per.agg(F.avg("s").alias("m"), F.stddev_samp("s").alias("sd"), (F.avg("s") - F.avg("o")).alias("g"))
     go = (F.col("m") <= 100000) & (F.col("g") <= 5000) & (F.col("sd") <= 5000)
     return m.select(r("m", 2).alias("mean_mae"), r("sd", 2).alias("std_mae"), r("g", 2).alias("gap"), F.when(go, "HIGH").when(F.col("m") < 200000, "MEDIUM").otherwise("LOW").alias("confidence"))
@@ -388,7 +388,7 @@ def r31(spark, sf_dir):
 def r31b(spark, sf_dir):
     pp = preds(spark, sf_dir)
     cuts = dict(zip(("Q85", "Q90", "Q95"), q(pp, "y", 0.85, 0.9, 0.95)))
-    m = M.policy_table(pp.where("oof IS NOT NULL"), {n: c_y() >= c for n, c in cuts.items()}, recovery=lambda c: F.avg(F.when(c, c_oof())) / F.avg(F.when(c, c_y())))
+    m = M.policy_table(pp.where("has_oof"), {n: c_y() >= c for n, c in cuts.items()}, recovery=lambda c: F.avg(F.when(c, c_oof())) / F.avg(F.when(c, c_y())))
     return m.select("method", r("recovery").alias("recovery"))
 
 
@@ -430,12 +430,12 @@ def r35(spark, sf_dir):
 
 @query("r38_log_transform_bias", sql(f"SELECT {sr('(exp(avg(ln(1 + y))) - 1) / avg(y)')} AS transform_bias, {sr('avg(oof) / avg(y)')} AS observed_bias FROM vp"))
 def r38(spark, sf_dir):
-    return preds(spark, sf_dir).where("oof IS NOT NULL").agg(r(F.expm1(F.avg(F.log1p("y"))) / F.avg("y")).alias("transform_bias"), r(F.avg("oof") / F.avg("y")).alias("observed_bias"))
+    return preds(spark, sf_dir).where("has_oof").agg(r(F.expm1(F.avg(F.log1p("y"))) / F.avg("y")).alias("transform_bias"), r(F.avg("oof") / F.avg("y")).alias("observed_bias"))
 
 
 @query("r39_row_order_segments", sql(f"SELECT CAST(least(pos // (n // 10), 9) AS INTEGER) AS segment, CAST(count(*) AS BIGINT) AS n, {sr('avg(e)', 3)} AS mae FROM (SELECT e, row_number() OVER (ORDER BY id) - 1 AS pos, count(*) OVER () AS n FROM vp) GROUP BY 1"))
 def r39(spark, sf_dir):
-    v = preds(spark, sf_dir).where("oof IS NOT NULL").select("id", c_err().alias("e"))
+    v = preds(spark, sf_dir).where("has_oof").select("id", c_err().alias("e"))
     n = v.agg(F.count(F.lit(1)).alias("n")).scalar()
     seg = F.least(F.floor(F.col("pos") / F.floor(n / 10)), F.lit(9)).cast("int")
     return row_positions(v, [], ["id"]).groupBy(seg.alias("segment")).agg(F.count(F.lit(1)).alias("n"), r(F.avg("e"), 3).alias("mae"))

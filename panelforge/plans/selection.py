@@ -13,6 +13,7 @@ from panelforge.plans.aggregates import CORR_SQL, FOLD_TOP_SQL, corr_pairs_sql,
 from panelforge.plans.drift_audit import BASE, IMP_SQL, KNEE_SQL, LIST, LONG_SQL, drift_with_importance, ks_sql, sensor_ks
 from panelforge.plans.features import CATEGORY_SQL, F2_PAIRS, NAMED, STATS_SQL, named_features
 from panelforge.plans.registry import ORDERS_SQL, query, r, sr, with_sql
+from panelforge.session import cut_lineage
 from panelforge.sources import panels as S
 
 SEN = S.SENSORS
@@ -66,7 +67,7 @@ def g2(spark, sf_dir):
 
 
 def filled_named(spark, sf_dir):
-    wide = named_features(spark, sf_dir).select("id", "y", *NAMED)
+    wide = cut_lineage(named_features(spark, sf_dir).select("id", "y", *NAMED))
     return FE.fill_with(wide, FE.fit_medians(wide, NAMED))
 
 
@@ -104,7 +105,7 @@ def a23(spark, sf_dir):
 
 @query("g6_manifest_on_test")
 def g6(spark, sf_dir):
-    wide = named_features(spark, sf_dir).select("id", "is_train", *NAMED)
+    wide = cut_lineage(named_features(spark, sf_dir).select("id", "is_train", *NAMED))
     train = wide.where("is_train")
     ratios = drift.stats_long(train, NAMED, ratio=lambda c: F.avg(c.isNull().cast("double")))
     cut = SE.gap_threshold(ratios).first().threshold
@@ -157,10 +158,14 @@ G_BASE = (STATS_SQL, NOISE_SQL, GLONG_SQL, "gsd AS (SELECT feature, v, is_train
 
 def gated(spark, sf_dir):
     """The validation log of the named features, with hashed noise columns as negative control."""
+    return SE.gate(raw_log(spark, sf_dir))
+
+
+def raw_log(spark, sf_dir):
     noise = {n: ((F.col("id") * (7919 + 2 * i) + 104729 * (i + 1)) % 1009 / 1009.0) for i, n in enumerate(NOISE)}
     rows = named_features(spark, sf_dir).withColumns(noise).withColumn("half", F.col("id") % 2)
-    ks = drift.ks_table(rows, GCOLS, F.col("is_train"))
-    return SE.gate(SE.feature_log(rows, GCOLS, ks))
+    rows = cut_lineage(rows.select("y", "half", "is_train", *GCOLS))  # three passes read it
+    return SE.feature_log(rows, GCOLS, drift.ks_table(rows, GCOLS, F.col("is_train")))
 
 
 @query("g13_validation_gates", with_sql(ORDERS_SQL, f"SELECT feature, {sr('gain', 5)} AS gain, {sr('perm_delta')} AS perm_delta, {sr('marg_corr')} AS marg_corr, {sr('ks_stat')} AS ks_stat, {sr('gain_cv', 4)} AS gain_cv, {sr('sign_stability')} AS sign_stability, beats_noise_gain, beats_noise_perm, passed, array_to_string(rejection_reasons, ',') AS reasons FROM gg", *G_BASE))
@@ -194,9 +199,7 @@ def g15(spark, sf_dir):
 
 @query("g16_noise_immunity", with_sql(ORDERS_SQL, f"SELECT {sr('max(gain) FILTER (is_noise)', 5)} AS noise_max_gain, {sr('count_if(is_noise AND gain > lg) * 1.0 / count_if(is_noise)')} AS noise_survival_rate, (SELECT {sr('-sum(g / s * ln(g / s + 1e-9))', 5)} FROM (SELECT gain AS g, sum(gain) OVER () AS s FROM fl_ WHERE NOT is_noise)) AS usage_entropy FROM fl_, lm", *G_BASE))
 def g16(spark, sf_dir):
-    noise = {n: ((F.col("id") * (7919 + 2 * i) + 104729 * (i + 1)) % 1009 / 1009.0) for i, n in enumerate(NOISE)}
-    rows = named_features(spark, sf_dir).withColumns(noise).withColumn("half", F.col("id") % 2)
-    log = SE.feature_log(rows, GCOLS, drift.ks_table(rows, GCOLS, F.col("is_train")))
+    log = raw_log(spark, sf_dir)
     s = F.sum(F.when(~F.col("is_noise"), F.col("gain"))).over(SE.everything())
     share = F.col("gain") / F.col("s")
     top = F.max(F.when(F.col("is_noise"), F.col("gain")))

@@ -97,9 +97,10 @@ def pred_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         X.stable_round(X.prediction_gap(t, nt), 9).alias("gap"),
         X.stable_round(X.blend_weight(p, t, nt) * X.damping(p, X.prediction_gap(t, nt)), 9).alias("w"),
     )
-    return weighted.select(
-        "*", F.when(i % 7 != 0, X.stable_round(X.blend(F.col("w"), t, nt), 4)).alias("oof")
-    )
+    # One row in seven has no out-of-fold prediction.  Filters use the flag: a filter on ``oof IS NOT NULL`` would
+    # be pushed below the projections and evaluate the whole blend a second time.
+    has = i % 7 != 0
+    return weighted.select("*", has.alias("has_oof"), F.when(has, X.stable_round(X.blend(F.col("w"), t, nt), 4)).alias("oof"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
