@@ -73,8 +73,10 @@ def _by_brackets(df: DataFrame, probs: dict[str, list[float]], counts: dict[str,
         h = (counts[n] - 1) * p
         at = {pos: next((v for a, b, v in found.get(k, []) if a <= pos < b), None) for pos in (math.floor(h), math.ceil(h))}
         lo, hi = at[math.floor(h)], at[math.ceil(h)]
-        if lo is None or hi is None:
-            raise ArithmeticError(f"the sketch bracket of {k} missed its quantile")
+        if lo is None or hi is None:  # the sketch missed: rank all values of this column instead
+            name = f"p{k.rsplit('|', 1)[1]}"
+            out[n][int(name[1:])] = grouped_quantiles(df, [], [n], {name: p}).first()[name]
+            continue
         out[n][int(k.rsplit("|", 1)[1])] = lo + (hi - lo) * (h - math.floor(h))
     return out
 

@@ -76,6 +76,16 @@ def test_bracketed_quantiles(spark, many_ranges, kind):
     assert np.allclose(got, np.quantile(v, ps))
 
 
+def test_quantiles_survive_a_bad_sketch(spark, many_ranges, monkeypatch):
+    from panelforge.operators import quantiles as Q
+
+    monkeypatch.setattr(Q, "_BRACKET", 0.0)
+    monkeypatch.setattr(Q, "_SKETCH_ACCURACY", 5)
+    v = np.random.default_rng(8).normal(size=3000)
+    got = Q.fit_quantiles(spark.createDataFrame(pd.DataFrame({"v": v})), {"v": (F.col("v"), [0.3, 0.9])}, buffer_rows=0)["v"]
+    assert np.allclose(got, np.quantile(v, [0.3, 0.9]))
+
+
 def test_grouped_quantiles(spark, many_ranges):
     df, pdf = panel_frame(spark)
     got = grouped_quantiles(df, ["sid"], ["v"], {"a": 0.25, "b": 0.9}).toPandas().set_index("sid")
