@@ -63,6 +63,12 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without columns named like ``names``, whatever the case."""
+    gone = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
+
+
 def frequent(df: DataFrame, key: str, support: float) -> DataFrame:
     """(key) of the values that hold at least ``support`` of the rows, with some others: at most 1 / support rows.
 
@@ -72,12 +78,12 @@ def frequent(df: DataFrame, key: str, support: float) -> DataFrame:
     return found.select(F.explode("_items").alias(key)).where(F.col(key).isNotNull())
 
 
-def text_batches(it: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
+def text_batches(it: Iterator[pa.RecordBatch], text: str | int, limit: int) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds at most ``limit`` bytes of text (one longer text stands alone)."""
     for batch in it:
         if not batch.num_rows:
             continue
-        col = batch.column(batch.schema.get_field_index(text))
+        col = batch.column(text)
         sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         start, total = 0, 0
         for i, n in enumerate(sizes.tolist()):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from panelforge.llm.common import fresh, frequent, written
+from panelforge.llm.common import fresh, frequent, without, written
 
 #: A digest with at least this share of the rows counts as frequent: at most 1 / SUPPORT winners are broadcast.
 SUPPORT = 1e-3
@@ -26,13 +26,17 @@ def winners(digests: DataFrame, digest: str, id_col: str, support: float = SUPPO
     return written(exact.join(F.broadcast(ties), digest), "dedup-winners")
 
 
-def mark_copies(df: DataFrame, digest: Column, id_col: str, name: str = "digest", support: float = SUPPORT) -> DataFrame:
-    """``df`` with ``name``, ``keep_id``, ``group_size`` and ``kept``: of rows with an equal digest the largest id stays.
+def mark_copies(df: DataFrame, digest: Column, id_col: str, names: tuple[str, str, str, str], support: float = SUPPORT) -> DataFrame:
+    """``df`` with four columns ``names``: digest, id of the row that stays, rows of the group, whether this row stays.
 
-    ``digest`` must not be null (give null content a digest of its own). A null id loses against any other; if all ids of a
-    group are null, ``keep_id`` is null. Of rows that repeat the winning id, one stays. ``df`` must have no column named
-    like the four new ones (whatever the case); an empty table stays empty.
+    Of rows with an equal digest the largest id stays. ``digest`` must not be null (give null content a digest of its own).
+    A null id loses against any other; if all ids of a group are null, the id that stays is null. Of rows that repeat the
+    winning id, one stays. Columns of ``df`` named like the new ones (whatever the case) are replaced, others are kept as they
+    are; an empty table stays empty.
     """
+    name, keep_name, rows_name, kept_name = names
+    df = without(df.withColumn(key := fresh(df, "_key")[0], digest), *names)
+    digest = F.col(key)
     row, keep, rows, ties, rank = fresh(df, "_row", "_keep", "_rows", "_ties", "_rank")
     digests = written(df.select(F.col(id_col), digest.alias(name)), "dedup-digests")
     # Renamed, so that no column of df can clash with it.
@@ -48,19 +52,23 @@ def mark_copies(df: DataFrame, digest: Column, id_col: str, name: str = "digest"
     else:
         settled = F.col(id_col).eqNullSafe(F.col(keep))
     split = full.join(F.broadcast(top), name, "left")
-    cols = [F.col(f"`{c}`") for c in df.columns]
-    hot = split.where(F.col(rows).isNotNull()).select(*cols, name, F.col(keep).alias("keep_id"), F.col(rows).alias("group_size"), settled.alias("kept"))
+    cols = [F.col(f"`{c}`") for c in df.columns if c != key]
+    hot = split.where(F.col(rows).isNotNull()).select(*cols, name, F.col(keep).alias(keep_name), F.col(rows).alias(rows_name), settled.alias(kept_name))
     group = W.partitionBy(name)
     rest = split.where(F.col(rows).isNull()).select(
         *cols,
         name,
-        F.max(id_col).over(group).alias("keep_id"),
-        F.count(F.lit(1)).over(group).alias("group_size"),
-        (F.row_number().over(group.orderBy(F.col(id_col).desc_nulls_last())) == 1).alias("kept"),
+        F.max(id_col).over(group).alias(keep_name),
+        F.count(F.lit(1)).over(group).alias(rows_name),
+        (F.row_number().over(group.orderBy(F.col(id_col).desc_nulls_last())) == 1).alias(kept_name),
     )
     return hot.unionByName(rest)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
-    """``docs`` with ``text_sha256``, ``keep_id``, ``group_size`` and ``kept``; null text equals empty text."""
-    return mark_copies(docs, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), id_col, "text_sha256", support)
+#: Names of the columns that ``exact_dedup`` adds.
+MARKS = ("text_sha256", "keep_id", "group_size", "kept")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, str, str, str] = MARKS, support: float = SUPPORT) -> DataFrame:
+    """``docs`` with its texts' SHA-256 and the columns of ``mark_copies``; null text equals empty text."""
+    return mark_copies(docs, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), id_col, names, support)

@@ -28,4 +28,5 @@ class TaskFiles:
         """(name, stream) of the next file."""
         name = f"{self.prefix}-{self.made:04d}{self.suffix}"
         self.made += 1
-        return name, self.system.open_output_stream(f"{self.folder}/{name}")
+        # Without this, a name that ends in .gz would compress the stream once more.
+        return name, self.system.open_output_stream(f"{self.folder}/{name}", compression=None)

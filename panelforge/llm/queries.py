@@ -6,12 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelforge.llm.common import table
+from panelforge.llm.decontaminate import find_leaks
 from panelforge.llm.exact_dedup import exact_dedup
+from panelforge.llm.language_id import held_out, identify, train
+from panelforge.llm.license_scan import license_scan
 from panelforge.llm.packing import pack
 from panelforge.llm.registry import QUERIES, SQL, query
 from panelforge.llm.sharding import shard_records
+from panelforge.llm.signature_join import similar_groups
 from panelforge.llm.token_counts import token_counts
 from panelforge.llm.token_store import token_store
+from panelforge.llm.warc import archive
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
@@ -22,6 +27,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), limit=2048)
 
 
+@query()
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    model = train(docs.where(~held_out(F.col("doc_id"))))
+    found = identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 @query(
     """
     WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
@@ -39,6 +52,75 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_records(table(spark, sf_dir, "documents"), [1.0] * 16, [1.0] * 17)
 
 
+@query()
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+#: Words of a text in SQL: ASCII letters lower-cased, everything but other ASCII characters.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: Distinct shingles of a list of words w: of five words, or the whole of fewer.
+_FIVES = "list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [list_aggregate(w, 'string_agg', ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i + 4], 'string_agg', ' ')) END)"
+
+
+@query(
+    f"""
+    WITH i AS (SELECT item_id, {_WORDS} AS v FROM benchmark),
+    parts AS (SELECT item_id, 'q' AS part, v[1:(len(v) + 1) // 2] AS w FROM i UNION ALL SELECT item_id, 'a', v[(len(v) + 1) // 2 + 1:] FROM i),
+    s AS (SELECT item_id, part, unnest({_FIVES}) AS s FROM parts),
+    n AS (SELECT item_id, part, count(*) AS n FROM s GROUP BY ALL),
+    d AS (SELECT doc_id, unnest({_FIVES}) AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+    o AS (SELECT doc_id, item_id, part, count(*) AS k FROM d JOIN s USING (s) GROUP BY ALL),
+    r AS (SELECT doc_id, item_id, max(k / n) FILTER (part = 'q') AS q, max(k / n) FILTER (part = 'a') AS a FROM o JOIN n USING (item_id, part) GROUP BY ALL)
+    SELECT doc_id, item_id, round(q, 6) AS question_overlap, round(a, 6) AS answer_overlap FROM r WHERE q >= 0.8 AND a >= 0.8
+    """
+)
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    overlaps = [F.round(c, 6).alias(c) for c in ("question_overlap", "answer_overlap")]
+    return found.select("doc_id", "item_id", *overlaps)
+
+
+_SHINGLES4 = (
+    "list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [list_aggregate(w, 'string_agg', ' ')] "
+    "ELSE list_transform(range(1, len(w) - 2), lambda i: list_aggregate(w[i:i + 3], 'string_agg', ' ')) END)"
+)
+
+
+@query(
+    rf"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents
+    ),
+    d AS MATERIALIZED (SELECT doc_id, {_SHINGLES4} AS s FROM w),
+    s AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS s FROM d),
+    links AS MATERIALIZED (
+        SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id
+        GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))
+    ),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+    SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, min(reach.b) AS component_id FROM d JOIN reach ON d.doc_id = reach.a GROUP BY d.doc_id, d.s
+    """
+)
+def op7_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_groups(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+@query(
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+    g AS (SELECT page_id, strlen(h) AS n, sha1(h) AS d, max(page_id) OVER (PARTITION BY h) AS m FROM p)
+    SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= 1000 AND page_id <> m THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN n >= 1000 AND page_id <> m THEN m END AS refers_to
+    FROM g
+    """
+)
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = archive(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query()
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), end_id=0)
