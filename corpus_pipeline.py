@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelforge.llm.common import fresh, table, written
-from panelforge.llm.decontaminate import find_leaks
+from panelforge.llm.decontaminate import drop_leaks
 from panelforge.llm.exact_dedup import exact_dedup
 from panelforge.llm.language_id import identify, train
 from panelforge.llm.packing import pack
@@ -34,16 +34,23 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of 0.8 or more over five-word shingles connect, the one with the smallest id stays."""
-    groups = written(similar_groups(docs, k=5, percent=80), "pipeline-groups")
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of documents that links of 0.8 or more over five-word shingles connect, one stays.
 
+    A document is known by the hash of its id and text, so null and repeated ids do no harm; which one stays is decided by it.
+    """
+    key = fresh(docs, "_document")[0]
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    groups = written(similar_groups(keyed, k=5, percent=80, id_col=key), "pipeline-groups")
+    gone = groups.where(F.col(key) != F.col("component_id")).select(key).distinct()
+    kept = keyed.join(gone, key, "left_anti")
+    if groups.groupBy(key).count().where("count > 1").head(1):
+        kept = kept.dropDuplicates([key])
+    return kept.select(*docs.columns)
 
-def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that repeat a benchmark item go."""
-    leaks = written(find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "pipeline-leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +62,7 @@ STAGES = [
     ("language_id", keep_languages),
     ("exact_dedup", drop_copies),
     ("near_dedup", drop_near_copies),
-    ("decontaminate", drop_leaks),
+    ("decontaminate", decontaminate),
     ("pack", pack_sequences),
 ]
 

@@ -12,10 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelforge.llm.common import ship_package, text_batches
 from panelforge.llm.words import word_lists
@@ -27,6 +28,7 @@ SHARE = 0.5
 SHINGLE, OVERLAP = 5, 0.8
 #: An index holds at most so many bytes of test items; more items make more indexes, each with a pass over the texts.
 INDEX_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 
 
 def all_words(text: str | None) -> list[bytes]:
@@ -141,16 +143,28 @@ def verified(index: Index, terms: np.ndarray, found: dict[int, float]) -> list[t
     return out
 
 
+def leaks_of(index: Index, text: str | None) -> list[tuple[int, float, float, float]]:
+    """(item, score, question overlap, answer overlap) of the items that a text repeats."""
+    get = index.terms.get
+    parts = [np.fromiter((get(w, -1) for w in part), np.int64, len(part)) for part in word_lists(text)]
+    terms = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return verified(index, terms, retrieve(index, terms))
+
+
+def _filter(shared, at: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(it, at, BATCH_BYTES):
+            yield batch.filter(pa.array([not leaks_of(shared.value, t) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return run
+
+
 def _search(shared):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
-        get = index.terms.get
-        for batch in text_batches(it, "text", 8 << 20):
+        for batch in text_batches(it, "text", BATCH_BYTES):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parts = [np.fromiter((get(w, -1) for w in part), np.int64, len(part)) for part in word_lists(text)]
-                terms = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-                rows += [(doc, *hit) for hit in verified(index, terms, retrieve(index, terms))]
+                rows += [(doc, *hit) for hit in leaks_of(shared.value, text)]
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
             cols = [*zip(*rows)] or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
@@ -165,6 +179,20 @@ def halves(text: str | None) -> tuple[str, str]:
     return b" ".join(words[:cut]).decode(), b" ".join(words[cut:]).decode()
 
 
+def indexes(spark: SparkSession, items: DataFrame, item_col: str, question_col: str, answer_col: str | None, index_bytes: int) -> list:
+    """Broadcast indexes of the test items, each of about ``index_bytes`` of text at most; the driver holds one part at a time."""
+    answer = F.col(answer_col) if answer_col else F.lit(None).cast("string")
+    tests = items.select(F.col(item_col).cast("long").alias("item"), F.col(question_col).alias("question"), answer.alias("answer"))
+    size = F.octet_length(F.coalesce("question", F.lit(""))) + F.octet_length(F.coalesce("answer", F.lit("")))
+    total = tests.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    parts, out = max(1, -(-total // index_bytes)), []
+    for k in range(parts):
+        mine = tests.where(F.pmod(F.xxhash64("item", "question"), F.lit(parts)) == k).collect()
+        triples = [(r["item"], *((r["question"], r["answer"]) if answer_col else halves(r["question"]))) for r in mine]
+        out.append(spark.sparkContext.broadcast(build_index(triples)))
+    return out
+
+
 def find_leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -175,25 +203,25 @@ def find_leaks(
     answer_col: str | None = None,
     index_bytes: int = INDEX_BYTES,
 ) -> DataFrame:
-    """(doc_id, item_id, score, question_overlap, answer_overlap) of each text that repeats a test item; one row for each row of ``docs``.
+    """(doc_id, item_id, score, question_overlap, answer_overlap) for each row of ``docs`` and test item that its text repeats.
 
-    Without ``answer_col`` an item's words are halved into question and answer. The test items go to the driver in parts of at most about
-    ``index_bytes``; each part is one index, broadcast to the tasks, and one pass over the texts. Null or empty texts and
-    items match nothing; an item repeated under several ids is found under each; an empty table gives no rows; other columns are not read.
+    Without ``answer_col`` an item's words are halved into question and answer. Each index of test items is one pass over
+    the texts. Null or empty texts and items match nothing; an item repeated under several ids is found under each;
+    rows with a repeated or null id give their own rows; an empty table gives none; other columns are not read.
     """
-    spark = docs.sparkSession
-    ship_package(spark)
-    answer = F.col(answer_col) if answer_col else F.lit(None).cast("string")
-    tests = items.select(F.col(item_col).cast("long").alias("item"), F.col(question_col).alias("question"), answer.alias("answer"))
-    size = F.octet_length(F.coalesce("question", F.lit(""))) + F.octet_length(F.coalesce("answer", F.lit("")))
-    total = tests.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    parts = max(1, -(-total // index_bytes))
+    ship_package(docs.sparkSession)
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = None
-    for k in range(parts):
-        mine = tests.where(F.pmod(F.xxhash64("item", "question"), F.lit(parts)) == k).collect()
-        triples = [(r["item"], *((r["question"], r["answer"]) if answer_col else halves(r["question"]))) for r in mine]
-        shared = spark.sparkContext.broadcast(build_index(triples))
-        hits = read.mapInArrow(_search(shared), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
-        out = hits if out is None else out.unionAll(hits)
-    return out
+    schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+    hits = [read.mapInArrow(_search(i), schema) for i in indexes(docs.sparkSession, items, item_col, question_col, answer_col, index_bytes)]
+    return reduce(DataFrame.unionAll, hits)
+
+
+def drop_leaks(
+    docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", question_col: str = "text", answer_col: str | None = None, index_bytes: int = INDEX_BYTES
+) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text repeats no test item; decided where a row stands, without a shuffle."""
+    ship_package(docs.sparkSession)
+    at = docs.columns.index(text_col)
+    for i in indexes(docs.sparkSession, items, item_col, question_col, answer_col, index_bytes):
+        docs = docs.mapInArrow(_filter(i, at), docs.schema)
+    return docs

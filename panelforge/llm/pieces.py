@@ -10,6 +10,7 @@ A character's class is asked from the library's own pre-tokenizer when the chara
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -52,6 +53,7 @@ class Splitter:
         #: Whether a pre-token takes the space before it and numbers stay together.
         self.joins_space = len(probe) == 3
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._special = re.compile("|".join(re.escape(s) for s in sorted(self.specials, key=len, reverse=True)))
         self.classes = np.full(0x110000, UNKNOWN, np.uint8)
 
     def _classify(self, points: np.ndarray) -> None:
@@ -174,10 +176,28 @@ class Splitter:
     def special_in(self, text: str) -> bool:
         return any(s in text for s in self.specials)
 
+    def between_specials(self, text: str) -> list[str]:
+        """The stretches of a text around its special strings."""
+        return self._special.split(text) if self.special_in(text) else [text]
+
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+#: Longer texts are split in parts.
+PART = 1 << 20
+_WORD_END = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+
+
+def parts(text: str) -> list[str]:
+    """A long text in parts, cut before a space between two letters, where every pre-token ends; others stay whole."""
+    out, at = [], 0
+    while len(text) - at > PART and (cut := _WORD_END.search(text, at + PART)):
+        out.append(text[at : cut.start()])
+        at = cut.start()
+    return [*out, text[at:]]
+
+
 class Encoder:
     """Token ids of batches of texts; what a worker has seen is kept in a table of bounded size."""
 
@@ -195,20 +215,25 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids as uint32, and the number of ids of each text."""
-        s = self.splitter
-        odd = [i for i, t in enumerate(texts) if s.special_in(t)]
-        if odd:
-            plain = list(texts)
-            for i in odd:
-                plain[i] = ""
-            ids, counts = self._plain(plain)
-            ends = np.cumsum(counts)
-            parts, at = [], 0
-            for i in odd:
-                parts += [ids[at : ends[i]], np.array(s.whole(texts[i]), np.uint32)]
-                at, counts[i] = ends[i], len(parts[-1])
-            return np.concatenate([*parts, ids[at:]]), counts
-        return self._plain(texts)
+        odd = [i for i, t in enumerate(texts) if len(t) > PART or self.splitter.special_in(t)]
+        if not odd:
+            return self._plain(texts)
+        plain = list(texts)
+        for i in odd:
+            plain[i] = ""
+        ids, counts = self._plain(plain)
+        ends = np.cumsum(counts)
+        out, at = [], 0
+        for i in odd:
+            out += [ids[at : ends[i]], self._alone(texts[i])]
+            at, counts[i] = ends[i], len(out[-1])
+        return np.concatenate([*out, ids[at:]]), counts
+
+    def _alone(self, text: str) -> np.ndarray:
+        """Ids of a text with special strings or of great length."""
+        if self.splitter.special_in(text):
+            return np.array(self.splitter.whole(text), np.uint32)
+        return np.concatenate([self._plain([p])[0] for p in parts(text)])
 
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         s = self.splitter

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelforge.llm.common import fresh, numbered, written
+from panelforge.llm.common import numbered, written
 
 
 def score(key: Column, shard: int, weight: float) -> Column:

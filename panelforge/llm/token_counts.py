@@ -11,7 +11,6 @@ A very frequent pre-token is one entry of each block, and a very long text fills
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +18,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from panelforge.llm.common import fresh, ship_package, text_batches, written
-from panelforge.llm.pieces import splitter
+from panelforge.llm.common import ship_package, text_batches, written
+from panelforge.llm.pieces import parts, splitter
 
 #: Bytes of text that are split at once, and that share one list of distinct pre-tokens.
 SPLIT_BYTES, BLOCK_BYTES = 1 << 20, 24 << 20
@@ -55,15 +54,25 @@ class _Block:
     def add(self, ids: pa.Array, texts: list[str], split) -> None:
         segments, owner = [], []
         base = len(self.sizes)
-        pattern = re.compile("|".join(map(re.escape, sorted(split.specials, key=len, reverse=True)))) if split.specials else None
         for i, t in enumerate(texts):
-            own = pattern.split(t) if pattern is not None and split.special_in(t) else [t]
-            segments += own
-            owner += [i] * len(own)
+            own = split.between_specials(t)
             self.sizes.append(len(t.encode()))
             self.specials.append(len(own) - 1)
+            cut = [p for o in own for p in parts(o)]
+            segments += cut
+            owner += [i] * len(cut)
         self.ids.append(ids)
         self.bytes += sum(self.sizes[base:])
+        at = 0
+        while at < len(segments):
+            end, size = at, 0
+            while end < len(segments) and (end == at or size + len(segments[end]) <= SPLIT_BYTES):
+                size += len(segments[end])
+                end += 1
+            self._count(segments[at:end], np.array(owner[at:end], np.int64) + base, split)
+            at = end
+
+    def _count(self, segments: list[str], owner: np.ndarray, split) -> None:
         joined, number, starts, ends, hashes = split.split([split.normalized(s) for s in segments])
         if not len(hashes):
             return
@@ -71,9 +80,8 @@ class _Block:
         for h, a, b in zip(new.tolist(), starts[at].tolist(), ends[at].tolist()):
             if h not in self.words:
                 self.words[h] = joined[a:b]
-        doc = np.array(owner, np.int64)[number]
-        pair, n = np.unique(doc * len(new) + back, return_counts=True)
-        self.parts.append((pair // len(new) + base, new[pair % len(new)], n))
+        pair, n = np.unique(owner[number] * len(new) + back, return_counts=True)
+        self.parts.append((pair // len(new), new[pair % len(new)], n))
 
     def row(self, block: int, slices: int) -> dict:
         """Pre-tokens stand in the order of their slice; a document's pairs stand in the order of the list, as differences."""
