@@ -52,6 +52,15 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A stored table of keys with at most so many rows may be broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(stored: DataFrame) -> DataFrame:
+    """``stored`` (a few short columns) marked for a broadcast if it has few rows; else left to an ordinary join."""
+    return F.broadcast(stored) if stored.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else stored
+
+
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
     """Column names close to ``wanted`` that no column of ``df`` has, whatever the case."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -95,7 +104,7 @@ def text_batches(it: Iterator[pa.RecordBatch], text: str | int, limit: int) -> I
 
 
 #: Rows that one task numbers, as long as that makes no more than MOST_BUCKETS buckets.
-BUCKET_ROWS, MOST_BUCKETS = 10_000, 100_000
+BUCKET_ROWS, MOST_BUCKETS = 1_000, 100_000
 
 
 def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], name: str) -> DataFrame:

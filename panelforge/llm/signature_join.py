@@ -21,14 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from panelforge.llm.common import ship_package, text_batches, written
+from panelforge.llm.common import broadcast_if_small, ship_package, text_batches, written
 from panelforge.llm.components import components
 from panelforge.llm.shingles import set_digest, shingle_sets
 
 #: Documents of a task are counted in lots of so many shingles; a task reports at most TASK_FREQUENT shingles.
 LOT, TASK_FREQUENT, MOST_FREQUENT = 4_000_000, 20_000, 50_000
 #: Bits of a signature for each shingle, classes of a leaf, children of a node, classes of a tile.
-BITS, LEAF, FAN, TILE = 16, 8, 8, 512
+BITS, LEAF, FAN, TILE = 2, 8, 8, 512
 SPLIT_BYTES = 1 << 20
 
 
@@ -141,13 +141,21 @@ def _prefix_rows(k: int, percent: int, shared):
 
 
 def _set_rows(k: int):
+    """(node, home, pivot, hashes, bits) for texts that come with the first three; a task gives a class once."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in text_batches(it, "text", SPLIT_BYTES):
-            sets = shingle_sets(batch.column(1).to_pylist(), k)
+            sets = shingle_sets(batch.column(3).to_pylist(), k)
             # Another text may share the id and the hash by which this one was found.
-            own = [(n, s) for n, s in zip(batch.column(0).to_pylist(), sets) if set_digest(s) == n]
-            cols = [n for n, _ in own], [s.tobytes() for _, s in own], [signature(s).tobytes() for _, s in own]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary()))], names=["node", "hashes", "bits"])
+            use = []
+            for i, (node, s) in enumerate(zip(batch.column(0).to_pylist(), sets)):
+                if node not in seen and set_digest(s) == node:
+                    seen.add(node)
+                    use.append(i)
+            own = batch.select([0, 1, 2]).take(pa.array(use, pa.int64()))
+            cols = [pa.array([f(sets[i]).tobytes() for i in use], pa.binary()) for f in (np.asarray, signature)]
+            yield pa.RecordBatch.from_arrays([*own.columns, *cols], names=["node", "home", "pivot", "hashes", "bits"])
 
     return run
 
@@ -160,21 +168,53 @@ def signature(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
+def _with_pivot(percent: int):
+    """Links (a, b) of classes with their pivot; rows (home, part, pivot, node, hashes) come by part, the pivot first."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, pivot, against = None, None, None
+        for batch in it:
+            found = []
+            for home, salt, first, node, hashes in zip(*(c.to_pylist() for c in batch.columns)):
+                if (home, salt) != part:
+                    part, pivot, against = (home, salt), None, None
+                if first:
+                    pivot, against = node, np.frombuffer(hashes, np.uint64)
+                elif pivot is not None and links(np.frombuffer(hashes, np.uint64), against, percent):
+                    found.append((node, pivot))
+            yield _pairs(found)
+
+    return run
+
+
 def _verify(percent: int):
+    """Links among rows (a, b, node, hashes) that come by (a, b)."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in it:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            ok = [links(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(a, b)]
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+            found = []
+            for a, b, node, hashes in zip(*(c.to_pylist() for c in batch.columns)):
+                own = (a, b, node, np.frombuffer(hashes, np.uint64))
+                if last is not None and last[:2] == own[:2] and last[2] != node and links(last[3], own[3], percent):
+                    found.append((a, b))
+                last = own
+            yield _pairs(found)
 
     return run
 
 
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("_b"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "_a", "_b")
-    return both.mapInArrow(_verify(percent), "a long, b long")
+    """The pairs of a stored table that are links. Each pair brings its two sets together once."""
+    sides = broadcast_if_small(pairs).select("a", "b", F.explode(F.array("a", "b")).alias("node"))
+    both = sets.select("node", "hashes").join(sides, "node").select("a", "b", "node", "hashes")
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = both.repartition(n, "a", "b").sortWithinPartitions("a", "b", "node")
+    return ordered.mapInArrow(_verify(percent), "a long, b long").distinct()
 
 
 class Tree:
@@ -282,10 +322,23 @@ def _bucket(percent: int):
     return run
 
 
+def _links_with_pivots(sets: DataFrame, percent: int) -> DataFrame:
+    """Links of classes with the pivot of their home bucket. The pivot's row knows how many classes the bucket has: a large bucket
+    is cut in parts, and its pivot goes to each of them."""
+    spread = sets.where(F.col("pivot").isNotNull()).withColumn("part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("pivot") / TILE).cast("int") - 1)))
+    sizes = sets.where(F.col("pivot") > TILE).select("home", F.ceil(F.col("pivot") / TILE).cast("int").alias("_parts"))
+    others = sets.where(F.col("pivot").isNull()).join(broadcast_if_small(written(sizes, "join-homes")), "home", "left")
+    others = others.withColumn("part", F.pmod(F.xxhash64("node"), F.coalesce("_parts", F.lit(1))).cast("int"))
+    cols = ["home", "part", F.col("pivot").isNotNull().alias("first"), "node", "hashes"]
+    both = spread.where(F.col("pivot") > 1).select(*cols).unionAll(others.select(*cols))
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = both.repartition(n, "home", "part").sortWithinPartitions("home", "part", F.desc("first"))
+    return ordered.mapInArrow(_with_pivot(percent), "a long, b long").distinct()
+
+
 def _in_tiles(rows: DataFrame) -> DataFrame:
-    """Rows of large buckets once for each pair of tiles that their own tile is in; groups hold two tiles at most."""
-    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_rows"))
-    cut = rows.join(counts, "key").withColumn("_tiles", F.ceil(F.col("_rows") / TILE).cast("int"))
+    """Rows (with ``_rows`` of their bucket) of large buckets once for each pair of tiles that their own tile is in; groups hold two tiles at most."""
+    cut = rows.withColumn("_tiles", F.ceil(F.col("_rows") / TILE).cast("int"))
     own = cut.withColumn("tile", F.pmod(F.xxhash64("node"), F.col("_tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))
     pairs = own.select("*", other.alias("_other"))
@@ -332,18 +385,24 @@ def similar_groups(
     one = F.min(F.struct(F.coalesce("id", F.lit((1 << 63) - 1)), "id", "hash"))
     classes = texts.where(F.col("node").isNotNull()).groupBy("node").agg(one.alias("_one")).select("node", "_one.id", "_one.hash")
     homes = buckets.groupBy("node").agg(F.min("key").alias("home"), F.max("n").alias("n"))
-    wanted = homes.join(classes, "node").select("node", F.col("id").alias("_id"), F.col("hash").alias("_hash"))
-    found = wanted.join(read, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("hash"))).select("node", "text")
-    sets = written(found.mapInArrow(_set_rows(k), "node long, hashes binary, bits binary").dropDuplicates(["node"]), "join-sets")
+    pivots = homes.groupBy("home").agg(F.max(F.struct("n", "node")).getField("node").alias("_pivot"), F.count(F.lit(1)).alias("members"))
+    placed = homes.join(pivots, "home").select("node", "home", (F.col("node") == F.col("_pivot")).alias("pivot"), "members")
+    wanted = placed.join(classes, "node").select("node", "home", F.when(F.col("pivot"), F.col("members")).alias("pivot"), F.col("id").alias("_id"), F.col("hash").alias("_hash"))
+    wanted = broadcast_if_small(written(wanted, "join-wanted"))
+    same = F.col("_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("hash"))
+    found = read.join(wanted, same).select("node", "home", "pivot", "text")
+    sets = written(found.mapInArrow(_set_rows(k), "node long, home long, pivot long, hashes binary, bits binary"), "join-sets")
 
-    pivots = homes.groupBy("home").agg(F.max(F.struct("n", "node")).getField("node").alias("b"))
-    trial = homes.join(pivots, "home").where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b")
-    first = written(_verified(trial, sets, percent), "join-links")
+    first = written(_links_with_pivots(sets, percent), "join-links")
 
     labels = first.select(F.col("a").alias("node"), F.col("b").alias("label"))
     labelled = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where(F.col("_lo") != F.col("_hi")).select("key")
-    left = written(labelled.join(open_keys, "key"), "join-open")
+    # Of buckets with the same classes one is enough.
+    members = labelled.groupBy("key").agg(
+        F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("_rows"), F.bit_xor(F.xxhash64("node")).alias("_x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("_y")
+    )
+    open_keys = members.where(F.col("_lo") != F.col("_hi")).groupBy("_lo", "_hi", "_rows", "_x", "_y").agg(F.min("key").alias("key"))
+    left = written(labelled.join(open_keys.select("key", "_rows"), "key").select("key", "node", "n", "label", "_rows"), "join-open")
     tiled = _in_tiles(left).join(sets.select("node", "bits"), "node")
     possible = tiled.groupBy("key", "t", "u").applyInArrow(_bucket(percent), "a long, b long").distinct()
     more = _verified(written(possible, "join-pairs"), sets, percent)
