@@ -103,6 +103,12 @@ def text_batches(it: Iterator[pa.RecordBatch], text: str | int, limit: int) -> I
         yield batch.slice(start)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting."""
+    s = np.sort(values)
+    return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
+
+
 #: Rows that one task numbers, as long as that makes no more than MOST_BUCKETS buckets.
 BUCKET_ROWS, MOST_BUCKETS = 1_000, 100_000
 

@@ -18,17 +18,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelforge.llm.common import ship_package, text_batches
+from panelforge.llm.common import distinct, ship_package, text_batches
 from panelforge.llm.words import word_lists
 
 PASSAGE = 64
 K1, B = 1.2, 0.75
-BLOCK = 16
+BLOCK = 4
+#: Words that stand in more than COMMON blocks enter the first bound by their largest contribution to any item, not by their lists.
+COMMON = 64
+#: Words of texts that are searched at once, and list entries that are summed at once.
+SPAN, ENTRIES = 1 << 18, 1 << 21
 SHARE = 0.5
 SHINGLE, OVERLAP = 5, 0.8
 #: An index holds at most so many bytes of test items; more items make more indexes, each with a pass over the texts.
 INDEX_BYTES = 32 << 20
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def all_words(text: str | None) -> list[bytes]:
@@ -47,10 +51,13 @@ class Index:
     items: list[int]
     terms: dict[bytes, int]
     highest: np.ndarray  # of each term over all items
-    blocks: list[dict[int, float]]  # of each term: block of items -> largest contribution
+    size: np.ndarray  # of each term: blocks of items that have it
+    start: np.ndarray  # of each term: its first entry in the next two
+    block: np.ndarray
+    value: np.ndarray  # largest contribution in that block
     postings: list[dict[int, float]]  # of each item: term -> contribution
     thresholds: np.ndarray
-    least: list[float]  # of each block: smallest threshold
+    least: np.ndarray  # of each block: smallest threshold
     parts: list[tuple[set[tuple], set[tuple]]]  # of each item: question and answer shingles, as term numbers
 
     def lowest(self) -> float:
@@ -86,41 +93,84 @@ def build_index(items: list[tuple[int, str | None, str | None]]) -> Index:
         for t, v in own.items():
             blocks[t][i // BLOCK] = max(blocks[t].get(i // BLOCK, 0.0), v)
     highest = np.array([max(b.values()) for b in blocks])
-    least = [min(thresholds[k : k + BLOCK]) for k in range(0, n, BLOCK)]
+    size = np.array([len(b) for b in blocks], np.int64)
+    block = np.array([k for b in blocks for k in b], np.int64)
+    value = np.array([v for b in blocks for v in b.values()])
+    least = np.array([min(thresholds[k : k + BLOCK]) for k in range(0, n, BLOCK)])
     parts = [(shingles(q), shingles(a)) for q, a in numbers]
-    return Index([i for i, _, _ in words], terms, highest, blocks, postings, np.array(thresholds), least, parts)
-
-
-def retrieve(index: Index, terms: np.ndarray) -> dict[int, float]:
-    """Items (by place in the index) with a passage of the text above their threshold, and the largest score. ``terms``: -1 for other words."""
-    if not len(terms) or not len(index.items):
-        return {}
-    step = PASSAGE // 2
-    starts = np.arange(0, max(1, len(terms) - step), step)
-    ends = np.minimum(starts + PASSAGE, len(terms))
-    total = np.concatenate([[0.0], np.cumsum(np.where(terms >= 0, index.highest[terms], 0.0))])
-    found: dict[int, float] = {}
-    lowest = index.lowest() - 1e-9
-    # A word that stands twice in the passage only raises this bound.
-    for k in np.flatnonzero(total[ends] - total[starts] >= lowest - 1e-6).tolist():
-        own = sorted({t for t in terms[starts[k] : ends[k]].tolist() if t >= 0}, key=index.highest.__getitem__)
-        # The commonest words together cannot reach any threshold: candidates come from the lists of the others.
-        cut, rest = 0, 0.0
-        while cut < len(own) and rest + index.highest[own[cut]] < lowest:
-            rest += index.highest[own[cut]]
-            cut += 1
-        bound: dict[int, float] = {}
-        for t in own[cut:]:
-            for b, v in index.blocks[t].items():
-                bound[b] = bound.get(b, 0.0) + v
-        for b, v in bound.items():
-            if v + rest < index.least[b] or v + sum(index.blocks[t].get(b, 0.0) for t in own[:cut]) < index.least[b]:
-                continue
+    return Index([i for i, _, _ in words], terms, highest, size, np.cumsum(size) - size, block, value, postings, np.array(thresholds), least, parts)
+
+
+def retrieve(index: Index, docs: list[np.ndarray]) -> list[dict[int, float]]:
+    """For each text the items (by place in the index) with a passage above their threshold, and the largest score.
+
+    A text is an array of term numbers, -1 for words of no item.
+    """
+    step, found = PASSAGE // 2, [{} for _ in docs]
+    if not len(index.items):
+        return found
+    spans = [(d, t[a : a + SPAN + step]) for d, t in enumerate(docs) for a in range(0, max(1, len(t) - step), SPAN) if len(t)]
+    owner, at = [], 0
+    while at < len(spans):
+        end, size = at, 0
+        while end < len(spans) and (end == at or size + len(spans[end][1]) <= SPAN):
+            size += len(spans[end][1])
+            end += 1
+        owner = np.array([d for d, _ in spans[at:end]])
+        _passages(index, owner, [t for _, t in spans[at:end]], found)
+        at = end
+    return found
+
+
+def _passages(index: Index, owner: np.ndarray, texts: list[np.ndarray], found: list[dict[int, float]]) -> None:
+    step, lowest = PASSAGE // 2, index.lowest() - 1e-9
+    lens = np.array([len(t) for t in texts])
+    count = np.maximum(1, -(-lens // step) - 1)  # passages of each text
+    base = np.cumsum(count) - count
+    terms = np.concatenate(texts)
+    use = np.flatnonzero(terms >= 0)
+    half = (np.arange(len(terms)) - np.repeat(np.cumsum(lens) - lens, lens))[use] // step
+    first, last = np.repeat(base, lens)[use], np.repeat(base + count - 1, lens)[use]
+    terms = terms[use]
+    # Each half belongs to the passage that it begins and to the one that it ends; a word counts once in a passage.
+    key = distinct(np.concatenate([np.minimum(first + half, last), np.maximum(first + half - 1, first)]) * len(index.terms) + np.tile(terms, 2))
+    w, t = key // len(index.terms), key % len(index.terms)
+    total = int(count.sum())
+    keep = np.bincount(w, index.highest[t], total)[w] >= lowest
+    w, t = w[keep], t[keep]
+    common = index.size[t] > COMMON
+    rest = np.bincount(w, np.where(common, index.highest[t], 0.0), total)
+    row = np.flatnonzero(~common)
+    cost = np.cumsum(index.size[t[row]])
+    n, at = len(index.least), 0
+    while at < len(row):
+        # Whole passages, with a bounded number of list entries and of (passage, block) sums.
+        end = int(np.searchsorted(cost, (cost[at - 1] if at else 0) + ENTRIES, side="right"))
+        end = min(max(end, at + 1), int(np.searchsorted(w[row], w[row[at]] + max(1, ENTRIES // n))))
+        end = int(np.searchsorted(w[row], w[row[min(end, len(row) - 1)]])) if end < len(row) else end
+        end = end if end > at else int(np.searchsorted(w[row], w[row[at]], side="right"))
+        own = row[at:end]
+        size = index.size[t[own]]
+        entry = np.arange(int(size.sum())) + np.repeat(index.start[t[own]] - np.cumsum(size) + size, size)
+        low, high = w[own[0]], w[own[-1]] + 1
+        sums = np.bincount((np.repeat(w[own], size) - low) * n + index.block[entry], index.value[entry], (high - low) * n).reshape(-1, n)
+        for p, b in zip(*np.nonzero((sums + rest[low:high, None] >= index.least - 1e-6) & (sums > 0))):
+            mine = t[np.searchsorted(w, low + p) : np.searchsorted(w, low + p, side="right")].tolist()
+            doc = owner[np.searchsorted(base, low + p, side="right") - 1]
             for i in range(b * BLOCK, min((b + 1) * BLOCK, len(index.items))):
-                score = sum(index.postings[i].get(t, 0.0) for t in own)
+                score = sum(index.postings[i].get(x, 0.0) for x in mine)
                 if score >= index.thresholds[i]:
-                    found[i] = max(found.get(i, 0.0), score)
-    return found
+                    found[doc][i] = max(found[doc].get(i, 0.0), score)
+        at = end
+    # A passage with common words only has no list of its own to walk: score the few that can reach a threshold.
+    alone = np.setdiff1d(np.flatnonzero(rest >= lowest), w[row])
+    for p in alone.tolist():
+        mine = t[np.searchsorted(w, p) : np.searchsorted(w, p, side="right")].tolist()
+        doc = owner[np.searchsorted(base, p, side="right") - 1]
+        for i, own in enumerate(index.postings):
+            score = sum(own.get(x, 0.0) for x in mine)
+            if score >= index.thresholds[i]:
+                found[doc][i] = max(found[doc].get(i, 0.0), score)
 
 
 def verified(index: Index, terms: np.ndarray, found: dict[int, float]) -> list[tuple[int, float, float, float]]:
@@ -143,18 +193,20 @@ def verified(index: Index, terms: np.ndarray, found: dict[int, float]) -> list[t
     return out
 
 
-def leaks_of(index: Index, text: str | None) -> list[tuple[int, float, float, float]]:
-    """(item, score, question overlap, answer overlap) of the items that a text repeats."""
+def leaks_of(index: Index, texts: list[str | None]) -> list[list[tuple[int, float, float, float]]]:
+    """For each text (item, score, question overlap, answer overlap) of the items that it repeats."""
     get = index.terms.get
-    parts = [np.fromiter((get(w, -1) for w in part), np.int64, len(part)) for part in word_lists(text)]
-    terms = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    return verified(index, terms, retrieve(index, terms))
+    docs = []
+    for text in texts:
+        parts = [np.fromiter((get(w, -1) for w in part), np.int64, len(part)) for part in word_lists(text)]
+        docs.append(np.concatenate(parts) if parts else np.zeros(0, np.int64))
+    return [verified(index, terms, hits) for terms, hits in zip(docs, retrieve(index, docs))]
 
 
 def _filter(shared, at: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(it, at, BATCH_BYTES):
-            yield batch.filter(pa.array([not leaks_of(shared.value, t) for t in batch.column(at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([not hits for hits in leaks_of(shared.value, batch.column(at).to_pylist())], pa.bool_()))
 
     return run
 
@@ -163,8 +215,8 @@ def _search(shared):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(it, "text", BATCH_BYTES):
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows += [(doc, *hit) for hit in leaks_of(shared.value, text)]
+            for doc, hits in zip(batch.column(0).to_pylist(), leaks_of(shared.value, batch.column(1).to_pylist())):
+                rows += [(doc, *hit) for hit in hits]
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
             cols = [*zip(*rows)] or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
@@ -173,9 +225,9 @@ def _search(shared):
 
 
 def halves(text: str | None) -> tuple[str, str]:
-    """Question and answer of an item that has only one text: the first half of its words and the rest."""
+    """Question and answer of an item that has only one text: the first half of its words and the rest; a short text is all question."""
     words = all_words(text)
-    cut = (len(words) + 1) // 2
+    cut = (len(words) + 1) // 2 if len(words) >= 2 * SHINGLE else len(words)
     return b" ".join(words[:cut]).decode(), b" ".join(words[cut:]).decode()
 
 

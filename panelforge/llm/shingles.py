@@ -7,6 +7,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from panelforge.llm.common import distinct
+
 #: The bytes that separate words (space, tab to carriage return).
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
@@ -70,7 +72,7 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
     out, at = [], 0
     for c in counts.tolist():
         if c >= k:
-            out.append(np.unique(rolled[at : at + c - k + 1]))
+            out.append(distinct(rolled[at : at + c - k + 1]))
         elif c:
             own = (words[at : at + c] * odd[:c]).sum(keepdims=True, dtype=np.uint64)
             out.append(_mix(own + odd[k : k + 1] * np.uint64(c)))

@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.llm import language_id
-from panelforge.llm.decontaminate import all_words, build_index, drop_leaks, find_leaks, halves, leaks_of, retrieve, shingles
+from panelforge.llm import decontaminate, language_id
+from panelforge.llm.decontaminate import all_words, build_index, drop_leaks, find_leaks, halves, retrieve, shingles
 from panelforge.llm.language_id import has_letter, held_out, identify, ngram_counts, train
 from panelforge.llm.license_scan import Scanner, SuffixAutomaton, license_scan
 from panelforge.llm.license_texts import NOTICES, PHRASES
@@ -52,7 +52,8 @@ def test_training_takes_a_bounded_sample_in_hash_order(spark):
 
 
 def test_ngrams_of_a_long_text_are_those_of_its_parts(monkeypatch):
-    text = "".join(random.Random(1).choice("abc xyz") for _ in range(4000))
+    rnd = random.Random(1)
+    text = "".join(rnd.choice("abc xyz") for _ in range(4000))
     whole = ngram_counts([text, "ab"])
     monkeypatch.setattr(language_id, "PART", 300)
     assert (ngram_counts([text, "ab"]) == whole).all()
@@ -117,8 +118,8 @@ def benchmark(n=60):
 
 
 def plain_leaks(text, items):
-    own = shingles(all_words(text))
-    out = set()
+    words, out = all_words(text), set()
+    own = {tuple(words[i : i + k]) for k in range(1, 6) for i in range(len(words) - k + 1)}
     for i, t in items:
         parts = [shingles(all_words(h)) for h in halves(t)]
         if any(parts) and all(len(p & own) >= 0.8 * len(p) for p in parts):
@@ -150,15 +151,19 @@ def test_leaks(spark, index_bytes):
     assert find_leaks(documents(spark, []), tests).count() == 0 and find_leaks(docs, tests.limit(0)).count() == 0
 
 
-def test_retrieval_scores_every_passage_that_reaches_its_threshold():
+@pytest.mark.parametrize("common, entries, span", [(64, 1 << 21, 1 << 18), (0, 50, 64), (2, 10, 96), (10**6, 1, 1 << 18)])
+def test_retrieval_scores_every_passage_that_reaches_its_threshold(monkeypatch, common, entries, span):
     """Pruning by maxima gives the items that scoring all of them gives."""
+    for name, value in (("COMMON", common), ("ENTRIES", entries), ("SPAN", span)):
+        monkeypatch.setattr(decontaminate, name, value)
     index = build_index([(i, *halves(t)) for i, t in benchmark()])
     terms = np.array([index.terms.get(w, -1) for w in all_words(" ".join(t for _, t in benchmark()[::7]) + prose(5, 300, 3000))])
     want = set()
     for a in range(0, max(1, len(terms) - 32), 32):
         own = {t for t in terms[a : a + 64].tolist() if t >= 0}
         want |= {i for i, p in enumerate(index.postings) if sum(p.get(t, 0.0) for t in own) >= index.thresholds[i]}
-    assert set(retrieve(index, terms)) == want and len(want) >= 9
+    got = retrieve(index, [terms[:0], terms, terms[:5]])
+    assert set(got[1]) == want and len(want) >= 9 and not got[0]
 
 
 def test_question_and_answer_columns(spark):
