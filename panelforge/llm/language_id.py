@@ -20,11 +20,13 @@ from pyspark.sql import Window as W
 from panelforge.llm.common import fresh, ship_package, text_batches, without
 
 DIMS = 4096
-#: The model is fitted on at most so many labelled texts of each language, taken in the order of a hash of their ids.
+#: The model is fitted on at most so many labelled texts of each language, taken in the order of a hash of id and text.
 TRAIN_TEXTS = 400
 CENTROIDS, ROUNDS = 3, 12
 #: A text is rejected below this share of the smallest cosine that training texts of its size class or a larger one have.
-MARGIN = 0.7
+MARGIN = 0.5
+#: Texts with fewer n-grams say too little to be rejected, unless the model knows none of them.
+LEAST_GRAMS = 64
 UNDETERMINED = "und"
 SPLIT_BYTES, PART = 1 << 20, 1 << 19
 
@@ -111,7 +113,8 @@ class Model:
         cos = self.vectors(counts) @ self.centroids.T
         best = cos.argmax(1)
         top = cos[np.arange(len(cos)), best]
-        return best, np.clip(top, 0, 1), top < self.floors[size_class(counts.sum(1))]
+        n = counts.sum(1)
+        return best, np.clip(top, 0, 1), (top <= 0) | ((n >= LEAST_GRAMS) & (top < self.floors[size_class(n)]))
 
 
 def size_class(n: np.ndarray) -> np.ndarray:
@@ -174,16 +177,18 @@ def _vectors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", texts: int = TRAIN_TEXTS) -> Model:
-    """Fit on at most ``texts`` rows of each language (the smallest hashes of their ids); rows without label or letters are left out.
+    """Fit on at most ``texts`` rows of each language (the smallest hashes of id and text); rows without label or letters are left out.
 
     The driver gets the sparse counts of these rows, at most ``texts`` * languages * DIMS entries.
     """
     ship_package(labelled.sparkSession)
     use = labelled.where(F.col(lang_col).isNotNull() & F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}"))
-    use = use.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    # Spark limits each task's rows by rank before the shuffle, so at most `texts` rows of a language leave a task.
+    use = use.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 40)).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    # Of a language's n texts those below a hash that about twice the wanted number stay under, so that few texts are shuffled.
+    sizes = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("_n"))
+    use = use.join(sizes, "lang").where(F.col("h").cast("double") * F.col("_n") < F.lit(float(2 * texts + 100)) * (1 << 40)).drop("_n")
     nearest = W.partitionBy("lang").orderBy("h", F.length("text"), "text")
-    sample = use.withColumn("_rank", F.row_number().over(nearest)).where(F.col("_rank") <= texts).drop("_rank")
+    sample = use.withColumn("_rank", F.row_number().over(nearest)).where(F.col("_rank") <= texts).select("h", "lang", "text")
     rows = sample.mapInArrow(_vectors, "lang string, at binary, n binary").collect()
     rows.sort(key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["n"])))
     counts = np.zeros((len(rows), DIMS))
