@@ -24,8 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a batch between Spark and Python: long texts would make batches of many rows large.
+ARROW_BATCH = "8m"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that tasks can import it anywhere."""
+    """Prepare a session for the tasks of this subpackage.
+
+    The package is sent to the executors once per application, so that tasks can import it anywhere; batches between Spark
+    and Python are kept to ARROW_BATCH.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return

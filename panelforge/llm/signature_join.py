@@ -29,6 +29,8 @@ from panelforge.llm.shingles import set_digest, shingle_sets
 LOT, TASK_FREQUENT, MOST_FREQUENT = 4_000_000, 20_000, 50_000
 #: Bits of a signature for each shingle, classes of a leaf, children of a node, classes of a tile.
 BITS, LEAF, FAN, TILE = 2, 8, 8, 512
+#: A class brings so many of its keys into a bucket; a pair that shares none of them may come from several buckets.
+FIRSTS = 64
 SPLIT_BYTES = 1 << 20
 
 
@@ -278,8 +280,14 @@ def _possible(x, y, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return keep
 
 
-def bucket_pairs(nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray, tiles: np.ndarray, bits: list[bytes], percent: int) -> set[tuple[int, int]]:
-    """Possible links of a bucket between classes of different labels. With two tiles, only pairs across them."""
+def bucket_pairs(
+    key: int, nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray, tiles: np.ndarray, bits: list[bytes], firsts: list[list[int]], percent: int
+) -> set[tuple[int, int]]:
+    """Possible links of a bucket between classes of different labels. With two tiles, only pairs across them.
+
+    ``firsts`` are the smallest keys of each class's open buckets: a pair that shares a smaller key is left to that bucket.
+    """
+    earlier = [frozenset(k for k in own if k < key) for own in firsts]
     widths = np.array([len(b) for b in bits])
     out: set[tuple[int, int]] = set()
     trees: dict[tuple[int, int, int], tuple[Tree, np.ndarray]] = {}
@@ -309,14 +317,17 @@ def bucket_pairs(nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray, tiles
                 a, b = walk(x[0], y[0], percent, t == u and v == w)
                 a, b = x[1][a], y[1][b]
                 apart = labels[a] != labels[b]
-                out.update(zip(np.minimum(nodes[a], nodes[b])[apart].tolist(), np.maximum(nodes[a], nodes[b])[apart].tolist()))
+                for i, j in zip(a[apart].tolist(), b[apart].tolist()):
+                    if earlier[i].isdisjoint(earlier[j]):
+                        out.add((min(int(nodes[i]), int(nodes[j])), max(int(nodes[i]), int(nodes[j]))))
     return out
 
 
 def _bucket(percent: int):
     def run(table: pa.Table) -> pa.Table:
         get = lambda c: table.column(c).to_numpy(zero_copy_only=False)
-        found = bucket_pairs(get("node"), get("n").astype(np.int64), get("label"), get("tile"), table.column("bits").to_pylist(), percent)
+        bits, firsts = table.column("bits").to_pylist(), table.column("firsts").to_pylist()
+        found = bucket_pairs(int(get("key")[0]), get("node"), get("n").astype(np.int64), get("label"), get("tile"), bits, firsts, percent)
         return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
 
     return run
@@ -403,7 +414,9 @@ def similar_groups(
     )
     open_keys = members.where(F.col("_lo") != F.col("_hi")).groupBy("_lo", "_hi", "_rows", "_x", "_y").agg(F.min("key").alias("key"))
     left = written(labelled.join(open_keys.select("key", "_rows"), "key").select("key", "node", "n", "label", "_rows"), "join-open")
-    tiled = _in_tiles(left).join(sets.select("node", "bits"), "node")
+    smallest = left.withColumn("_k", F.row_number().over(W.partitionBy("node").orderBy("key"))).where(F.col("_k") <= FIRSTS)
+    firsts = smallest.groupBy("node").agg(F.collect_list("key").alias("firsts"))
+    tiled = _in_tiles(left).join(sets.select("node", "bits").join(firsts, "node"), "node")
     possible = tiled.groupBy("key", "t", "u").applyInArrow(_bucket(percent), "a long, b long").distinct()
     more = _verified(written(possible, "join-pairs"), sets, percent)
 

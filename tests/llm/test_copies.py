@@ -148,9 +148,10 @@ def families(seed, n=40, members=5):
     return out
 
 
-@pytest.mark.parametrize("k, percent, tile", [(4, 85, 512), (5, 80, 512), (2, 60, 4), (1, 50, 3)])
-def test_near_copies(spark, monkeypatch, k, percent, tile):
+@pytest.mark.parametrize("k, percent, tile, firsts", [(4, 85, 512, 64), (5, 80, 512, 64), (2, 60, 4, 1), (1, 50, 3, 64)])
+def test_near_copies(spark, monkeypatch, k, percent, tile, firsts):
     monkeypatch.setattr(signature_join, "TILE", tile)
+    monkeypatch.setattr(signature_join, "FIRSTS", firsts)
     texts = families(k)
     sizes, groups = plain_groups(texts, k, percent)
     got = {r["doc_id"]: r for r in similar_groups(documents(spark, texts), k, percent).collect()}
