@@ -3,13 +3,13 @@
 1. Texts with equal sets are one class; everything after works on classes, so copies of a text cost nothing more.
 2. Shingles have one global order: rare ones by hash, then the frequent ones by count. Sets that link share a shingle among
    the first of both (prefix filter), so classes that share such a shingle meet in a bucket.
-3. Each class is first compared with the largest set of one of its buckets (its pivot). Linked classes
-   get the pivot's label; buckets whose classes all have one label are settled.
-4. In each bucket that is left, classes stand in signature trees: a leaf holds some classes, a node the OR of their bitmaps
-   and their range of set sizes. Two trees are walked together; a pair of nodes is dropped when sizes or shared bits
-   leave no possible link, and a pair of classes that already has one label is not looked at. Large buckets are cut into tiles, and
-   each pair of tiles is a group of its own.
-5. The pairs that are left are verified on the sets, and components of links follow.
+3. In each bucket, classes stand in signature trees: a leaf holds some classes, a node the OR of their bitmaps and their
+   range of set sizes. Two trees are walked together; a pair of nodes is dropped when sizes or shared bits leave no
+   possible link. Large buckets are cut into tiles, and each pair of tiles is a group of its own.
+4. A bucket first gives a spanning forest of its possible links, the likeliest first: no more pairs than classes. They are
+   verified on the sets, and linked classes get one label. Buckets whose classes have one label are settled; the others
+   give every possible link between different labels, and these are verified too.
+5. Components of the verified links follow.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from panelforge.llm.shingles import set_digest, shingle_sets
 #: Documents of a task are counted in lots of so many shingles; a task reports at most TASK_FREQUENT shingles.
 LOT, TASK_FREQUENT, MOST_FREQUENT = 4_000_000, 20_000, 50_000
 #: Bits of a signature for each shingle, classes of a leaf, children of a node, classes of a tile.
-BITS, LEAF, FAN, TILE = 2, 8, 8, 512
+BITS, LEAF, FAN, TILE = 4, 8, 8, 512
 #: A class brings so many of its keys into a bucket; a pair that shares none of them may come from several buckets.
 FIRSTS = 64
 SPLIT_BYTES = 1 << 20
@@ -143,21 +143,19 @@ def _prefix_rows(k: int, percent: int, shared):
 
 
 def _set_rows(k: int):
-    """(node, home, pivot, hashes, bits) for texts that come with the first three; a task gives a class once."""
+    """(node, hashes, bits) for rows (node, text); a task gives a class once."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in text_batches(it, "text", SPLIT_BYTES):
-            sets = shingle_sets(batch.column(3).to_pylist(), k)
-            # Another text may share the id and the hash by which this one was found.
-            use = []
-            for i, (node, s) in enumerate(zip(batch.column(0).to_pylist(), sets)):
+            own = []
+            for node, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), k)):
+                # Another text may share the id and the hash by which this one was found.
                 if node not in seen and set_digest(s) == node:
                     seen.add(node)
-                    use.append(i)
-            own = batch.select([0, 1, 2]).take(pa.array(use, pa.int64()))
-            cols = [pa.array([f(sets[i]).tobytes() for i in use], pa.binary()) for f in (np.asarray, signature)]
-            yield pa.RecordBatch.from_arrays([*own.columns, *cols], names=["node", "home", "pivot", "hashes", "bits"])
+                    own.append((node, s.tobytes(), signature(s).tobytes()))
+            cols = [[x[i] for x in own] for i in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary()))], names=["node", "hashes", "bits"])
 
     return run
 
@@ -170,53 +168,35 @@ def signature(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
-def _with_pivot(percent: int):
-    """Links (a, b) of classes with their pivot; rows (home, part, pivot, node, hashes) come by part, the pivot first."""
+def _against_first(percent: int):
+    """Links (a, b) among rows (a, part, first, node, hashes) that come by part, the row of ``a`` itself first."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, pivot, against = None, None, None
+        part, against = None, None
         for batch in it:
             found = []
-            for home, salt, first, node, hashes in zip(*(c.to_pylist() for c in batch.columns)):
-                if (home, salt) != part:
-                    part, pivot, against = (home, salt), None, None
+            for a, salt, first, node, hashes in zip(*(c.to_pylist() for c in batch.columns)):
+                if (a, salt) != part:
+                    part, against = (a, salt), None
                 if first:
-                    pivot, against = node, np.frombuffer(hashes, np.uint64)
-                elif pivot is not None and links(np.frombuffer(hashes, np.uint64), against, percent):
-                    found.append((node, pivot))
-            yield _pairs(found)
+                    against = np.frombuffer(hashes, np.uint64)
+                elif against is not None and links(np.frombuffer(hashes, np.uint64), against, percent):
+                    found.append((a, node))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def _verify(percent: int):
-    """Links among rows (a, b, node, hashes) that come by (a, b)."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in it:
-            found = []
-            for a, b, node, hashes in zip(*(c.to_pylist() for c in batch.columns)):
-                own = (a, b, node, np.frombuffer(hashes, np.uint64))
-                if last is not None and last[:2] == own[:2] and last[2] != node and links(last[3], own[3], percent):
-                    found.append((a, b))
-                last = own
-            yield _pairs(found)
-
-    return run
-
-
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs of a stored table that are links. Each pair brings its two sets together once."""
-    sides = broadcast_if_small(pairs).select("a", "b", F.explode(F.array("a", "b")).alias("node"))
-    both = sets.select("node", "hashes").join(sides, "node").select("a", "b", "node", "hashes")
+    """The pairs (a, b) of a stored table that are links. The set of ``a`` meets all its partners at once, in parts of TILE."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("_parts"))
+    own = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"), F.lit(True).alias("first"), F.col("a").alias("node"))
+    others = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("_parts")).cast("int").alias("part"), F.lit(False).alias("first"), F.col("b").alias("node"))
+    rows = broadcast_if_small(written(own.unionAll(others), "join-meetings"))
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = both.repartition(n, "a", "b").sortWithinPartitions("a", "b", "node")
-    return ordered.mapInArrow(_verify(percent), "a long, b long").distinct()
+    met = sets.select("node", "hashes").join(rows, "node").select("a", "part", "first", "node", "hashes")
+    ordered = met.repartition(n, "a", "part").sortWithinPartitions("a", "part", F.desc("first"))
+    return ordered.mapInArrow(_against_first(percent), "a long, b long").distinct()
 
 
 class Tree:
@@ -244,7 +224,7 @@ class Tree:
 
 
 def walk(x: Tree, y: Tree, percent: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of classes of two trees that sizes and bitmaps leave possible; ``same``: one tree with itself, each pair once."""
+    """Pairs of classes (places in the order of the trees) that sizes and bitmaps leave possible; ``same``: a tree with itself, each pair once."""
     i, j = len(x.levels) - 1, len(y.levels) - 1
     a, b = np.zeros(1, np.int64), np.zeros(1, np.int64)
     while True:
@@ -253,7 +233,7 @@ def walk(x: Tree, y: Tree, percent: int, same: bool) -> tuple[np.ndarray, np.nda
             keep &= (a < b) if i == 0 else (a <= b)
         a, b = a[keep], b[keep]
         if (i == 0 and j == 0) or not len(a):
-            return x.order[a], y.order[b]
+            return a, b
         if same:
             at, a2 = x.children(i, a)
             at2, b2 = y.children(j, b[at])
@@ -281,15 +261,15 @@ def _possible(x, y, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 def bucket_pairs(
-    key: int, nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray, tiles: np.ndarray, bits: list[bytes], firsts: list[list[int]], percent: int
-) -> set[tuple[int, int]]:
-    """Possible links of a bucket between classes of different labels. With two tiles, only pairs across them.
+    key: int, nodes: np.ndarray, sizes: np.ndarray, labels: np.ndarray, tiles: np.ndarray, bits: list[bytes], firsts: list[list[int]], percent: int, forest: bool
+) -> list[tuple[int, int]]:
+    """Possible links of a bucket between classes of different labels; ``forest``: only a spanning forest, likeliest first.
 
-    ``firsts`` are the smallest keys of each class's open buckets: a pair that shares a smaller key is left to that bucket.
+    With two tiles, only pairs across them. ``firsts`` are the smallest keys of each class's open buckets: a pair that
+    shares a smaller key is left to that bucket.
     """
-    earlier = [frozenset(k for k in own if k < key) for own in firsts]
     widths = np.array([len(b) for b in bits])
-    out: set[tuple[int, int]] = set()
+    out: list[tuple[float, int, int]] = []
     trees: dict[tuple[int, int, int], tuple[Tree, np.ndarray]] = {}
 
     def tree(tile: int, width: int, fold: int) -> tuple[Tree, np.ndarray] | None:
@@ -303,48 +283,87 @@ def bucket_pairs(
         return trees[tile, width, fold]
 
     names = sorted(set(tiles.tolist()))
-    pairs = [(names[0], names[0])] if len(names) == 1 else [(names[0], names[1])]
+    t, u = names[0], names[-1]
     every = sorted(set(widths.tolist()))
-    for t, u in pairs:
-        for w in every:
-            for v in every:
-                # Linked sets differ little in size, so their widths are equal or neighbours.
-                if v not in (w // 2, w, w * 2) or (t == u and v > w):
-                    continue
-                x, y = tree(t, w, min(w, v)), tree(u, v, min(w, v))
-                if x is None or y is None:
-                    continue
-                a, b = walk(x[0], y[0], percent, t == u and v == w)
-                a, b = x[1][a], y[1][b]
-                apart = labels[a] != labels[b]
-                for i, j in zip(a[apart].tolist(), b[apart].tolist()):
-                    if earlier[i].isdisjoint(earlier[j]):
-                        out.add((min(int(nodes[i]), int(nodes[j])), max(int(nodes[i]), int(nodes[j]))))
+    earlier: dict[int, frozenset[int]] = {}
+
+    def before(i: int) -> frozenset[int]:
+        if i not in earlier:
+            earlier[i] = frozenset(k for k in firsts[i] if k < key)
+        return earlier[i]
+
+    for w in every:
+        for v in every:
+            # Linked sets differ little in size, so their widths are equal or neighbours.
+            if v not in (w // 2, w, w * 2) or (t == u and v > w):
+                continue
+            x, y = tree(t, w, min(w, v)), tree(u, v, min(w, v))
+            if x is None or y is None:
+                continue
+            a, b = walk(x[0], y[0], percent, t == u and v == w)
+            close = _closeness(x[0], y[0], a, b)
+            a, b = x[1][x[0].order[a]], y[1][y[0].order[b]]
+            apart = labels[a] != labels[b]
+            out += [(c, i, j) for c, i, j in zip(close[apart].tolist(), a[apart].tolist(), b[apart].tolist()) if before(i).isdisjoint(before(j))]
+    if forest:
+        out = _forest(out, labels)
+    return [(min(int(nodes[i]), int(nodes[j])), max(int(nodes[i]), int(nodes[j]))) for _, i, j in out]
+
+
+def _closeness(x: Tree, y: Tree, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Share of bits that pairs of classes have in common."""
+    out = np.empty(len(a))
+    for k in range(0, len(a), 4096):
+        p, q = x.levels[0][2][a[k : k + 4096]], y.levels[0][2][b[k : k + 4096]]
+        out[k : k + 4096] = np.bitwise_count(p & q).sum(1) / np.maximum(1, np.bitwise_count(p | q).sum(1))
+    return out
+
+
+def _forest(pairs: list[tuple[float, int, int]], labels: np.ndarray) -> list[tuple[float, int, int]]:
+    """Pairs that join what is still apart, the closest first; classes of one label are together from the start."""
+    root: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while (up := root.get(i, i)) != i:
+            root[i] = root.get(up, up)
+            i = up
+        return i
+
+    out = []
+    for pair in sorted(pairs, key=lambda p: (-p[0], p[1], p[2])):
+        a, b = find(int(labels[pair[1]])), find(int(labels[pair[2]]))
+        if a != b:
+            root[a] = b
+            out.append(pair)
     return out
 
 
-def _bucket(percent: int):
+def _bucket(percent: int, forest: bool):
     def run(table: pa.Table) -> pa.Table:
         get = lambda c: table.column(c).to_numpy(zero_copy_only=False)
         bits, firsts = table.column("bits").to_pylist(), table.column("firsts").to_pylist()
-        found = bucket_pairs(int(get("key")[0]), get("node"), get("n").astype(np.int64), get("label"), get("tile"), bits, firsts, percent)
+        found = bucket_pairs(int(get("key")[0]), get("node"), get("n").astype(np.int64), get("label"), get("tile"), bits, firsts, percent, forest)
         return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
 
     return run
 
 
-def _links_with_pivots(sets: DataFrame, percent: int) -> DataFrame:
-    """Links of classes with the pivot of their home bucket. The pivot's row knows how many classes the bucket has: a large bucket
-    is cut in parts, and its pivot goes to each of them."""
-    spread = sets.where(F.col("pivot").isNotNull()).withColumn("part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("pivot") / TILE).cast("int") - 1)))
-    sizes = sets.where(F.col("pivot") > TILE).select("home", F.ceil(F.col("pivot") / TILE).cast("int").alias("_parts"))
-    others = sets.where(F.col("pivot").isNull()).join(broadcast_if_small(written(sizes, "join-homes")), "home", "left")
-    others = others.withColumn("part", F.pmod(F.xxhash64("node"), F.coalesce("_parts", F.lit(1))).cast("int"))
-    cols = ["home", "part", F.col("pivot").isNotNull().alias("first"), "node", "hashes"]
-    both = spread.where(F.col("pivot") > 1).select(*cols).unionAll(others.select(*cols))
-    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = both.repartition(n, "home", "part").sortWithinPartitions("home", "part", F.desc("first"))
-    return ordered.mapInArrow(_with_pivot(percent), "a long, b long").distinct()
+def _possible_links(buckets: DataFrame, labels: DataFrame | None, sets: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Stored pairs of classes of different labels that may link. ``labels`` (node, label); a class without one is its own."""
+    if labels is None:
+        labelled = buckets.withColumn("label", F.col("node"))
+    else:
+        labelled = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # Of buckets with the same classes one is enough.
+    members = labelled.groupBy("key").agg(
+        F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("_rows"), F.bit_xor(F.xxhash64("node")).alias("_x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("_y")
+    )
+    open_keys = members.where(F.col("_lo") != F.col("_hi")).groupBy("_rows", "_x", "_y").agg(F.min("key").alias("key"))
+    left = written(labelled.join(open_keys.select("key", "_rows"), "key").select("key", "node", "n", "label", "_rows"), "join-open")
+    smallest = left.withColumn("_k", F.row_number().over(W.partitionBy("node").orderBy("key"))).where(F.col("_k") <= FIRSTS)
+    firsts = smallest.groupBy("node").agg(F.collect_list("key").alias("firsts"))
+    tiled = _in_tiles(left).join(sets.select("node", "bits").join(firsts, "node"), "node")
+    return written(tiled.groupBy("key", "t", "u").applyInArrow(_bucket(percent, forest), "a long, b long").distinct(), "join-pairs")
 
 
 def _in_tiles(rows: DataFrame) -> DataFrame:
@@ -395,31 +414,15 @@ def similar_groups(
     # Sets of classes that share a bucket, from one text of each.
     one = F.min(F.struct(F.coalesce("id", F.lit((1 << 63) - 1)), "id", "hash"))
     classes = texts.where(F.col("node").isNotNull()).groupBy("node").agg(one.alias("_one")).select("node", "_one.id", "_one.hash")
-    homes = buckets.groupBy("node").agg(F.min("key").alias("home"), F.max("n").alias("n"))
-    pivots = homes.groupBy("home").agg(F.max(F.struct("n", "node")).getField("node").alias("_pivot"), F.count(F.lit(1)).alias("members"))
-    placed = homes.join(pivots, "home").select("node", "home", (F.col("node") == F.col("_pivot")).alias("pivot"), "members")
-    wanted = placed.join(classes, "node").select("node", "home", F.when(F.col("pivot"), F.col("members")).alias("pivot"), F.col("id").alias("_id"), F.col("hash").alias("_hash"))
+    wanted = classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("id").alias("_id"), F.col("hash").alias("_hash"))
     wanted = broadcast_if_small(written(wanted, "join-wanted"))
     same = F.col("_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("hash"))
-    found = read.join(wanted, same).select("node", "home", "pivot", "text")
-    sets = written(found.mapInArrow(_set_rows(k), "node long, home long, pivot long, hashes binary, bits binary"), "join-sets")
-
-    first = written(_links_with_pivots(sets, percent), "join-links")
-
-    labels = first.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    labelled = buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    # Of buckets with the same classes one is enough.
-    members = labelled.groupBy("key").agg(
-        F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.count(F.lit(1)).alias("_rows"), F.bit_xor(F.xxhash64("node")).alias("_x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("_y")
-    )
-    open_keys = members.where(F.col("_lo") != F.col("_hi")).groupBy("_lo", "_hi", "_rows", "_x", "_y").agg(F.min("key").alias("key"))
-    left = written(labelled.join(open_keys.select("key", "_rows"), "key").select("key", "node", "n", "label", "_rows"), "join-open")
-    smallest = left.withColumn("_k", F.row_number().over(W.partitionBy("node").orderBy("key"))).where(F.col("_k") <= FIRSTS)
-    firsts = smallest.groupBy("node").agg(F.collect_list("key").alias("firsts"))
-    tiled = _in_tiles(left).join(sets.select("node", "bits").join(firsts, "node"), "node")
-    possible = tiled.groupBy("key", "t", "u").applyInArrow(_bucket(percent), "a long, b long").distinct()
-    more = _verified(written(possible, "join-pairs"), sets, percent)
+    found = read.join(wanted, same).select("node", "text")
+    sets = written(found.mapInArrow(_set_rows(k), "node long, hashes binary, bits binary"), "join-sets")
 
+    first = written(_verified(_possible_links(buckets, None, sets, percent, True), sets, percent), "join-links")
+    labels = written(components(first).select(F.col("id").alias("node"), F.col("component").alias("label")), "join-labels")
+    more = _verified(_possible_links(buckets, labels, sets, percent, False), sets, percent)
     return _labelled(texts, classes, first.unionAll(more), id_col, names)
 
 

@@ -183,12 +183,15 @@ def test_tree_walk_loses_no_link():
     width = min(map(len, bits))
     folded = np.stack([np.bitwise_or.reduce(b.reshape(-1, width), axis=0) for b in bits]).view(np.uint64)
     sizes = np.array([len(s) for s in sets])
-    a, b = walk(Tree(sizes, folded), Tree(sizes, folded), 80, True)
+    whole = Tree(sizes, folded)
+    a, b = (whole.order[x] for x in walk(whole, whole, 80, True))
     found = {(min(p), max(p)) for p in zip(a.tolist(), b.tolist())}
     want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if links(sets[i], sets[j], 80)}
     assert want <= found and len(found) < len(sets) ** 2 / 8 and len(a) == len(found)
     half = len(sets) // 2
-    a, b = walk(Tree(sizes[:half], folded[:half]), Tree(sizes[half:], folded[half:]), 80, False)
+    left, right = Tree(sizes[:half], folded[:half]), Tree(sizes[half:], folded[half:])
+    a, b = walk(left, right, 80, False)
+    a, b = left.order[a], right.order[b]
     across = {(i, j + half) for i, j in zip(a.tolist(), b.tolist())}
     assert {(i, j) for i, j in want if i < half <= j} <= across
 
