@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelforge.operators import ranks
 from panelforge.operators.quantiles import fit_quantiles
@@ -23,13 +23,22 @@ def with_errors(df: DataFrame, y: str, pred: str, base: str | None = None) -> Da
     return df.select(*cols)
 
 
+def _no_predictions(spark: SparkSession, with_base: bool) -> DataFrame:
+    """All metrics as zeros, in the columns of ``build_metrics``."""
+    names = ["mae", "rmse", "med_ae", "mean_ratio", "std_ratio", "mae_bottom_50", "mae_top_10", "mae_top_1", "p50_ratio", "p90_ratio", "p99_ratio"]
+    names += [f"{b}_mae" for b in BANDS] + (["fp_cost", "gain_capture"] if with_base else [])
+    return spark.range(1).select(*[F.lit(0.0).alias(n) for n in names])
+
+
 def build_metrics(df: DataFrame, y: str, pred: str, base: str | None = None) -> DataFrame:
     """One row: error, distribution-ratio, error-tail, target-band and (given a base prediction) blend metrics.
 
-    Two passes: quantiles first, then every conditional mean in a single aggregate.
+    Without any prediction all metrics are zero. Two passes: quantiles first, then every conditional mean in a single aggregate.
     """
     rows = with_errors(df, y, pred, base)
     n = rows.agg(F.count("_e")).first()[0]
+    if not n:
+        return _no_predictions(df.sparkSession, base is not None)
     half = n // 2
     ys, ps = [0.0, 0.5, 0.9, 0.99, 1.0], [0.5, 0.9, 0.99]
     at_half = (half - 1) / (n - 1) if half and n > 1 else 0.0

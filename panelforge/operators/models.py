@@ -24,7 +24,8 @@ from panelforge.operators.quantiles import fit_quantiles
 from panelforge.session import cut_lineage
 
 SENTINEL = -999.0
-SAMPLE_CAP = 20_000
+#: Rows of each side (in expectation, by hash of the id) that an adversarial fit reads; all rows are scored.
+FIT_ROWS = 20_000
 TREE = {"maxIter": 8, "maxDepth": 3, "stepSize": 0.2, "seed": 42, "maxBins": 32}
 
 
@@ -144,14 +145,19 @@ def train_two_pass(rows: DataFrame, test: DataFrame, cols: Sequence[str], n_fold
 # --- adversarial validation -------------------------------------------------------------------------------------
 
 
-def adversarial_scores(a: DataFrame, b: DataFrame, cols: Sequence[str], folds: int = 3, cap: int = SAMPLE_CAP, seed: int = 42, **tree):
-    """Out-of-fold probability that a row belongs to ``b``, and the importances summed over folds."""
-    cut = lambda d: splits.hash_sample(d.select("id", *cols), cap, "id", seed=seed)
-    both = labelled_union(cut(a), cut(b))
+def adversarial_scores(a: DataFrame, b: DataFrame, cols: Sequence[str], folds: int = 3, fit_rows: int = FIT_ROWS, seed: int = 42, **tree):
+    """Out-of-fold probability that a row belongs to ``b``, for every row, and the importances summed over folds.
+
+    The classifier of a fold is fitted on at most about ``fit_rows`` rows of each side.
+    """
+    both = labelled_union(a.select("id", *cols), b.select("id", *cols))
     rows = cut_lineage(splits.stratified_folds(both, "is_test", folds, "id", seed))
+    sizes = {r["is_test"]: r["n"] for r in rows.groupBy("is_test").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = F.when(F.col("is_test") == 1, min(1.0, fit_rows / max(1, sizes.get(1, 0)))).otherwise(min(1.0, fit_rows / max(1, sizes.get(0, 0))))
+    fit_on = rows.where(splits.unit_hash(F.col("id"), seed=seed + 1) < share)
     total, scored = {c: 0.0 for c in cols}, None
     for f in range(folds):
-        m = fit_classifier(rows.where(F.col("fold") != f), cols, "is_test", **tree)
+        m = fit_classifier(fit_on.where(F.col("fold") != f), cols, "is_test", **tree)
         for c, v in importances(m, cols).items():
             total[c] += v / folds
         s = probability(m, rows.where(F.col("fold") == f), cols, "p").select("id", "is_test", "fold", "p")
@@ -166,22 +172,25 @@ def adversarial_auc(a: DataFrame, b: DataFrame, cols: Sequence[str], **kw) -> tu
 
 
 def shift_status(auc: Column) -> Column:
+    # Limits and words of the verdict.
     return F.when(auc < 0.60, "SAFE_PROXY").when(auc < 0.75, "MODERATE_SHIFT").otherwise("SEVERE_SHIFT")
 
 
-def prune_collective_drift(a: DataFrame, b: DataFrame, cols: Sequence[str], target_auc: float = 0.75, step: int = 1, rounds: int = 10, protected: Sequence[str] = (), enforce_protection: bool = False, **kw):
-    """Drop the strongest side-tellers until the sides can no longer be told apart; returns (columns, history)."""
+def prune_collective_drift(a: DataFrame, b: DataFrame, cols: Sequence[str], target_auc: float = 0.75, step: int = 1, rounds: int | None = None, protected: Sequence[str] = (), enforce_protection: bool = False, **kw):
+    """Drop the strongest side-tellers until the sides can no longer be told apart, or nothing more may be dropped.
+
+    Returns (columns, history of (round, auc, columns), whether the target was reached); ``rounds`` bounds the rounds.
+    """
     current, history = list(cols), []
-    for i in range(rounds):
-        auc, imp = adversarial_auc(a, b, current, seed=42 + i, **kw)
-        history.append((i, auc, len(current)))
-        if auc <= target_auc or len(current) <= step:
-            break
+    while True:
+        auc, imp = adversarial_auc(a, b, current, seed=42 + len(history), **kw)
+        history.append((len(history), auc, len(current)))
         order = sorted(current, key=lambda c: (-imp[c], c))
         if enforce_protection:
             order = [c for c in order if c not in set(protected)]
+        if auc <= target_auc or not order or len(current) <= step or len(history) == rounds:
+            return current, history, auc <= target_auc
         current = [c for c in current if c not in order[:step]]
-    return current, history
 
 
 def tail_protected(df: DataFrame, cols: Sequence[str], y: str = "y", ratio: float = 2.0) -> list[tuple[str, float, float]]:
@@ -208,8 +217,10 @@ def permutation_importance(model: PipelineModel, df: DataFrame, cols: Sequence[s
     return {n: mae(predict(model, shuffle_columns(df, g), cols, "_p"), y, "_p") - base for n, g in groups.items()}
 
 
-def noise_columns(n: int, seed: int = 42) -> dict[str, Column]:
-    return {f"__noise_{i}__": F.randn(seed + i) for i in range(n)}
+def noise_columns(n: int, seed: int = 42, key: str = "id") -> dict[str, Column]:
+    """Standard normal noise from hashes of the row's key, so that it does not depend on partitioning."""
+    u = lambda i, k: (splits.unit_hash(F.col(key), F.lit(k), seed=seed + i) + F.lit(2.0**-32))
+    return {f"__noise_{i}__": F.sqrt(-2.0 * F.ln(u(i, 1))) * F.cos(2.0 * F.pi() * u(i, 2)) for i in range(n)}
 
 
 # --- stack, calibration -----------------------------------------------------------------------------------------

@@ -15,9 +15,12 @@ from pyspark.sql import Window as W
 
 from panelforge.functions import exprs as X
 from panelforge.operators.prefix import prefix_scan, row_positions
-from panelforge.operators.running_median import running_median
+from panelforge.operators.running_median import running_median, walk_medians
 
 HOT_ROWS = 1_000_000
+#: From sequences of this length on, expanding medians come from a walk with two heaps: a median over a growing
+#: window frame sorts the frame again for each row.
+MEDIAN_ROWS = 1_000
 SEGMENT_ROWS = 200_000
 MAX_HOT_IDS = 1_000
 
@@ -45,8 +48,13 @@ class Expanding:
 Local = Callable[[DataFrame, WindowSpec], DataFrame]
 
 
+def longest_sequence(df: DataFrame, sid: str) -> int:
+    sizes = df.groupBy(sid).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+
+
 def hot_sequences(df: DataFrame, sid: str, hot_rows: int) -> list | None:
-    """Ids of over-long sequences, at most MAX_HOT_IDS of them; None when there are more than that."""
+    """Ids (NULL is one) of over-long sequences, at most MAX_HOT_IDS of them; None when there are more than that."""
     sizes = df.groupBy(sid).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
     ids = [r[0] for r in sizes.select(sid).take(MAX_HOT_IDS + 1)]
     return None if len(ids) > MAX_HOT_IDS else ids
@@ -60,25 +68,31 @@ def sequence_features(
     expanding: Mapping[str, Expanding] | None = None,
     hot_rows: int | None = None,
     segment_rows: int | None = None,
+    longest: int | None = None,
 ) -> DataFrame:
-    """Add ``timestep_index``, the expanding columns, and whatever ``local`` derives from ``lookback`` past rows."""
+    """Add ``timestep_index``, the expanding columns, and whatever ``local`` derives from ``lookback`` past rows.
+
+    Rows with a NULL id are one sequence. The way chosen (windows, walks, segments) depends on the longest sequence and gives the
+    same values; a caller that knows a bound for it passes ``longest`` and saves the count.
+    """
     expanding = dict(expanding or {})
     local = local or (lambda d, w: d)
     hot_rows = HOT_ROWS if hot_rows is None else hot_rows
     segment_rows = max(lookback, SEGMENT_ROWS if segment_rows is None else segment_rows)
+    longest = longest_sequence(df, panel.sid) if longest is None else longest
+    walk = longest > MEDIAN_ROWS
+    if longest <= hot_rows:
+        return _by_window(df, panel, local, expanding, walk)
     hot = hot_sequences(df, panel.sid, hot_rows)
-    if hot == []:
-        return _by_window(df, panel, local, expanding)
     if hot is None:
         return _by_segments(df, panel, local, lookback, expanding, segment_rows)
-    is_hot = F.col(panel.sid).isin(hot)
-    short = df.where(~is_hot | F.col(panel.sid).isNull())
-    return _by_window(short, panel, local, expanding).unionByName(
+    is_hot = F.coalesce(F.col(panel.sid).isin([h for h in hot if h is not None]), F.lit(None in hot))
+    return _by_window(df.where(~is_hot), panel, local, expanding, walk).unionByName(
         _by_segments(df.where(is_hot), panel, local, lookback, expanding, segment_rows)
     )
 
 
-def _by_window(df: DataFrame, panel: Panel, local: Local, expanding: Mapping[str, Expanding]) -> DataFrame:
+def _by_window(df: DataFrame, panel: Panel, local: Local, expanding: Mapping[str, Expanding], walk: bool) -> DataFrame:
     w = panel.window()
     upto, before = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(W.unboundedPreceding, -1)
     aggregate = {
@@ -88,10 +102,12 @@ def _by_window(df: DataFrame, panel: Panel, local: Local, expanding: Mapping[str
         "sum": F.sum,
         "median": lambda c: F.percentile(c, F.lit(0.5)),
     }
+    walked = {n: e for n, e in expanding.items() if walk and e.kind == "median"}
+    base = walk_medians(df, panel.sid, panel.order, {n: (e.col, e.past) for n, e in walked.items()}) if walked else df
     added = [
-        aggregate[e.kind](F.col(e.col)).over(before if e.past else upto).alias(name) for name, e in expanding.items()
+        aggregate[e.kind](F.col(e.col)).over(before if e.past else upto).alias(name) for name, e in expanding.items() if name not in walked
     ]
-    return local(df.select("*", (F.row_number().over(w) - 1).alias("timestep_index"), *added), w)
+    return local(base.select("*", (F.row_number().over(w) - 1).alias("timestep_index"), *added), w)
 
 
 def _by_segments(
@@ -114,8 +130,8 @@ def _by_segments(
 def _expanding_by_scan(df: DataFrame, panel: Panel, expanding: Mapping[str, Expanding], rows: int) -> DataFrame:
     cols = sorted({e.col for e in expanding.values() if e.kind != "median"})
     # Centre first: sums of squares of large values would lose the digits the variance lives in.
-    centre = df.groupBy(panel.sid).agg(*[F.avg(c).alias(f"_c_{c}") for c in cols], F.lit(0).alias("_c"))
-    work = df.join(centre, panel.sid)
+    centre = df.groupBy(F.col(panel.sid).alias("_csid")).agg(*[F.avg(c).alias(f"_c_{c}") for c in cols], F.lit(0).alias("_c"))
+    work = df.join(centre, F.col(panel.sid).eqNullSafe(F.col("_csid"))).drop("_csid")
     for c in cols:
         work = work.withColumns(
             {

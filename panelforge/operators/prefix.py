@@ -57,11 +57,12 @@ def prefix_scan(
         W.partitionBy(*(group or [F.lit(0)])).orderBy(_RANGE).rowsBetween(W.unboundedPreceding, -1)
     )
     offsets = totals.select(
-        *part,
+        *[F.col(c).alias(f"_o_{c}") for c in part],
         *[F.coalesce(F.sum(f"_s_{c}").over(earlier), F.lit(0)).alias(f"_s_{c}") for c in sums],
         *[F.max(f"_m_{c}").over(earlier).alias(f"_m_{c}") for c in tops],
     )
-    joined = local.join(offsets, part, "left")
+    # NULL is a group like any other.
+    joined = local.join(offsets, [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in part], "left")
     keep = [c for c in df.columns]
     return joined.select(
         *keep,

@@ -91,11 +91,12 @@ def hash_sample(df: DataFrame, n: int, *keys: str, seed: int = 42) -> DataFrame:
 
 
 def stratified_sample(df: DataFrame, stratum: Sequence[str], share: float, key: str, seed: int = 42) -> DataFrame:
-    """``share`` of every stratum, rounded down, by hash order inside the stratum."""
+    """``share`` of every stratum (NULL is one too), rounded down, by hash order inside the stratum."""
     keyed = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
-    sizes = df.groupBy(*stratum).agg(F.count(F.lit(1)).alias("_n"))
-    placed = row_positions(keyed, list(stratum), ["_h", key], "_pos").join(sizes, list(stratum))
-    return placed.where(F.col("_pos") < F.floor(F.col("_n") * share)).drop("_h", "_pos", "_n")
+    sizes = df.groupBy(*[F.col(c).alias(f"_s_{c}") for c in stratum]).agg(F.count(F.lit(1)).alias("_n"))
+    placed = row_positions(keyed, list(stratum), ["_h", key], "_pos")
+    placed = placed.join(sizes, [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in stratum])
+    return placed.where(F.col("_pos") < F.floor(F.col("_n") * share)).select(*df.columns)
 
 
 def top_share(df: DataFrame, score: str, key: str, share: float) -> DataFrame:

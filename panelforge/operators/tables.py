@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from panelforge.functions import exprs as X
 from panelforge.operators.prefix import melt, value_counts
 
 
@@ -77,33 +78,56 @@ def fingerprint(df: DataFrame) -> DataFrame:
     )
 
 
-PAIRWISE_COLUMNS = 40
+#: Up to so many pairs of columns are side-by-side aggregates; more columns take one pass of matrix products. Both follow one rule.
+PAIRS_AT_ONCE = 800
 
 
 def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(feature_a, feature_b, corr) for a < b over complete rows; a constant column has NULL correlation.
-
-    Few columns: one aggregate per pair in a single pass.  Many: the Gram matrix of ``ml.stat``, whose size is
-    columns squared, whatever the number of rows.
-    """
-    cols = list(cols)
-    if len(cols) <= PAIRWISE_COLUMNS:
-        pairs = list(combinations(cols, 2))
-        wide = df.agg(
-            *[F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
-        )
+    """(feature_a, feature_b, corr) for a < b, over the rows where both are known; a constant column has NULL correlation."""
+    pairs = list(combinations(cols, 2))
+    if len(pairs) <= PAIRS_AT_ONCE:
+        wide = df.agg(*[X.corr(F.col(a), F.col(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)] or [F.lit(None)])
         cells = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.col(f"r{i}").alias("corr")) for i, (a, b) in enumerate(pairs)]
-        return wide.select(F.inline(F.array(*cells)))
-    matrix = correlation_matrix(df, cols)
-    rows = [(a, b, float(matrix[i, j])) for (i, a), (j, b) in combinations(enumerate(cols), 2)]
-    out = df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, corr double")
-    return out.withColumn("corr", F.when(F.isnan("corr"), None).otherwise(F.col("corr")))
+        return wide.select(F.inline(F.array(*cells))) if cells else df.sparkSession.createDataFrame([], "feature_a string, feature_b string, corr double")
+    m = correlation_matrix(df, cols)
+    rows = [(a, b, None if np.isnan(m[i, j]) else float(m[i, j])) for (i, a), (j, b) in combinations(enumerate(cols), 2)]
+    return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, corr double")
+
+
+def _masked_products(means: list[float]):
+    """Per task and column i: for each column j the rows where both are known, and over these the sums of x_i, x_i ** 2 and x_i * x_j."""
+
+    def run(batches):
+        p = len(means)
+        total = np.zeros((4, p, p))
+        for batch in batches:
+            x = batch.to_numpy(dtype=np.float64, na_value=np.nan) - np.array(means)
+            known = ~np.isnan(x)
+            x, known = np.where(known, x, 0.0), known.astype(np.float64)
+            total += np.stack([known.T @ known, x.T @ known, (x * x).T @ known, x.T @ x])
+        yield pd.DataFrame({"i": np.arange(p), **{n: [r.tolist() for r in t] for n, t in zip("nsqx", total)}})
+
+    return run
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]):
-    """p x p numpy matrix of Pearson correlations; rows must be complete."""
-    packed = VectorAssembler(inputCols=list(cols), outputCol="_v", handleInvalid="error").transform(df.select(*cols))
-    return Correlation.corr(packed, "_v").first()[0].toArray()
+    """p x p numpy matrix of Pearson correlations over the rows where both columns are known; NaN where there is none.
+
+    One pass whatever the number of columns; the driver gets p * p sums.
+    """
+    cols = list(cols)
+    narrow = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    means = [v or 0.0 for v in narrow.agg(*[F.avg(c).alias(c) for c in cols]).first()]
+    parts = narrow.mapInPandas(_masked_products(means), "i int, n array<double>, s array<double>, q array<double>, x array<double>")
+    cells = parts.select("i", F.posexplode(F.arrays_zip("n", "s", "q", "x")).alias("j", "v")).groupBy("i", "j")
+    n, s, q, x = (np.zeros((len(cols), len(cols))) for _ in range(4))
+    for r in cells.agg(*[F.sum(f"v.{c}").alias(c) for c in "nsqx"]).collect():
+        n[r.i, r.j], s[r.i, r.j], q[r.i, r.j], x[r.i, r.j] = r.n, r.s, r.q, r.x
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = q - s * s / n  # of column i over the rows where j is known too
+        spread[spread <= 1e-12 * q] = np.nan
+        out = (x - s * s.T / n) / np.sqrt(spread * spread.T)
+    return out
 
 
 def counts_by(df: DataFrame, *keys: Column) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -51,13 +53,15 @@ def a4(spark, sf_dir):
     return drift.stats_long(orders(spark, sf_dir), ["n_lines", "qty_sum", "qty_avg", "disc_avg", "tax_avg"], n=F.var_samp).select("feature", r("n", 4).alias("variance"))
 
 
-@query("a5_layout_group_stats", with_sql(ORDERS_SQL, f"SELECT layout, ltype, CAST(grouping(layout) AS INTEGER) AS all_layouts, CAST(grouping(ltype) AS INTEGER) AS all_types, {sr('avg(qty_sum)')} AS mean, {sr('stddev_samp(qty_sum)', 5)} AS std FROM op WHERE is_train GROUP BY GROUPING SETS ((layout), (ltype), ())"))
+A5_COLS = ("qty_sum", "qty_avg", "disc_avg", "tax_avg", "price_sum")
+
+
+@query("a5_layout_group_stats", with_sql(ORDERS_SQL, "SELECT layout, ltype, CAST(grouping(layout) AS INTEGER) AS all_layouts, CAST(grouping(ltype) AS INTEGER) AS all_types, " + ", ".join(f"{sr(f'avg({c})', 5)} AS {c}_mean, {sr(f'stddev_samp({c})', 4)} AS {c}_std" for c in A5_COLS) + " FROM op WHERE is_train GROUP BY GROUPING SETS ((layout), (ltype), ())"))
 def a5(spark, sf_dir):
     rows = orders(spark, sf_dir).where("is_train")
-    out = rows.groupingSets([["layout"], ["ltype"], []], "layout", "ltype").agg(
-        F.grouping("layout").cast("int").alias("all_layouts"), F.grouping("ltype").cast("int").alias("all_types"), r(F.avg("qty_sum")).alias("mean"), r(F.stddev_samp("qty_sum"), 5).alias("std")
-    )
-    return out
+    stats = [x for c in A5_COLS for x in (r(F.avg(c), 5).alias(f"{c}_mean"), r(F.stddev_samp(c), 4).alias(f"{c}_std"))]
+    kinds = [F.grouping("layout").cast("int").alias("all_layouts"), F.grouping("ltype").cast("int").alias("all_types")]
+    return rows.groupingSets([["layout"], ["ltype"], []], "layout", "ltype").agg(*kinds, *stats)
 
 
 @query("a6_scenario_profile", with_sql(EVENTS_SQL, "SELECT sid, " + ", ".join(f"{sr(f'avg({c})')} AS {c}_mean, {sr(f'stddev_samp({c})', 5)} AS {c}_std, max({c}) AS {c}_max, min({c}) AS {c}_min" for c in ("value", "k")) + " FROM ev GROUP BY 1"))
@@ -160,13 +164,14 @@ def a16(spark, sf_dir):
     return per.agg(r(F.avg("t")).alias("mean_rate"), r(F.var_pop("t")).alias("var_rate"), r(F.max("t") - F.min("t")).alias("range_rate"), F.count(F.lit(1)).alias("n"))
 
 
-LINE_COLS = "l_quantity, l_discount, l_tax, l_returnflag"
+LINE_COLS = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
+LINE_NUMBERS = "l_orderkey, l_partkey, l_suppkey, l_linenumber, round(l_quantity, 6), round(l_extendedprice, 6), round(l_discount, 6), round(l_tax, 6)"
 
 
 @query("a17_duplicate_rows", f"""SELECT CAST(d AS BIGINT) AS duplicates, CAST(e AS BIGINT) AS near_duplicates, CASE WHEN e > 0 THEN 'HIGH' ELSE 'SAFE' END AS risk_status FROM
- (SELECT sum(n - 1) AS d FROM (SELECT count(*) AS n FROM lineitem GROUP BY {LINE_COLS})), (SELECT sum(n - 1) AS e FROM (SELECT count(*) AS n FROM lineitem GROUP BY round(l_quantity, 6), round(l_discount, 6), round(l_tax, 6)))""")
+ (SELECT sum(n - 1) AS d FROM (SELECT count(*) AS n FROM lineitem GROUP BY {LINE_COLS})), (SELECT sum(n - 1) AS e FROM (SELECT count(*) AS n FROM lineitem GROUP BY {LINE_NUMBERS}))""")
 def a17(spark, sf_dir):
-    return TB.duplicate_counts(S.table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_returnflag"))
+    return TB.duplicate_counts(S.table(spark, sf_dir, "lineitem").select(*LINE_COLS.split(", ")))
 
 
 @query("a18_label_inconsistency", f"SELECT CAST(count(*) AS BIGINT) AS n_groups, {sr('avg(CASE WHEN m > 0 AND m < 1 THEN 1.0 ELSE 0.0 END)')} AS inconsistent_share FROM (SELECT avg(CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END) AS m FROM lineitem GROUP BY l_quantity, l_discount, l_tax HAVING count(*) > 1)")
@@ -276,17 +281,17 @@ def u1(spark, sf_dir):
     return labelled_union(ev.where("is_train").drop("is_train"), ev.where("NOT is_train").drop("is_train"))
 
 
-FOLD_TOP_SQL = "ft AS (SELECT * FROM (SELECT fold, feature, c, row_number() OVER (PARTITION BY fold ORDER BY c DESC, feature) AS rn FROM (SELECT id % 5 AS fold, feature, abs(corr(y, v)) AS c FROM (UNPIVOT (SELECT id, y, " + ", ".join(SEN) + " FROM op) ON " + ", ".join(SEN) + " INTO NAME feature VALUE v) GROUP BY 1, 2)) WHERE rn <= 4)"
+FOLD_TOP_SQL = "ft AS (SELECT * FROM (SELECT fold, feature, c, row_number() OVER (PARTITION BY fold ORDER BY c DESC, feature) AS rn FROM (SELECT id % 5 AS fold, feature, abs(corr(y, v)) AS c FROM (UNPIVOT (SELECT id, y, " + ", ".join(SEN) + " FROM op) ON " + ", ".join(SEN) + " INTO NAME feature VALUE v) GROUP BY 1, 2)) WHERE rn <= 6)"
 
 
 def fold_top(spark, sf_dir):
-    """The four features most correlated with the target in each fold."""
+    """The six features most correlated with the target in each fold."""
     from panelforge.operators.prefix import melt
 
     long = melt(orders(spark, sf_dir).withColumn("fold", (F.col("id") % 5).cast("int")), ["fold", "y"], SEN)
     c = long.groupBy("fold", "feature").agg(F.abs(X.corr("y", "value")).alias("c"))
     w = W.partitionBy("fold").orderBy(F.desc("c"), "feature")
-    return c.withColumn("rn", F.row_number().over(w)).where("rn <= 4").select("fold", "feature")
+    return c.withColumn("rn", F.row_number().over(w)).where("rn <= 6").select("fold", "feature")
 
 
 @query("u2_stable_over_folds", with_sql(ORDERS_SQL, "SELECT feature, CAST(count(DISTINCT fold) AS BIGINT) AS n_folds FROM ft GROUP BY 1 HAVING count(DISTINCT fold) = (SELECT count(DISTINCT fold) FROM ft)", FOLD_TOP_SQL))
@@ -296,11 +301,10 @@ def u2(spark, sf_dir):
     return ft.groupBy("feature").agg(F.count_distinct("fold").alias("n_folds")).where(F.col("n_folds") == n)
 
 
-@query("u3_unknown_layouts", "SELECT s_nationkey AS layout FROM supplier EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 9800")
+@query("u3_unknown_layouts", with_sql(ORDERS_SQL, "SELECT sid FROM op WHERE NOT is_train EXCEPT SELECT sid FROM op WHERE is_train"))
 def u3(spark, sf_dir):
-    test = S.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("layout"))
-    train = S.table(spark, sf_dir, "customer").where("c_acctbal > 9800").select(F.col("c_nationkey").alias("layout"))
-    return test.subtract(train)
+    rows = orders(spark, sf_dir)
+    return rows.where("NOT is_train").select("sid").subtract(rows.where("is_train").select("sid"))
 
 
 @query("u4_fold_overlap_jaccard", with_sql(ORDERS_SQL, f"SELECT CAST(a.fold AS INTEGER) AS fold_a, CAST(b.fold AS INTEGER) AS fold_b, CAST(count_if(a.feature = b.feature) AS BIGINT) AS common, {sr('count_if(a.feature = b.feature) * 1.0 / (8 - count_if(a.feature = b.feature))')} AS jaccard FROM ft a JOIN ft b ON a.fold < b.fold GROUP BY 1, 2", FOLD_TOP_SQL))
@@ -380,12 +384,16 @@ def x10(spark, sf_dir):
 
 @query("x11_bootstrap_segments")
 def x11(spark, sf_dir):
-    seg = preds(spark, sf_dir).where("has_oof").select(F.abs(F.col("y") - F.col("oof")).alias("e"))
-    parts = [seg.sample(withReplacement=True, fraction=0.2, seed=42 + i).agg(F.lit(i).alias("segment"), F.count(F.lit(1)).alias("n"), F.avg("e").alias("mae")) for i in range(5)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Each row is drawn a Poisson(0.2) number of times, from a hash of its id, so that the draw does not depend on partitioning."""
+    seg = preds(spark, sf_dir).where("has_oof").select("id", F.abs(F.col("y") - F.col("oof")).alias("e"))
+    reach, term = [0.0], math.exp(-0.2)
+    for k in range(1, 8):
+        reach.append(reach[-1] + term)
+        term *= 0.2 / k
+    drawn = seg.select("e", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("segment"), "id")
+    times = sum(((splits.unit_hash(F.col("id"), F.col("segment")) >= c).cast("int") for c in reach[1:]), F.lit(0))
+    drawn = drawn.withColumn("w", times)
+    return drawn.groupBy("segment").agg(F.sum("w").alias("n"), F.try_divide(F.sum(F.col("w") * F.col("e")), F.sum("w")).alias("mae"))
 
 
 @query("x12_fold_size_asymmetry", with_sql(BLOCKS_SQL, f"""SELECT fold, CAST(count_if(role = 'train') AS BIGINT) AS n_train, CAST(count_if(role = 'val') AS BIGINT) AS n_val, {sr("count_if(role = 'train') * 1.0 / (SELECT count(*) FROM bp)")} AS train_pct,

@@ -38,13 +38,10 @@ def pair_sql(a: str, b: str) -> str:
     )
 
 
-F2_PAIRS = [(a, b) for a, b in PAIRS if b not in ("disc_avg", "tax_avg")]
-
-
-@query("f2_pair_interactions", with_sql(ORDERS_SQL, f"SELECT id, {', '.join(pair_sql(a, b) for a, b in F2_PAIRS)} FROM op"))
+@query("f2_pair_interactions", with_sql(ORDERS_SQL, f"SELECT id, {', '.join(pair_sql(a, b) for a, b in PAIRS)} FROM op"))
 def f2(spark, sf_dir):
     cols = {}
-    for a, b in F2_PAIRS:
+    for a, b in PAIRS:
         made = P.pair_features(a, b)
         for (n, c), d in zip(made.items(), (4, 3, 5, 6)):
             cols[n] = r(c, d).alias(n)
@@ -185,18 +182,18 @@ def f14(spark, sf_dir):
 
 CATEGORY_SQL = """CASE WHEN regexp_matches(feature, '_slope_|_rate_|_diff_') THEN 'Trend' WHEN regexp_matches(feature, '_std_|_volatility_') THEN 'Volatility'
  WHEN starts_with(feature, 'inter_') THEN 'Interaction' ELSE 'Other' END"""
-STATS_SQL = ("wide AS (SELECT *, " + ", ".join(f"{a} * {b} AS inter_{a}_x_{b}, {a} / ({b} + 1e-9) AS ratio_{a}_to_{b}" for a, b in F2_PAIRS) + """,
+STATS_SQL = ("wide AS (SELECT *, " + ", ".join(f"{a} * {b} AS inter_{a}_x_{b}, {a} / ({b} + 1e-9) AS ratio_{a}_to_{b}" for a, b in PAIRS) + """,
  qty_sum - lag(qty_sum) OVER (PARTITION BY sid ORDER BY odate, id) AS qty_sum_diff_1, (qty_sum - lag(qty_sum) OVER (PARTITION BY sid ORDER BY odate, id)) / (qty_sum + 1.0) AS qty_sum_rate_1,
  stddev_samp(qty_sum) OVER (PARTITION BY sid ORDER BY odate, id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS qty_sum_rolling_std_3 FROM op)""")
-NAMED = [f"inter_{a}_x_{b}" for a, b in F2_PAIRS] + [f"ratio_{a}_to_{b}" for a, b in F2_PAIRS] + ["qty_sum_diff_1", "qty_sum_rate_1", "qty_sum_rolling_std_3", *S.SENSORS]
+NAMED = [f"inter_{a}_x_{b}" for a, b in PAIRS] + [f"ratio_{a}_to_{b}" for a, b in PAIRS] + ["qty_sum_diff_1", "qty_sum_rate_1", "qty_sum_rolling_std_3", *S.SENSORS]
 
 
 def named_features(spark, sf_dir):
     """The order panel with its pair, change and volatility features, under the names the predicates read."""
     def local(d, w):
         step = F.col("qty_sum") - F.lag("qty_sum").over(w)
-        pairs = {n: c for a, b in F2_PAIRS for n, c in P.pair_features(a, b).items() if n.startswith(("inter_",))}
-        ratios = {f"ratio_{a}_to_{b}": X.ratio(F.col(a), F.col(b), 1e-9) for a, b in F2_PAIRS}
+        pairs = {n: c for a, b in PAIRS for n, c in P.pair_features(a, b).items() if n.startswith(("inter_",))}
+        ratios = {f"ratio_{a}_to_{b}": X.ratio(F.col(a), F.col(b), 1e-9) for a, b in PAIRS}
         more = {"qty_sum_diff_1": step, "qty_sum_rate_1": step / (F.col("qty_sum") + 1.0), "qty_sum_rolling_std_3": F.stddev_samp("qty_sum").over(P.back(w, 3))}
         return d.select("*", *[c.alias(n) for n, c in (pairs | ratios | more).items()])
 

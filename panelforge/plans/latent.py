@@ -155,7 +155,7 @@ def e6(spark, sf_dir):
 def e7(spark, sf_dir):
     v = S.vectors(spark, sf_dir)
     q = EM.quality(v.select("id", "v"), 64)
-    return v.agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(q["mean_variance"]).alias("mean_variance"), F.lit(q["mean_cosine"]).alias("mean_cosine"), F.lit(EM.informative(q)).alias("informative"))
+    return v.agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(q["mean_variance"]).alias("mean_variance"), F.lit(q["rms_cosine"]).alias("rms_cosine"), F.lit(EM.informative(q)).alias("informative"))
 
 
 @query("e10_regime_clusters")

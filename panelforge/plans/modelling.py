@@ -14,7 +14,7 @@ from panelforge.session import cut_lineage, ensure_checkpoint_dir
 from panelforge.sources import panels as S
 
 COLS = list(S.MODEL_FEATURES)
-FOLDS = 2  # the short setting; the operators take any number
+FOLDS = 5
 
 
 def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +124,8 @@ def j9(spark, sf_dir):
 def m14(spark, sf_dir):
     rows = S.model_panel(spark, sf_dir)
     harder = splits.unit_hash(F.col("id"), seed=42) < 0.2
-    noise = {c: (F.col(c) + F.randn(42 + i) * 0.1) * F.when(harder, 1.2).otherwise(1.0) for i, c in enumerate(COLS)}
+    normal = list(MO.noise_columns(len(COLS)).values())
+    noise = {c: (F.col(c) + normal[i] * 0.1) * F.when(harder, 1.2).otherwise(1.0) for i, c in enumerate(COLS)}
     return rows.withColumns(noise).select("id", "y", *COLS)
 
 
@@ -206,7 +207,7 @@ def m26(spark, sf_dir):
     rows = tail_label(frame(spark, sf_dir))
     m = MO.fit_regressor(rows.where("is_train"), COLS)
     tail = cut_lineage(rows.where("NOT is_train AND tail"))
-    d = MO.permutation_importance(m, tail, COLS, {c: [c] for c in ("qty_sum", "tax_avg")})
+    d = MO.permutation_importance(m, tail, COLS, {c: [c] for c in COLS})
     return listing(spark, list(d.items()), "feature string, delta double")
 
 
@@ -287,7 +288,7 @@ def x9(spark, sf_dir):
     """Sequences of the training side, scored by how test-like their profile is; the top fifth is the holdout."""
     rows = frame(spark, sf_dir)
     stats = {"mean": F.avg, "std": F.stddev_samp, "max": F.max, "min": F.min}
-    prof = rows.groupBy("sid", "is_train").agg(*[f(c).cast("double").alias(f"{c}_{n}") for c in COLS[:3] for n, f in stats.items()])
+    prof = rows.groupBy("sid", "is_train").agg(*[f(c).cast("double").alias(f"{c}_{n}") for c in COLS for n, f in stats.items()])
     cols = [c for c in prof.columns if c not in ("sid", "is_train")]
     prof = cut_lineage(prof.fillna(MO.SENTINEL).withColumn("is_test", (~F.col("is_train")).cast("int")))
     m = MO.fit_classifier(prof, cols, "is_test")
@@ -316,8 +317,8 @@ def r24(spark, sf_dir):
 @query("g8_collective_drift_pruner")
 def g8(spark, sf_dir):
     rows = frame(spark, sf_dir)
-    _, history = MO.prune_collective_drift(rows.where("is_train"), rows.where("NOT is_train"), COLS, target_auc=0.501, rounds=2, folds=2)
-    return listing(spark, history, "iteration int, auc double, n_features int")
+    kept, history, reached = MO.prune_collective_drift(rows.where("is_train"), rows.where("NOT is_train"), COLS, target_auc=0.501)
+    return listing(spark, [(*h, reached, ",".join(kept)) for h in history], "iteration int, auc double, n_features int, reached boolean, kept string")
 
 
 @query("g9_tail_importance_protection")

@@ -11,7 +11,7 @@ from panelforge.operators import drift, features as FE, metrics as M, selection
 from panelforge.operators.quantiles import fit_quantiles
 from panelforge.plans.aggregates import CORR_SQL, FOLD_TOP_SQL, corr_pairs_sql, filled
 from panelforge.plans.drift_audit import BASE, IMP_SQL, KNEE_SQL, LIST, LONG_SQL, drift_with_importance, ks_sql, sensor_ks
-from panelforge.plans.features import CATEGORY_SQL, F2_PAIRS, NAMED, STATS_SQL, named_features
+from panelforge.plans.features import CATEGORY_SQL, PAIRS, NAMED, STATS_SQL, named_features
 from panelforge.plans.registry import ORDERS_SQL, query, r, sr, with_sql
 from panelforge.session import cut_lineage
 from panelforge.sources import panels as S
@@ -128,7 +128,7 @@ def g17(spark, sf_dir):
     return k.where((F.col("ks_stat") <= 0.01) | (n < 5)).select("feature")
 
 
-LINEAGE = [(f"inter_{a}_x_{b}", p) for a, b in F2_PAIRS for p in (a, b)] + [(f"ratio_{a}_to_{b}", p) for a, b in F2_PAIRS for p in (a, b)] + [(f"{c}_rolling_mean_5", c) for c in SEN]
+LINEAGE = [(f"inter_{a}_x_{b}", p) for a, b in PAIRS for p in (a, b)] + [(f"ratio_{a}_to_{b}", p) for a, b in PAIRS for p in (a, b)] + [(f"{c}_rolling_mean_5", c) for c in SEN]
 
 
 @query("j8_lineage_protection", with_sql(ORDERS_SQL, "SELECT child, bool_and(coalesce(ks_stat, 0) <= (SELECT quantile_cont(ks_stat, 0.5) FROM ks)) AS protected FROM (VALUES " + ", ".join(f"('{c}', '{p}')" for c, p in LINEAGE) + ") l(child, parent) LEFT JOIN ks ON ks.feature = l.parent GROUP BY 1", *BASE))
@@ -232,10 +232,10 @@ def g19(spark, sf_dir):
     return pairs.groupBy(a.alias("category")).agg(r(F.avg(F.abs("corr"))).alias("mean_corr"), F.count(F.lit(1)).alias("n_pairs"))
 
 
-@query("g25_interaction_redundancy", with_sql(ORDERS_SQL, " UNION ALL ".join(f"SELECT 'inter_{a}_x_{b}' AS feature, {sr(f'greatest(abs(corr({a} * {b}, {a})), abs(corr({a} * {b}, {b})))')} AS max_corr FROM op" for a, b in F2_PAIRS)))
+@query("g25_interaction_redundancy", with_sql(ORDERS_SQL, " UNION ALL ".join(f"SELECT 'inter_{a}_x_{b}' AS feature, {sr(f'greatest(abs(corr({a} * {b}, {a})), abs(corr({a} * {b}, {b})))')} AS max_corr FROM op" for a, b in PAIRS)))
 def g25(spark, sf_dir):
     op = S.order_panel(spark, sf_dir)
-    wide = op.agg(*[F.greatest(F.abs(X.corr(F.col(a) * F.col(b), a)), F.abs(X.corr(F.col(a) * F.col(b), b))).alias(f"inter_{a}_x_{b}") for a, b in F2_PAIRS])
+    wide = op.agg(*[F.greatest(F.abs(X.corr(F.col(a) * F.col(b), a)), F.abs(X.corr(F.col(a) * F.col(b), b))).alias(f"inter_{a}_x_{b}") for a, b in PAIRS])
     return wide.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), r(c).alias("max_corr")) for c in wide.columns])))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelforge.functions import exprs as X
 from panelforge.operators import drift, features as FE, panel as P, selection as SE, tables as TB
 from panelforge.plans.drift_audit import BASE, sensor_ks
-from panelforge.plans.features import F2_PAIRS, NAMED, named_features
+from panelforge.plans.features import PAIRS, NAMED, named_features
 from panelforge.plans.registry import EVENTS_SQL, ORDERS_SQL, PRED_SQL, query, r, sr, with_sql
 from panelforge.plans.selection import G_BASE, LINEAGE, gated
 from panelforge.sources import files as IO, panels as S
@@ -29,9 +29,10 @@ def s2(spark, sf_dir):
     return IO.first_rows(S.events_panel(spark, sf_dir).select("id", "sid", "value"), "id", 500)
 
 
-@query("s3_downcast", "SELECT CAST(l_orderkey AS INTEGER) AS l_orderkey, l_linenumber, CAST(l_suppkey AS INTEGER) AS l_suppkey, CAST(l_discount AS FLOAT) AS l_discount, CAST(l_quantity AS FLOAT) AS l_quantity FROM lineitem")
+@query("s3_downcast", """SELECT CAST(l_orderkey AS INTEGER) AS l_orderkey, CAST(l_partkey AS INTEGER) AS l_partkey, CAST(l_suppkey AS INTEGER) AS l_suppkey, l_linenumber,
+ CAST(l_quantity AS FLOAT) AS l_quantity, CAST(l_extendedprice AS FLOAT) AS l_extendedprice, CAST(l_discount AS FLOAT) AS l_discount, CAST(l_tax AS FLOAT) AS l_tax, l_returnflag, l_linestatus, l_shipdate FROM lineitem""")
 def s3(spark, sf_dir):
-    return IO.downcast(S.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_discount", "l_quantity"))
+    return IO.downcast(S.table(spark, sf_dir, "lineitem"))
 
 
 @query("s4_feature_table_round_trip", with_sql(ORDERS_SQL, "SELECT id, is_train, qty_sum, disc_avg FROM op WHERE is_train"))

@@ -318,12 +318,12 @@ TRACE_SQL = {
 @query(
     "w26_nan_trace",
     with_sql(ORDERS_SQL, f"""SELECT feature, suffix, {sr('nan_pct')} AS nan_pct, {sr('avg(nan_pct) OVER (PARTITION BY suffix)')} AS suffix_mean FROM (
- SELECT feature, split_part(feature, '__', 2) AS suffix, nan_pct FROM (UNPIVOT (SELECT {', '.join(f'avg(CASE WHEN {c}__{s} IS NULL THEN 1.0 ELSE 0.0 END) AS {c}__{s}' for c in ('n_lines', 'qty_avg') for s in TRACE)}
+ SELECT feature, split_part(feature, '__', 2) AS suffix, nan_pct FROM (UNPIVOT (SELECT {', '.join(f'avg(CASE WHEN {c}__{s} IS NULL THEN 1.0 ELSE 0.0 END) AS {c}__{s}' for c in S.SENSORS for s in TRACE)}
  FROM tr) ON COLUMNS(*) INTO NAME feature VALUE nan_pct)) ORDER BY nan_pct DESC, feature LIMIT 20""",
-        f"tr AS (SELECT {', '.join(TRACE_SQL[s].format(c=c) + f' AS {c}__{s}' for c in ('n_lines', 'qty_avg') for s in TRACE)} FROM op {OWIN})"),
+        f"tr AS (SELECT {', '.join(TRACE_SQL[s].format(c=c) + f' AS {c}__{s}' for c in S.SENSORS for s in TRACE)} FROM op {OWIN})"),
 )
 def w26(spark, sf_dir):
-    cols = ("n_lines", "qty_avg")
+    cols = S.SENSORS
     expanding = {f"{c}__expanding_std": P.Expanding("std", c) for c in cols}
 
     def local(d, w):

@@ -32,9 +32,14 @@ def load_panel(fact: DataFrame, layout: DataFrame, key: str, target: tuple[str,
 
 
 def downcast(df: DataFrame) -> DataFrame:
-    """64-bit numbers to 32 bits, for storage; computing stays in 64 bits."""
-    narrow = {"double": "float", "bigint": "int"}
-    return df.select(*[F.col(c).cast(narrow[t]).alias(c) if t in narrow else F.col(c) for c, t in df.dtypes])
+    """64-bit numbers to 32 bits, for storage; computing stays in 64 bits. Integers with a value beyond 32 bits keep theirs."""
+    whole = [c for c, t in df.dtypes if t == "bigint"]
+    fits = {}
+    if whole:
+        ends = df.agg(*[F.max(F.greatest(F.col(c), -1 - F.col(c))).alias(c) for c in whole]).first()
+        fits = {c: ends[c] is None or ends[c] < 1 << 31 for c in whole}
+    kind = lambda c, t: "float" if t == "double" else "int" if fits.get(c) else t
+    return df.select(*[F.col(c).cast(kind(c, t)).alias(c) for c, t in df.dtypes])
 
 
 def first_rows(df: DataFrame, order: str, n: int) -> DataFrame:

@@ -27,8 +27,8 @@ def events_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("sid"),
         F.col("event_id").alias("id"),
         "ts",
-        "value",
-        F.get_json_object("props", "$.k").cast("double").alias("k"),
+        X.clean(F.col("value")).alias("value"),
+        X.clean(F.get_json_object("props", "$.k")).alias("k"),
         "event_type",
         (F.col("ts") < F.lit(EVENT_SPLIT).cast("timestamp_ntz")).alias("is_train"),
     )
@@ -43,6 +43,7 @@ def order_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with per-order line aggregates as sensors (NULL for orders without lines)."""
     lines = (
         table(spark, sf_dir, "lineitem")
+        .withColumns({c: X.clean(F.col(c)) for c in ("l_quantity", "l_discount", "l_tax", "l_extendedprice")})
         .groupBy(F.col("l_orderkey").alias("id"))
         .agg(
             F.count(F.lit(1)).cast("double").alias("n_lines"),
@@ -58,7 +59,7 @@ def order_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("id"),
         F.col("o_custkey").alias("sid"),
         F.col("o_orderdate").alias("odate"),
-        F.col("o_totalprice").alias("y"),
+        X.clean(F.col("o_totalprice")).alias("y"),
         (F.col("o_orderdate") < F.lit(ORDER_SPLIT).cast("timestamp_ntz")).alias("is_train"),
     )
     customers = table(spark, sf_dir, "customer").select(
@@ -80,7 +81,7 @@ def pred_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudo-predictions with a formula, so that blends and metrics have an exact answer."""
     i, y = F.col("id"), F.col("y")
     orders = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("sid"), F.col("o_totalprice").alias("y")
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("sid"), X.clean(F.col("o_totalprice")).alias("y")
     )
     base = orders.select(
         "id",

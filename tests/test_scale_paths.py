@@ -179,3 +179,78 @@ def test_neighbours_need_a_pool(spark):
     df = spark.createDataFrame([(1, [1.0])], "id bigint, v array<double>")
     with pytest.raises(EM.PoolMissing):
         EM.fold_neighbours(df, None, 1)
+
+
+def with_missing_ids(spark, n=400, seed=11):
+    """A panel in which a third of the rows have no sequence id."""
+    df, pdf = panel_frame(spark, n, seed)
+    return df.withColumn("sid", F.when(F.col("t") % 3 == 0, None).otherwise(F.col("sid")))
+
+
+@pytest.mark.parametrize("most_hot", [1_000, 2])
+@pytest.mark.parametrize("hot_rows", [10_000, 100, 5])
+def test_missing_ids_are_a_sequence_on_every_path(spark, many_ranges, monkeypatch, hot_rows, most_hot):
+    monkeypatch.setattr(P, "MAX_HOT_IDS", most_hot)
+    df = with_missing_ids(spark)
+    plain, other = features(df), features(df, hot_rows=hot_rows, segment_rows=30)
+    assert len(other) == 400 and other.timestep_index.notna().all()
+    pd.testing.assert_frame_equal(plain.astype(float), other.astype(float), check_exact=False, atol=1e-8)
+
+
+def test_missing_groups_have_sums_in_one_range_and_in_many(spark):
+    df = with_missing_ids(spark).withColumn("x", F.col("t").cast("double"))
+    one = prefix_scan(df.coalesce(1), ["sid"], ["t"], sums=["x"], before=["x"]).orderBy("t").toPandas()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    many = prefix_scan(df, ["sid"], ["t"], sums=["x"], before=["x"]).orderBy("t").toPandas()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    pd.testing.assert_frame_equal(one, many)
+    assert many.cum_x.notna().all()
+
+
+def test_walked_medians_equal_windows(spark, monkeypatch):
+    df = with_missing_ids(spark)
+    plain = features(df)
+    monkeypatch.setattr(P, "MEDIAN_ROWS", 3)
+    pd.testing.assert_frame_equal(plain.astype(float), features(df).astype(float), check_exact=False, atol=1e-12)
+
+
+def test_folds_and_samples_keep_missing_strata(spark, many_ranges):
+    from panelforge.operators import splits
+
+    df = with_missing_ids(spark)
+    assert splits.stratified_folds(df, "sid", 4, "t").where("fold IS NULL").count() == 0
+    taken = splits.stratified_sample(df, ["sid"], 0.5, "t").where("sid IS NULL").count()
+    assert taken == df.where("sid IS NULL").count() // 2
+
+
+def test_correlation_has_one_rule_at_any_width(spark, monkeypatch):
+    from panelforge.operators import tables as TB
+
+    g = np.random.default_rng(2)
+    pdf = pd.DataFrame(g.normal(size=(300, 4)), columns=list("abcd")).assign(b=lambda d: d.a + d.b, e=1.0)
+    pdf = pdf.mask(g.random(pdf.shape) < 0.2)
+    df = spark.createDataFrame(pdf)
+    df = df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in df.columns])
+    want = pdf.corr()
+    for at_once in (800, 3):
+        monkeypatch.setattr(TB, "PAIRS_AT_ONCE", at_once)
+        for r in TB.correlation_pairs(df, list("abcde")).collect():
+            assert (r["corr"] is None) if "e" in (r.feature_a, r.feature_b) else np.isclose(r["corr"], want.loc[r.feature_a, r.feature_b])
+
+
+def test_neighbours_keep_missing_groups(spark):
+    g = np.random.default_rng(4)
+    rows = [(i, g.normal(size=3).tolist(), None if i % 3 == 0 else str(i % 3)) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, g string")
+    got = NB.nearest(df, df, 2, within="g", exclude_self=True, block_rows=4)
+    assert {r.id for r in got.select("id").distinct().collect()} == set(range(30))
+    kinds = {i: k for i, _, k in rows}
+    assert all(kinds[r.id] == kinds[r.nid] for r in got.collect())
+
+
+def test_adversarial_scores_cover_every_row(spark):
+    from panelforge.operators import models as MO
+
+    df = spark.range(3000).select("id", (F.xxhash64("id") % 100).cast("double").alias("x"))
+    scored, _ = MO.adversarial_scores(df.where("id < 2000"), df.where("id >= 2000"), ["x"], folds=2, fit_rows=200, maxIter=2)
+    assert scored.count() == scored.select("id").distinct().count() == 3000
