@@ -65,19 +65,25 @@ def assert_no_leak(rows: DataFrame, n_folds: int = 5, num: str = "id") -> None:
         raise AssertionError("temporal leak: " + ", ".join(f"fold {b.fold}: {b.train_max} >= {b.val_min}" for b in bad))
 
 
+def key_hash(*cols: Column, seed: int = 42, digits: int = 8) -> Column:
+    """The first hex digits of the MD5 of the key and the seed, as a number: a hash that other engines can compute too."""
+    text = F.concat_ws("|", *[c.cast("string") for c in cols], F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("long")
+
+
 def unit_hash(*cols: Column, seed: int = 42) -> Column:
     """A seeded, order-free pseudo-random number in [0, 1) per row."""
-    return F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(1 << 31)) / float(1 << 31)
+    return key_hash(*cols, seed=seed) / float(1 << 32)
 
 
 def hash_fold(k: int, *cols: Column, seed: int = 42) -> Column:
     """Fold number by hash: the same row (or group key) always lands in the same fold."""
-    return F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(k)).cast("int")
+    return F.pmod(key_hash(*cols, seed=seed), F.lit(k)).cast("int")
 
 
 def stratified_folds(df: DataFrame, label: str, k: int, key: str, seed: int = 42) -> DataFrame:
     """Folds in which every class is spread evenly: position inside the class, in hash order, modulo k."""
-    keyed = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+    keyed = df.withColumn("_h", key_hash(F.col(key), seed=seed, digits=13))
     return (
         row_positions(keyed, [label], ["_h", key], "_pos")
         .withColumn("fold", F.pmod(F.col("_pos"), F.lit(k)).cast("int"))
@@ -87,12 +93,12 @@ def stratified_folds(df: DataFrame, label: str, k: int, key: str, seed: int = 42
 
 def hash_sample(df: DataFrame, n: int, *keys: str, seed: int = 42) -> DataFrame:
     """The ``n`` rows with the smallest seeded hash: a capped sample that does not depend on partitioning."""
-    return df.withColumn("_h", F.xxhash64(*[F.col(k) for k in keys], F.lit(seed))).orderBy("_h", *keys).limit(n).drop("_h")
+    return df.withColumn("_h", key_hash(*[F.col(k) for k in keys], seed=seed, digits=13)).orderBy("_h", *keys).limit(n).drop("_h")
 
 
 def stratified_sample(df: DataFrame, stratum: Sequence[str], share: float, key: str, seed: int = 42) -> DataFrame:
     """``share`` of every stratum (NULL is one too), rounded down, by hash order inside the stratum."""
-    keyed = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+    keyed = df.withColumn("_h", key_hash(F.col(key), seed=seed, digits=13))
     sizes = df.groupBy(*[F.col(c).alias(f"_s_{c}") for c in stratum]).agg(F.count(F.lit(1)).alias("_n"))
     placed = row_positions(keyed, list(stratum), ["_h", key], "_pos")
     placed = placed.join(sizes, [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in stratum])

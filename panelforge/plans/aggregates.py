@@ -12,7 +12,7 @@ from panelforge.operators import drift, features as FE, panel as P, ranks, split
 from panelforge.operators.prefix import row_positions
 from panelforge.operators.quantiles import fit_quantiles
 from panelforge.operators.sets import labelled_union, set_overlap
-from panelforge.plans.registry import BLOCKS_SQL, EVENTS_SQL, ORDERS_SQL, PRED_SQL, query, r, sr, with_sql
+from panelforge.plans.registry import BLOCKS_SQL, EVENTS_SQL, ORDERS_SQL, PRED_SQL, hash_sql, query, r, sr, with_sql
 from panelforge.session import cut_lineage
 from panelforge.sources import panels as S
 
@@ -342,17 +342,17 @@ def x2b(spark, sf_dir):
     return splits.fold_ranges(splits.time_aware_folds(S.events_panel(spark, sf_dir).select("id", "sid")))
 
 
-@query("x3_group_folds")
+@query("x3_group_folds", with_sql(EVENTS_SQL, f"SELECT id, sid, CAST({hash_sql('sid')} % 5 AS INTEGER) AS fold FROM ev"))
 def x3(spark, sf_dir):
     return S.events_panel(spark, sf_dir).select("id", "sid", splits.hash_fold(5, F.col("sid")).alias("fold"))
 
 
-@query("x4_stratified_folds")
+@query("x4_stratified_folds", with_sql(EVENTS_SQL, f"SELECT id, event_type, CAST((row_number() OVER (PARTITION BY event_type ORDER BY {hash_sql('id', digits=13)}, id) - 1) % 3 AS INTEGER) AS fold FROM ev"))
 def x4(spark, sf_dir):
     return splits.stratified_folds(S.events_panel(spark, sf_dir).select("id", "event_type"), "event_type", 3, "id")
 
 
-@query("x5_row_and_scenario_holdout")
+@query("x5_row_and_scenario_holdout", with_sql(EVENTS_SQL, f"SELECT id, sid, {hash_sql('id')} / 4294967296.0 < 0.2 AS row_val, {hash_sql('sid')} / 4294967296.0 < 0.2 AS scenario_val FROM ev"))
 def x5(spark, sf_dir):
     return S.events_panel(spark, sf_dir).select("id", "sid", (splits.unit_hash(F.col("id")) < 0.2).alias("row_val"), (splits.unit_hash(F.col("sid")) < 0.2).alias("scenario_val"))
 
@@ -365,19 +365,21 @@ def x6(spark, sf_dir):
     return bp.join(order, "sid").select("id", "sid", "is_val")
 
 
-@query("x7_decile_stratified_sample")
+@query("x7_decile_stratified_sample", "WITH q AS (SELECT " + ", ".join(f"quantile_cont(o_totalprice, {i / 10}) AS e{i}" for i in range(1, 10)) + " FROM orders), d AS (SELECT o_orderkey AS id, o_totalprice AS y, CAST("
+ + " + ".join(f"(o_totalprice > e{i})::INT" for i in range(1, 10)) + f""" AS INTEGER) AS decile FROM orders, q)
+ SELECT id, y, decile FROM (SELECT *, row_number() OVER (PARTITION BY decile ORDER BY {hash_sql('id', digits=13)}, id) - 1 AS pos, count(*) OVER (PARTITION BY decile) AS n FROM d) WHERE pos < floor(n * 0.4)""")
 def x7(spark, sf_dir):
     o = S.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("y"))
     edges = q(o, "y", *[i / 10 for i in range(11)])
     return splits.stratified_sample(o.withColumn("decile", X.right_closed_bin(F.col("y"), edges)), ["decile"], 0.4, "id")
 
 
-@query("x8_capped_sample")
+@query("x8_capped_sample", with_sql(EVENTS_SQL, f"SELECT id, value FROM ev ORDER BY {hash_sql('id', digits=13)}, id LIMIT 5000"))
 def x8(spark, sf_dir):
     return splits.hash_sample(S.events_panel(spark, sf_dir).select("id", "value"), 5000, "id")
 
 
-@query("x10_layout_holdout")
+@query("x10_layout_holdout", with_sql(ORDERS_SQL, f"SELECT id, layout, {hash_sql('layout')} / 4294967296.0 < 0.2 AS hidden FROM op"))
 def x10(spark, sf_dir):
     return orders(spark, sf_dir).select("id", "layout", (splits.unit_hash(F.col("layout")) < 0.2).alias("hidden"))
 

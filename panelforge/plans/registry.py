@@ -44,6 +44,11 @@ def sr(expr: str, digits: int = 6) -> str:
     return f"(round(CAST({expr} AS DOUBLE) + 3.7e-{digits + 4:02d}::DOUBLE, {digits}) + 0.0)"
 
 
+def hash_sql(*cols: str, seed: int = 42, digits: int = 8) -> str:
+    """The SQL twin of ``splits.key_hash``."""
+    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(cols)}, '{seed}')), 1, {digits}) AS BIGINT)"
+
+
 EVENTS_SQL = """
 ev AS (SELECT user_id AS sid, event_id AS id, ts, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k,
   event_type, ts < TIMESTAMP '2024-01-22' AS is_train FROM events)"""

@@ -165,7 +165,7 @@ def s15(spark, sf_dir):
     return IO.explode_cases(logs, cols)
 
 
-@query("s16_stage_contract")
+@query("s16_stage_contract", with_sql(ORDERS_SQL, "SELECT id, sid, y FROM op"))
 def s16(spark, sf_dir):
     return IO.require(S.order_panel(spark, sf_dir), ["id", "sid", "y", *S.SENSORS], "drift audit").select("id", "sid", "y")
 
@@ -198,7 +198,7 @@ def common_numeric(a, b, ids=()) -> list[str]:
     return [c for c, t in a.dtypes if t in numeric and c in other and c not in set(ids)]
 
 
-@query("p5_common_numeric_columns")
+@query("p5_common_numeric_columns", with_sql(ORDERS_SQL, "SELECT feature, n FROM (UNPIVOT (SELECT " + ", ".join(f"count({c}) AS {c}" for c in S.SENSORS) + " FROM op WHERE is_train) ON COLUMNS(*) INTO NAME feature VALUE n)"))
 def p5(spark, sf_dir):
     op = S.order_panel(spark, sf_dir)
     train, test = op.where("is_train"), op.where("NOT is_train").drop("y")

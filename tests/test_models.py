@@ -39,9 +39,9 @@ def test_adversarial_auc_sees_drift_and_pruning_removes_it(rows):
     a, b = rows.where("id < 900"), rows.where("id >= 900")
     auc, imp = MO.adversarial_auc(a, b, ["a", "b", "shifted"], folds=2)
     assert auc > 0.9 and max(imp, key=imp.get) == "shifted"
-    kept, history = MO.prune_collective_drift(a, b, ["a", "b", "shifted"], target_auc=0.65, folds=2)
+    kept, history, reached = MO.prune_collective_drift(a, b, ["a", "b", "shifted"], target_auc=0.65, folds=2)
     assert "shifted" not in kept and history[-1][1] <= 0.65
-    protected, _ = MO.prune_collective_drift(a, b, ["a", "b", "shifted"], target_auc=0.65, folds=2, rounds=1, protected=["shifted"], enforce_protection=True)
+    protected, _, _ = MO.prune_collective_drift(a, b, ["a", "b", "shifted"], target_auc=0.65, folds=2, rounds=1, protected=["shifted"], enforce_protection=True)
     assert "shifted" in protected
 
 
