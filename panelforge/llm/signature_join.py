@@ -1,8 +1,9 @@
 """Exact Jaccard join of texts' word-shingle sets, with signature trees.
 
 1. Texts with equal sets are one class; everything after works on classes, so copies of a text cost nothing more.
-2. Shingles have one global order: rare ones by hash, then the frequent ones by count. Sets that link share a shingle among
-   the first of both (prefix filter), so classes that share such a shingle meet in a bucket.
+2. Shingles have one global order: rare ones by hash, then the frequent ones by count. Sets that link share several shingles
+   among the first of both (prefix filter), so classes that share such a shingle meet in a bucket, and a class that shares
+   too few of them with others goes.
 3. In each bucket, classes stand in signature trees: a leaf holds some classes, a node the OR of their bitmaps and their
    range of set sizes. Two trees are walked together; a pair of nodes is dropped when sizes or shared bits leave no
    possible link. Large buckets are cut into tiles, and each pair of tiles is a group of its own.
@@ -39,6 +40,15 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+#: Share of a set, in percent, by which its prefix is longer than one common shingle needs.
+EXTRA = 5
+
+
+def least_common(n: int) -> int:
+    """Shingles that two linked sets of at least n shingles share among the first of both: their prefixes are so much longer."""
+    return 1 + EXTRA * n // 100
+
+
 def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether two sets have a Jaccard similarity of at least ``percent`` / 100."""
     small, large = (a, b) if len(a) <= len(b) else (b, a)
@@ -108,8 +118,11 @@ def _unpack_frequent(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefix(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
-    """The first shingles of a set in the global order, as many as a link must touch."""
-    size = len(s) - needed(len(s), percent) + 1
+    """The first shingles of a set in the global order: a link shares at least ``least_common`` of them.
+
+    Sets x and y that share o shingles have k common ones among the first |x| - o + k of x and |y| - o + k of y.
+    """
+    size = min(len(s), len(s) - needed(len(s), percent) + least_common(len(s)))
     if not len(frequent):
         return s[:size]
     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
@@ -409,12 +422,17 @@ def similar_groups(
         ((F.col("_p.node") != F.col("node")) & (100 * F.col("_p.n") >= percent * F.col("n")))
         | ((F.col("_q.node") != F.col("node")) & (100 * F.col("n") >= percent * F.col("_q.n")))
     )
-    buckets = written(met.select("key", "node", "n").distinct(), "join-buckets")
+    met = written(met.select("key", "node", "n").distinct(), "join-buckets")
+    # A partner of a set of n shingles has at least needed(n) of them.
+    partner = F.floor((percent * F.col("n") + 99) / 100)
+    counts = met.groupBy("node").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("_keys"))
+    strong = written(counts.where(F.col("_keys") >= 1 + F.floor(EXTRA * partner / 100)).select("node"), "join-strong")
+    buckets = met.join(broadcast_if_small(strong), "node", "left_semi")
 
     # Sets of classes that share a bucket, from one text of each.
     one = F.min(F.struct(F.coalesce("id", F.lit((1 << 63) - 1)), "id", "hash"))
     classes = texts.where(F.col("node").isNotNull()).groupBy("node").agg(one.alias("_one")).select("node", "_one.id", "_one.hash")
-    wanted = classes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", F.col("id").alias("_id"), F.col("hash").alias("_hash"))
+    wanted = classes.join(strong, "node", "left_semi").select("node", F.col("id").alias("_id"), F.col("hash").alias("_hash"))
     wanted = broadcast_if_small(written(wanted, "join-wanted"))
     same = F.col("_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("hash"))
     found = read.join(wanted, same).select("node", "text")
@@ -423,15 +441,17 @@ def similar_groups(
     first = written(_verified(_possible_links(buckets, None, sets, percent, True), sets, percent), "join-links")
     labels = written(components(first).select(F.col("id").alias("node"), F.col("component").alias("label")), "join-labels")
     more = _verified(_possible_links(buckets, labels, sets, percent, False), sets, percent)
-    return _labelled(texts, classes, first.unionAll(more), id_col, names)
+    return _labelled(texts, classes, labels, more, id_col, names)
 
 
-def _labelled(texts: DataFrame, classes: DataFrame, edges: DataFrame, id_col: str, names: tuple[str, str]) -> DataFrame:
-    """Components of classes, and their smallest ids back at the texts."""
-    found = components(edges).select(F.col("id").alias("node"), F.col("component").alias("_root"))
-    rooted = classes.join(found, "node", "left").withColumn("_root", F.coalesce("_root", "node"))
+def _labelled(texts: DataFrame, classes: DataFrame, labels: DataFrame, more: DataFrame, id_col: str, names: tuple[str, str]) -> DataFrame:
+    """Smallest ids of components back at the texts; ``more`` are links between the components that ``labels`` name."""
+    label = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"_{c}"))
+    across = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    merged = components(across).select(F.col("id").alias("_label"), F.col("component").alias("_root"))
+    own = classes.join(labels, "node", "left").withColumn("_label", F.coalesce("label", "node"))
+    rooted = own.join(merged, "_label", "left").select("node", "id", F.coalesce("_root", "_label").alias("_root"))
     smallest = rooted.groupBy("_root").agg(F.min("id").alias("_least"))
-    label = rooted.join(smallest, "_root").select("node", "_least")
-    out = texts.join(label, "node", "left")
+    out = texts.join(rooted.join(smallest, "_root").select("node", "_least"), "node", "left")
     own = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("_least"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias(names[0]), own.alias(names[1]))
