@@ -18,43 +18,60 @@ BITS = np.array([0, 60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 RANKS = 1 << 16
 
 
+def _bits(values: np.ndarray) -> np.ndarray:
+    """Bits that each value needs."""
+    return np.frexp(values.astype(np.float64))[1].astype(np.int8)
+
+
 def _selectors(values: np.ndarray, escaped: np.ndarray, room: np.ndarray) -> np.ndarray:
     """For each place the selector that holds most values from there on, within ``room`` values to the block's end."""
     n = len(values)
-    width = np.zeros(n, np.int64)
-    some = values > 0
-    width[some] = np.floor(np.log2(values[some].astype(np.float64))).astype(np.int64) + 1
+    width = _bits(values)
     width[escaped] = 99
-    out = np.full(n, 15, np.int64)
-    out[escaped] = ESCAPE
+    place = np.arange(n, dtype=np.int32)
+    out = np.full(n, 15, np.int8)
     todo = ~escaped
-    for s in (0, *range(2, 16)):
+    for s in (0, *range(2, 15)):
         # Where the next value stands that needs more bits: from the right, the smallest such place.
-        wide = np.where(width > BITS[s], np.arange(n), n)
+        wide = np.where(width > BITS[s], place, np.int32(n))
         nxt = np.minimum.accumulate(wide[::-1])[::-1]
-        fits = todo & (nxt - np.arange(n) >= np.minimum(COUNTS[s], room))
+        fits = todo & (nxt - place >= np.minimum(np.int32(COUNTS[s]), room))
         if s == 0:
             fits &= room >= COUNTS[0]  # a short run of zeros fits into other words
         out[fits] = s
         todo &= ~fits
+    out[escaped] = ESCAPE
     return out
 
 
+def _ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct ids from the most to the least frequent, rank of each id); equal frequencies by id."""
+    if int(ids.max()) < 1 << 22:
+        times = np.bincount(ids)
+        known = np.flatnonzero(times)
+        order = known[np.lexsort((known, -times[known]))]
+        rank = np.zeros(len(times), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        return order.astype(np.uint32), rank[ids]
+    known, back, times = np.unique(ids, return_inverse=True, return_counts=True)
+    order = np.lexsort((known, -times))
+    rank = np.empty(len(known), np.int32)
+    rank[order] = np.arange(len(known), dtype=np.int32)
+    return known[order].astype(np.uint32), rank[back]
+
+
 def encode(ids: np.ndarray, block: int = BLOCK, ranks: int = RANKS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(table of ids by rank, first word of each block and the end, words)."""
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.uint64)
-    known, back, times = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((known, -times))
-    rank = np.empty(len(known), np.int64)
-    rank[order] = np.arange(len(known))
-    values = rank[back].astype(np.uint64)
+    table, values = _ranked(ids)
     escaped = values >= ranks
-    place = np.arange(n)
-    room = np.minimum(block - place % block, n - place)
+    place = np.arange(n, dtype=np.int32)
+    room = np.minimum(block - place % block, n - place).astype(np.int32)
     chosen = _selectors(values, escaped, room)
     taken = np.minimum(COUNTS[chosen], room)
+    values = values.astype(np.uint64)
 
     # Walk all blocks in step: each turn every unfinished block writes one word.
     at, end = np.arange(0, n, block), np.minimum(np.arange(0, n, block) + block, n)
@@ -78,7 +95,7 @@ def encode(ids: np.ndarray, block: int = BLOCK, ranks: int = RANKS) -> tuple[np.
     mine = np.flatnonzero(chosen[begin] == ESCAPE)
     words[mine] |= ids[begin[mine]].astype(np.uint64)
     offsets = np.concatenate([[0], np.cumsum(np.bincount(of_block, minlength=len(end)))])
-    return known[np.argsort(rank)][:ranks].astype(np.uint32), offsets, words
+    return table[:ranks], offsets, words
 
 
 def decode(table: np.ndarray, offsets: np.ndarray, words: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:
