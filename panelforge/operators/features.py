@@ -21,6 +21,7 @@ def fit_bin_edges(train: DataFrame, cols: Sequence[str], probs: Sequence[float]
 def physical_ratios(role: Mapping[str, str], inflow_step: str, congestion_step: str) -> dict[str, Column]:
     """Load, charging and density ratios; ``role`` names the column that plays each part."""
     c = {k: F.col(v) for k, v in role.items()}
+    # Output names and the offsets of denominators.
     return {
         "surge_velocity": F.col(inflow_step) / (c["active"] + 1.0),
         "load_utilization_ratio": c["inflow"] / (c["utilization"] + 1e-6),
@@ -34,6 +35,7 @@ def physical_ratios(role: Mapping[str, str], inflow_step: str, congestion_step:
 
 def capacity_ratios(role: Mapping[str, str]) -> dict[str, Column]:
     """Work per active unit and pressure per idle unit."""
+    # Output names.
     pairs = {
         "inflow_per_active": ("inflow", "active"),
         "congestion_per_active": ("congestion", "active"),

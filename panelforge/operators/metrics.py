@@ -92,6 +92,7 @@ def risk_parts() -> dict[str, Column]:
 
 def reliability(adv_auc: Column, std_ratio: Column, mean_ratio: Column) -> dict[str, Column]:
     """How far a validation score can be trusted: 1 / (1 + penalties), and the reading of it."""
+    # Weights, limits and words of the reading.
     adversarial = F.greatest(F.lit(0.0), (adv_auc - 0.5) / 0.5) * 1.5
     variance = F.greatest(F.lit(0.0), 1.0 - std_ratio)
     bias = F.abs(1.0 - mean_ratio) * 0.5
@@ -106,6 +107,7 @@ def _index(c: Column) -> Column:
 
 def risk_indices() -> dict[str, Column]:
     """Nine indices in [0, 100] of a metrics row with adv_auc, cv_mean, cv_std and total risk."""
+    # Names, offsets and scales of the indices.
     auc, std, mean, p99 = F.col("adv_auc"), F.col("std_ratio"), F.col("mean_ratio"), F.col("p99_ratio")
     return {
         "external_drift": _index((auc - 0.7) / 0.3),
@@ -121,6 +123,7 @@ def risk_indices() -> dict[str, Column]:
 
 
 def execution_verdict(fp_cost: Column, gain_capture: Column) -> Column:
+    # Limits and words of the verdict.
     return F.when(fp_cost > 1.0, "OVER-AGGRESSIVE").when(gain_capture < 0.05, "TOO CAUTIOUS").otherwise("OPTIMIZED")
 
 

@@ -1,15 +1,19 @@
 """Running aggregates over sorted data of any size.
 
 ``Window.orderBy`` without a partition key puts every row in one task, and with a key it puts a hot key's
-rows in one task.  Here the rows are range-partitioned on (group, order), each range is scanned on its own,
-and the running totals of earlier ranges are added afterwards.  A group may span many ranges.
+rows in one task.  Here the rows are cut into ranges of the order, each range is scanned on its own, and the
+running totals of earlier ranges are added afterwards.  A group may span many ranges.
+
+An order of one number (as in value tables, where it is distinct within a group) is cut at its approximate quantiles, so
+that the table is computed once, stored and shuffled once.  Any other order is range-partitioned, which also splits ties.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql import Window as W
 
 from panelforge.session import cut_lineage
@@ -31,8 +35,11 @@ def prefix_scan(
     ``group`` + ``order`` should identify a row, else the order among ties is arbitrary.
     """
     group, order = list(group), list(order)
-    keys = group + order
-    ranged = cut_lineage(df.repartitionByRange(*keys).withColumn(_RANGE, F.spark_partition_id()))
+    if len(order) == 1 and isinstance(df.schema[order[0]].dataType, T.NumericType):
+        ranged, ranges = _cut_at_quantiles(df, order[0])
+    else:
+        ranged = cut_lineage(df.repartitionByRange(*group, *order).withColumn(_RANGE, F.spark_partition_id()))
+        ranges = ranged.rdd.getNumPartitions()
     part = [_RANGE, *group]
     ordered = W.partitionBy(*part).orderBy(*order)
     running = ordered.rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -43,7 +50,7 @@ def prefix_scan(
         *[F.max(c).over(running).alias(f"runmax_{c}") for c in maxes],
         *[F.max(c).over(passed).alias(f"before_{c}") for c in before],
     )
-    if ranged.rdd.getNumPartitions() == 1:
+    if ranges == 1:
         return local.drop(_RANGE)
 
     tops = sorted({*maxes, *before})
@@ -72,6 +79,28 @@ def prefix_scan(
     )
 
 
+#: Rows of a range, as long as that makes no more than MOST_RANGES of them.
+RANGE_ROWS, MOST_RANGES = 200_000, 2_000
+
+
+def _cut_at_quantiles(df: DataFrame, order: str) -> tuple[DataFrame, int]:
+    """``df``, stored, with the number of its range, and the number of ranges: each holds about as many rows of all groups together."""
+    stored = cut_lineage(df)
+    n = stored.count()
+    ranges = min(MOST_RANGES, -(-n // RANGE_ROWS))
+    if ranges <= 1:
+        return stored.withColumn(_RANGE, F.lit(0)), 1
+    value = F.col(order).cast("double")
+    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    cuts = stored.agg(F.percentile_approx(value, shares, F.lit(10 * ranges))).first()[0]
+    edges = [-float("inf"), *sorted({c for c in cuts or [] if abs(c) < float("inf")}), float("inf")]
+    cut = Bucketizer(splits=edges, inputCol="_number", outputCol="_bucket", handleInvalid="keep")
+    out = cut.transform(stored.withColumn("_number", value))
+    # NULL sorts first, NaN last.
+    number = F.when(F.col("_number").isNull(), -1).otherwise(F.col("_bucket").cast("int"))
+    return out.withColumn(_RANGE, number).drop("_number", "_bucket"), ranges
+
+
 def row_positions(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "pos") -> DataFrame:
     """0-based position of each row inside its group, without a group-sized task."""
     one = df.withColumn("_one", F.lit(1))

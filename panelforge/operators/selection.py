@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec, functions as F
@@ -192,45 +193,48 @@ def feature_log(rows: DataFrame, cols: Sequence[str], ks: DataFrame, y: str = "y
     )
 
 
+# Limits of the gates. Category -> (multiplier of the noise ceiling, least permutation delta).
+CEILING = {"complex": (1.0, 0.001), "plain": (1.5, 0.002)}
+GAIN_OVER_NOISE, GAIN_QUANTILE = 1.2, 0.2
+KS_QUANTILE, KS_BOUNDS = 0.9, (0.10, 0.25)
+SIGNAL_DELTA, STABLE_SIGN, CLEAR_DELTA, INTERACTION_DELTA = 0.001, 0.66, 0.004, 0.001
+#: Name prefixes of derived pair features; those of the second group get half the floor.
+PAIR_PREFIXES, HALF_FLOOR_PREFIXES = ("inter_", "ratio_", "diff_", "logprod_"), ("ratio_", "diff_")
+
+
+def _any_prefix(f: Column, prefixes: Sequence[str]) -> Column:
+    return reduce(lambda x, y: x | y, [f.startswith(p) for p in prefixes])
+
+
 def gate(log: DataFrame, inter_mult: float = 1.0, inter_floor: float = 1.0) -> DataFrame:
-    """Noise, signal, stability and interaction gates over a feature log, with the reasons for a rejection."""
-    f, delta = F.col("feature"), F.col("perm_delta")
-    real, noise = ~F.col("is_noise"), F.col("is_noise")
-    def over_all(c: Column) -> Column:
-        return c.over(everything())
-
-    noise_gain, noise_perm = over_all(F.max(F.when(noise, F.col("gain")))), over_all(F.max(F.when(noise, delta)))
-    gain_p20 = over_all(F.percentile(F.when(real, F.col("gain")), F.lit(0.2)))
-    ks_p90 = over_all(F.percentile(F.when(real, F.col("ks_stat")), F.lit(0.9)))
-    judged = log.select(
-        "*",
-        F.greatest(F.coalesce(noise_gain, F.lit(0.0)) * 1.2, gain_p20).alias("_gain_limit"),
-        F.coalesce(noise_perm, F.lit(0.0)).alias("_perm_limit"),
-        F.least(F.greatest(ks_p90, F.lit(0.10)), F.lit(0.25)).alias("_ks_limit"),
-    )
-    prefixed = f.startswith("ratio_") | f.startswith("diff_") | f.startswith("logprod_")
-    inter, complex_ = f.startswith("inter_"), N.is_complex(f)
-    mult = F.when(complex_, 1.0).otherwise(1.5) * F.when(inter | prefixed, inter_mult).otherwise(1.0)
-    floor = F.when(complex_, 0.001).otherwise(0.002) * F.when(inter | prefixed, inter_floor).otherwise(1.0)
-    floor = floor * F.when(f.startswith("ratio_") | f.startswith("diff_"), 0.5).otherwise(1.0)
-    beats_gain = F.col("gain") > F.col("_gain_limit")
-    beats_perm = delta > F.greatest(F.col("_perm_limit") * mult, floor)
-    g_noise = beats_gain | beats_perm
-    g_signal = (delta > F.greatest(F.col("_perm_limit"), F.lit(0.001))) & ((F.col("sign_stability") >= 0.66) | (delta > 0.004))
-    g_drift = F.col("ks_stat") <= F.col("_ks_limit")
-    g_inter = ~inter | (delta > 0.001)
-    reasons = F.filter(
-        F.array(
-            F.when(~g_noise, "NoiseCeiling"), F.when(~g_signal, "SignInstability"), F.when(~g_drift, "DriftRisk"), F.when(~g_inter, "RedundantInteraction")
-        ),
-        lambda x: x.isNotNull(),
-    )
-    return judged.where(real).select(
+    """Noise, signal, drift and interaction gates over a feature log; the limits come from the log's own noise and quantiles.
+
+    A feature passes when every gate holds; ``rejection_reasons`` names those that do not, in the order of the gates.
+    """
+    whole, f, delta = everything(), F.col("feature"), F.col("perm_delta")
+    of = lambda noise, c: F.when(F.col("is_noise") == noise, F.col(c))
+    limits = {
+        "_gain": F.greatest(F.coalesce(F.max(of(True, "gain")).over(whole), F.lit(0.0)) * GAIN_OVER_NOISE, F.percentile(of(False, "gain"), F.lit(GAIN_QUANTILE)).over(whole)),
+        "_perm": F.coalesce(F.max(of(True, "perm_delta")).over(whole), F.lit(0.0)),
+        "_ks": F.least(F.greatest(F.percentile(of(False, "ks_stat"), F.lit(KS_QUANTILE)).over(whole), F.lit(KS_BOUNDS[0])), F.lit(KS_BOUNDS[1])),
+    }
+    by_kind = lambda k: F.when(N.is_complex(f), CEILING["complex"][k]).otherwise(CEILING["plain"][k])
+    pair = _any_prefix(f, PAIR_PREFIXES)
+    ceiling = F.col("_perm") * by_kind(0) * F.when(pair, inter_mult).otherwise(1.0)
+    floor = by_kind(1) * F.when(pair, inter_floor).otherwise(1.0) * F.when(_any_prefix(f, HALF_FLOOR_PREFIXES), 0.5).otherwise(1.0)
+    beats = {"beats_noise_gain": F.col("gain") > F.col("_gain"), "beats_noise_perm": delta > F.greatest(ceiling, floor)}
+    gates = {
+        "NoiseCeiling": beats["beats_noise_gain"] | beats["beats_noise_perm"],
+        "SignInstability": (delta > F.greatest(F.col("_perm"), F.lit(SIGNAL_DELTA))) & ((F.col("sign_stability") >= STABLE_SIGN) | (delta > CLEAR_DELTA)),
+        "DriftRisk": F.col("ks_stat") <= F.col("_ks"),
+        "RedundantInteraction": ~f.startswith("inter_") | (delta > INTERACTION_DELTA),
+    }
+    failed = F.filter(F.array(*[F.when(~ok, reason) for reason, ok in gates.items()]), lambda x: x.isNotNull())
+    return log.withColumns(limits).where(~F.col("is_noise")).select(
         *log.columns,
-        beats_gain.alias("beats_noise_gain"),
-        beats_perm.alias("beats_noise_perm"),
-        (g_noise & g_signal & g_drift & g_inter).alias("passed"),
-        reasons.alias("rejection_reasons"),
+        *[c.alias(n) for n, c in beats.items()],
+        reduce(lambda x, y: x & y, gates.values()).alias("passed"),
+        failed.alias("rejection_reasons"),
         N.has_any(f, ("_rate_", "_slope_", "_diff_", "_std_", "_volatility_")).alias("is_trend_vol"),
     )
 

@@ -192,15 +192,15 @@ def e16(spark, sf_dir):
     return EM.clusters(low, 3).groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.avg(gain).alias("avg_gain"), (1.0 - F.avg(F.col("tail").cast("double"))).alias("noise_ratio"))
 
 
-@query("e18_fold_pool_guard")
+@query("e18_fold_pool_guard", "WITH " + VEC_SQL + ",\n" + edge_sql("true", "a.id % 3 <> b.id % 3", 5) + f" SELECT id, nid, {sr('distance')} AS distance, CAST(pos AS INTEGER) AS pos, CAST(id % 3 AS INTEGER) AS fold FROM ed")
 def e18(spark, sf_dir):
     """Neighbours of each fold's validation vectors in that fold's own pool only."""
-    v = S.vectors(spark, sf_dir).withColumn("fold", F.pmod(F.xxhash64("id"), F.lit(3)).cast("int"))
+    v = S.vectors(spark, sf_dir).withColumn("fold", (F.col("id") % 3).cast("int"))
     out = None
     for f in range(3):
         e = EM.fold_neighbours(v.where(F.col("fold") == f), v.where(F.col("fold") != f), 5).withColumn("fold", F.lit(f))
         out = e if out is None else out.unionByName(e)
-    return out
+    return out.select("id", "nid", r("distance").alias("distance"), "pos", "fold")
 
 
 @query("e19_cluster_label_entropy")

@@ -11,7 +11,7 @@ from panelforge.operators import drift, features as FE, metrics as M, selection
 from panelforge.operators.quantiles import fit_quantiles
 from panelforge.plans.aggregates import CORR_SQL, FOLD_TOP_SQL, corr_pairs_sql, filled
 from panelforge.plans.drift_audit import BASE, IMP_SQL, KNEE_SQL, LIST, LONG_SQL, drift_with_importance, ks_sql, sensor_ks
-from panelforge.plans.features import CATEGORY_SQL, PAIRS, NAMED, STATS_SQL, named_features
+from panelforge.plans.features import CATEGORY_SQL, NAMED, PAIRS, STATS_SQL, named_features
 from panelforge.plans.registry import ORDERS_SQL, query, r, sr, with_sql
 from panelforge.session import cut_lineage
 from panelforge.sources import panels as S

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelforge.functions import exprs as X
 from panelforge.operators import drift, features as FE, panel as P, selection as SE, tables as TB
 from panelforge.plans.drift_audit import BASE, sensor_ks
-from panelforge.plans.features import PAIRS, NAMED, named_features
+from panelforge.plans.features import NAMED, PAIRS, named_features
 from panelforge.plans.registry import EVENTS_SQL, ORDERS_SQL, PRED_SQL, query, r, sr, with_sql
 from panelforge.plans.selection import G_BASE, LINEAGE, gated
 from panelforge.sources import files as IO, panels as S
@@ -216,11 +216,15 @@ def p10(spark, sf_dir):
     return spark.createDataFrame(rows, "model string, feature string").join(counts, "feature")
 
 
-@query("p11_feature_group_selection")
+P11_SQL = ", ".join(f"{sr(f'{a} * {b}', 4)} AS inter_{a}_x_{b}, {sr(f'{a} / ({b} + 1e-9)', 3)} AS ratio_{a}_to_{b}" for a, b in PAIRS)
+
+
+@query("p11_feature_group_selection", with_sql(ORDERS_SQL, f"SELECT id, {', '.join(S.SENSORS)}, {P11_SQL} FROM op"))
 def p11(spark, sf_dir):
+    """The full group: the base sensors, their ratios (the ratio group) and their products."""
     wide = named_features(spark, sf_dir)
-    groups = {"base": list(S.SENSORS), "ratio": [c for c in NAMED if c.startswith("ratio_")], "full": NAMED}
-    return wide.select("id", *groups["base"], *groups["ratio"])
+    groups = {"base": list(S.SENSORS), "ratio": [c for c in NAMED if c.startswith("ratio_")], "inter": [c for c in NAMED if c.startswith("inter_")]}
+    return wide.select("id", *groups["base"], *[r(c, 3).alias(c) for c in groups["ratio"]], *[r(c, 4).alias(c) for c in groups["inter"]])
 
 
 @query("p13_column_lineage", with_sql(ORDERS_SQL, "SELECT child, parent, n AS n_values FROM (VALUES " + ", ".join(f"('{c}', '{p}')" for c, p in LINEAGE) + ") l(child, parent) JOIN (UNPIVOT (SELECT " + ", ".join(f"count({c}) AS {c}" for c in S.SENSORS) + " FROM op) ON COLUMNS(*) INTO NAME parent VALUE n) USING (parent)"))

@@ -1,5 +1,6 @@
 import pytest
 
+from panelforge.operators import prefix
 from panelforge.session import get_spark
 
 
@@ -9,8 +10,9 @@ def spark():
 
 
 @pytest.fixture
-def many_ranges(spark):
-    """Keep every shuffle at its full number of partitions, so small data spans many ranges."""
+def many_ranges(spark, monkeypatch):
+    """Keep every shuffle at its full number of partitions, and ranges short, so small data spans many ranges."""
+    monkeypatch.setattr(prefix, "RANGE_ROWS", 40)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     yield
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
