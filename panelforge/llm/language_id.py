@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from panelforge.llm.common import fresh, ship_package, text_batches, without
+from panelforge.llm.common import broadcast_if_small, fresh, ship_package, text_batches, without, written
 
 DIMS = 4096
 #: The model is fitted on at most so many labelled texts of each language, taken in the order of a hash of id and text.
@@ -186,7 +186,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", t
     use = use.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 40)).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     # Of a language's n texts those below a hash that about twice the wanted number stay under, so that few texts are shuffled.
     sizes = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("_n"))
-    use = use.join(sizes, "lang").where(F.col("h").cast("double") * F.col("_n") < F.lit(float(2 * texts + 100)) * (1 << 40)).drop("_n")
+    use = use.join(broadcast_if_small(written(sizes, "language-sizes")), "lang").where(F.col("h").cast("double") * F.col("_n") < F.lit(float(2 * texts + 100)) * (1 << 40)).drop("_n")
     nearest = W.partitionBy("lang").orderBy("h", F.length("text"), "text")
     sample = use.withColumn("_rank", F.row_number().over(nearest)).where(F.col("_rank") <= texts).select("h", "lang", "text")
     rows = sample.mapInArrow(_vectors, "lang string, at binary, n binary").collect()
