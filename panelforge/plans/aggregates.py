@@ -307,7 +307,7 @@ def u3(spark, sf_dir):
     return rows.where("NOT is_train").select("sid").subtract(rows.where("is_train").select("sid"))
 
 
-@query("u4_fold_overlap_jaccard", with_sql(ORDERS_SQL, f"SELECT CAST(a.fold AS INTEGER) AS fold_a, CAST(b.fold AS INTEGER) AS fold_b, CAST(count_if(a.feature = b.feature) AS BIGINT) AS common, {sr('count_if(a.feature = b.feature) * 1.0 / (8 - count_if(a.feature = b.feature))')} AS jaccard FROM ft a JOIN ft b ON a.fold < b.fold GROUP BY 1, 2", FOLD_TOP_SQL))
+@query("u4_fold_overlap_jaccard", with_sql(ORDERS_SQL, f"SELECT CAST(a.fold AS INTEGER) AS fold_a, CAST(b.fold AS INTEGER) AS fold_b, CAST(count_if(a.feature = b.feature) AS BIGINT) AS common, {sr('count_if(a.feature = b.feature) * 1.0 / (12 - count_if(a.feature = b.feature))')} AS jaccard FROM ft a JOIN ft b ON a.fold < b.fold GROUP BY 1, 2", FOLD_TOP_SQL))
 def u4(spark, sf_dir):
     return set_overlap(fold_top(spark, sf_dir), "fold", "feature").withColumn("jaccard", r("jaccard"))
 
