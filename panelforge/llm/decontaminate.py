@@ -24,7 +24,8 @@ from panelforge.llm.words import word_lists
 PASSAGE = 64
 K1, B = 1.2, 0.75
 BLOCK = 4
-#: Words that stand in more than COMMON blocks enter the first bound by their largest contribution to any item, not by their lists.
+#: Of the words that stand in more than COMMON blocks, those that together stay below every threshold enter the first bound by their largest
+#: contribution to any item, not by their lists.
 COMMON = 64
 #: Words of texts that are searched at once, and list entries that are summed at once.
 SPAN, ENTRIES = 1 << 18, 1 << 21
@@ -138,7 +139,12 @@ def _passages(index: Index, owner: np.ndarray, texts: list[np.ndarray], found: l
     total = int(count.sum())
     keep = np.bincount(w, index.highest[t], total)[w] >= lowest
     w, t = w[keep], t[keep]
-    common = index.size[t] > COMMON
+    # The commonest words of a passage go unwalked as long as they cannot reach any threshold by themselves.
+    order = np.lexsort((-index.size[t], w))
+    upto = np.cumsum(index.highest[t[order]])
+    upto -= np.concatenate(([0.0], upto))[np.searchsorted(w, w[order])]
+    common = np.zeros(len(t), bool)
+    common[order] = (upto < lowest - 1e-6) & (index.size[t[order]] > COMMON)
     rest = np.bincount(w, np.where(common, index.highest[t], 0.0), total)
     row = np.flatnonzero(~common)
     cost = np.cumsum(index.size[t[row]])
@@ -154,6 +160,7 @@ def _passages(index: Index, owner: np.ndarray, texts: list[np.ndarray], found: l
         entry = np.arange(int(size.sum())) + np.repeat(index.start[t[own]] - np.cumsum(size) + size, size)
         low, high = w[own[0]], w[own[-1]] + 1
         sums = np.bincount((np.repeat(w[own], size) - low) * n + index.block[entry], index.value[entry], (high - low) * n).reshape(-1, n)
+        # A block with none of the walked words has the rest at most, which is below every threshold.
         for p, b in zip(*np.nonzero((sums + rest[low:high, None] >= index.least - 1e-6) & (sums > 0))):
             mine = t[np.searchsorted(w, low + p) : np.searchsorted(w, low + p, side="right")].tolist()
             doc = owner[np.searchsorted(base, low + p, side="right") - 1]
@@ -162,15 +169,6 @@ def _passages(index: Index, owner: np.ndarray, texts: list[np.ndarray], found: l
                 if score >= index.thresholds[i]:
                     found[doc][i] = max(found[doc].get(i, 0.0), score)
         at = end
-    # A passage with common words only has no list of its own to walk: score the few that can reach a threshold.
-    alone = np.setdiff1d(np.flatnonzero(rest >= lowest), w[row])
-    for p in alone.tolist():
-        mine = t[np.searchsorted(w, p) : np.searchsorted(w, p, side="right")].tolist()
-        doc = owner[np.searchsorted(base, p, side="right") - 1]
-        for i, own in enumerate(index.postings):
-            score = sum(own.get(x, 0.0) for x in mine)
-            if score >= index.thresholds[i]:
-                found[doc][i] = max(found[doc].get(i, 0.0), score)
 
 
 def verified(index: Index, terms: np.ndarray, found: dict[int, float]) -> list[tuple[int, float, float, float]]:

@@ -166,6 +166,21 @@ def test_retrieval_scores_every_passage_that_reaches_its_threshold(monkeypatch,
     assert set(got[1]) == want and len(want) >= 9 and not got[0]
 
 
+def test_items_of_common_words_are_retrieved_beside_a_rare_word_of_another_item():
+    rnd = random.Random(11)
+    common = [f"c{k}" for k in range(60)]
+    items = [(i, " ".join(rnd.choice(common) if i % 10 == 0 or k % 3 else f"r{rnd.randrange(6000)}" for k in range(30))) for i in range(1000)]
+    index = build_index([(i, *halves(t)) for i, t in items])
+    texts = [t for i, t in items if i % 10 == 0]
+    rare = [next(w for w in items[i + 5][1].split() if w[0] == "r") for i, _ in items if i % 10 == 0]
+    docs = [np.array([index.terms[w] for w in all_words(f"{t} {r}")]) for t, r in zip(texts, rare)]
+    assert index.size[[index.terms[c.encode()] for c in common]].min() > decontaminate.COMMON > index.size[[index.terms[r.encode()] for r in rare]].max()
+    for k, (doc, got) in enumerate(zip(docs, retrieve(index, docs))):
+        own = set(doc.tolist())
+        want = {i for i, p in enumerate(index.postings) if sum(p.get(t, 0.0) for t in own) >= index.thresholds[i]}
+        assert set(got) == want and 10 * k in {index.items[i] for i in got}
+
+
 def test_question_and_answer_columns(spark):
     q, a = prose(1, 20, 900), prose(2, 12, 900)
     tests = spark.createDataFrame([(1, q, a), (2, q, None)], "item_id long, q string, a string")
