@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
+from itertools import accumulate, combinations, product
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelforge.functions import exprs as X
-from panelforge.operators import drift, features as FE, metrics as M, models as MO, policies as PO, ranks, splits
+from panelforge.operators import drift, features as FE, metrics as M, models as MO, policies as PO, ranks, splits, tables
 from panelforge.operators.quantiles import fit_quantiles
 from panelforge.plans.registry import query
 from panelforge.session import cut_lineage, ensure_checkpoint_dir
@@ -149,19 +151,47 @@ def m19(spark, sf_dir):
     return val.select("id", "y", "gain_p", F.when(F.col("gain_p") > 0.5, F.col("t")).otherwise(F.col("nt")).alias("chosen"))
 
 
+TAIL_WEIGHTS, TAIL_PCTS, FEATURE_COUNTS = (1.0, 1.5, 2.0, 3.0), (90, 95, 97), (4, 8, 16)
+#: Prefixes of the pair columns that a setting may use.
+INTERACTIONS = {"none": (), "base_only": ("inter_",), "ratio_only": ("ratio_",), "full": ("inter_", "ratio_", "diff_", "logprod_")}
+
+
+def pair_columns(cols) -> dict:
+    """Product, ratio, difference and log product of each pair of columns."""
+    out = {}
+    for x, z in combinations(cols, 2):
+        a, b = F.col(x), F.col(z)
+        out |= {f"inter_{x}_x_{z}": a * b, f"ratio_{x}_to_{z}": a / (b + 1e-9), f"diff_{x}_{z}": a - b, f"logprod_{x}_{z}": F.log1p(a * b)}
+    return out
+
+
+def grid_columns(extra, kind: str, n: int) -> list[str]:
+    """All columns of a kind of interactions, or the first three and a seeded choice of the others where there are more than n."""
+    cols = [*COLS, *(c for c in extra if c.startswith(INTERACTIONS[kind]))]
+    return cols if n >= len(cols) else [*cols[:3], *random.Random(42).sample(cols[3:], n - 3)]
+
+
 @query("m21_hyper_grid")
 def m21(spark, sf_dir):
-    rows, out = frame(spark, sf_dir), []
+    """Each tail weight, tail share, feature count and kind of interactions; equal columns and weights are fitted once."""
+    extra = pair_columns(COLS[:5])
+    rows = cut_lineage(frame(spark, sf_dir).withColumns(extra))
     train, test = rows.where("is_train"), rows.where("NOT is_train")
-    y = test.agg(F.stddev_pop("y").alias("s")).first().s
-    for w in (1.0, 3.0):
-        for n in (3, 6):
-            cols = COLS[:n]
-            weighted = PO.tail_weights(train, "y").withColumn("weight", F.when(F.col("weight") > 1.0, F.col("weight") * w).otherwise(1.0))
+    cuts = dict(zip(TAIL_PCTS, fit_quantiles(train, {"y": (F.col("y"), [p / 100 for p in TAIL_PCTS])})["y"]))
+    sd, top = test.agg(F.stddev_pop("y").alias("s")).first().s, fit_quantiles(test, {"y": (F.col("y"), [0.99])})["y"][0]
+    done, out = {}, []
+    for w, pct, n, kind in product(TAIL_WEIGHTS, TAIL_PCTS, FEATURE_COUNTS, INTERACTIONS):
+        cols = grid_columns(extra, kind, n)
+        key = (w, pct if w != 1.0 else None, tuple(cols))
+        if key not in done:
+            weighted = train.withColumn("weight", F.when(F.col("y") > cuts[pct], w).otherwise(1.0))
             pred = MO.predict(MO.fit_regressor(weighted, cols, weight="weight"), test, cols, "pred")
-            m = pred.agg(F.stddev_pop("pred").alias("s"), F.avg(F.abs(F.col("y") - F.col("pred"))).alias("e")).first()
-            out.append((w, n, m.s / (y + 1e-9), m.e))
-    return listing(spark, out, "tail_weight double, n_features int, std_ratio double, mae double")
+            miss = F.abs(F.col("y") - F.col("pred"))
+            m = pred.agg(F.stddev_pop("pred").alias("s"), F.avg(miss).alias("e"), F.avg(F.when(F.col("y") >= top, miss)).alias("t")).first()
+            p99 = fit_quantiles(pred, {"p": (F.col("pred"), [0.99])})["p"][0]
+            done[key] = (m.s / (sd + 1e-9), p99 / (top + 1e-9), m.e, m.t)
+        out.append((w, pct, n, kind, len(cols), *done[key]))
+    return listing(spark, out, "tail_weight double, tail_pct int, feature_count int, interactions string, n_features int, std_ratio double, p99_ratio double, mae double, q99_mae double")
 
 
 def classifier_row(train, val, cols, **kw):
@@ -175,11 +205,11 @@ def classifier_row(train, val, cols, **kw):
 @query("m23_label_threshold_sweep")
 def m23(spark, sf_dir):
     rows, out = frame(spark, sf_dir), []
-    for p in (0.8, 0.9, 0.95):
+    for p in (0.8, 0.9, 0.92, 0.95, 0.97, 0.99):
         r = tail_label(rows, p)
         a, b, auc, _ = classifier_row(r.where("is_train"), r.where("NOT is_train"), COLS)
-        out.append((p, a, b, auc))
-    return listing(spark, out, "quantile double, precision_at_07 double, recall double, auc double")
+        out.append((p, r.agg(F.avg(F.col("tail").cast("double"))).first()[0], a, b, auc))
+    return listing(spark, out, "quantile double, tail_ratio double, precision_at_07 double, recall double, auc double")
 
 
 @query("m24_class_weight_sweep")
@@ -351,23 +381,39 @@ def g11(spark, sf_dir):
     return g.join(s, "feature").select("feature", "mean_gain", "gain_cv", stable.alias("sign_stability"), ((1.0 - F.least(F.col("gain_cv"), F.lit(1.0))) * 0.5 + stable * 0.5).alias("stability_factor"))
 
 
+def correlated_groups(rows: DataFrame, cols, limit: float = 0.95) -> dict[str, list[str]]:
+    """Each column with the others that correlate with it above the limit, where there are any; equal groups once."""
+    near = {(r.feature_a, r.feature_b) for r in tables.correlation_pairs(rows, cols).where(F.col("corr") > limit).collect()}
+    groups = [[c for c in cols if c == x or (c, x) in near or (x, c) in near] for x in cols]
+    return {"+".join(g): g for g in groups if len(g) > 1}
+
+
 @query("g12_permutation_importance")
 def g12(spark, sf_dir):
+    """Each column alone, and each group of correlated columns together."""
     rows = frame(spark, sf_dir)
-    m = MO.fit_regressor(rows.where("is_train"), COLS)
+    train = rows.where("is_train")
+    m = MO.fit_regressor(train, COLS)
     val = cut_lineage(rows.where("NOT is_train"))
-    d = MO.permutation_importance(m, val, COLS, {"qty_sum": ["qty_sum"], "disc_avg": ["disc_avg"], "n_lines+qty_sum": ["n_lines", "qty_sum"]})
+    d = MO.permutation_importance(m, val, COLS, {c: [c] for c in COLS} | correlated_groups(train, COLS))
     return listing(spark, list(d.items()), "feature_group string, delta double")
 
 
+CUTOFFS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99)
+
+
 @query("g20_feature_count_curve")
 def g20(spark, sf_dir):
+    """Every count of the most important columns, and the counts that cutoffs of the summed importance give."""
     rows = frame(spark, sf_dir)
     train, val = rows.where("is_train"), rows.where("NOT is_train")
     imp = MO.importances(MO.fit_regressor(train, COLS), COLS)
     order = sorted(COLS, key=lambda c: (-imp[c], c))
-    out = []
-    for k in (1, 3, 6):
+    share = [v / (sum(imp.values()) or 1.0) for v in accumulate(imp[c] for c in order)]
+    curve = []
+    for k in range(1, len(order) + 1):
         m = MO.fit_regressor(train, order[:k])
-        out.append((k, sum(imp[c] for c in order[:k]), MO.mae(MO.predict(m, val, order[:k], "p"), "y", "p")))
-    return listing(spark, out, "n_features int, importance_share double, mae double")
+        curve.append((k, share[k - 1], MO.mae(MO.predict(m, val, order[:k], "p"), "y", "p")))
+    # A cutoff takes the columns within it, and the first one at least.
+    chosen = [(c, *curve[max(1, sum(s <= c for s in share)) - 1]) for c in CUTOFFS]
+    return listing(spark, [(None, *x) for x in curve] + chosen, "cutoff double, n_features int, importance_share double, mae double")

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from panelforge.operators import models as MO, ranks
 from panelforge.operators.quantiles import fit_quantiles
+from panelforge.plans import modelling
 from panelforge.session import cut_lineage
 
+SF = "/root/testdata/sf0.001"
+
 
 @pytest.fixture(scope="module")
 def rows(spark):
@@ -80,3 +83,33 @@ def test_ridge_matches_the_normal_equations(rows):
     x = pdf[["a", "b"]] - pdf[["a", "b"]].mean()
     want = np.linalg.solve(x.T @ x + np.eye(2), x.T @ (pdf.y - pdf.y.mean()))
     assert np.allclose(m.coefficients.toArray(), want, atol=1e-6)
+
+
+def test_sweeps_and_curves_are_whole(spark, monkeypatch):
+    """Every quantile, column and feature count has its row."""
+    monkeypatch.setattr(MO, "TREE", {**MO.TREE, "maxIter": 1, "maxDepth": 1})
+    sweep = modelling.m23(spark, SF).toPandas()
+    assert {0.8, 0.9, 0.92, 0.95, 0.97, 0.99} <= set(sweep["quantile"])
+    assert np.allclose(sweep.tail_ratio, 1 - sweep["quantile"], atol=0.01)
+    groups = {r.feature_group for r in modelling.g12(spark, SF).collect()}
+    assert set(modelling.COLS) <= groups
+    curve = modelling.g20(spark, SF).toPandas()
+    assert curve[curve.cutoff.isna()].n_features.tolist() == list(range(1, len(modelling.COLS) + 1))
+    assert curve.cutoff.dropna().tolist() == [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99]
+
+
+def test_hyper_grid_is_whole(spark, monkeypatch):
+    """Every setting has its row; stand-ins for the fits keep this short."""
+    fits = []
+    monkeypatch.setattr(MO, "fit_regressor", lambda df, cols, **kw: fits.append(tuple(cols)))
+    monkeypatch.setattr(MO, "predict", lambda model, df, cols, name: df.withColumn(name, F.col("y") * len(cols)))
+    monkeypatch.setattr(modelling, "fit_quantiles", lambda df, spec: {n: [1.0] * len(p) for n, (_, p) in spec.items()})
+    grid = modelling.m21(spark, SF).toPandas()
+    axes = ["tail_weight", "tail_pct", "feature_count", "interactions"]
+    assert len(grid) == len(grid[axes].drop_duplicates()) == 4 * 3 * 3 * 4 and grid.notna().all().all()
+    assert {c for cols in fits for c in cols} >= {*modelling.COLS, "inter_n_lines_x_qty_sum", "ratio_n_lines_to_qty_sum"}
+
+
+def test_correlated_groups_are_found(rows):
+    near = rows.withColumn("a2", F.col("a") * 2 + F.col("b") * 0.01)
+    assert modelling.correlated_groups(near, ["a", "b", "a2", "shifted"]) == {"a+a2": ["a", "a2"]}
