@@ -165,13 +165,13 @@ def e10(spark, sf_dir):
 
 @query("e12_latent_attach")
 def e12(spark, sf_dir):
-    """Neighbour features named per k and dimension, joined back by id, checked for completeness."""
-    pool, targets = pool_and_targets(spark, sf_dir)
-    ks, dims = (10, 20, 40), 10
-    g = NB.graph_features(NB.nearest(targets, pool, max(ks)), pool, targets, ks, dims)
+    """Neighbour features of all vectors among all others, named per k and dimension, joined back by id, checked for completeness."""
+    v = S.vectors(spark, sf_dir)
+    ks, dims = (10, 20, 40), 64
+    g = NB.graph_features(NB.nearest(v, v, max(ks), exclude_self=True), v, v, ks, dims)
     names = [f"{p}_{k}" for k in ks for p in ("embed_mean", "embed_std", "weighted_mean", "trend_proxy")]
     wide = g.select("id", "local_density", "similarity_entropy", *[F.col(n)[d].alias(f"{n}_d{d}") for n in names for d in range(dims)])
-    out = targets.select("id", "label").join(wide, "id", "left")
+    out = v.select("id", "label").join(wide, "id", "left")
     from panelforge.operators.selection import sync_schema
 
     return sync_schema(out, [c for c in wide.columns if c != "id"], ["id", "label"])

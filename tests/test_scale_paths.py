@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from panelforge.operators import drift, embedding as EM, neighbours as NB, panel as P, ranks
 from panelforge.operators.prefix import prefix_scan, row_positions
 from panelforge.operators.quantiles import fit_quantiles, grouped_quantiles
+from panelforge.plans import latent
+from panelforge.sources import panels as S
 
 PANEL = P.Panel("sid", ("t",))
 
@@ -254,3 +256,21 @@ def test_adversarial_scores_cover_every_row(spark):
     df = spark.range(3000).select("id", (F.xxhash64("id") % 100).cast("double").alias("x"))
     scored, _ = MO.adversarial_scores(df.where("id < 2000"), df.where("id >= 2000"), ["x"], folds=2, fit_rows=200, maxIter=2)
     assert scored.count() == scored.select("id").distinct().count() == 3000
+
+
+def test_latent_features_cover_every_vector_and_dimension(spark):
+    """Each vector against all others, itself left out, in all dimensions."""
+    sf = "/root/testdata/sf0.001"
+    v = S.vectors(spark, sf).toPandas().sort_values("id")
+    x = np.stack(v.v.to_numpy())
+    u = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8)
+    d = np.round(1.0 - u @ u.T, 9) + 0.0
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1, kind="stable")[:, :40]
+    got = latent.e12(spark, sf).toPandas().sort_values("id")
+    assert got.id.tolist() == v.id.tolist()
+    for k in (10, 20, 40):
+        z = x[near[:, :k]]
+        w = np.exp(1.0 - np.maximum(np.take_along_axis(d, near[:, :k], 1), 1e-6))
+        for name, want in (("embed_mean", z.mean(1)), ("embed_std", z.std(1)), ("weighted_mean", (w[:, :, None] * z).sum(1) / w.sum(1)[:, None]), ("trend_proxy", z.mean(1) - x)):
+            assert np.allclose(got[[f"{name}_{k}_d{i}" for i in range(x.shape[1])]], want, atol=1e-6)
