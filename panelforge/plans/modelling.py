@@ -110,7 +110,7 @@ def m13(spark, sf_dir):
     out = []
     for i in range(3):
         for j in range(i + 1, 3):
-            auc, _ = MO.adversarial_auc(rows.where(F.col("part") == i), rows.where(F.col("part") == j), COLS, folds=2)
+            auc, _ = MO.adversarial_auc(rows.where(F.col("part") == i), rows.where(F.col("part") == j), COLS)
             out.append((i, j, auc))
     return listing(spark, out, "fold_a int, fold_b int, auc double")
 
@@ -287,7 +287,7 @@ def m31(spark, sf_dir):
 def m32(spark, sf_dir):
     rows = frame(spark, sf_dir)
     fam = {"counts": ["n_lines", "qty_sum"], "averages": ["qty_avg", "disc_avg", "tax_avg"], "peaks": ["qty_max"]}
-    out = [(n, MO.adversarial_auc(rows.where("is_train"), rows.where("NOT is_train"), c, folds=2)[0]) for n, c in fam.items()]
+    out = [(n, MO.adversarial_auc(rows.where("is_train"), rows.where("NOT is_train"), c)[0]) for n, c in fam.items()]
     return listing(spark, out, "family string, auc double")
 
 
@@ -296,10 +296,10 @@ def d24(spark, sf_dir):
     rows = frame(spark, sf_dir).withColumn("layout", F.col("layout").cast("double"))
     a, b = rows.where("is_train"), rows.where("NOT is_train")
     cols = COLS + ["layout"]
-    full, imp = MO.adversarial_auc(a, b, cols, folds=2)
+    full, imp = MO.adversarial_auc(a, b, cols)
     top = max(imp, key=lambda c: imp[c])
     variants = {"no_top_drift": [c for c in cols if c != top], "no_layout": COLS, "layout_only": ["layout"]}
-    out = [("full", full, 0.0)] + [(n, x, (full - x) / (full - 0.5 + 1e-9)) for n, x in ((n, MO.adversarial_auc(a, b, c, folds=2)[0]) for n, c in variants.items())]
+    out = [("full", full, 0.0)] + [(n, x, (full - x) / (full - 0.5 + 1e-9)) for n, x in ((n, MO.adversarial_auc(a, b, c)[0]) for n, c in variants.items())]
     return listing(spark, out, "variant string, auc double, share double")
 
 
@@ -338,7 +338,7 @@ def r24(spark, sf_dir):
 
     mean_ks = lambda a: drift.ks_table(labelled_union(a.select(*COLS), test.select(*COLS)), COLS, F.col("is_test") == 0).agg(F.avg("ks_stat")).first()[0]
     k_all, k_proxy = mean_ks(train), mean_ks(proxy)
-    auc_all, auc_proxy = (MO.adversarial_auc(a, test, COLS, folds=2)[0] for a in (train, proxy))
+    auc_all, auc_proxy = (MO.adversarial_auc(a, test, COLS)[0] for a in (train, proxy))
     m = proxy.agg(F.avg("y").alias("m")).first().m / (train.agg(F.avg("y").alias("m")).first().m + 1e-9)
     ok = (k_proxy < 0.9 * k_all, auc_all - auc_proxy >= 0.05 and auc_proxy < 0.70, abs(1 - m) < 0.25)
     return listing(spark, [(k_all, k_proxy, auc_all, auc_proxy, *ok, "VALID" if all(ok) else "INVALID")], "ks_train double, ks_proxy double, auc_train double, auc_proxy double, ks_valid boolean, auc_valid boolean, aligned boolean, verdict string")
@@ -371,13 +371,18 @@ def g10(spark, sf_dir):
 
 @query("g11_cross_fold_gain_and_sign")
 def g11(spark, sf_dir):
-    rows = cut_lineage(frame(spark, sf_dir).where("is_train").withColumn("half", splits.hash_fold(2, F.col("id"))))
-    gains = [MO.importances(MO.fit_regressor(rows.where(F.col("half") == h), COLS), COLS) for h in (0, 1)]
-    signs = [drift.stats_long(rows.where(F.col("half") != h), COLS, s=lambda c: F.signum(X.corr(c, F.col("y")))) for h in (0, 1)]
-    s = signs[0].withColumnRenamed("s", "s0").join(signs[1].withColumnRenamed("s", "s1"), "feature")
-    cv = {c: abs(gains[0][c] - gains[1][c]) / (gains[0][c] + gains[1][c] + 1e-9) for c in COLS}
-    g = listing(spark, [(c, (gains[0][c] + gains[1][c]) / 2, cv[c] if gains[0][c] + gains[1][c] > 0 else 1.0) for c in COLS], "feature string, mean_gain double, gain_cv double")
-    stable = F.abs(F.col("s0") + F.col("s1")) / 2
+    rows = cut_lineage(frame(spark, sf_dir).where("is_train").withColumn("fold", splits.hash_fold(FOLDS, F.col("id"))))
+    gains, signs = [], None
+    for f in range(FOLDS):
+        fit_on = rows.where(F.col("fold") != f)
+        gains.append(MO.importances(MO.fit_regressor(fit_on, COLS), COLS))
+        one = drift.stats_long(fit_on, COLS, s=lambda c: F.signum(X.corr(c, F.col("y"))))
+        signs = one if signs is None else signs.unionByName(one)
+    mean = {c: sum(x[c] for x in gains) / FOLDS for c in COLS}
+    cv = {c: (sum((x[c] - mean[c]) ** 2 for x in gains) / FOLDS) ** 0.5 / (mean[c] + 1e-9) if mean[c] > 0 else 1.0 for c in COLS}
+    g = listing(spark, [(c, mean[c], cv[c]) for c in COLS], "feature string, mean_gain double, gain_cv double")
+    s = signs.groupBy("feature").agg(F.abs(F.avg("s")).alias("stable"))
+    stable = F.col("stable")
     return g.join(s, "feature").select("feature", "mean_gain", "gain_cv", stable.alias("sign_stability"), ((1.0 - F.least(F.col("gain_cv"), F.lit(1.0))) * 0.5 + stable * 0.5).alias("stability_factor"))
 
 

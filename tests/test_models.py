@@ -113,3 +113,17 @@ def test_hyper_grid_is_whole(spark, monkeypatch):
 def test_correlated_groups_are_found(rows):
     near = rows.withColumn("a2", F.col("a") * 2 + F.col("b") * 0.01)
     assert modelling.correlated_groups(near, ["a", "b", "a2", "shifted"]) == {"a+a2": ["a", "a2"]}
+
+
+def test_folds_are_those_of_the_operators(spark, monkeypatch):
+    """No query asks for fewer folds than an adversarial AUC takes, and gains and signs come from all folds."""
+    asked, fits = [], []
+    monkeypatch.setattr(MO, "adversarial_auc", lambda a, b, cols, folds=3: asked.append(folds) or (0.6, dict.fromkeys(cols, 1.0)))
+    for q in (modelling.m13, modelling.m32, modelling.d24, modelling.r24):
+        assert q(spark, SF).count() > 0
+    assert len(asked) == 3 + 3 + 4 + 2 and set(asked) == {3}
+    monkeypatch.setattr(MO, "fit_regressor", lambda df, cols: fits.append(df.count()))
+    monkeypatch.setattr(MO, "importances", lambda m, cols: dict.fromkeys(cols, float(len(fits))))
+    got = modelling.g11(spark, SF).toPandas()
+    assert len(fits) == modelling.FOLDS and set(got.feature) == set(modelling.COLS)
+    assert np.allclose(got.mean_gain, 3.0) and np.allclose(got.gain_cv, np.sqrt(2.0) / 3.0) and got.sign_stability.between(0, 1).all()
