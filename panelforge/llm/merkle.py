@@ -140,17 +140,20 @@ def roots(nodes: DataFrame) -> DataFrame:
     return last.select("tree", "n", "root")
 
 
-def _coordinates(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each block (tree, block, n, trees), the nodes that its leaves cannot give: (tree, block, of, level, idx)."""
-    for batch in it:
-        out = []
-        for r in batch.to_pylist():
-            first = r["block"] << BLOCK_BITS
-            own = range(first, min(first + (1 << BLOCK_BITS), r["n"]))
-            out += [(r["tree"], r["block"], r["tree"], level, i) for level, i in missing_nodes(own, r["n"])]
-            out += [(r["tree"], r["block"], -1, UPPER + level, i) for level, i in missing_nodes([r["tree"]], r["trees"])]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], k) for c, k in enumerate(kinds)], names=["tree", "block", "of", "level", "idx"])
+def _coordinates(bits: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each block (tree, block, n, trees), the nodes that its leaves cannot give: (tree, block, of, level, idx)."""
+        for batch in it:
+            out = []
+            for r in batch.to_pylist():
+                first = r["block"] << bits
+                own = range(first, min(first + (1 << bits), r["n"]))
+                out += [(r["tree"], r["block"], r["tree"], level, i) for level, i in missing_nodes(own, r["n"])]
+                out += [(r["tree"], r["block"], -1, UPPER + level, i) for level, i in missing_nodes([r["tree"]], r["trees"])]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], k) for c, k in enumerate(kinds)], names=["tree", "block", "of", "level", "idx"])
+
+    return run
 
 
 def fetch(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -159,7 +162,7 @@ def fetch(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
     Nodes from some level on, BROADCAST_ROWS at most, are broadcast; many blocks ask for these. Nodes below that level are
     joined by a shuffle; only the blocks below a node's sibling ask for it.
     """
-    wanted = blocks.mapInArrow(_coordinates, "tree long, block long, of long, level int, idx long")
+    wanted = blocks.mapInArrow(_coordinates(BLOCK_BITS), "tree long, block long, of long, level int, idx long")
     nodes = nodes.select(F.col("tree").alias("of"), "level", "idx", "hash")
     held, cut = 0, None
     for level, n in sorted(map(tuple, nodes.groupBy("level").count().collect()), reverse=True):  # levels are few

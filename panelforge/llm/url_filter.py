@@ -52,14 +52,14 @@ class Rule:
         if not self.pattern:
             host, slash, path = self.text.partition("/")
             return r"\A(?:[^/]*\.)?" + re.escape(host.translate(ASCII_LOWER)) + (re.escape(slash + path) if slash else r"(?=/|\Z)")
-        text, front, back = self.text.translate(ASCII_LOWER), "", ""
-        if text.startswith("||"):
-            text, front = text[2:], r"\A[^/?#]*?://(?:[^/?#]*\.)?"
-        elif text.startswith("|"):
-            text, front = text[1:], r"\A"
-        if text.endswith("|"):
-            text, back = text[:-1], r"\Z"
-        return "(?s)" + front + "".join({"*": ".*", "^": _SEPARATOR}.get(c) or re.escape(c) for c in text) + back
+        text, front = self.text.translate(ASCII_LOWER), r".*?"
+        if text.startswith("|"):
+            text, front = (text[2:], r"[^/?#]*?://(?:[^/?#]*?\.)??") if text.startswith("||") else (text[1:], "")
+        ends = text.endswith("|")
+        parts = ["".join(_SEPARATOR if c == "^" else re.escape(c) for c in p) for p in text.removesuffix("|").split("*")]
+        # The leftmost place of each part is the best one, so nothing is tried again and long URLs take linear time.
+        parts = [front + parts[0], *[r".*?" + p for p in parts[1:]]]
+        return r"(?s)\A" + "".join(f"(?>{p})" for p in parts[: len(parts) - ends]) + (parts[-1] + r"\Z" if ends else "")
 
     def tokens(self) -> set[str]:
         """Tokens that every fitting URL has."""
@@ -144,7 +144,7 @@ def try_rules(url: str | None, index: dict[str | None, list[Rule]]) -> tuple:
         for r in index.get(token, ()):
             tried += 1
             if r.pattern:
-                if url is not None and _compiled(r).search(lowered):
+                if url is not None and _compiled(r).match(lowered):
                     hits[r.action] = min(hits[r.action] or r.text, r.text)
             elif _compiled(r).match(host + path):
                 best = max(best or (0, "", ""), (len(r.text), r.text, r.action))
