@@ -2,10 +2,12 @@
 
 Every text is read as passages of PASSAGE words that overlap by half. A passage is a query against the index of test
 items. The index knows, for each word, its largest contribution to any item, and in each block of items: a passage whose words
-cannot reach the threshold is skipped, then each block that it cannot reach, and only the rest is scored. Each item has its own
-threshold, a share of what the weakest stretch of the item itself would score.
+cannot reach the threshold is skipped, then each block that it cannot reach, and only the rest is scored.
 
-Retrieved pairs are verified: the word shingles of the item's question and of its answer must both be found in the text.
+Retrieved pairs are verified: the word shingles of the item's question and of its answer must both be found in the text, anywhere in
+it. So each item's threshold is the least score that the best passage of an accepted text can have: if OVERLAP of a half's shingles
+must be there, one of them scores at least as much as the heaviest shingle that may not be missing, and it stands whole in
+some passage, as PASSAGE is at least twice a shingle less two. No text that the verification accepts is lost.
 """
 
 from __future__ import annotations
@@ -18,21 +20,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelforge.llm.common import distinct, ship_package, text_batches
+from panelforge.llm.common import distinct, ship_package, text_batches, written
 from panelforge.llm.words import word_lists
 
-PASSAGE = 64
+PASSAGE = 8
 K1, B = 1.2, 0.75
 BLOCK = 4
 #: Of the words that stand in more than COMMON blocks, those that together stay below every threshold enter the first bound by their largest
 #: contribution to any item, not by their lists.
 COMMON = 64
-#: Words of texts that are searched at once, and list entries that are summed at once.
-SPAN, ENTRIES = 1 << 18, 1 << 21
-SHARE = 0.5
+#: Words of texts that are searched at once, list entries that are summed at once, and pairs of passage and block that are scored at once.
+SPAN, ENTRIES, PAIRS = 1 << 18, 1 << 21, 1 << 14
 SHINGLE, OVERLAP = 5, 0.8
-#: An index holds at most so many bytes of test items; more items make more indexes, each with a pass over the texts.
-INDEX_BYTES = 32 << 20
+#: An index holds at most so many bytes of test items (about ten times that in memory); more items make more indexes, each with a pass over the texts.
+INDEX_BYTES = 8 << 20
 BATCH_BYTES = 2 << 20
 
 
@@ -47,6 +48,20 @@ def shingles(words: Sequence, k: int = SHINGLE) -> set[tuple]:
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}
 
 
+def hashed(terms: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit hash of each run of ``k`` term numbers; runs with a word of no item (-1) are left out."""
+    if len(terms) < k:
+        return np.zeros(0, np.uint64)
+    n, out = len(terms) - k + 1, np.full(len(terms) - k + 1, np.uint64(k))
+    good = np.ones(n, bool)
+    for i in range(k):
+        part = terms[i : i + n]
+        good &= part >= 0
+        out = (out ^ (part.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+        out ^= out >> np.uint64(32)
+    return out[good]
+
+
 @dataclass(frozen=True)
 class Index:
     items: list[int]
@@ -56,14 +71,28 @@ class Index:
     start: np.ndarray  # of each term: its first entry in the next two
     block: np.ndarray
     value: np.ndarray  # largest contribution in that block
-    postings: list[dict[int, float]]  # of each item: term -> contribution
+    keys: np.ndarray  # item * terms + term, sorted
+    contribution: np.ndarray  # of each key
     thresholds: np.ndarray
     least: np.ndarray  # of each block: smallest threshold
-    parts: list[tuple[set[tuple], set[tuple]]]  # of each item: question and answer shingles, as term numbers
+    parts: list[tuple[int, np.ndarray, int, np.ndarray]]  # of each item: shingle length and hashed shingles of question and answer
 
     def lowest(self) -> float:
         return float(self.thresholds.min()) if len(self.thresholds) else np.inf
 
+    def scores(self, items: np.ndarray, terms: np.ndarray) -> np.ndarray:
+        """What each term contributes to its item."""
+        key = items * len(self.terms) + terms
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.contribution[at], 0.0)
+
+
+def least_found(half: list[int], own: dict[int, float]) -> float:
+    """The score that one found shingle of a half has at least, where OVERLAP of them are found: the heaviest that may not be missing."""
+    k = min(SHINGLE, len(half))
+    weights = sorted((sum(own[t] for t in set(s)) for s in {tuple(half[i : i + k]) for i in range(len(half) - k + 1)}), reverse=True)
+    return weights[int((1 - OVERLAP) * len(weights) + 1e-9)]
+
 
 def build_index(items: list[tuple[int, str | None, str | None]]) -> Index:
     """Index of (item, question, answer). Items without words are left out: nothing can repeat them."""
@@ -73,33 +102,35 @@ def build_index(items: list[tuple[int, str | None, str | None]]) -> Index:
     terms: dict[bytes, int] = {}
     numbers = [([terms.setdefault(w, len(terms)) for w in q], [terms.setdefault(w, len(terms)) for w in a]) for _, q, a in words]
     n = len(numbers)
-    whole = [q + a for q, a in numbers]
     df = np.zeros(len(terms))
-    for w in whole:
-        df[list(set(w))] += 1
+    for q, a in numbers:
+        df[list({*q, *a})] += 1
     idf = np.log1p((n - df + 0.5) / (df + 0.5))
-    mean = sum(map(len, whole)) / max(n, 1)
-    postings, thresholds = [], []
-    for w in whole:
-        norm = K1 * (1 - B + B * len(w) / mean)
-        tf: dict[int, int] = {}
-        for t in w:
-            tf[t] = tf.get(t, 0) + 1
-        own = {t: float(idf[t] * c * (K1 + 1) / (c + norm)) for t, c in tf.items()}
-        size = min(len(w), PASSAGE // 2)
-        thresholds.append(SHARE * min(sum(own[t] for t in set(w[k : k + size])) for k in range(len(w) - size + 1)))
-        postings.append(own)
-    blocks: list[dict[int, float]] = [{} for _ in terms]
-    for i, own in enumerate(postings):
-        for t, v in own.items():
-            blocks[t][i // BLOCK] = max(blocks[t].get(i // BLOCK, 0.0), v)
-    highest = np.array([max(b.values()) for b in blocks])
-    size = np.array([len(b) for b in blocks], np.int64)
-    block = np.array([k for b in blocks for k in b], np.int64)
-    value = np.array([v for b in blocks for v in b.values()])
+    mean = sum(len(q) + len(a) for q, a in numbers) / max(n, 1)
+    keys, contribution, thresholds, parts = [], [], [], []
+    for i, (q, a) in enumerate(numbers):
+        norm = K1 * (1 - B + B * (len(q) + len(a)) / mean)
+        t, c = np.unique(np.array(q + a, np.int64), return_counts=True)
+        v = idf[t] * c * (K1 + 1) / (c + norm)
+        own = dict(zip(t.tolist(), v.tolist()))
+        # The bound is lowered a little, so that sums in another order do not miss it.
+        thresholds.append((1 - 1e-9) * max(least_found(half, own) for half in (q, a) if half))
+        keys.append(i * len(terms) + t)
+        contribution.append(v)
+        sizes = [min(SHINGLE, len(half)) for half in (q, a)]
+        parts.append(tuple(x for k, half in zip(sizes, (q, a)) for x in (k, distinct(hashed(np.array(half, np.int64), k)) if k else np.zeros(0, np.uint64))))
+    keys = np.concatenate([*keys, np.zeros(0, np.int64)])
+    contribution = np.concatenate([*contribution, np.zeros(0)])
+    item, term = keys // max(1, len(terms)), keys % max(1, len(terms))
+    order = np.lexsort((item, term))
+    group = term[order] * (n // BLOCK + 1) + item[order] // BLOCK
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+    value = np.maximum.reduceat(contribution[order], first) if len(first) else np.zeros(0)
+    size = np.bincount(term[order][first], minlength=len(terms))
+    start = np.cumsum(size) - size
+    highest = np.maximum.reduceat(value, start) if len(start) else np.zeros(0)
     least = np.array([min(thresholds[k : k + BLOCK]) for k in range(0, n, BLOCK)])
-    parts = [(shingles(q), shingles(a)) for q, a in numbers]
-    return Index([i for i, _, _ in words], terms, highest, size, np.cumsum(size) - size, block, value, postings, np.array(thresholds), least, parts)
+    return Index([i for i, _, _ in words], terms, highest, size, start, item[order][first] // BLOCK, value, keys, contribution, np.array(thresholds), least, parts)
 
 
 def retrieve(index: Index, docs: list[np.ndarray]) -> list[dict[int, float]]:
@@ -129,6 +160,8 @@ def _passages(index: Index, owner: np.ndarray, texts: list[np.ndarray], found: l
     count = np.maximum(1, -(-lens // step) - 1)  # passages of each text
     base = np.cumsum(count) - count
     terms = np.concatenate(texts)
+    if not (terms >= 0).any():
+        return
     use = np.flatnonzero(terms >= 0)
     half = (np.arange(len(terms)) - np.repeat(np.cumsum(lens) - lens, lens))[use] // step
     first, last = np.repeat(base, lens)[use], np.repeat(base + count - 1, lens)[use]
@@ -146,6 +179,12 @@ def _passages(index: Index, owner: np.ndarray, texts: list[np.ndarray], found: l
     common = np.zeros(len(t), bool)
     common[order] = (upto < lowest - 1e-6) & (index.size[t[order]] > COMMON)
     rest = np.bincount(w, np.where(common, index.highest[t], 0.0), total)
+    # Passages that are left, numbered without gaps; their words stand in a row.
+    lead = np.concatenate([[True], w[1:] != w[:-1]]) if len(w) else np.zeros(0, bool)
+    begin, passage = np.flatnonzero(lead), w[lead]
+    w = np.cumsum(lead) - 1
+    words_of = np.diff(np.append(begin, len(w)))
+    rest = rest[passage]
     row = np.flatnonzero(~common)
     cost = np.cumsum(index.size[t[row]])
     n, at = len(index.least), 0
@@ -161,31 +200,34 @@ def _passages(index: Index, owner: np.ndarray, texts: list[np.ndarray], found: l
         low, high = w[own[0]], w[own[-1]] + 1
         sums = np.bincount((np.repeat(w[own], size) - low) * n + index.block[entry], index.value[entry], (high - low) * n).reshape(-1, n)
         # A block with none of the walked words has the rest at most, which is below every threshold.
-        for p, b in zip(*np.nonzero((sums + rest[low:high, None] >= index.least - 1e-6) & (sums > 0))):
-            mine = t[np.searchsorted(w, low + p) : np.searchsorted(w, low + p, side="right")].tolist()
-            doc = owner[np.searchsorted(base, low + p, side="right") - 1]
-            for i in range(b * BLOCK, min((b + 1) * BLOCK, len(index.items))):
-                score = sum(index.postings[i].get(x, 0.0) for x in mine)
-                if score >= index.thresholds[i]:
-                    found[doc][i] = max(found[doc].get(i, 0.0), score)
+        p, b = np.nonzero((sums + rest[low:high, None] >= index.least - 1e-6) & (sums > 0))
+        for k in range(0, len(p), PAIRS):
+            _score(index, p[k : k + PAIRS] + low, b[k : k + PAIRS], t, begin, words_of, owner[np.searchsorted(base, passage, side="right") - 1], found)
         at = end
 
 
+def _score(index: Index, p: np.ndarray, b: np.ndarray, t: np.ndarray, begin: np.ndarray, words_of: np.ndarray, doc: np.ndarray, found: list[dict[int, float]]) -> None:
+    """Exact scores of pairs of a passage and a block, for each item of the block."""
+    n = words_of[p]
+    which = np.repeat(np.arange(len(p)), n)
+    term = t[np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[p], n)]
+    for j in range(BLOCK):
+        item = b * BLOCK + j
+        score = np.bincount(which, index.scores(item[which], term), len(p))
+        good = np.flatnonzero((item < len(index.items)) & (score >= index.thresholds[np.minimum(item, len(index.items) - 1)]))
+        for d, i, v in zip(doc[p[good]].tolist(), item[good].tolist(), score[good].tolist()):
+            found[d][i] = max(found[d].get(i, 0.0), v)
+
+
 def verified(index: Index, terms: np.ndarray, found: dict[int, float]) -> list[tuple[int, float, float, float]]:
     """(item, score, question overlap, answer overlap) of retrieved items whose parts are both found in the text."""
     if not found:
         return []
-    sizes = {len(s) for i in found for part in index.parts[i] for s in part}
-    wanted = {s for i in found for part in index.parts[i] for s in part}
-    own, seen = terms.tolist(), set()
-    for k in sizes:
-        for i in range(len(own) - k + 1):
-            s = tuple(own[i : i + k])
-            if s in wanted:
-                seen.add(s)
+    seen = {k: distinct(hashed(terms, k)) for k in {index.parts[i][at] for i in found for at in (0, 2)} if k}
     out = []
     for i, score in sorted(found.items()):
-        q, a = ((len(part & seen) / len(part) if part else 1.0) for part in index.parts[i])
+        k, question, m, answer = index.parts[i]
+        q, a = (float(np.isin(part, seen[size]).mean()) if size else 1.0 for size, part in ((k, question), (m, answer)))
         if q >= OVERLAP and a >= OVERLAP:
             out.append((index.items[i], score, q, a))
     return out
@@ -269,9 +311,16 @@ def find_leaks(
 def drop_leaks(
     docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", question_col: str = "text", answer_col: str | None = None, index_bytes: int = INDEX_BYTES
 ) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text repeats no test item; decided where a row stands, without a shuffle."""
+    """The rows of ``docs``, all columns, whose text repeats no test item; decided where a row stands, without a shuffle.
+
+    Null and empty texts stay; null or repeated ids do not matter; each index of test items is one pass over the rows left.
+    """
     ship_package(docs.sparkSession)
     at = docs.columns.index(text_col)
-    for i in indexes(docs.sparkSession, items, item_col, question_col, answer_col, index_bytes):
+    parts = indexes(docs.sparkSession, items, item_col, question_col, answer_col, index_bytes)
+    for k, i in enumerate(parts):
         docs = docs.mapInArrow(_filter(i, at), docs.schema)
+        if k + 1 < len(parts):
+            # Each part is a pass of its own, so that a task holds one index.
+            docs = written(docs, "without-leaks")
     return docs

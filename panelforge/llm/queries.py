@@ -63,19 +63,22 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Words of a text in SQL: ASCII letters lower-cased, everything but other ASCII characters.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-#: Distinct shingles of a list of words w: of five words, or the whole of fewer.
-_FIVES = "list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [list_aggregate(w, 'string_agg', ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i + 4], 'string_agg', ' ')) END)"
+#: All runs of k words of a list w, each once.
+_RUNS = "list_distinct(list_transform(range(1, len(w) - k + 2), lambda i: list_aggregate(w[i:i + k - 1], 'string_agg', ' ')))"
 
 
 @query(
     f"""
-    WITH i AS (SELECT item_id, {_WORDS} AS v FROM benchmark),
-    parts AS (SELECT item_id, 'q' AS part, v[1:(len(v) + 1) // 2] AS w FROM i UNION ALL SELECT item_id, 'a', v[(len(v) + 1) // 2 + 1:] FROM i),
-    s AS (SELECT item_id, part, unnest({_FIVES}) AS s FROM parts),
+    WITH i AS (SELECT item_id, v, CASE WHEN len(v) < 10 THEN len(v) ELSE (len(v) + 1) // 2 END AS cut FROM (SELECT item_id, {_WORDS} AS v FROM benchmark)),
+    parts AS (SELECT item_id, part, w, least(5, len(w)) AS k FROM (SELECT item_id, 'q' AS part, v[1:cut] AS w FROM i UNION ALL SELECT item_id, 'a', v[cut + 1:] FROM i) WHERE len(w) > 0),
+    s AS (SELECT item_id, part, k, unnest({_RUNS}) AS s FROM parts),
     n AS (SELECT item_id, part, count(*) AS n FROM s GROUP BY ALL),
-    d AS (SELECT doc_id, unnest({_FIVES}) AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
-    o AS (SELECT doc_id, item_id, part, count(*) AS k FROM d JOIN s USING (s) GROUP BY ALL),
-    r AS (SELECT doc_id, item_id, max(k / n) FILTER (part = 'q') AS q, max(k / n) FILTER (part = 'a') AS a FROM o JOIN n USING (item_id, part) GROUP BY ALL)
+    d AS (SELECT doc_id, k, unnest({_RUNS}) AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents) CROSS JOIN (SELECT DISTINCT k FROM s) WHERE len(w) >= k),
+    o AS (SELECT doc_id, item_id, part, count(*) AS found FROM d JOIN s USING (k, s) GROUP BY ALL),
+    r AS (
+        SELECT doc_id, item_id, max(found / n) FILTER (part = 'q') AS q, coalesce(max(found / n) FILTER (part = 'a'), CASE WHEN any_value(cut = len(v)) THEN 1 ELSE 0 END) AS a
+        FROM o JOIN n USING (item_id, part) JOIN i USING (item_id) GROUP BY ALL
+    )
     SELECT doc_id, item_id, round(q, 6) AS question_overlap, round(a, 6) AS answer_overlap FROM r WHERE q >= 0.8 AND a >= 0.8
     """
 )

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.llm import decontaminate, language_id
-from panelforge.llm.decontaminate import all_words, build_index, drop_leaks, find_leaks, halves, retrieve, shingles
+from panelforge.llm.decontaminate import all_words, build_index, drop_leaks, find_leaks, halves, leaks_of, retrieve, shingles
 from panelforge.llm.language_id import has_letter, held_out, identify, ngram_counts, train
 from panelforge.llm.license_scan import Scanner, SuffixAutomaton, license_scan
 from panelforge.llm.license_texts import NOTICES, PHRASES
@@ -151,6 +151,12 @@ def test_leaks(spark, index_bytes):
     assert find_leaks(documents(spark, []), tests).count() == 0 and find_leaks(docs, tests.limit(0)).count() == 0
 
 
+def reached(index, own):
+    """Items that a passage with the terms ``own`` scores high enough."""
+    own = np.array(sorted(own), np.int64)
+    return {i for i in range(len(index.items)) if index.scores(np.full(len(own), i), own).sum() >= index.thresholds[i]}
+
+
 @pytest.mark.parametrize("common, entries, span", [(64, 1 << 21, 1 << 18), (0, 50, 64), (2, 10, 96), (10**6, 1, 1 << 18)])
 def test_retrieval_scores_every_passage_that_reaches_its_threshold(monkeypatch, common, entries, span):
     """Pruning by maxima gives the items that scoring all of them gives."""
@@ -159,9 +165,8 @@ def test_retrieval_scores_every_passage_that_reaches_its_threshold(monkeypatch,
     index = build_index([(i, *halves(t)) for i, t in benchmark()])
     terms = np.array([index.terms.get(w, -1) for w in all_words(" ".join(t for _, t in benchmark()[::7]) + prose(5, 300, 3000))])
     want = set()
-    for a in range(0, max(1, len(terms) - 32), 32):
-        own = {t for t in terms[a : a + 64].tolist() if t >= 0}
-        want |= {i for i, p in enumerate(index.postings) if sum(p.get(t, 0.0) for t in own) >= index.thresholds[i]}
+    for a in range(0, max(1, len(terms) - decontaminate.PASSAGE // 2), decontaminate.PASSAGE // 2):
+        want |= reached(index, {t for t in terms[a : a + decontaminate.PASSAGE].tolist() if t >= 0})
     got = retrieve(index, [terms[:0], terms, terms[:5]])
     assert set(got[1]) == want and len(want) >= 9 and not got[0]
 
@@ -173,14 +178,44 @@ def test_items_of_common_words_are_retrieved_beside_a_rare_word_of_another_item(
     index = build_index([(i, *halves(t)) for i, t in items])
     texts = [t for i, t in items if i % 10 == 0]
     rare = [next(w for w in items[i + 5][1].split() if w[0] == "r") for i, _ in items if i % 10 == 0]
-    docs = [np.array([index.terms[w] for w in all_words(f"{t} {r}")]) for t, r in zip(texts, rare)]
+    docs = [np.array([index.terms[w] for w in all_words(" ".join([*t.split()[:3], r, t]))]) for t, r in zip(texts, rare)]
     assert index.size[[index.terms[c.encode()] for c in common]].min() > decontaminate.COMMON > index.size[[index.terms[r.encode()] for r in rare]].max()
     for k, (doc, got) in enumerate(zip(docs, retrieve(index, docs))):
-        own = set(doc.tolist())
-        want = {i for i, p in enumerate(index.postings) if sum(p.get(t, 0.0) for t in own) >= index.thresholds[i]}
+        want = set().union(*[reached(index, set(doc[a : a + 8].tolist())) for a in range(0, len(doc) - 4, 4)])
         assert set(got) == want and 10 * k in {index.items[i] for i in got}
 
 
+@pytest.mark.parametrize("words, gap", [(n, g) for n in (10, 20, 30, 40, 60, 120) for g in (0, 150)])
+def test_split_and_worn_leaks_are_all_found(words, gap):
+    """Question and answer apart, each without the shingles that may be missing, at its heaviest end: recall is 1."""
+    items = [(i, prose(i, words, 4000)) for i in range(400)]
+    index = build_index([(i, *halves(t)) for i, t in items])
+    texts = []
+    for i, t in items:
+        w = t.split()
+        q, a = w[: (len(w) + 1) // 2], w[(len(w) + 1) // 2 :]
+        worn = [["changed"] * int(0.2 * max(1, len(h) - 4) + 1e-9) + h[int(0.2 * max(1, len(h) - 4) + 1e-9) :] for h in (q, a)]
+        texts.append(f"{prose(i + 1, 40, 9000)} {' '.join(worn[0])} {prose(i + 2, gap, 9000)} x {' '.join(worn[1])} end")
+    want = [plain_leaks(t, [items[i]]) for i, t in enumerate(texts)]
+    got = [{h[0] for h in hits} for hits in leaks_of(index, texts)]
+    assert all(w <= g for w, g in zip(want, got)) and sum(map(bool, want)) == 400
+
+
+def test_scattered_shingles_of_an_item_are_found():
+    """Every found shingle stands alone, in any order, in other words."""
+    rnd = random.Random(3)
+    for case in range(60):
+        items = [(i, prose(100 * case + i, rnd.randrange(10, 50), 300)) for i in range(20)]
+        index = build_index([(i, *halves(t)) for i, t in items])
+        runs = []
+        for half in halves(items[case % 20][1]):
+            own = sorted(shingles(half.split()))
+            runs += [" ".join(s) for s in rnd.sample(own, -(-8 * len(own) // 10))]
+        rnd.shuffle(runs)
+        text = " ".join(f"{r} {prose(rnd.randrange(10**6), rnd.randrange(1, 9), 5000)}" for r in runs)
+        assert {h[0] for h in leaks_of(index, [text])[0]} == plain_leaks(text, items) >= {case % 20}
+
+
 def test_question_and_answer_columns(spark):
     q, a = prose(1, 20, 900), prose(2, 12, 900)
     tests = spark.createDataFrame([(1, q, a), (2, q, None)], "item_id long, q string, a string")
