@@ -23,8 +23,11 @@ DIMS = 4096
 #: The model is fitted on at most so many labelled texts of each language, taken in the order of a hash of id and text.
 TRAIN_TEXTS = 400
 CENTROIDS, ROUNDS = 3, 12
-#: A text is rejected below this share of the smallest cosine that training texts of its size class or a larger one have.
-MARGIN = 0.5
+#: A centroid keeps at least this share of its language's training texts, so that a few mislabelled ones make none.
+LEAST_SHARE = 0.05
+#: A text is rejected below MARGIN times the FLOOR quantile of the cosines that training texts of its size class or a larger one have;
+#: classes with fewer than LEAST_CLASS such texts take the bound of the class before.
+MARGIN, FLOOR, LEAST_CLASS = 0.5, 0.03, 20
 #: Texts with fewer n-grams say too little to be rejected, unless the model knows none of them.
 LEAST_GRAMS = 64
 UNDETERMINED = "und"
@@ -137,27 +140,66 @@ def _spherical_means(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
     return c
 
 
-def fit(counts: np.ndarray, languages: list[str]) -> Model:
-    """A model from training counts; without any training text every later text is undetermined."""
-    if not len(counts):
-        return Model([], np.zeros(DIMS), np.zeros((0, DIMS)), np.zeros(16))
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1
-    model = Model([], idf, np.zeros((0, DIMS)), np.zeros(16))
-    x, names, cents = model.vectors(counts), [], []
-    labels = np.array(languages)
-    for lang in sorted(set(languages)):
-        c = _spherical_means(x[labels == lang], CENTROIDS, ROUNDS)
-        names += [lang] * len(c)
-        cents.append(c)
-    centroids = np.concatenate(cents)
-    own = np.where(np.array(names)[None, :] == labels[:, None], x @ centroids.T, -1).max(1)
-    size = size_class(counts.sum(1))
-    lowest = [own[size >= k].min() if (size >= k).any() else None for k in range(16)]
+def fit_language(counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(centroids, n-grams of each text that is used, its cosine with the nearest centroid) of one language's training counts.
+
+    While the smallest centroid has fewer than LEAST_SHARE of the texts, its texts are set aside and the rest is fitted again; once
+    more than twice that share would be set aside, there is one centroid less.
+    """
+    x = Model([], idf, np.zeros((0, DIMS)), np.zeros(16)).vectors(counts)
+    k, used, sizes = min(CENTROIDS, len(x)), x, counts.sum(1)
+    while True:
+        c = _spherical_means(used, k, ROUNDS)
+        near = (used @ c.T).argmax(1)
+        members = np.bincount(near, minlength=len(c))
+        least = int(members.argmin())
+        if members[least] >= LEAST_SHARE * len(x) or k == 1:
+            break
+        if members[least] and len(used) - members[least] >= (1 - 2 * LEAST_SHARE) * len(x):
+            used, sizes = used[near != least], sizes[near != least]
+        else:
+            k -= 1
+    return c, sizes, (used @ c.T).max(1)
+
+
+def floors_of(sizes: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+    """The least accepted cosine of each size class."""
     floors, last = np.zeros(16), 0.0
-    for k, v in enumerate(lowest):
-        last = last if v is None else float(v)
-        floors[k] = MARGIN * last
-    return Model(names, idf, centroids, floors)
+    for k in range(16):
+        own = cosines[size_class(sizes) >= k]
+        if len(own) >= LEAST_CLASS or (k == 0 and len(own)):
+            last = MARGIN * float(np.quantile(own, FLOOR))
+        floors[k] = last
+    return floors
+
+
+def _dense(table: pa.Table | pa.RecordBatch) -> np.ndarray:
+    counts = np.zeros((table.num_rows, DIMS))
+    for i, (at, n) in enumerate(zip(table.column("at").to_pylist(), table.column("n").to_pylist())):
+        counts[i, np.frombuffer(at, "<i2")] = np.frombuffer(n, "<i8")
+    return counts
+
+
+def _presence(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts have each n-gram place; place -1 counts the texts."""
+    total, texts = np.zeros(DIMS, np.int64), 0
+    for batch in it:
+        texts += batch.num_rows
+        for at in batch.column(1).to_pylist():
+            total[np.frombuffer(at, "<i2")] += 1
+    yield pa.RecordBatch.from_arrays([pa.array([-1, *range(DIMS)], pa.int32()), pa.array([texts, *total.tolist()], pa.int64())], names=["place", "n"])
+
+
+_FITTED = "lang string, centroids binary, sizes binary, cosines binary"
+
+
+def _fit_group(idf: np.ndarray):
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.sort_by([("at", "ascending"), ("n", "ascending")])
+        data = [a.astype("<f8").tobytes() for a in fit_language(_dense(rows), idf)]
+        return pa.table([rows.column("lang").slice(0, 1).combine_chunks(), *[pa.array([d], pa.binary()) for d in data]], names=[f.split()[0] for f in _FITTED.split(", ")])
+
+    return run
 
 
 def _vectors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,22 +221,27 @@ def _vectors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(labelled: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", texts: int = TRAIN_TEXTS) -> Model:
     """Fit on at most ``texts`` rows of each language (the smallest hashes of id and text); rows without label or letters are left out.
 
-    The driver gets the sparse counts of these rows, at most ``texts`` * languages * DIMS entries.
+    Each language is fitted by a task of its own, from at most ``texts`` rows. The driver gets the document frequency of each n-gram
+    place and, of a language, its centroids and a size and cosine for each of its training texts. Repeated rows count each; without any
+    usable row every later text is undetermined.
     """
     ship_package(labelled.sparkSession)
     use = labelled.where(F.col(lang_col).isNotNull() & F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}"))
     use = use.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 40)).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    # Of a language's n texts those below a hash that about twice the wanted number stay under, so that few texts are shuffled.
-    sizes = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("_n"))
-    use = use.join(broadcast_if_small(written(sizes, "language-sizes")), "lang").where(F.col("h").cast("double") * F.col("_n") < F.lit(float(2 * texts + 100)) * (1 << 40)).drop("_n")
+    # Of a language's n usable texts those below a hash that about twice the wanted number stay under, so that few texts are shuffled.
+    sizes = use.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    drawn = use.join(broadcast_if_small(written(sizes, "language-sizes")), "lang").where(F.col("h").cast("double") * F.col("_n") < F.lit(float(2 * texts + 100)) * (1 << 40)).drop("_n")
     nearest = W.partitionBy("lang").orderBy("h", F.length("text"), "text")
-    sample = use.withColumn("_rank", F.row_number().over(nearest)).where(F.col("_rank") <= texts).select("h", "lang", "text")
-    rows = sample.mapInArrow(_vectors, "lang string, at binary, n binary").collect()
-    rows.sort(key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["n"])))
-    counts = np.zeros((len(rows), DIMS))
-    for i, r in enumerate(rows):
-        counts[i, np.frombuffer(r["at"], "<i2")] = np.frombuffer(r["n"], "<i8")
-    return fit(counts, [r["lang"] for r in rows])
+    sample = drawn.withColumn("_rank", F.row_number().over(nearest)).where(F.col("_rank") <= texts).select("h", "lang", "text")
+    vectors = written(sample.mapInArrow(_vectors, "lang string, at binary, n binary"), "language-vectors")
+    seen = dict(map(tuple, vectors.mapInArrow(_presence, "place int, n long").groupBy("place").agg(F.sum("n")).collect()))
+    if not seen.get(-1):
+        return Model([], np.zeros(DIMS), np.zeros((0, DIMS)), np.zeros(16))
+    idf = np.log((1 + seen[-1]) / (1 + np.array([seen[k] for k in range(DIMS)]))) + 1
+    found = sorted(vectors.groupBy("lang").applyInArrow(_fit_group(idf), _FITTED).collect(), key=lambda r: r["lang"])
+    centroids = [np.frombuffer(r["centroids"], "<f8").reshape(-1, DIMS) for r in found]
+    floors = floors_of(*[np.concatenate([np.frombuffer(r[c], "<f8") for r in found]) for c in ("sizes", "cosines")])
+    return Model([r["lang"] for r, c in zip(found, centroids) for _ in c], idf, np.concatenate(centroids), floors)
 
 
 def _predict(model: Model, at: int, names: tuple[str, str, str]):

@@ -51,6 +51,68 @@ def test_training_takes_a_bounded_sample_in_hash_order(spark):
     assert a.languages == b.languages and np.allclose(a.centroids, b.centroids) and np.allclose(a.idf, b.idf)
 
 
+def labelled(spark, rows):
+    return spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+
+
+def test_training_draws_from_the_rows_that_have_letters(spark):
+    """Many rows without letters do not starve the sample."""
+    rows = [("en", "some english words in a row " * 3 if i % 100 == 0 else "123 456") for i in range(20_000)]
+    drawn = []
+    real = language_id._fit_group
+    try:
+        language_id._fit_group = lambda idf: drawn.append(idf) or real(idf)
+        model = train(labelled(spark, rows))
+    finally:
+        language_id._fit_group = real
+    # All 200 usable texts are alike: each n-gram that one has, all have.
+    assert model.languages and np.isclose(drawn[0].min(), 1.0) and np.isclose(drawn[0].max(), np.log(201) + 1)
+
+
+@pytest.mark.parametrize("wrong", [0, 1, 5])
+def test_a_few_mislabelled_texts_do_not_end_rejection(spark, wrong):
+    rnd = random.Random(2)
+    english = "the of and to in that it is was for on are as with his they at be this from have or by one had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know".split()
+    russian = "это совсем другой язык и букв его модель никогда не видела прежде чем кто то дал ей один такой текст с чужой меткой дом река город слово время".split()
+    say = lambda words, n: " ".join(rnd.choice(words) for _ in range(n))
+    rows = [("en", say(english, 60)) for _ in range(300)] + [("en", say(russian, 60)) for _ in range(wrong)]
+    model = train(labelled(spark, rows))
+    got = identify(documents(spark, [say(russian, 60) for _ in range(50)] + [say(english, 60) for _ in range(50)]), model).collect()
+    assert [r["rejected"] for r in sorted(got, key=lambda r: r["doc_id"])] == [True] * 50 + [False] * 50
+
+
+def test_predictions_equal_plain_cosines(spark, model):
+    """Counts of letter pairs and triples by dictionaries, weights and cosines written out."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    mask = (1 << 64) - 1
+
+    def places(text):
+        seq = [0]
+        for c in " " + (text or "") + " ":
+            p = ord(c.lower()[0]) if c.isalpha() else 0
+            if p or seq[-1]:
+                seq.append(p)
+        seq += [0] * (seq[-1] != 0)
+        pair = lambda a, b: (((a * 0x9E3779B97F4A7C15) & mask) ^ (((b + 1) * 0xC2B2AE3D27D4EB4F) & mask)) * 0xD6E8FEB86659FD93 & mask
+        for i in range(len(seq) - 1):
+            yield pair(seq[i], seq[i + 1]) >> 52
+            if i + 2 < len(seq) and seq[i + 1]:
+                yield ((pair(seq[i], seq[i + 1]) ^ ((seq[i + 2] + 7) * 0xA0761D6478BD642F & mask)) * 0xE7037ED1A0B428DB & mask) >> 52
+
+    got = {r["doc_id"]: r for r in identify(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), model).collect()}
+    for r in docs:
+        if not has_letter(r["text"]):
+            continue
+        v = {}
+        for p in places(r["text"]):
+            v[p] = v.get(p, 0.0) + model.idf[p]
+        norm = sum(x * x for x in v.values()) ** 0.5
+        cos = [sum(x * c[p] for p, x in v.items()) / norm for c in model.centroids]
+        best = max(cos)
+        assert abs(got[r["doc_id"]]["score"] - best) < 1e-9
+        assert got[r["doc_id"]]["lang_pred"] in {model.languages[i] for i, c in enumerate(cos) if c > best - 1e-9}
+
+
 def test_ngrams_of_a_long_text_are_those_of_its_parts(monkeypatch):
     rnd = random.Random(1)
     text = "".join(rnd.choice("abc xyz") for _ in range(4000))
