@@ -21,6 +21,7 @@ from panelforge.operators import drift, policies as PO, ranks, splits
 from panelforge.operators.sets import labelled_union
 from panelforge.operators.prefix import row_positions
 from panelforge.operators.quantiles import fit_quantiles
+from panelforge.operators.side_by_side import side_by_side
 from panelforge.session import cut_lineage
 
 SENTINEL = -999.0
@@ -155,9 +156,9 @@ def adversarial_scores(a: DataFrame, b: DataFrame, cols: Sequence[str], folds: i
     sizes = {r["is_test"]: r["n"] for r in rows.groupBy("is_test").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.when(F.col("is_test") == 1, min(1.0, fit_rows / max(1, sizes.get(1, 0)))).otherwise(min(1.0, fit_rows / max(1, sizes.get(0, 0))))
     fit_on = rows.where(splits.unit_hash(F.col("id"), seed=seed + 1) < share)
+    fitted = side_by_side([lambda f=f: fit_classifier(fit_on.where(F.col("fold") != f), cols, "is_test", **tree) for f in range(folds)])
     total, scored = {c: 0.0 for c in cols}, None
-    for f in range(folds):
-        m = fit_classifier(fit_on.where(F.col("fold") != f), cols, "is_test", **tree)
+    for f, m in enumerate(fitted):
         for c, v in importances(m, cols).items():
             total[c] += v / folds
         s = probability(m, rows.where(F.col("fold") == f), cols, "p").select("id", "is_test", "fold", "p")

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import random
+from functools import reduce
 from itertools import accumulate, combinations, product
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelforge.functions import exprs as X
-from panelforge.operators import drift, features as FE, metrics as M, models as MO, policies as PO, ranks, splits, tables
+from panelforge.operators import drift, features as FE, fold_state as FS, metrics as M, models as MO, policies as PO, ranks, splits, tables
 from panelforge.operators.quantiles import fit_quantiles
+from panelforge.operators.side_by_side import side_by_side
 from panelforge.plans.registry import query
 from panelforge.session import cut_lineage, ensure_checkpoint_dir
 from panelforge.sources import panels as S
@@ -42,12 +44,11 @@ def tail_label(rows: DataFrame, p: float = 0.9) -> DataFrame:
 
 @query("m1_raw_baseline_oof")
 def m1(spark, sf_dir):
-    rows, out = chunked(frame(spark, sf_dir)), None
-    for f in range(FOLDS):
-        train, val = MO.fold_frames(rows, f)
-        o = MO.predict(MO.fit_regressor(train, COLS), val, COLS, "oof").select("id", F.lit(f).alias("fold"), "y", "oof")
-        out = o if out is None else out.unionByName(o)
-    return out
+    rows = chunked(frame(spark, sf_dir))
+    pairs = [MO.fold_frames(rows, f) for f in range(FOLDS)]
+    fitted = side_by_side([lambda t=train: MO.fit_regressor(t, COLS) for train, _ in pairs])
+    parts = [MO.predict(m, val, COLS, "oof").select("id", F.lit(f).alias("fold"), "y", "oof") for f, (m, (_, val)) in enumerate(zip(fitted, pairs))]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("m2_tail_classifier")
@@ -67,25 +68,20 @@ def m3(spark, sf_dir):
 
 @query("m6_two_pass_training")
 def m6(spark, sf_dir):
+    """Feature state, drift filters, weights and the two-stage model of each fold; out-of-fold rows."""
     rows = frame(spark, sf_dir)
-    _, _, oof, _ = MO.train_two_pass(chunked(rows), rows.where("NOT is_train"), COLS, FOLDS)
-    return oof
+    return FS.train_run(chunked(rows), rows.where("NOT is_train"), COLS, FOLDS, poison=["tax_avg"], destructive=["qty_max"])[1]
 
 
 @query("m12_fold_inference_from_state")
 def m12(spark, sf_dir):
-    """Score new rows with models read back from their saved state, calibrate, average over folds."""
+    """Train and store a run, then score new rows from its folder alone: features, models, calibration, mean over folds."""
     rows = frame(spark, sf_dir)
     test = rows.where("NOT is_train")
-    _, fitted, oof, _ = MO.train_two_pass(chunked(rows), test, COLS, FOLDS)
     ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext.getCheckpointDir()}/state-{uuid4().hex}"
-    state, scored = PO.fit_calibration(oof, "y", "oof"), None
-    for f, m in enumerate(fitted):
-        m.save(f"{base}/fold={f}")
-        s = m.restored(f"{base}/fold={f}").score(test).select("id", PO.calibrate(F.col("blended"), state).alias("pred"))
-        scored = s if scored is None else scored.unionByName(s)
-    return PO.fold_ensemble(scored, "id", "pred")
+    folder = f"{spark.sparkContext.getCheckpointDir()}/state-{uuid4().hex}"
+    FS.train_run(chunked(rows), test, COLS, FOLDS, poison=["tax_avg"], destructive=["qty_max"])[0].save(folder)
+    return FS.Run.load(spark, folder).score(test)
 
 
 @query("m7_adversarial_auc")
@@ -152,6 +148,8 @@ def m19(spark, sf_dir):
 
 
 TAIL_WEIGHTS, TAIL_PCTS, FEATURE_COUNTS = (1.0, 1.5, 2.0, 3.0), (90, 95, 97), (4, 8, 16)
+#: Predictions that stand side by side in one frame.
+SCORED_TOGETHER = 10
 #: Prefixes of the pair columns that a setting may use.
 INTERACTIONS = {"none": (), "base_only": ("inter_",), "ratio_only": ("ratio_",), "full": ("inter_", "ratio_", "diff_", "logprod_")}
 
@@ -179,18 +177,30 @@ def m21(spark, sf_dir):
     train, test = rows.where("is_train"), rows.where("NOT is_train")
     cuts = dict(zip(TAIL_PCTS, fit_quantiles(train, {"y": (F.col("y"), [p / 100 for p in TAIL_PCTS])})["y"]))
     sd, top = test.agg(F.stddev_pop("y").alias("s")).first().s, fit_quantiles(test, {"y": (F.col("y"), [0.99])})["y"][0]
-    done, out = {}, []
-    for w, pct, n, kind in product(TAIL_WEIGHTS, TAIL_PCTS, FEATURE_COUNTS, INTERACTIONS):
-        cols = grid_columns(extra, kind, n)
-        key = (w, pct if w != 1.0 else None, tuple(cols))
-        if key not in done:
-            weighted = train.withColumn("weight", F.when(F.col("y") > cuts[pct], w).otherwise(1.0))
-            pred = MO.predict(MO.fit_regressor(weighted, cols, weight="weight"), test, cols, "pred")
-            miss = F.abs(F.col("y") - F.col("pred"))
-            m = pred.agg(F.stddev_pop("pred").alias("s"), F.avg(miss).alias("e"), F.avg(F.when(F.col("y") >= top, miss)).alias("t")).first()
-            p99 = fit_quantiles(pred, {"p": (F.col("pred"), [0.99])})["p"][0]
-            done[key] = (m.s / (sd + 1e-9), p99 / (top + 1e-9), m.e, m.t)
-        out.append((w, pct, n, kind, len(cols), *done[key]))
+    settings = [(w, pct, n, kind, grid_columns(extra, kind, n)) for w, pct, n, kind in product(TAIL_WEIGHTS, TAIL_PCTS, FEATURE_COUNTS, INTERACTIONS)]
+    keys = {(w, pct if w != 1.0 else None, tuple(cols)): pct for w, pct, _, _, cols in settings}
+
+    def fitted(w, pct, cols):
+        weighted = train.withColumn("weight", F.when(F.col("y") > cuts[pct], w).otherwise(1.0))
+        return MO.fit_regressor(weighted, cols, weight="weight")
+
+    models = side_by_side([lambda w=w, pct=pct, cols=cols: fitted(w, pct, cols) for (w, _, cols), pct in keys.items()])
+
+    def scored(part):
+        """Predictions of some models as columns of one frame, and all their measures from one pass and one set of quantiles."""
+        pred, names = test, [f"p{i}" for i, _ in part]
+        for i, (model, (_, _, cols)) in part:
+            pred = MO.predict(model, pred, cols, f"p{i}")
+        pred = cut_lineage(pred.select("y", *names))
+        p99 = fit_quantiles(pred, {n: (F.col(n), [0.99]) for n in names})
+        miss = {n: F.abs(F.col("y") - F.col(n)) for n in names}
+        m = pred.agg(*[x for n in names for x in (F.stddev_pop(n).alias(f"s_{n}"), F.avg(miss[n]).alias(f"e_{n}"), F.avg(F.when(F.col("y") >= top, miss[n])).alias(f"t_{n}"))]).first()
+        return [(m[f"s_{n}"] / (sd + 1e-9), p99[n][0] / (top + 1e-9), m[f"e_{n}"], m[f"t_{n}"]) for n in names]
+
+    each = list(enumerate(zip(models, keys)))
+    measures = [x for part in side_by_side([lambda k=k: scored(each[k : k + SCORED_TOGETHER]) for k in range(0, len(each), SCORED_TOGETHER)]) for x in part]
+    done = dict(zip(keys, measures))
+    out = [(w, pct, n, kind, len(cols), *done[w, pct if w != 1.0 else None, tuple(cols)]) for w, pct, n, kind, cols in settings]
     return listing(spark, out, "tail_weight double, tail_pct int, feature_count int, interactions string, n_features int, std_ratio double, p99_ratio double, mae double, q99_mae double")
 
 
