@@ -21,19 +21,14 @@ def edge_sql(targets: str, pool: str, k: int, name: str = "ed") -> str:
  FROM vu a JOIN vu b ON {targets} AND {pool} AND a.id <> b.id) WHERE pos <= {k})"""
 
 
-# The pool is what the model was fitted on: four fifths of the vectors; the rest are new rows to describe.
-TARGET, POOL = "a.id % 5 = 0", "b.id % 5 <> 0"
+ALL = ("true", "true")  # every vector among all others
 
 
-def pool_and_targets(spark, sf_dir):
-    v = S.vectors(spark, sf_dir)
-    return v.where("id % 5 <> 0"), v.where("id % 5 = 0")
-
-
-@query("e8_cosine_neighbours", "WITH " + VEC_SQL + ",\n" + edge_sql(TARGET, POOL, 10) + f" SELECT id, nid, {sr('distance')} AS distance, CAST(pos AS INTEGER) AS pos FROM ed")
+@query("e8_cosine_neighbours", "WITH " + VEC_SQL + ",\n" + edge_sql(*ALL, 40) + f" SELECT id, nid, {sr('distance')} AS distance, CAST(pos AS INTEGER) AS pos, pos <= 10 AS in_10, pos <= 20 AS in_20 FROM ed")
 def e8(spark, sf_dir):
-    pool, targets = pool_and_targets(spark, sf_dir)
-    return NB.nearest(targets, pool, 10).select("id", "nid", r("distance").alias("distance"), "pos")
+    """The 40 nearest of every vector, and which of them are among the nearest 10 and 20."""
+    v = S.vectors(spark, sf_dir)
+    return NB.nearest(v, v, 40, exclude_self=True).select("id", "nid", r("distance").alias("distance"), "pos", (F.col("pos") <= 10).alias("in_10"), (F.col("pos") <= 20).alias("in_20"))
 
 
 @query("e8_self_excluded_neighbours", "WITH " + VEC_SQL + ",\n" + edge_sql("true", "true", 10) + f" SELECT id, nid, {sr('distance')} AS distance, CAST(pos AS INTEGER) AS pos FROM ed")
@@ -42,28 +37,28 @@ def e8b(spark, sf_dir):
     return EM.fold_neighbours(v, v, 10, is_train=True).select("id", "nid", r("distance").alias("distance"), "pos")
 
 
-@query("e9_neighbour_statistics", "WITH " + VEC_SQL + ",\n" + edge_sql(TARGET, POOL, 20) + f"""SELECT id, CAST(d - 1 AS INTEGER) AS dim, {sr('avg(x)')} AS embed_mean, {sr('stddev_pop(x)', 5)} AS embed_std, {sr('sum(w * x) / sum(w)')} AS weighted_mean, {sr('avg(x) - any_value(own)')} AS trend_proxy FROM
- (SELECT ed.id, d, p.v[d] AS x, t.v[d] AS own, exp(1 - greatest(distance, 1e-6)) AS w FROM ed JOIN vv p ON p.id = ed.nid JOIN vv t ON t.id = ed.id JOIN (SELECT unnest(range(1, 11)) AS d) g ON true) GROUP BY 1, 2""")
+@query("e9_neighbour_statistics", "WITH " + VEC_SQL + ",\n" + edge_sql(*ALL, 20) + f"""SELECT id, CAST(d - 1 AS INTEGER) AS dim, {sr('avg(x)')} AS embed_mean, {sr('stddev_pop(x)', 5)} AS embed_std, {sr('sum(w * x) / sum(w)')} AS weighted_mean, {sr('avg(x) - any_value(own)')} AS trend_proxy FROM
+ (SELECT ed.id, d, p.v[d] AS x, t.v[d] AS own, exp(1 - greatest(distance, 1e-6)) AS w FROM ed JOIN vv p ON p.id = ed.nid JOIN vv t ON t.id = ed.id JOIN (SELECT unnest(range(1, 65)) AS d) g ON true) GROUP BY 1, 2""")
 def e9(spark, sf_dir):
-    pool, targets = pool_and_targets(spark, sf_dir)
-    g = NB.graph_features(NB.nearest(targets, pool, 20), pool, targets, (20,), 10)
+    v = S.vectors(spark, sf_dir)
+    g = NB.graph_features(NB.nearest(v, v, 20, exclude_self=True), v, v, (20,), 64)
     names = {"embed_mean": 6, "embed_std": 5, "weighted_mean": 6, "trend_proxy": 6}
     z = g.select("id", F.posexplode(F.arrays_zip(*[F.col(f"{n}_20").alias(n) for n in names])).alias("dim", "z"))
     return z.select("id", "dim", *[r(F.col(f"z.{n}"), d).alias(n) for n, d in names.items()])
 
 
-@query("e11_density_entropy", "WITH " + VEC_SQL + ",\n" + edge_sql(TARGET, POOL, 40) + f"""SELECT id, {sr('1 / (avg(d) FILTER (pos <= 20) + 1e-6)', 5)} AS local_density, {sr('-sum(w / s * ln(w / s + 1e-8))')} AS similarity_entropy FROM (SELECT *, sum(w) OVER (PARTITION BY id) AS s FROM (SELECT id, pos, greatest(distance, 1e-6) AS d, exp(1 - greatest(distance, 1e-6)) AS w FROM ed)) GROUP BY 1""")
+@query("e11_density_entropy", "WITH " + VEC_SQL + ",\n" + edge_sql(*ALL, 40) + f"""SELECT id, {sr('1 / (avg(d) FILTER (pos <= 20) + 1e-6)', 5)} AS local_density, {sr('-sum(w / s * ln(w / s + 1e-8))')} AS similarity_entropy FROM (SELECT *, sum(w) OVER (PARTITION BY id) AS s FROM (SELECT id, pos, greatest(distance, 1e-6) AS d, exp(1 - greatest(distance, 1e-6)) AS w FROM ed)) GROUP BY 1""")
 def e11(spark, sf_dir):
-    pool, targets = pool_and_targets(spark, sf_dir)
-    g = NB.graph_features(NB.nearest(targets, pool, 40), pool, targets, (40,), 1)
+    v = S.vectors(spark, sf_dir)
+    g = NB.graph_features(NB.nearest(v, v, 40, exclude_self=True), v, v, (40,), 1)
     return g.select("id", r("local_density", 5).alias("local_density"), r("similarity_entropy").alias("similarity_entropy"))
 
 
-@query("j11_top_k_similarity_join", "WITH " + VEC_SQL + ",\n" + edge_sql(TARGET, POOL, 3) + f" SELECT ed.id, nid, t.label AS label, p.label AS neighbour_label, {sr('1 - distance')} AS similarity FROM ed JOIN vv t ON t.id = ed.id JOIN vv p ON p.id = ed.nid")
+@query("j11_top_k_similarity_join", "WITH " + VEC_SQL + ",\n" + edge_sql(*ALL, 3) + f" SELECT ed.id, nid, t.label AS label, p.label AS neighbour_label, {sr('1 - distance')} AS similarity FROM ed JOIN vv t ON t.id = ed.id JOIN vv p ON p.id = ed.nid")
 def j11(spark, sf_dir):
-    pool, targets = pool_and_targets(spark, sf_dir)
-    e = NB.nearest(targets, pool, 3)
-    out = e.join(targets.select("id", "label"), "id").join(pool.select(F.col("id").alias("nid"), F.col("label").alias("neighbour_label")), "nid")
+    v = S.vectors(spark, sf_dir)
+    e = NB.nearest(v, v, 3, exclude_self=True)
+    out = e.join(v.select("id", "label"), "id").join(v.select(F.col("id").alias("nid"), F.col("label").alias("neighbour_label")), "nid")
     return out.select("id", "nid", "label", "neighbour_label", r(1.0 - F.col("distance")).alias("similarity"))
 
 
@@ -92,19 +87,27 @@ def m34(spark, sf_dir):
     return c.select("id", hit.alias("rescued"), r(F.when(hit, 1.0).otherwise(p * p)).alias("weight"), r(1.0 / (1.0 + F.exp(-15.0 * (p - 0.25)))).alias("sharp_boost"), r(F.sqrt(p)).alias("amplified"))
 
 
-LAY_SCALE = "ls AS (SELECT id, layout, is_train, (qty_sum - m1) / s1 AS a, (disc_avg - m2) / s2 AS b, qty_sum FROM op, (SELECT avg(qty_sum) AS m1, stddev_pop(qty_sum) AS s1, avg(disc_avg) AS m2, stddev_pop(disc_avg) AS s2 FROM op WHERE is_train) WHERE qty_sum IS NOT NULL)"
+SENSORS = list(S.SENSORS)
+LAY_SCALE = "ls AS (SELECT id, layout, is_train, " + ", ".join(f"coalesce({c}, m_{c}) AS {c}, (coalesce({c}, m_{c}) - m_{c}) / s_{c} AS z_{c}" for c in SENSORS) + " FROM op, (SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in SENSORS) + " FROM op WHERE is_train))"
+LAY_DISTANCE = "round(sqrt(" + " + ".join(f"(t.z_{c} - p.z_{c}) ^ 2" for c in SENSORS) + "), 6) + 0.0"
+NEAR_STATS = {"mean": (F.avg, "avg", 4), "std": (F.stddev_pop, "stddev_pop", 3), "min": (F.min, "min", 6), "max": (F.max, "max", 6)}
 
 
-@query("e13_layout_neighbours", with_sql(ORDERS_SQL, f"""SELECT id, {sr('avg(distance)', 5)} AS knn_dist_mean, {sr('avg(nq)', 5)} AS pseudo_mean, {sr('stddev_pop(nq)', 4)} AS pseudo_std, min(nq) AS pseudo_min, max(nq) AS pseudo_max FROM
- (SELECT t.id, p.qty_sum AS nq, round(sqrt((t.a - p.a) ^ 2 + (t.b - p.b) ^ 2), 6) + 0.0 AS distance, row_number() OVER (PARTITION BY t.id ORDER BY round(sqrt((t.a - p.a) ^ 2 + (t.b - p.b) ^ 2), 6), p.id) AS pos FROM ls t JOIN ls p ON p.layout = t.layout AND p.is_train AND NOT t.is_train) WHERE pos <= 20 GROUP BY 1""", LAY_SCALE))
+@query("e13_layout_neighbours", with_sql(ORDERS_SQL, "SELECT id, any_value(is_train) AS is_train, CAST(count(*) AS BIGINT) AS n_neighbours, " + f"{sr('avg(distance)', 5)} AS knn_dist_mean, {sr('stddev_pop(distance)', 4)} AS knn_dist_std, {sr('avg(1 / (1 + distance))')} AS knn_similarity, "
+    + ", ".join(f"{sr(f'{fn}({c})', d)} AS {c}_pseudo_{n}" for c in SENSORS for n, (_, fn, d) in NEAR_STATS.items()) + f""" FROM
+ (SELECT t.id, t.is_train, {', '.join(f'p.{c}' for c in SENSORS)}, {LAY_DISTANCE} AS distance, row_number() OVER (PARTITION BY t.id ORDER BY {LAY_DISTANCE}, p.id) AS pos FROM ls t JOIN ls p ON p.layout = t.layout AND p.is_train AND p.id <> t.id) WHERE pos <= 20 GROUP BY 1""", LAY_SCALE))
 def e13(spark, sf_dir):
-    op = cut_lineage(S.order_panel(spark, sf_dir).where("qty_sum IS NOT NULL").select("id", "layout", "is_train", "qty_sum", "disc_avg"))
-    state = FE.fit_standard(op.where("is_train"), ["qty_sum", "disc_avg"])
-    raw = op.select(F.col("id").alias("nid"), F.col("qty_sum").alias("nq"))
-    v = EM.sensor_vectors(FE.apply_standard(op, state), ["qty_sum", "disc_avg"]).select("id", "layout", "is_train", "v")
-    e = NB.nearest(v.where("NOT is_train"), v.where("is_train"), 20, "euclidean", within="layout", digits=6)
-    g = e.join(raw, "nid").groupBy("id")
-    return g.agg(r(F.avg("distance"), 5).alias("knn_dist_mean"), r(F.avg("nq"), 5).alias("pseudo_mean"), r(F.stddev_pop("nq"), 4).alias("pseudo_std"), F.min("nq").alias("pseudo_min"), F.max("nq").alias("pseudo_max"))
+    """Every order, either side, described by the 20 nearest training orders of its layout, itself left out: all sensors, standardised on the
+    training side with its mean for unknown values."""
+    op = S.order_panel(spark, sf_dir).select("id", "layout", "is_train", *SENSORS)
+    state = FE.fit_standard(op.where("is_train"), SENSORS)
+    op = cut_lineage(FE.fill_with(op, {c: m for c, (m, _) in state.items()}))
+    v = EM.sensor_vectors(FE.apply_standard(op, state), SENSORS).select("id", "layout", "is_train", "v")
+    e = NB.nearest(v, v.where("is_train"), 20, "euclidean", within="layout", digits=6, exclude_self=True)
+    g = e.join(op.select(F.col("id").alias("nid"), *SENSORS), "nid").groupBy("id")
+    near = [F.count(F.lit(1)).alias("n_neighbours"), r(F.avg("distance"), 5).alias("knn_dist_mean"), r(F.stddev_pop("distance"), 4).alias("knn_dist_std"), r(F.avg(1.0 / (1.0 + F.col("distance")))).alias("knn_similarity")]
+    out = g.agg(*near, *[r(fn(c), d).alias(f"{c}_pseudo_{n}") for c in SENSORS for n, (fn, _, d) in NEAR_STATS.items()])
+    return out.join(op.select("id", "is_train"), "id")
 
 
 @query("j10_scenario_profile_similarity", with_sql(ORDERS_SQL, f"""SELECT sid, {sr('(a * (SELECT avg(a / n) FROM pf WHERE sid % 5 <> 0) + b * (SELECT avg(b / n) FROM pf WHERE sid % 5 <> 0) + c * (SELECT avg(c / n) FROM pf WHERE sid % 5 <> 0)) / n')} AS mean_similarity FROM pf WHERE sid % 5 = 0""",
