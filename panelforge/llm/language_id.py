@@ -31,7 +31,8 @@ MARGIN, FLOOR, LEAST_CLASS = 0.5, 0.03, 20
 #: Texts with fewer n-grams say too little to be rejected, unless the model knows none of them.
 LEAST_GRAMS = 64
 UNDETERMINED = "und"
-SPLIT_BYTES, PART = 1 << 20, 1 << 19
+#: Bytes of text that are counted at once (arrays of about 60 times that), the length of a part of a long text, and texts counted at once.
+SPLIT_BYTES, PART, TOGETHER = 1 << 18, 1 << 17, 64
 
 _lower = np.full(0x110000, -1, np.int32)
 
@@ -69,7 +70,7 @@ def ngram_counts(texts: list[str]) -> np.ndarray:
     at = 0
     while at < len(parts):
         end, size = at, 0
-        while end < len(parts) and (end == at or size + len(parts[end]) <= SPLIT_BYTES) and end - at < 512:
+        while end < len(parts) and (end == at or size + len(parts[end]) <= SPLIT_BYTES) and end - at < TOGETHER:
             size += len(parts[end])
             end += 1
         joined = " " + " ".join(parts[at:end]) + " "
@@ -108,8 +109,9 @@ class Model:
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         v = counts * self.idf
-        norm = np.sqrt((v * v).sum(1, keepdims=True))
-        return v / np.where(norm > 0, norm, 1)
+        norm = np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+        v /= np.where(norm > 0, norm, 1)
+        return v
 
     def predict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(number of the nearest centroid, cosine, rejected) of each row."""
@@ -146,7 +148,7 @@ def fit_language(counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.nd
     While the smallest centroid has fewer than LEAST_SHARE of the texts, its texts are set aside and the rest is fitted again; once
     more than twice that share would be set aside, there is one centroid less.
     """
-    x = Model([], idf, np.zeros((0, DIMS)), np.zeros(16)).vectors(counts)
+    x = Model([], idf.astype(np.float32), np.zeros((0, DIMS)), np.zeros(16)).vectors(counts)
     k, used, sizes = min(CENTROIDS, len(x)), x, counts.sum(1)
     while True:
         c = _spherical_means(used, k, ROUNDS)
@@ -174,7 +176,7 @@ def floors_of(sizes: np.ndarray, cosines: np.ndarray) -> np.ndarray:
 
 
 def _dense(table: pa.Table | pa.RecordBatch) -> np.ndarray:
-    counts = np.zeros((table.num_rows, DIMS))
+    counts = np.zeros((table.num_rows, DIMS), np.float32)
     for i, (at, n) in enumerate(zip(table.column("at").to_pylist(), table.column("n").to_pylist())):
         counts[i, np.frombuffer(at, "<i2")] = np.frombuffer(n, "<i8")
     return counts
@@ -250,8 +252,8 @@ def _predict(model: Model, at: int, names: tuple[str, str, str]):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             lang, score, away = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
             some = [i for i, t in enumerate(texts) if has_letter(t)] if model.languages else []
-            for k in range(0, len(some), 256):
-                part = some[k : k + 256]
+            for k in range(0, len(some), TOGETHER):
+                part = some[k : k + TOGETHER]
                 best, top, rejected = model.predict(ngram_counts([texts[i] for i in part]))
                 score[part], away[part] = top, rejected
                 for i, b in zip(part, best.tolist()):
