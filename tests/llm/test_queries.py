@@ -87,6 +87,19 @@ def test_stages_take_nulls_repeats_and_empty_tables(spark, stage):
     assert empty.count() == 0 and empty.columns == out.columns
 
 
+def test_documents_with_one_hash_are_told_apart(spark):
+    """Different documents get different keys and repeated rows one, also where the first hash is the same for all of them."""
+    docs = written(stage_input(spark), "stage-input")
+    for first in (None, F.lit(7), F.length("text").cast("long")):
+        rows = corpus_pipeline.with_key(docs, "_document", first).collect()
+        keys = {}
+        for r in rows:
+            keys.setdefault((r["doc_id"], r["text"]), set()).add(r["_document"])
+        assert len(rows) == docs.count() and all(len(own) == 1 for own in keys.values())
+        assert len(set.union(*keys.values())) == len(keys)
+        assert set(rows[0].asDict()) == {*docs.columns, "_document"}
+
+
 def test_numbers_have_no_gaps_in_a_large_group(spark):
     df = written(spark.range(30_000).select(F.when(F.col("id") < 25_000, 1).otherwise(2).alias("g"), "id"), "numbers")
     got = numbered(df, ["g"], ["id"], "slot").groupBy("g").agg(F.countDistinct("slot"), F.max("slot"), F.min("slot")).collect()
