@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -112,6 +113,14 @@ def text_batches(it: Iterator[pa.RecordBatch], text: str | int, limit: int) -> I
         yield batch.slice(start)
 
 
+def give_back_memory() -> None:
+    """Return what earlier tasks of a reused Python worker have freed, but still hold, to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def distinct(values: np.ndarray) -> np.ndarray:
     """Sorted distinct values, by sorting."""
     s = np.sort(values)

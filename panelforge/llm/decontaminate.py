@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelforge.llm.common import distinct, ship_package, text_batches, written
+from panelforge.llm.common import distinct, give_back_memory, ship_package, text_batches, written
 from panelforge.llm.words import word_lists
 
 PASSAGE = 8
@@ -245,6 +245,7 @@ def leaks_of(index: Index, texts: list[str | None]) -> list[list[tuple[int, floa
 
 def _filter(shared, at: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back_memory()
         for batch in text_batches(it, at, BATCH_BYTES):
             yield batch.filter(pa.array([not hits for hits in leaks_of(shared.value, batch.column(at).to_pylist())], pa.bool_()))
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from panelforge.llm.common import broadcast_if_small, fresh, ship_package, text_batches, without, written
+from panelforge.llm.common import broadcast_if_small, fresh, give_back_memory, ship_package, text_batches, without, written
 
 DIMS = 4096
 #: The model is fitted on at most so many labelled texts of each language, taken in the order of a hash of id and text.
@@ -248,6 +248,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", t
 
 def _predict(model: Model, at: int, names: tuple[str, str, str]):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back_memory()
         for batch in text_batches(it, at, SPLIT_BYTES):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             lang, score, away = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
