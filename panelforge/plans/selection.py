@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from panelforge.functions import exprs as X, names as N
-from panelforge.operators import drift, features as FE, metrics as M, selection as SE, tables as TB
+from panelforge.operators import drift, features as FE, metrics as M, models as MO, pruning as PR, selection as SE, tables as TB
 from panelforge.operators.quantiles import fit_quantiles
 from panelforge.plans.aggregates import CORR_SQL, FOLD_TOP_SQL, corr_pairs_sql, filled
 from panelforge.plans.drift_audit import BASE, IMP_SQL, KNEE_SQL, LIST, LONG_SQL, drift_with_importance, ks_sql, sensor_ks
@@ -103,15 +103,28 @@ def a23(spark, sf_dir):
     return registry(spark, sf_dir).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def fitted_pruning(spark, sf_dir):
+    """All decisions from the training side, clusters ranked by the gain of boosted trees; and the rows of both sides."""
+    wide = cut_lineage(named_features(spark, sf_dir).select("id", "is_train", "y", *NAMED))
+    gain = lambda rows, cols: MO.importances(MO.fit_regressor(rows, cols), cols)
+    return PR.fit_pruning(wide.where("is_train"), NAMED, PROTECTED, gain), wide
+
+
+@query("g3_fitted_representatives")
+def g3_fitted(spark, sf_dir):
+    return fitted_pruning(spark, sf_dir)[0].representatives
+
+
+@query("g5_fitted_drop_registry")
+def g5_fitted(spark, sf_dir):
+    return fitted_pruning(spark, sf_dir)[0].records
+
+
 @query("g6_manifest_on_test")
 def g6(spark, sf_dir):
-    wide = cut_lineage(named_features(spark, sf_dir).select("id", "is_train", *NAMED))
-    train = wide.where("is_train")
-    ratios = drift.stats_long(train, NAMED, ratio=lambda c: F.avg(c.isNull().cast("double")))
-    cut = SE.gap_threshold(ratios).first().threshold
-    drop = [x.feature for x in ratios.where(F.col("ratio") > cut).select("feature").collect() if x.feature not in PROTECTED]
-    manifest = SE.Manifest(nan_threshold=cut, drop_nan=drop)
-    return SE.sync_schema(manifest.apply(wide.where("NOT is_train")), NAMED, ["id", "is_train"], manifest.dropped()).drop("is_train")
+    fit, wide = fitted_pruning(spark, sf_dir)
+    test = wide.where("NOT is_train").drop("y")
+    return SE.sync_schema(fit.manifest.apply(test), NAMED, ["id", "is_train"], fit.manifest.dropped()).drop("is_train")
 
 
 @query("g7_stable_filter", with_sql(ORDERS_SQL, f"SELECT feature, ks_stat < threshold OR feature IN {PROTECTED} AS stable FROM ks, th", *BASE, IMP_SQL, KNEE_SQL))
