@@ -41,7 +41,7 @@ def e8b(spark, sf_dir):
  (SELECT ed.id, d, p.v[d] AS x, t.v[d] AS own, exp(1 - greatest(distance, 1e-6)) AS w FROM ed JOIN vv p ON p.id = ed.nid JOIN vv t ON t.id = ed.id JOIN (SELECT unnest(range(1, 65)) AS d) g ON true) GROUP BY 1, 2""")
 def e9(spark, sf_dir):
     v = S.vectors(spark, sf_dir)
-    g = NB.graph_features(NB.nearest(v, v, 20, exclude_self=True), v, v, (20,), 64)
+    g = NB.neighbourhoods(v, v, (20,), exclude_self=True)
     names = {"embed_mean": 6, "embed_std": 5, "weighted_mean": 6, "trend_proxy": 6}
     z = g.select("id", F.posexplode(F.arrays_zip(*[F.col(f"{n}_20").alias(n) for n in names])).alias("dim", "z"))
     return z.select("id", "dim", *[r(F.col(f"z.{n}"), d).alias(n) for n, d in names.items()])
@@ -50,7 +50,7 @@ def e9(spark, sf_dir):
 @query("e11_density_entropy", "WITH " + VEC_SQL + ",\n" + edge_sql(*ALL, 40) + f"""SELECT id, {sr('1 / (avg(d) FILTER (pos <= 20) + 1e-6)', 5)} AS local_density, {sr('-sum(w / s * ln(w / s + 1e-8))')} AS similarity_entropy FROM (SELECT *, sum(w) OVER (PARTITION BY id) AS s FROM (SELECT id, pos, greatest(distance, 1e-6) AS d, exp(1 - greatest(distance, 1e-6)) AS w FROM ed)) GROUP BY 1""")
 def e11(spark, sf_dir):
     v = S.vectors(spark, sf_dir)
-    g = NB.graph_features(NB.nearest(v, v, 40, exclude_self=True), v, v, (40,), 1)
+    g = NB.neighbourhoods(v, v, (40,), exclude_self=True)
     return g.select("id", r("local_density", 5).alias("local_density"), r("similarity_entropy").alias("similarity_entropy"))
 
 
@@ -171,7 +171,7 @@ def e12(spark, sf_dir):
     """Neighbour features of all vectors among all others, named per k and dimension, joined back by id, checked for completeness."""
     v = S.vectors(spark, sf_dir)
     ks, dims = (10, 20, 40), 64
-    g = NB.graph_features(NB.nearest(v, v, max(ks), exclude_self=True), v, v, ks, dims)
+    g = NB.neighbourhoods(v, v, ks, exclude_self=True)
     names = [f"{p}_{k}" for k in ks for p in ("embed_mean", "embed_std", "weighted_mean", "trend_proxy")]
     wide = g.select("id", "local_density", "similarity_entropy", *[F.col(n)[d].alias(f"{n}_d{d}") for n in names for d in range(dims)])
     out = v.select("id", "label").join(wide, "id", "left")
