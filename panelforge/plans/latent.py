@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import partial
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from panelforge.functions import exprs as X
-from panelforge.operators import embedding as EM, features as FE, metrics as M, neighbours as NB
+from panelforge.operators import embedding as EM, features as FE, latents as LT, metrics as M, neighbours as NB, splits as SP
 from panelforge.operators.quantiles import fit_quantiles
+from panelforge.operators.selection import sync_schema
+from panelforge.operators.side_by_side import side_by_side
 from panelforge.plans.aggregates import SCEN_SQL, TAIL_SQL, scenario_report, tailed
 from panelforge.plans.registry import ORDERS_SQL, PRED_SQL, query, r, sr, with_sql
-from panelforge.session import cut_lineage
+from panelforge.session import cut_lineage, ensure_checkpoint_dir
 from panelforge.sources import panels as S
 
 VEC_SQL = """vv AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings),
@@ -21,6 +26,7 @@ def edge_sql(targets: str, pool: str, k: int, name: str = "ed") -> str:
  FROM vu a JOIN vu b ON {targets} AND {pool} AND a.id <> b.id) WHERE pos <= {k})"""
 
 
+LATENT_FOLDS = 3
 ALL = ("true", "true")  # every vector among all others
 
 
@@ -161,6 +167,56 @@ def e7(spark, sf_dir):
     return v.agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(q["mean_variance"]).alias("mean_variance"), F.lit(q["rms_cosine"]).alias("rms_cosine"), F.lit(EM.informative(q)).alias("informative"))
 
 
+def residual_orders(spark, sf_dir):
+    """Scaled orders with the residual of a simple model, the log target less the mean of its layout on the training side, in its deviations."""
+    rows = scaled_orders(spark, sf_dir).withColumn("_log_y", F.log1p("y"))
+    train = rows.where("is_train")
+    by_layout = train.groupBy(F.col("layout").alias("_at")).agg(F.avg("_log_y").alias("_mean"))  # one row a layout, shuffled like any other
+    known = rows.join(by_layout, F.col("layout").eqNullSafe(F.col("_at")), "left")
+    raw = F.col("_log_y") - F.coalesce(F.col("_mean"), train.agg(F.avg("_log_y")).scalar())
+    return known.withColumn("residual", raw / train.agg(F.stddev_pop("_log_y")).scalar()).drop("_log_y", "_at", "_mean")
+
+
+@query("e6_residual_weighted_views")
+def e6_weighted(spark, sf_dir):
+    """All orders in the views whose axes were fitted on training rows, badly predicted ones with more weight."""
+    rows = cut_lineage(residual_orders(spark, sf_dir))
+    model = LT.fit_latents(rows.where("is_train"), SENSORS, "residual")
+    return rows.select("id", "is_train").join(model.transform(rows), "id")
+
+
+@query("e7_embedding_audit")
+def e7_audit(spark, sf_dir):
+    """Per view: the variance its axes explain and whether they are used; with the mode and the audit that chose it."""
+    model = LT.fit_latents(cut_lineage(residual_orders(spark, sf_dir)).where("is_train"), SENSORS, "residual")
+    found = model.audit[model.mode]
+    rows = [(t, model.explained[t], not isinstance(model.used(t), int), model.mode, found["mean_variance"], found["mean_cosine"]) for t in LT.VIEWS]
+    return spark.createDataFrame(rows, "view string, explained double, axes_used boolean, mode string, mean_variance double, mean_cosine double")
+
+
+@query("e12_latents_by_fold")
+def e12_by_fold(spark, sf_dir):
+    """Latents and neighbour features of every fold's training and validation rows, each fold from its own stored pool.
+
+    A fold's latents are fitted on its training rows, written with the pool and opened again; training rows are not their own neighbours.
+    """
+    rows = cut_lineage(SP.time_aware_folds(residual_orders(spark, sf_dir).where("is_train"), LATENT_FOLDS))
+    ensure_checkpoint_dir(spark)
+    folder, ks = f"{spark.sparkContext.getCheckpointDir()}/latents-{uuid4().hex}", (10, 20, 40)
+
+    def fold(f):
+        train = rows.where(F.col("chunk") <= f + 1)
+        LT.store_fold_pool(LT.fit_latents(train, SENSORS, "residual"), train, folder, f)
+        pool = LT.open_fold_pool(spark, folder, f, SENSORS)
+        sides = [pool.describe(side, ks, is_train).withColumns({"fold": F.lit(f), "is_train": F.lit(is_train)}) for side, is_train in ((train, True), (rows.where(F.col("chunk") == f + 2), False))]
+        return sides[0].unionByName(sides[1])
+
+    out = None
+    for part in side_by_side([partial(fold, f) for f in range(LATENT_FOLDS)]):
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)  # a fold may keep another number of dimensions
+    return sync_schema(out, [c for c in out.columns if c not in ("id", "fold", "is_train")], ["id", "fold", "is_train"])
+
+
 @query("e10_regime_clusters")
 def e10(spark, sf_dir):
     return EM.clusters(S.vectors(spark, sf_dir), 10, name="regime_proxy").select("id", "regime_proxy")
@@ -175,8 +231,6 @@ def e12(spark, sf_dir):
     names = [f"{p}_{k}" for k in ks for p in ("embed_mean", "embed_std", "weighted_mean", "trend_proxy")]
     wide = g.select("id", "local_density", "similarity_entropy", *[F.col(n)[d].alias(f"{n}_d{d}") for n in names for d in range(dims)])
     out = v.select("id", "label").join(wide, "id", "left")
-    from panelforge.operators.selection import sync_schema
-
     return sync_schema(out, [c for c in wide.columns if c != "id"], ["id", "label"])
 
 
