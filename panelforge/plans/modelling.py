@@ -10,7 +10,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelforge.functions import exprs as X
-from panelforge.operators import drift, features as FE, fold_state as FS, metrics as M, models as MO, policies as PO, ranks, splits, tables
+from panelforge.operators import drift, features as FE, fold_state as FS, metrics as M, models as MO, policies as PO, proxies as PX, ranks, splits, tables
 from panelforge.operators.quantiles import fit_quantiles
 from panelforge.operators.side_by_side import side_by_side
 from panelforge.plans.registry import query
@@ -92,6 +92,17 @@ def m7(spark, sf_dir):
     return out.withColumn("status", MO.shift_status(F.col("adv_auc")))
 
 
+@query("m7_fold_proxy_audit")
+def m7_parts(spark, sf_dir):
+    """Every fold's validation rows, the test-like holdout, the rest and the whole training side, each told apart from the test side."""
+    rows = frame(spark, sf_dir)
+    train, folds = rows.where("is_train"), chunked(rows)
+    proxy = cut_lineage(x9(spark, sf_dir).where("is_proxy").select("sid"))
+    parts = {f"fold_{f}": folds.where(F.col("chunk") == f + 2) for f in range(FOLDS)}
+    parts |= {"proxy": cut_lineage(train.join(proxy, "sid", "left_semi")), "not_proxy": cut_lineage(train.join(proxy, "sid", "left_anti")), "train": train}
+    return PX.adversarial_table(spark, parts, rows.where("NOT is_train"), COLS)
+
+
 @query("m10_ridge_stack")
 def m10(spark, sf_dir):
     pp = S.pred_panel(spark, sf_dir).select("id", "y", "t", "nt", "p")
