@@ -93,6 +93,16 @@ def s9(spark, sf_dir):
     return IO.submission_errors(sub, o.select("id"))
 
 
+@query("s9_submission_layout", """SELECT '' AS missing_columns, 'note' AS extra_columns, 'pred' AS retyped_columns, CAST(count_if(a <> b) AS BIGINT) AS n_moved FROM
+ (SELECT row_number() OVER (ORDER BY o_orderkey) AS a, row_number() OVER (ORDER BY o_orderstatus = 'F', o_orderkey) AS b FROM orders)""")
+def s9_layout(spark, sf_dir):
+    """A written submission whose finished orders stand last, with a column too many and another type, read beside the sample file."""
+    o, folder = S.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lit(0.0).alias("pred"), (F.col("o_orderstatus") == "F").alias("late")), IO.run_folder(spark)
+    IO.write_csv(o.orderBy("id").drop("late"), f"{folder}/sample")
+    IO.write_csv(o.orderBy("late", "id").select("id", "pred", F.lit("x").alias("note")), f"{folder}/submission")
+    return IO.submission_layout_errors(IO.read_csv(spark, f"{folder}/submission", "id bigint, pred float, note string"), IO.read_csv(spark, f"{folder}/sample", "id bigint, pred double"))
+
+
 @query("s10_table_fingerprint")
 def s10(spark, sf_dir):
     return TB.fingerprint(S.table(spark, sf_dir, "orders"))

@@ -8,7 +8,8 @@ from uuid import uuid4
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql import Window as W
 
-from panelforge.session import ensure_checkpoint_dir
+from panelforge.operators.prefix import prefix_scan
+from panelforge.session import cut_lineage, ensure_checkpoint_dir
 
 
 def run_folder(spark: SparkSession) -> str:
@@ -100,6 +101,34 @@ def order_mismatches(sub: DataFrame, sample: DataFrame, key: str = "id", sub_pos
     return a.join(b, key).agg(F.count_if(F.col("_a") != F.col("_b")).alias("n")).scalar()
 
 
+def with_positions(scan: DataFrame, name: str = "pos") -> DataFrame:
+    """Rows straight from a file reader, with their place from 0: files by name, then as they stand in the file.
+
+    A block of a file lies in one task, so a row's place in it is the difference of two of the task's row numbers; places of blocks are
+    running totals of their counts. No rows are sorted or brought together.
+    """
+    at = ["_file", "_start"]
+    columns = scan.columns
+    rows = cut_lineage(scan.select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row")))
+    blocks = rows.groupBy(*at).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = prefix_scan(blocks, [], at, sums=["_n"]).select(*at, "_first", (F.col("cum__n") - F.col("_n")).alias("_before"))
+    return rows.join(before, at).select(*columns, (F.col("_before") + F.col("_row") - F.col("_first")).alias(name))
+
+
+def submission_layout_errors(sub: DataFrame, sample: DataFrame, key: str = "id") -> DataFrame:
+    """One row: columns the submission lacks, has beyond the sample's or in another type, and rows at another place. Both come straight from a file reader."""
+    want, have = dict(sample.dtypes), dict(sub.dtypes)
+    listed = lambda names: F.lit(",".join(sorted(names)))
+    shared = [c for c in want if c in have]
+    moved = F.lit(None).cast("long")
+    if key in shared:
+        moved = order_mismatches(with_positions(sub.select(key)), with_positions(sample.select(key)), key)
+    return sample.sparkSession.range(1).select(
+        listed(set(want) - set(have)).alias("missing_columns"), listed(set(have) - set(want)).alias("extra_columns"),
+        listed(c for c in shared if want[c] != have[c]).alias("retyped_columns"), moved.alias("n_moved"),
+    )
+
+
 # --- run registry ------------------------------------------------------------------------------------------------
 
 

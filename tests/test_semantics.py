@@ -190,6 +190,19 @@ def test_submission_contract(spark):
     assert spark.range(1).select(IO.order_mismatches(b, a)).first()[0] == 4
 
 
+def test_positions_over_files_and_blocks(spark, tmp_path):
+    ids = [(i * 37) % 101 for i in range(101)]
+    for part in range(3):
+        (tmp_path / f"part-{part}.csv").write_text("id\n" + "".join(f"{i}\n" for i in ids[part * 40 : part * 40 + 40]))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40")  # a file is many blocks
+    try:
+        got = IO.with_positions(IO.read_csv(spark, str(tmp_path), "id long")).orderBy("pos").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert [(r.id, r.pos) for r in got] == [(i, n) for n, i in enumerate(ids)]
+
+
 def test_stage_contract(spark):
     df = spark.range(3)
     assert IO.require(df, ["id"], "x") is df
