@@ -10,9 +10,11 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelforge.operators.prefix import melt, prefix_scan, value_counts
+from panelforge.session import cut_lineage
 
 BUFFER_ROWS = 4_000_000  # values over all requests together
 _SKETCH_ACCURACY = 10_000
@@ -44,43 +46,79 @@ def _by_brackets(df: DataFrame, probs: dict[str, list[float]], counts: dict[str,
             for n, ps in probs.items()
         ]
     ).first()
-    brackets = {}
+    brackets: dict[str, list[tuple[float, float]]] = {}
     for n, ps in probs.items():
-        for i, p in enumerate(ps):
-            if counts[n]:
-                lo, hi = sketch[n][2 * i], sketch[n][2 * i + 1]
-                brackets[f"{n}|{i}"] = (n, p, -math.inf if p <= _BRACKET else lo, math.inf if p >= 1 - _BRACKET else hi)
-    below = df.agg(*[F.count_if(F.col(n) < lo).alias(k) for k, (n, _, lo, _) in brackets.items()]).first()
-    inside = {
-        k: F.when((F.col(n) >= lo) & (F.col(n) <= hi), F.col(n)) for k, (n, _, lo, hi) in brackets.items()
-    }
-    ranked = prefix_scan(
-        value_counts(melt(df, [], inside), ["feature"], "value"), ["feature"], ["value"], sums=["n"]
-    )
-    wanted = None
-    for k, (n, p, _, _) in brackets.items():
-        h = (counts[n] - 1) * p
-        for pos in {math.floor(h), math.ceil(h)}:
-            at = pos - below[k]
-            hit = (F.col("feature") == k) & (F.col("cum_n") > at) & (F.col("cum_n") - F.col("n") <= at)
-            wanted = hit if wanted is None else wanted | hit
-    rows = ranked.where(wanted).select("feature", "value", "n", "cum_n").collect() if wanted is not None else []
-    found: dict[str, list[tuple[int, int, float]]] = {}
-    for r in rows:
-        found.setdefault(r.feature, []).append((below[r.feature] + r.cum_n - r.n, below[r.feature] + r.cum_n, r.value))
+        if counts[n]:
+            ends = [sketch[n][2 * i : 2 * i + 2] for i in range(len(ps))]
+            ends = [(-math.inf if p <= _BRACKET else lo, math.inf if p >= 1 - _BRACKET or math.isnan(hi) else hi) for p, (lo, hi) in zip(ps, ends)]
+            brackets[n] = _merged([x for x in ends if not math.isnan(x[0])])  # NaN comes after all numbers
+    found = _positions(df, brackets, {n: {pos for p in probs[n] for h in [(counts[n] - 1) * p] for pos in (math.floor(h), math.ceil(h))} for n in brackets})
     out: dict[str, list[float]] = {n: [None] * len(ps) for n, ps in probs.items()}
-    for k, (n, p, _, _) in brackets.items():
-        h = (counts[n] - 1) * p
-        at = {pos: next((v for a, b, v in found.get(k, []) if a <= pos < b), None) for pos in (math.floor(h), math.ceil(h))}
-        lo, hi = at[math.floor(h)], at[math.ceil(h)]
-        if lo is None or hi is None:  # the sketch missed: rank all values of this column instead
-            name = f"p{k.rsplit('|', 1)[1]}"
-            out[n][int(name[1:])] = grouped_quantiles(df, [], [n], {name: p}).first()[name]
-            continue
-        out[n][int(k.rsplit("|", 1)[1])] = lo + (hi - lo) * (h - math.floor(h))
+    for n in brackets:
+        missed = {}
+        for i, p in enumerate(probs[n]):
+            h = (counts[n] - 1) * p
+            lo, hi = found.get((n, math.floor(h))), found.get((n, math.ceil(h)))
+            if lo is None or hi is None:
+                missed[f"p{i}"] = p
+            else:
+                out[n][i] = lo + (hi - lo) * (h - math.floor(h))
+        if missed:  # the sketch missed: rank all values of this column instead
+            row = grouped_quantiles(df, [], [n], missed).first()
+            for name in missed:
+                out[n][int(name[1:])] = row[name]
+    return out
+
+
+def _merged(brackets: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """The same values as disjoint brackets in ascending order."""
+    out: list[tuple[float, float]] = []
+    for lo, hi in sorted(brackets):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+        else:
+            out.append((lo, hi))
     return out
 
 
+def _positions(df: DataFrame, brackets: dict[str, list[tuple[float, float]]], wanted: dict[str, set[int]]) -> dict[tuple[str, int], float]:
+    """The values at 0-based positions of columns, as far as they lie in the columns' brackets.
+
+    A row gives one cell per column, however many brackets: its value inside a bracket, and only the number of its gap outside.
+    """
+    spark, names = df.sparkSession, list(brackets)
+    if not names:
+        return {}
+    edges, inside = [], []
+    for n in names:
+        starts = [(-math.inf, False)]
+        for lo, hi in brackets[n]:
+            # Parts are half open: one that begins above hi leaves hi in its bracket.
+            starts += [(lo, True), (math.nextafter(hi, math.inf), False)]
+        starts = [x for i, x in enumerate(starts) if x[0] < math.inf and not (i + 1 < len(starts) and starts[i + 1][0] == x[0])]
+        edges.append([*[e for e, _ in starts], math.inf])
+        inside.append({i for i, (_, within) in enumerate(starts) if within})
+    place = Bucketizer(splitsArray=edges, inputCols=names, outputCols=[f"_part_{i}" for i in range(len(names))], handleInvalid="keep")
+    cells = []
+    for i, n in enumerate(names):
+        kept = F.col(f"_part_{i}").isin([float(x) for x in inside[i]])
+        cells.append(F.struct(F.lit(i).alias("col"), F.col(f"_part_{i}").cast("int").alias("part"), F.when(kept, F.col(n)).alias("value"), F.col(n).isNotNull().alias("known")))
+    long = place.transform(df.select(*names)).select(F.inline(F.array(*cells))).where("known")
+    table = cut_lineage(long.groupBy("col", "part", "value").agg(F.count(F.lit(1)).alias("n")))
+    gaps = {(x.col, x.part): x.n for x in table.where("value IS NULL").collect()}
+    asked = []
+    for i, n in enumerate(names):
+        for part in inside[i]:
+            before = sum(v for (c, g), v in gaps.items() if c == i and g < part)
+            asked += [(i, part, before, pos) for pos in wanted[n]]
+    ranked = prefix_scan(table.where("value IS NOT NULL"), ["col"], ["value"], sums=["n"])
+    lookup = spark.createDataFrame(asked, "col int, part int, before long, pos long")
+    end = F.col("before") + F.col("cum_n")
+    # one row per wanted position and bracket
+    hits = ranked.join(F.broadcast(lookup), ["col", "part"]).where((F.col("pos") < end) & (F.col("pos") >= end - F.col("n")))
+    return {(names[x.col], x.pos): x.value for x in hits.select("col", "pos", "value").collect()}
+
+
 def grouped_quantiles(
     df: DataFrame, group: Sequence[str], cols: Sequence[str], probs: Mapping[str, float]
 ) -> DataFrame:

@@ -88,6 +88,22 @@ def test_quantiles_survive_a_bad_sketch(spark, many_ranges, monkeypatch):
     assert np.allclose(got, np.quantile(v, [0.3, 0.9]))
 
 
+def test_a_row_gives_one_cell_however_many_quantiles(spark, many_ranges, monkeypatch):
+    """A hundred quantiles of two columns, with ties, unknown values and brackets that meet; a value outside all brackets is only counted."""
+    from panelforge.operators import quantiles as Q
+
+    rows, cut = [], Q.cut_lineage
+    monkeypatch.setattr(Q, "cut_lineage", lambda df: rows.append(cut(df)) or rows[-1])
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=20_000), np.round(rng.normal(size=20_000), 1)
+    df = spark.createDataFrame([(float(x), None if i % 7 == 0 else float(z)) for i, (x, z) in enumerate(zip(a, b))], "a double, b double")
+    ps = [0.01 + 0.98 * i / 99 for i in range(100)]
+    got = Q.fit_quantiles(df, {"a": (F.col("a"), ps), "b": (F.col("b"), ps)}, buffer_rows=0)
+    known = b[np.arange(len(b)) % 7 != 0]
+    assert np.allclose(got["a"], np.quantile(a, ps)) and np.allclose(got["b"], np.quantile(known, ps))
+    assert len(rows) == 1 and rows[0].agg(F.sum("n")).first()[0] == len(a) + len(known) and rows[0].count() < 8_000
+
+
 def test_grouped_quantiles(spark, many_ranges):
     df, pdf = panel_frame(spark)
     got = grouped_quantiles(df, ["sid"], ["v"], {"a": 0.25, "b": 0.9}).toPandas().set_index("sid")
