@@ -7,11 +7,16 @@ never reaches one task as rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from itertools import combinations_with_replacement
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Window as W
 
+from panelforge.functions import exprs as X
 from panelforge.operators.prefix import melt, prefix_scan, value_counts
-from panelforge.session import cut_lineage
+from panelforge.session import cut_lineage, stored
 
 
 def tie_ranks(df: DataFrame, group: Sequence[str], value: str, name: str = "avg_rank") -> DataFrame:
@@ -111,3 +116,64 @@ def ranks_against_reference(df: DataFrame, reference: DataFrame, cols: Sequence[
         ranked = long.join(table.where(F.col("feature").isin(many)), ["feature", "value"]).groupBy(key).agg(*[F.max(F.when(F.col("feature") == c, F.col("rank"))).alias(c) for c in many])
         out = out.join(ranked, key, "left")
     return out.select(key, *cols)
+
+
+#: Rows of a group up to which a plain window ranks it.
+GROUP_ROWS = 100_000
+
+
+def tie_ranks_of_columns(df: DataFrame, group: str, cols: Sequence[str]) -> DataFrame:
+    """``df`` with the average rank of every column inside its group as ``_rank_<c>``; NULL is a group, unknown values have no rank.
+
+    All columns share one shuffle by group. Groups of more than ``GROUP_ROWS`` rows are ranked by value tables instead.
+    """
+    sizes = df.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > GROUP_ROWS)
+    large = cut_lineage(sizes.select("_g"))
+    same = df[group].eqNullSafe(large["_g"])
+    rows = df if large.isEmpty() else df.join(F.broadcast(large), same, "left_anti")  # at most a row per GROUP_ROWS rows
+    placed = {}
+    for c in cols:
+        order = W.partitionBy(group).orderBy(F.col(c).asc_nulls_last())
+        ties = F.count(F.lit(1)).over(order.rangeBetween(W.currentRow, W.currentRow))
+        placed[f"_rank_{c}"] = F.when(F.col(c).isNotNull(), F.rank().over(order) + (ties - 1) / 2.0)
+    out = rows.select("*", *[v.alias(k) for k, v in placed.items()])
+    if large.isEmpty():
+        return out
+    hot = df.join(F.broadcast(large), same, "left_semi")
+    for c in cols:
+        counts = value_counts(hot.where(F.col(c).isNotNull()), [group], c)
+        table = prefix_scan(counts, [group], [c], sums=["n"])
+        table = table.select(F.col(group).alias("_g"), F.col(c).alias("_v"), (F.col("cum_n") - (F.col("n") - 1) / 2.0).alias(f"_rank_{c}"))
+        hot = hot.join(table, F.col(group).eqNullSafe(F.col("_g")) & (F.col(c) == F.col("_v")), "left").drop("_g", "_v")
+    return out.unionByName(hot)
+
+
+def rank_correlations(df: DataFrame, cols: Sequence[str], y: str) -> DataFrame:
+    """(feature, pearson, spearman) of every column with ``y``, over the rows where both are known.
+
+    Columns that are known in the same rows share the ranks of ``y``: they are ranked side by side, not row by row for each column.
+    """
+    rows = stored(df.where(F.col(y).isNotNull()).select(F.col(y).cast("double"), *[F.col(c).cast("double") for c in cols]))
+    known = lambda *cs: F.count_if(reduce(and_, [F.col(c).isNotNull() for c in cs]))
+    n = rows.agg(*[known(c, d).alias(f"{c}|{d}") for c, d in combinations_with_replacement(cols, 2)]).first()
+    parts: list[list[str]] = []
+    for c in cols:
+        part = next((p for p in parts if n[f"{p[0]}|{p[0]}"] == n[f"{p[0]}|{c}"] == n[f"{c}|{c}"]), None)
+        parts.append([c]) if part is None else part.append(c)
+    found = [_rank_correlations(rows.where(F.col(p[0]).isNotNull()).select(y, *p), p, y) for p in parts]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _rank_correlations(rows: DataFrame, cols: Sequence[str], y: str) -> DataFrame:
+    """The same for rows that know ``y`` and all columns."""
+    every = [*cols, y]
+    ranked = prefix_scan(value_counts(melt(rows, [], every), ["feature"], "value"), ["feature"], ["value"], sums=["n"])
+    table = cut_lineage(ranked.select("feature", "value", (F.col("cum_n") - (F.col("n") - 1) / 2.0).alias("rank")))
+    distinct = {x.feature: x["count"] for x in table.groupBy("feature").count().collect()}
+    out = rows
+    for c in sorted(every, key=lambda c: distinct.get(c, 0)):
+        own = table.where(F.col("feature") == c).select(F.col("value").alias(c), F.col("rank").alias(f"_rank_{c}"))
+        out = out.join(F.broadcast(own) if distinct.get(c, 0) <= SENT_VALUES else own, c)
+    row = out.agg(*[x for c in cols for x in (X.corr(c, y).alias(f"p_{c}"), X.corr(f"_rank_{c}", f"_rank_{y}").alias(f"s_{c}"), F.count(c).alias(f"n_{c}"))])
+    cells = [F.struct(F.lit(c).alias("feature"), F.col(f"p_{c}").alias("pearson"), F.col(f"s_{c}").alias("spearman"), F.col(f"n_{c}").alias("n")) for c in cols]
+    return row.select(F.inline(F.array(*cells))).where("n > 0").drop("n")
