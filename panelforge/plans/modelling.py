@@ -393,13 +393,11 @@ def g10(spark, sf_dir):
 
 @query("g11_cross_fold_gain_and_sign")
 def g11(spark, sf_dir):
-    rows = cut_lineage(frame(spark, sf_dir).where("is_train").withColumn("fold", splits.hash_fold(FOLDS, F.col("id"))))
-    gains, signs = [], None
-    for f in range(FOLDS):
-        fit_on = rows.where(F.col("fold") != f)
-        gains.append(MO.importances(MO.fit_regressor(fit_on, COLS), COLS))
-        one = drift.stats_long(fit_on, COLS, s=lambda c: F.signum(X.corr(c, F.col("y"))))
-        signs = one if signs is None else signs.unionByName(one)
+    rows = stored(S.model_panel(spark, sf_dir).where("is_train").withColumn("fold", splits.hash_fold(FOLDS, F.col("id"))))
+    held = {f"w{f}": (F.col("fold") != f).cast("double") for f in range(FOLDS)}
+    gains = [m.importances() for m in B.fit_all(rows, [B.Spec(tuple(COLS), "target", w) for w in held], {"target": F.log1p("y")} | held)]
+    one = drift.stats_long(rows, COLS, **{f"s{f}": lambda c, f=f: F.signum(X.corr(F.when(F.col("fold") != f, c), F.col("y"))) for f in range(FOLDS)})
+    signs = one.select("feature", F.explode(F.array(*[f"s{f}" for f in range(FOLDS)])).alias("s"))
     mean = {c: sum(x[c] for x in gains) / FOLDS for c in COLS}
     cv = {c: (sum((x[c] - mean[c]) ** 2 for x in gains) / FOLDS) ** 0.5 / (mean[c] + 1e-9) if mean[c] > 0 else 1.0 for c in COLS}
     g = listing(spark, [(c, mean[c], cv[c]) for c in COLS], "feature string, mean_gain double, gain_cv double")
