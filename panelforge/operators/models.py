@@ -145,14 +145,19 @@ def train_two_pass(rows: DataFrame, test: DataFrame, cols: Sequence[str], n_fold
 # --- adversarial validation -------------------------------------------------------------------------------------
 
 
-def adversarial_scores(a: DataFrame, b: DataFrame, cols: Sequence[str], folds: int = 3, fit_rows: int = FIT_ROWS, seed: int = 42, **tree):
+def dealt_folds(a: DataFrame, b: DataFrame, folds: int = 3, seed: int = 42) -> DataFrame:
+    """(id, is_test, fold) of both sides, kept; fits of several column sets may share it."""
+    return cut_lineage(splits.stratified_folds(labelled_union(a.select("id"), b.select("id")), "is_test", folds, "id", seed))
+
+
+def adversarial_scores(a: DataFrame, b: DataFrame, cols: Sequence[str], folds: int = 3, fit_rows: int = FIT_ROWS, seed: int = 42, dealt: DataFrame | None = None, **tree):
     """Out-of-fold probability that a row belongs to ``b``, for every row, and the importances summed over folds.
 
     The classifier of a fold is fitted on at most about ``fit_rows`` rows of each side.
     """
     both = labelled_union(a.select("id", *cols), b.select("id", *cols))
     # Folds are dealt and kept without the features, which are read where they lie and never stored again.
-    dealt = cut_lineage(splits.stratified_folds(both.select("id", "is_test"), "is_test", folds, "id", seed))
+    dealt = dealt_folds(a, b, folds, seed) if dealt is None else dealt
     sizes = {r["is_test"]: r["n"] for r in dealt.groupBy("is_test").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.when(F.col("is_test") == 1, min(1.0, fit_rows / max(1, sizes.get(1, 0)))).otherwise(min(1.0, fit_rows / max(1, sizes.get(0, 0))))
     drawn = splits.unit_hash(F.col("id"), seed=seed + 1) < share

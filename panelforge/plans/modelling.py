@@ -317,11 +317,11 @@ def m32(spark, sf_dir):
 def d24(spark, sf_dir):
     rows = frame(spark, sf_dir).withColumn("layout", F.col("layout").cast("double"))
     a, b = rows.where("is_train"), rows.where("NOT is_train")
-    cols = COLS + ["layout"]
-    full, imp = MO.adversarial_auc(a, b, cols)
+    cols, dealt = COLS + ["layout"], MO.dealt_folds(a, b)
+    full, imp = MO.adversarial_auc(a, b, cols, dealt=dealt)
     top = max(imp, key=lambda c: imp[c])
     variants = {"no_top_drift": [c for c in cols if c != top], "no_layout": COLS, "layout_only": ["layout"]}
-    out = [("full", full, 0.0)] + [(n, x, (full - x) / (full - 0.5 + 1e-9)) for n, x in ((n, MO.adversarial_auc(a, b, c)[0]) for n, c in variants.items())]
+    out = [("full", full, 0.0)] + [(n, x, (full - x) / (full - 0.5 + 1e-9)) for n, x in ((n, MO.adversarial_auc(a, b, c, dealt=dealt)[0]) for n, c in variants.items())]
     return listing(spark, out, "variant string, auc double, share double")
 
 

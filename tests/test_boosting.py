@@ -47,3 +47,10 @@ def test_passes_do_not_grow_with_the_models(spark, monkeypatch, name, fits):
     monkeypatch.setattr(MO, "fit_classifier", None)
     out = modelling.query.__globals__["REGISTRY"][name].build(spark, SF).collect()
     assert out and len(passes) == fits * MO.TREE["maxIter"] * MO.TREE["maxDepth"]
+
+
+def test_root_cause_shares_deal_the_folds_once(spark, monkeypatch):
+    dealt, real = [], MO.splits.stratified_folds
+    monkeypatch.setattr(MO.splits, "stratified_folds", lambda *a: dealt.append(1) or real(*a))
+    rows = {r.variant: r.auc for r in modelling.query.__globals__["REGISTRY"]["d24_drift_root_cause_shares"].build(spark, SF).collect()}
+    assert set(rows) == {"full", "no_top_drift", "no_layout", "layout_only"} and len(dealt) == 1
