@@ -430,15 +430,15 @@ CUTOFFS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99)
 @query("g20_feature_count_curve")
 def g20(spark, sf_dir):
     """Every count of the most important columns, and the counts that cutoffs of the summed importance give."""
-    rows = frame(spark, sf_dir)
+    rows, target = stored(S.model_panel(spark, sf_dir)), {"target": F.log1p("y")}
     train, val = rows.where("is_train"), rows.where("NOT is_train")
-    imp = MO.importances(MO.fit_regressor(train, COLS), COLS)
+    whole = B.fit_all(train, [B.Spec(tuple(COLS), "target")], target)[0]
+    imp = whole.importances()
     order = sorted(COLS, key=lambda c: (-imp[c], c))
     share = [v / (sum(imp.values()) or 1.0) for v in accumulate(imp[c] for c in order)]
-    curve = []
-    for k in range(1, len(order) + 1):
-        m = MO.fit_regressor(train, order[:k])
-        curve.append((k, share[k - 1], MO.mae(MO.predict(m, val, order[:k], "p"), "y", "p")))
+    models = [*B.fit_all(train, [B.Spec(tuple(order[:k]), "target") for k in range(1, len(order))], target), whole]  # all columns are the first model
+    errors = val.agg(*[F.avg(F.abs(F.col("y") - m.value())).alias(f"e{k}") for k, m in enumerate(models)]).first()
+    curve = [(k, share[k - 1], errors[f"e{k - 1}"]) for k in range(1, len(order) + 1)]
     # A cutoff takes the columns within it, and the first one at least.
     chosen = [(c, *curve[max(1, sum(s <= c for s in share)) - 1]) for c in CUTOFFS]
     return listing(spark, [(None, *x) for x in curve] + chosen, "cutoff double, n_features int, importance_share double, mae double")
