@@ -188,7 +188,7 @@ def e6_weighted(spark, sf_dir):
 @query("e7_embedding_audit")
 def e7_audit(spark, sf_dir):
     """Per view: the variance its axes explain and whether they are used; with the mode and the audit that chose it."""
-    model = LT.fit_latents(cut_lineage(residual_orders(spark, sf_dir)).where("is_train"), SENSORS, "residual")
+    model = LT.fit_latents(stored(residual_orders(spark, sf_dir).where("is_train").select("id", *SENSORS, "residual")), SENSORS, "residual")
     found = model.audit[model.mode]
     rows = [(t, model.explained[t], not isinstance(model.used(t), int), model.mode, found["mean_variance"], found["mean_cosine"]) for t in LT.VIEWS]
     return spark.createDataFrame(rows, "view string, explained double, axes_used boolean, mode string, mean_variance double, mean_cosine double")

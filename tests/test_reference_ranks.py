@@ -61,3 +61,13 @@ def test_transform_keeps_columns_beside_the_vectors_without_a_join(spark):
     want = model.transform(df).toPandas().sort_values("id")
     got = out.toPandas().sort_values("id")
     assert got.side.tolist() == [i % 3 == 0 for i in range(120)] and np.allclose(np.stack(got.v), np.stack(want.v))
+
+
+def test_the_audit_leaves_out_equal_ids_in_any_tile(spark, monkeypatch):
+    """All rows are drawn here, so every row meets itself once, whichever tile it is in."""
+    monkeypatch.setattr(LT, "AUDIT_TILE", 7)
+    x = np.random.default_rng(6).normal(3, 1, size=(90, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(3)
+    u = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8)
+    got = LT.audit(df, 4)
+    assert np.isclose(got["mean_cosine"], np.abs(u @ u.T)[~np.eye(90, dtype=bool)].mean()) and np.isclose(got["mean_variance"], x.var(0).mean())
