@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.operators import latents as LT, ranks
+from panelforge.operators import embedding as EM, latents as LT, ranks
 
 SPECIAL = [None, float("nan"), float("inf"), -float("inf"), -0.0, 0.0]
 
@@ -71,3 +71,13 @@ def test_the_audit_leaves_out_equal_ids_in_any_tile(spark, monkeypatch):
     u = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8)
     got = LT.audit(df, 4)
     assert np.isclose(got["mean_cosine"], np.abs(u @ u.T)[~np.eye(90, dtype=bool)].mean()) and np.isclose(got["mean_variance"], x.var(0).mean())
+
+
+def test_views_are_formed_where_the_rows_lie(spark):
+    """Neither the fit's views nor new rows with other values are shuffled or joined for their ranks."""
+    g = np.random.default_rng(9)
+    df = spark.createDataFrame(pd.DataFrame(g.normal(size=(150, 3)), columns=["a", "b", "c"]).assign(id=range(150)))
+    model = EM.fit_latent(df.where("id < 100"), ["a", "b", "c"], dims=2)
+    out = model.transform(df.where("id >= 100"))
+    plan = out._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Exchange" not in plan and out.count() == 50
