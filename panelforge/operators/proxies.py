@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from panelforge.operators import models as MO
-from panelforge.operators.side_by_side import side_by_side
 
 
 def adversarial_table(spark: SparkSession, parts: Mapping[str, DataFrame], test: DataFrame, cols: Sequence[str], **kw) -> DataFrame:
@@ -16,11 +14,7 @@ def adversarial_table(spark: SparkSession, parts: Mapping[str, DataFrame], test:
 
     Parts may overlap. A part without rows, or any part against an empty test side, has no AUC, status or place. The fits run side by side.
     """
-    sizes = side_by_side([part.count for part in parts.values()])
-    n_test = test.count()
-    known = [name for name, n in zip(parts, sizes) if n and n_test]
-    found = dict(zip(known, side_by_side([partial(MO.adversarial_auc, parts[name], test, cols, **kw) for name in known])))
-    rows = [(name, n, found[name][0] if name in found else None) for name, n in zip(parts, sizes)]
+    rows = [(name, *found) for name, found in zip(parts, MO.adversarial_aucs(list(parts.values()), test, cols, **kw))]
     out = spark.createDataFrame(rows, "part string, n_rows long, adv_auc_vs_test double")
     auc = F.col("adv_auc_vs_test")
     place = F.row_number().over(W.orderBy(auc.asc_nulls_last(), "part"))  # one row a part

@@ -97,9 +97,9 @@ def m7_parts(spark, sf_dir):
     """Every fold's validation rows, the test-like holdout, the rest and the whole training side, each told apart from the test side."""
     rows = frame(spark, sf_dir)
     train, folds = rows.where("is_train"), chunked(rows)
-    proxy = cut_lineage(x9(spark, sf_dir).where("is_proxy").select("sid"))
+    proxy = F.broadcast(cut_lineage(x9(spark, sf_dir).where("is_proxy").select("sid")))  # at most a row a calendar month
     parts = {f"fold_{f}": folds.where(F.col("chunk") == f + 2) for f in range(FOLDS)}
-    parts |= {"proxy": cut_lineage(train.join(proxy, "sid", "left_semi")), "not_proxy": cut_lineage(train.join(proxy, "sid", "left_anti")), "train": train}
+    parts |= {"proxy": train.join(proxy, "sid", "left_semi"), "not_proxy": train.join(proxy, "sid", "left_anti"), "train": train}
     return PX.adversarial_table(spark, parts, rows.where("NOT is_train"), COLS)
 
 

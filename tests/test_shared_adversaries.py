@@ -1,0 +1,29 @@
+"""Adversarial AUCs of several parts against one side, beside one part at a time."""
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from panelforge.operators import models as MO, splits
+from panelforge.session import cut_lineage
+
+
+def test_parts_share_one_dealing_and_keep_their_aucs(spark, monkeypatch):
+    g = np.random.default_rng(5)
+    rows = lambda first, shift: cut_lineage(spark.createDataFrame(pd.DataFrame({"id": np.arange(first, first + 400), "a": g.normal(size=400) + shift, "b": g.normal(size=400)})).coalesce(1))
+    test, near, far = rows(0, 0.0), rows(1000, 0.1), rows(2000, 1.5)
+    want = [MO.adversarial_auc(x, test, ["a", "b"])[0] for x in (near, far)]
+    dealt, deal = [], splits.stratified_folds
+    monkeypatch.setattr(splits, "stratified_folds", lambda *a, **k: dealt.append(1) or deal(*a, **k))
+    got = MO.adversarial_aucs([near, far, near.limit(0)], test, ["a", "b"])
+    assert len(dealt) == 1 and [n for n, _ in got] == [400, 400, 0] and got[2][1] is None
+    assert np.allclose([auc for _, auc in got[:2]], want, atol=0.01)
+
+
+def test_folds_are_positions_in_hash_order(spark, monkeypatch):
+    monkeypatch.setattr(splits, "RANGE_ROWS", 20)
+    df = spark.range(500).select("id", F.when(F.col("id") % 5 > 0, F.col("id") % 2).alias("label"))
+    got = splits.stratified_folds(df, "label", 3, "id").withColumn("h", splits.key_hash(F.col("id"), seed=42, digits=13)).toPandas()
+    assert len(got) == 500
+    for _, own in got.fillna({"label": -1}).groupby("label"):
+        assert own.sort_values(["h", "id"]).fold.tolist() == [i % 3 for i in range(len(own))]
