@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql import Window as W
 
-from panelforge.operators.prefix import MOST_RANGES, RANGE_ROWS, row_positions
+from panelforge.operators.prefix import row_positions
 
 
 def scenario_order(df: DataFrame, sid: str = "sid", num: str = "id") -> DataFrame:
@@ -83,19 +82,13 @@ def hash_fold(k: int, *cols: Column, seed: int = 42) -> Column:
 
 
 def stratified_folds(df: DataFrame, label: str, k: int, key: str, seed: int = 42) -> DataFrame:
-    """Folds in which every class is spread evenly: position inside the class, in hash order, modulo k.
-
-    Hashes are spread evenly, so equal ranges of them hold about as many rows of a class each: rows are shuffled once.
-    """
-    ranges = max(1, min(MOST_RANGES, -(-df.count() // RANGE_ROWS)))
+    """Folds in which every class is spread evenly: position inside the class, in hash order, modulo k."""
     keyed = df.withColumn("_h", key_hash(F.col(key), seed=seed, digits=13))
-    # NULL is a class of its own.
-    at = [F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit("")).alias("_class"), F.floor(F.col("_h") / float(1 << 52) * ranges).cast("int").alias("_part")]
-    keyed = keyed.select("*", *at)
-    earlier = W.partitionBy("_class").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    starts = keyed.groupBy("_class", "_part").agg(F.count(F.lit(1)).alias("_n")).select("_class", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
-    placed = keyed.withColumn("_pos", F.row_number().over(W.partitionBy("_class", "_part").orderBy("_h", key)) - 1)
-    return placed.join(starts, ["_class", "_part"]).select(*df.columns, F.pmod(F.col("_start") + F.col("_pos"), F.lit(k)).cast("int").alias("fold"))
+    return (
+        row_positions(keyed, [label], ["_h", key], "_pos")
+        .withColumn("fold", F.pmod(F.col("_pos"), F.lit(k)).cast("int"))
+        .drop("_h", "_pos")
+    )
 
 
 def hash_sample(df: DataFrame, n: int, *keys: str, seed: int = 42) -> DataFrame:
