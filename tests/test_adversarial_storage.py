@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.operators import drift, models as MO, splits
+from panelforge.operators import boosting as B, drift, models as MO, splits
 
 
 @pytest.fixture(scope="module")
@@ -44,3 +44,27 @@ def test_features_are_not_stored_again(sides, monkeypatch):
     both = a.select("id", F.lit(0).alias("is_test")).unionByName(b.select("id", F.lit(1).alias("is_test")))
     want = splits.stratified_folds(both, "is_test", 3, "id").toPandas()
     assert got.sort_values("id").fold.tolist() == want.sort_values("id").fold.tolist() and got.p.between(0, 1).all()
+
+
+def test_classifiers_are_fitted_on_all_rows(spark, monkeypatch):
+    """More rows than any sample would take: every row of the other folds counts once in the root of every first tree."""
+    seen, real = [], B.level_sums
+    monkeypatch.setattr(B, "level_sums", lambda *a: seen.append(real(*a)) or seen[-1])
+    df = spark.range(90_000).select("id", (F.xxhash64("id") % 100).cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("z"))
+    a, b = df.where("id < 60000"), df.where("id >= 60000")
+    scored, _ = MO.adversarial_scores(a, b, ["x", "z"], maxIter=1)
+    assert scored.count() == 90_000
+    assert [sums[0, j].sum() for sums in seen[0] for j in (0, 1)] == [60_000] * 6 and len(seen) == MO.TREE["maxDepth"]
+    seen.clear()
+    MO.prune_collective_drift(a, b, ["x", "z"], target_auc=0.0, rounds=2, maxIter=1)
+    assert {sums[0, 0].sum() for sums in seen[0] + seen[-1]} == {60_000}
+
+
+def test_sides_that_were_dealt_keep_their_folds(sides):
+    a, b = (sides.where(x).select("id", "same", "moved") for x in ("a", "NOT a"))
+    first, _ = MO.adversarial_scores(a, b, ["same", "moved"], maxIter=2)
+    again, _ = MO.adversarial_scores(*MO.dealt(a, b), ["same", "moved"], maxIter=2)
+    x, y = (s.toPandas().sort_values("id") for s in (first, again))
+    assert x.fold.tolist() == y.fold.tolist() and np.allclose(x.p, y.p)
+    same = MO.adversarial_auc(*MO.dealt(a, b), ["same", "moved"])[0]
+    assert same == pytest.approx(MO.adversarial_auc(a, b, ["same", "moved"])[0])
